@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suffix_dedup
+from . import recompression, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,5 +16,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup,)}
+def op8_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.dedup_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op8_recompression_dedup)}
 ORACLE_SQL: dict[str, str] = {}

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import U64, Rolling, flat_ranges, lists, mix, row_chunks
+from .common import U64, Rolling, byte_values, flat_ranges, mix
 
 #: kind 0: entries; kind 1: repeated stretches (doc_id, start, end); kind 2: torn entries
 PACKED = "bucket int, kind int, n long, symbol binary, print binary, doc binary, pos binary, len binary"
@@ -153,16 +153,18 @@ CONTENT_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in (
 
 
 def content_batch(e: Entries, where: np.ndarray, values: np.ndarray, width: int, buckets: int) -> pa.RecordBatch:
-    """Packed rows of entries with the symbols they cover; where: their start in ``values``."""
+    """Packed rows of entries with the bytes they cover or, for 64-bit ``values``, the value of each window; where: their start in ``values``."""
     rows = []
     for bucket, _, part in bucketed(e | {"at": where}, buckets):
-        n = part["len"].astype(np.int64) + width - 1
+        n = part["len"].astype(np.int64) + (width - 1 if values.dtype == np.uint8 else 0)
         rows.append((bucket, *(_planes(part[f]) for f in ("doc", "pos", "len", "symbol")), values[flat_ranges(part["at"], n)].tobytes()))
     return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(CONTENT_ARROW)], schema=CONTENT_ARROW)
 
 
 def repeated_windows(table: pa.Table, kind: type, width: int, within: bool) -> Entries:
-    """Stretches covered by windows of torn entries that start earlier in another (or, within, the same) document."""
+    """Stretches covered by windows of torn entries that start earlier in another (or, within, the same) document.
+
+    kind: uint8 where rows carry bytes, uint64 where they carry the hash of each window."""
     got: dict[str, list[np.ndarray]] = {f: [] for f in ("doc", "pos", "len", "symbol", "content")}
     for i in range(table.num_rows):
         for f in ("doc", "pos", "len", "symbol"):
@@ -171,7 +173,7 @@ def repeated_windows(table: pa.Table, kind: type, width: int, within: bool) -> E
     if not got["doc"]:
         return merged(*[np.zeros(0, np.int64)] * 3)
     e = {f: np.concatenate(v) for f, v in got.items()}
-    size = e["len"].astype(np.int64) + width - 1
+    size = e["len"].astype(np.int64) + (width - 1 if kind is np.uint8 else 0)
     begin = np.cumsum(size) - size
     by = np.argsort(e["symbol"], kind="stable")
     weight = np.cumsum(e["len"][by])
@@ -186,13 +188,9 @@ def repeated_windows(table: pa.Table, kind: type, width: int, within: bool) -> E
         n, cells = e["len"][part].astype(np.int64), size[part]
         values = e["content"][flat_ranges(begin[part], cells)]
         if kind is np.uint8:
-            from .common import byte_values
-
-            values = byte_values()[values]
-        roll = Rolling(values)
-        local = np.cumsum(cells) - cells
-        start = flat_ranges(local, n)
-        key = roll.of(start, start + width) ^ mix(np.repeat(e["symbol"][part], n))
+            start = flat_ranges(np.cumsum(cells) - cells, n)
+            values = Rolling(byte_values()[values]).of(start, start + width)
+        key = values ^ mix(np.repeat(e["symbol"][part], n))
         doc, pos = np.repeat(e["doc"][part], n), flat_ranges(e["pos"][part], n)
         order = np.lexsort((pos, doc, key))
         k, d = key[order], doc[order]
@@ -218,5 +216,3 @@ def unpack_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(s["doc"]):
             yield span_batch(merged(s["doc"], s["pos"], s["print"].astype(np.int64)))
 
-
-__all__ = ["Entries", "bucketed", "by_document", "content_batch", "entries_of", "firsts", "lists", "merged", "pack", "repeated_windows", "row_chunks", "split_firsts", "torn", "unpack"]
