@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import recompression, suffix_dedup
+from . import chat, mixing, recompression, suffix_dedup, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,5 +22,60 @@ def op8_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op8_recompression_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rate")
+
+
+OP6_SQL = """
+WITH RECURSIVE counts AS (SELECT coalesce(source, '') AS source_key, count(*) AS n FROM documents GROUP BY 1),
+rates AS (SELECT source_key, (SELECT sum(n)::DOUBLE FROM counts) * 1.0 * 1.0 / (SELECT count(*)::DOUBLE FROM counts) / n AS rate FROM counts),
+drawn AS (
+  SELECT doc_id, source, text, lang, n_chars, rate,
+    ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+  FROM documents JOIN rates ON coalesce(source, '') = source_key),
+steps AS (
+  SELECT doc_id, rate, u, exp(-rate) AS p, exp(-rate) AS total, 0 AS n FROM drawn
+  UNION ALL
+  SELECT doc_id, rate, u, p * rate / (n + 1), total + p * rate / (n + 1), n + 1 FROM steps WHERE total <= u),
+quantile AS (SELECT doc_id, max(n)::INTEGER AS n_copies FROM steps GROUP BY doc_id)
+SELECT d.doc_id, d.source, d.text, d.lang, d.n_chars, n_copies, copy::INTEGER AS copy,
+  md5('shuffle17:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || copy) AS shuffle_key
+FROM drawn d JOIN quantile USING (doc_id), LATERAL (SELECT unnest(range(1, n_copies + 1)) AS copy)
+"""
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_output(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(VOCABULARY))
+
+
+#: the conversation that holds the template's own control strings
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    return chat.digest(chat.format_chat(chat.events_of_turns(turns.unionByName(control))))
+
+
+OP10_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
+  sum(4 + length(replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h'), ':', '\c')) + 2
+    + length(replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h')) + 8)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op6_mix_sources, op8_recompression_dedup, op9_token_output, op10_chat_format)}
+ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op10_chat_format": OP10_SQL}
