@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, recompression, suffix_dedup, tokens
+from . import chat, decontaminate, mixing, quality, recompression, suffix_dedup, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +22,18 @@ def op8_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rate")
 
@@ -81,5 +89,5 @@ FROM turns GROUP BY conv_id
 """
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op3_qgram_decontamination, op6_mix_sources, op8_recompression_dedup, op9_token_output, op10_chat_format)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_cotraining, op3_qgram_decontamination, op4_toxicity_ordinal, op6_mix_sources, op8_recompression_dedup, op9_token_output, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op10_chat_format": OP10_SQL}
