@@ -128,11 +128,11 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words ``[^\\x20\\x09-\\x0D]+`` and the number of words of each row."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words ``[^\\x20\\x09-\\x0D]+`` (or runs of bytes not in ``between``) and the number of words of each row."""
     n = len(data)
     inside = np.zeros(n + 2, np.int8)
-    inside[1:-1] = ~WHITE[data]
+    inside[1:-1] = ~between[data]
     edge = np.diff(inside)
     starts, ends = edge[:-1] == 1, edge[1:] == -1
     cut = offsets[1:-1]
