@@ -5,7 +5,7 @@ encoding in stripes, row indexes every ``stride`` rows and Bloom filters on doc_
 parallel and a search for one doc_id skips stripes and row groups by their statistics. ``start`` is a document's place in the
 stream of all ids: the partitions' sums (one row each) give each partition its base.
 
-Encoding splits texts at ASCII blanks and encodes each distinct piece once in a batch: the vocabulary's
+Encoding splits texts at ASCII blanks and encodes each distinct piece once in a worker's memory: the vocabulary's
 pre-tokenizer never joins tokens over a blank, so the ids are those of the whole text.
 
 Rows: null text counts as empty, giving the end id alone; rows without doc_id are left out; of rows that share a
@@ -14,7 +14,7 @@ doc_id the one with the smallest text stands for all. An empty table gives empty
 
 from __future__ import annotations
 
-import re
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,59 +26,110 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lists, partitions, shared_dir
+from .common import U64, Rolling, byte_values, flat_ranges, lists, partitions, row_chunks, shared_dir, text_bytes, word_bounds
 from .suffix_dedup import unique_documents
 
-BLANK = re.compile(r"[ \t\n\r]+")
-FORGET = 400_000  # distinct pieces kept by a worker
+#: distinct units that a worker remembers (about 30 bytes each) before it starts anew
+REMEMBER = 2_000_000
+TEXT = 1 << 20
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 13, 32]] = True
+_ASCII = np.zeros(256, bool)
+_ASCII[65:91] = _ASCII[97:123] = True
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: bytes whose presence keeps a unit as it is: characters beyond U+00FF and controls (composition must not be disturbed), and "<" (special tokens)
+_FIXED = np.zeros(256, bool)
+_FIXED[0xC4:] = _FIXED[0xC2] = _FIXED[0x3C] = True
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces that can be encoded one by one, and how many each row has.
+
+    Blanks separate pieces; a full stop or comma that ends a piece after a letter (ASCII or U+00C0 .. U+00FF) is one of its own,
+    since the vocabulary never joins letters and signs."""
+    starts, ends, n = word_bounds(data, offsets, _BLANK)
+    if not len(starts):
+        return starts, ends, n
+    tail = (data[ends - 1] == 46) | (data[ends - 1] == 44)
+    before = data[np.maximum(ends - 2, 0)]
+    latin = (data[np.maximum(ends - 3, 0)] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (ends - starts >= 3)
+    cut = tail & (ends - starts >= 2) & (_ASCII[before] | latin)
+    where = flat_ranges(np.cumsum(1 + cut) - (1 + cut), np.ones(len(cut), np.int64))
+    s, e = np.empty(len(cut) + int(cut.sum()), np.int64), np.empty(len(cut) + int(cut.sum()), np.int64)
+    s[where], e[where] = starts, ends - cut
+    s[where[cut] + 1], e[where[cut] + 1] = ends[cut] - 1, ends[cut]
+    row = np.repeat(np.arange(len(n)), n)
+    return s, e, n + np.bincount(row[cut], minlength=len(n))
 
 
-@cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of texts; what a unit encodes to is remembered, by the hash of its bytes (ASCII in lower case, as the vocabulary folds case)."""
 
-    return Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks already take all cores
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.names, self.first, self.size, self.pool = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def learn(self, names: np.ndarray, texts: list[str]) -> None:
+        got = []
+        for i in range(0, len(texts), 4096):
+            got += [e.ids for e in self.tokenizer.encode_batch(texts[i : i + 4096], add_special_tokens=False)]
+        size = np.array([len(x) for x in got], np.int64)
+        first = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))])
+        at = np.searchsorted(self.names, names)
+        self.names, self.first, self.size = np.insert(self.names, at, names), np.insert(self.first, at, first), np.insert(self.size, at, size)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each row has)."""
+        starts, ends, n = units(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.int32), n
+        fixed = np.r_[0, np.cumsum(_FIXED[data])]
+        keep = fixed[ends] > fixed[starts]
+        folded = _FOLD[data]
+        if keep.any():
+            at = flat_ranges(starts[keep], (ends - starts)[keep])
+            folded[at] = data[at]
+        names = Rolling(byte_values()[folded]).of(starts, ends) + (ends - starts).astype(U64)
+        distinct, one, of = np.unique(names, return_index=True, return_inverse=True)
+        if len(self.names) + len(distinct) > REMEMBER:
+            self.forget()
+        new = ~np.isin(distinct, self.names, assume_unique=True)
+        if new.any():
+            raw = data.tobytes()
+            self.learn(distinct[new], [raw[x:y].decode() for x, y in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)])
+        row = np.searchsorted(self.names, distinct)
+        first, size = self.first[row][of], self.size[row][of]
+        total = np.r_[0, np.cumsum(size)]
+        cut = np.r_[0, np.cumsum(n)]
+        return self.pool[flat_ranges(first, size)], np.diff(total[cut])
 
 
-class Encoder:
-    """Ids of texts; the ids of each distinct piece between blanks are kept for later texts."""
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process: what a task has learned serves the next."""
+    return Encoder(path)
 
-    def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
-
-    def __call__(self, texts: list[str], end_id: int) -> Iterator[tuple[np.ndarray, int]]:
-        for text in texts:
-            pieces = BLANK.split(text)
-            known = self.known
-            if new := [p for p in dict.fromkeys(pieces) if p not in known]:
-                if len(known) + len(new) > FORGET:
-                    known.clear()
-                    new = list(dict.fromkeys(pieces))
-                for i in range(0, len(new), 4096):
-                    part = new[i : i + 4096]
-                    known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-            ids = list(chain.from_iterable(map(known.__getitem__, pieces)))
-            ids.append(end_id)
-            yield np.array(ids, np.int32), len(ids)
+
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.insert(ids, np.cumsum(counts), end_id), counts + 1
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for b in batches:
-            ids = b.column("doc_id")
-            texts = b.column("text")
-            at = 0
-            while at < b.num_rows:  # about a megabyte of text at a time
-                size, to, got = 0, at, []
-                while to < b.num_rows and (size < 1 << 20 or to == at):
-                    text = texts[to].as_py() or ""
-                    got.append(next(encode([text], end_id)))
-                    size += len(text)
-                    to += 1
-                counts = np.array([n for _, n in got], np.int64)
-                yield pa.record_batch([ids.slice(at, to - at), lists(np.concatenate([x for x, _ in got]), counts, pa.int32())], names=["doc_id", "ids"])
-                at = to
+            data, offsets = text_bytes(b.column("text"))
+            for i, j in row_chunks(offsets, TEXT):
+                ids, counts = with_end(*encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), end_id)
+                yield pa.record_batch([b.column("doc_id").slice(i, j - i), lists(ids, counts, pa.int32())], names=["doc_id", "ids"])
 
     return run
 
