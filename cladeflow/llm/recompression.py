@@ -30,7 +30,7 @@ from .common import U64, Rolling, byte_values, discard, mix, partitions, row_chu
 from .suffix_dedup import compare_windows, torn_by_document, torn_of, unique_documents
 
 WIDTH = 50
-CHUNK, SEGMENT = 1_500_000, 1 << 18
+CHUNK, SEGMENT = 500_000, 1 << 16
 #: rounds after which the anchor is chosen among a window's inner symbols (of about (4/3)^LEVEL words)
 LEVEL = 4
 
@@ -121,14 +121,15 @@ def word_entries(names: np.ndarray, counts: np.ndarray, ids: np.ndarray, width:
 
 def _parse(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = text_bytes(b.column("text"))
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, j in row_chunks(offsets, CHUNK):
-                names, counts = word_names(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for e in word_entries(names, counts, ids[i:j], width):
-                    kept, spans = R.split_firsts(e, False, width)
-                    yield R.pack(R.bucketed(kept, buckets) + R.by_document(spans, buckets))
+        def parts() -> Iterator[R.Entries]:
+            for b in batches:
+                data, offsets = text_bytes(b.column("text"))
+                ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+                for i, j in row_chunks(offsets, CHUNK):
+                    names, counts = word_names(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    yield from word_entries(names, counts, ids[i:j], width)
+
+        return R.packed_batches(parts(), width, False, buckets)
 
     return run
 
@@ -177,7 +178,7 @@ DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_te
 
 def _keep(texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in (whole.slice(i, 200) for i in range(0, whole.num_rows, 200))):
             rows = []
             for doc, text, spans in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
                 words = (text or "").encode().split()

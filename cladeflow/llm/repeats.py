@@ -113,6 +113,31 @@ def bucketed(e: Entries, buckets: int, kind: int = 0) -> list[tuple[int, int, En
     return [(int(of[part[0]]), kind, take(e, part)) for part in np.split(by, cuts[1:])]
 
 
+#: entries gathered by a task before they are packed: the more, the fewer and fuller the rows, and the more copies end here
+GATHER = 400_000
+
+
+def packed_batches(parts: Iterator[Entries], width: int, within: bool, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Entries, gathered, freed of copies among them, packed by bucket."""
+    held: list[Entries] = []
+    count = 0
+
+    def flush() -> pa.RecordBatch:
+        kept, spans = split_firsts({f: np.concatenate([e[f] for e in held]) for f in FIELDS}, within, width)
+        held.clear()
+        return pack(bucketed(kept, buckets) + by_document(spans, buckets))
+
+    for e in parts:
+        if len(e["doc"]):
+            held.append(e)
+            count += len(e["doc"])
+        if count >= GATHER:
+            yield flush()
+            count = 0
+    if held:
+        yield flush()
+
+
 def by_document(spans: Entries, buckets: int) -> list[tuple[int, int, Entries]]:
     """Repeated stretches as packed rows; their bucket only spreads them."""
     if not len(spans["doc"]):
@@ -180,9 +205,9 @@ def repeated_windows(table: pa.Table, kind: type, width: int, within: bool) -> E
     new = np.flatnonzero(np.r_[True, e["symbol"][by][1:] != e["symbol"][by][:-1]])
     spans, at = [], 0
     ends = np.r_[new[1:], len(by)]
-    while at < len(new):  # some hundred thousand windows at a time, symbols whole
+    while at < len(new):  # a good hundred thousand windows at a time, symbols whole
         done = weight[new[at] - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(weight[ends - 1], done + 400_000, side="right")))
+        to = max(at + 1, int(np.searchsorted(weight[ends - 1], done + 150_000, side="right")))
         part = by[new[at] : ends[min(to, len(new)) - 1]]
         at = to
         n, cells = e["len"][part].astype(np.int64), size[part]

@@ -31,7 +31,7 @@ from . import repeats as R
 from .common import U64, Rolling, byte_values, discard, partitions, row_chunks, saved, shared_dir, text_bytes
 
 WIDTH, GRAM, BATCHES = 100, 32, 4
-CHUNK, SEGMENT = 1_500_000, 1 << 20
+CHUNK, SEGMENT = 500_000, 1 << 19
 
 
 def unique_documents(documents: DataFrame) -> DataFrame:
@@ -82,11 +82,12 @@ def byte_entries(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, width:
 
 def _index(width: int, gram: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = text_bytes(b.column("text"))
-            for e in byte_entries(data, offsets, b.column("doc_id").to_numpy(zero_copy_only=False), width, gram):
-                kept, spans = R.split_firsts(e, True, width)
-                yield R.pack(R.bucketed(kept, buckets) + R.by_document(spans, buckets))
+        def parts() -> Iterator[R.Entries]:
+            for b in batches:
+                data, offsets = text_bytes(b.column("text"))
+                yield from byte_entries(data, offsets, b.column("doc_id").to_numpy(zero_copy_only=False), width, gram)
+
+        return R.packed_batches(parts(), width, True, buckets)
 
     return run
 
