@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, recompression, suffix_dedup, tokens, toxicity
+from . import chat, decontaminate, metric_join, mixing, quality, recompression, suffix_dedup, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = recompression.dedup_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -89,5 +93,5 @@ FROM turns GROUP BY conv_id
 """
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_cotraining, op3_qgram_decontamination, op4_toxicity_ordinal, op6_mix_sources, op8_recompression_dedup, op9_token_output, op10_chat_format)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_cotraining, op3_qgram_decontamination, op4_toxicity_ordinal, op6_mix_sources, op7_jaccard_join, op8_recompression_dedup, op9_token_output, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op10_chat_format": OP10_SQL}
