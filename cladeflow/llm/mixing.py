@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, saved
 
 #: a larger mean is drawn as the sum of equal parts of at most this mean: exp(-mean) must not vanish
 PART = 500.0
-ADDED = ("copy", "n_copies", "rate", "shuffle_key")
+#: rates of up to so many sources (some 100 bytes each) are broadcast
+BROADCAST_SOURCES = 50_000
+ADDED = ("copy", "n_copies", "rate", "shuffle_key", "source_key", "salt")
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -69,8 +71,13 @@ def mix_sources(documents: DataFrame, weights: dict[str, float] | None = None, e
         raise ValueError(f"columns {clash} are added here; rename them first")
     rate = rates(documents, weights, epochs)
     docs = documents.withColumn("source_key", F.coalesce("source", F.lit("")))
-    # one row a source on the right: small, but not bounded, so Spark's own size check decides on a broadcast
-    counted = docs.join(rate, "source_key").drop("source_key").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
+    rate = saved(rate, "mixing-rates")
+    if rate.count() <= BROADCAST_SOURCES:
+        joined = docs.join(F.broadcast(rate), "source_key")
+    else:  # a hot source is dealt over all partitions
+        salts = partitions(documents.sparkSession)
+        joined = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(rate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["source_key", "salt"]).drop("salt")
+    counted = joined.drop("source_key").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
     counted = counted.withColumn("n_copies", poisson_count(F.col("rate"), seed, F.col("doc_id")))
     copies = counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     dealt = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"shuffle{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string"))))
