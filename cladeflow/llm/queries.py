@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, metric_join, mixing, quality, recompression, suffix_dedup, tokens, toxicity
+from . import chat, decontaminate, forest, metric_join, mixing, quality, recompression, suffix_dedup, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op4_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_forest_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rate")
 
@@ -93,5 +97,5 @@ FROM turns GROUP BY conv_id
 """
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_cotraining, op3_qgram_decontamination, op4_toxicity_ordinal, op6_mix_sources, op7_jaccard_join, op8_recompression_dedup, op9_token_output, op10_chat_format)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_cotraining, op3_qgram_decontamination, op4_toxicity_ordinal, op5_forest_near_dedup, op6_mix_sources, op7_jaccard_join, op8_recompression_dedup, op9_token_output, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op10_chat_format": OP10_SQL}
