@@ -2,13 +2,18 @@
 
 1. Documents with equal shingle sets are one (the least doc_id stands for all).
 2. Among the rest nearly all distances are 1, from any pivot too, and Voronoi regions of pivots would take in everything
-   (see the README for figures). So the space is first cut where it is disconnected: sets within the distance share one of the slices
-   of module ``shingles``; sets connected through shared slices make a *family*, and no pair within the distance crosses families.
-3. Inside a family distances spread, and a large family is joined as a metric space: some members are drawn as pivots; each
-   member goes to the region of its nearest pivot (distance m) and, by the triangle inequality, to those of
-   all pivots within m + 2 * radius: of any pair within the radius both are in the region of one member's nearest pivot.
-   Regions still large are cut again, as long as windows copy members at most GROWTH times; what cannot be cut that way is joined
-   in pairs of blocks. Each region or pair of blocks is joined exactly and gives a spanning forest of its links, not its pairs.
+   (see the README for figures). So the space is first cut where it is disconnected. Sets within the distance share at least
+   ``need`` of the slices of module ``shingles``. Slices that more than FEW sets share (common passages, large groups of copies) are dropped
+   and counted for each set, as are its empty slices. A set with fewer dropped slices than ``need`` shares other ones with each of its
+   partners, need - dropped at least: pairs under that bound go. Sets with more are *saturated*; pairs of two such are
+   sought among these sets alone, over all slices. Sets connected through the pairs left, or through slices of saturated
+   sets, make a *family*; no pair within the distance crosses families.
+3. Inside a family distances spread, and a large family is joined as a metric space: some members are drawn as pivots. A
+   member whose nearest pivot is within NEAR (at distance m) goes to that pivot's region and, by the triangle inequality, to those of
+   all pivots within m + 2 * radius: of any two such members within the radius both are in the region of one's nearest
+   pivot. Members beyond NEAR make a region of the rest, with those beyond NEAR - radius. Regions still large
+   are cut again with other pivots, as long as the windows copy members at most GROWTH times; what cannot be cut that way is joined in
+   pairs of blocks. Each region or pair of blocks is joined exactly and gives a spanning forest of its links, not its pairs.
 4. Links' components, by contraction.
 
 Rows: null text has no words; rows without doc_id are left out; of rows that share a doc_id the one with the smallest text
@@ -22,27 +27,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repeats as R
 from .common import U64, discard, mix, partitions, saved
 from .components import components
-from .shingles import set_batches, set_prints, slices
+from .shingles import set_batches, set_prints, size_class, slices
 from .suffix_dedup import unique_documents
 
 #: members of a region that one task joins
 LIMIT = 1024
-PIVOTS = 16
+PIVOTS = 64
+NEAR = 0.6
 GROWTH = 2.0
 LEVELS = 4
+#: sets that share a slice, beyond which it is dropped (and counted)
+FEW = 8
 
 
-def _prints(words: int):
+def _prints(words: int, similarity: tuple[int, int]):
+    """Per document: size and prints of its set; for its size class and the next (0, 1) how many slices it can lose before it is saturated."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, values, counts in set_batches(batches, words):
             a, b = set_prints(values, counts)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "n_shingles", "print_a", "print_b"])
+            cut = slices(values, counts, similarity)
+            kind = size_class(counts)
+            spare = np.full((2, len(counts)), 1 << 40)  # where a set is not cut for a class, nothing is lost
+            spare[cut["cls"] - kind[cut["set"]], cut["set"]] = cut["need"] - cut["empty"]
+            yield pa.record_batch([pa.array(x) for x in (ids, counts.astype(np.int64), a.view(np.int64), b.view(np.int64), kind, spare[0], spare[1])], names=["doc_id", "n_shingles", "print_a", "print_b", "cls", "spare", "spare_up"])
 
     return run
 
@@ -53,17 +67,17 @@ def _slices(words: int, similarity: tuple[int, int], buckets: int):
         seen: set[int] = set()
 
         def flush() -> pa.RecordBatch:
-            e = {f: np.concatenate([h[f] for h in held]) for f in ("symbol", "doc")}
+            e = {f: np.concatenate([h[f] for h in held]) for f in ("symbol", "doc", "len")}
             held.clear()
             return R.pack(R.bucketed(e, buckets))
 
         for ids, values, counts in set_batches(batches, words):
             a, _ = set_prints(values, counts)
             new = np.array([not (x in seen or seen.add(x)) for x in a.tolist()], bool)  # an equal set of this task speaks for it
-            if len(seen) > 1_000_000:
+            if len(seen) > 500_000:
                 seen.clear()
-            sig, row = slices(values[np.repeat(new, counts)], counts[new], similarity)
-            held.append({"symbol": sig, "doc": ids[new][row]})
+            cut = slices(values[np.repeat(new, counts)], counts[new], similarity)
+            held.append({"symbol": cut["sig"], "doc": ids[new][cut["row"]], "len": cut["of"].astype(np.int32)})
             if sum(len(h["doc"]) for h in held) >= R.GATHER:
                 yield flush()
         if held:
@@ -72,8 +86,76 @@ def _slices(words: int, similarity: tuple[int, int], buckets: int):
     return run
 
 
+def _shared(few: int):
+    """Rows (a, b, cls, n): sets a < b share n slices that no more than ``few`` sets share; b null: a has n that more share."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        e = R.unpack(table, 0)
+        by = np.lexsort((e["doc"], e["symbol"]))
+        s, d, c = e["symbol"][by], e["doc"][by], e["len"][by].astype(np.int64)
+        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[first, len(s)])
+        left, right = [], []
+        for n in range(2, few + 1):
+            at = first[size == n]
+            for i in range(n):
+                for j in range(i + 1, n):
+                    left.append(at + i)
+                    right.append(at + j)
+        left, right = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+        pairs, n = np.unique(np.stack([d[left], d[right], c[left]], 1), axis=0, return_counts=True)
+        lost = np.repeat(size > few, size)
+        drops, m = np.unique(np.stack([d[lost], c[lost]], 1), axis=0, return_counts=True)
+        b = pa.array(np.r_[pairs[:, 1], np.zeros(len(drops), np.int64)], mask=np.r_[np.zeros(len(pairs), bool), np.ones(len(drops), bool)])
+        return pa.table({"a": pa.array(np.r_[pairs[:, 0], drops[:, 0]]), "b": b, "cls": pa.array(np.r_[pairs[:, 2], drops[:, 1]]), "n": pa.array(np.r_[n, m].astype(np.int64))})
+
+    return run
+
+
+def equal_sets(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """(doc_id, n_shingles, cls, spare, spare_up, same): same is the least doc_id with an equal set; null for empty sets."""
+    sets = saved(docs.mapInArrow(_prints(words, similarity), "doc_id long, n_shingles long, print_a long, print_b long, cls long, spare long, spare_up long"), "jaccard-sets")
+    prints = ["n_shingles", "print_a", "print_b"]
+    least = sets.where("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("same"))
+    out = saved(sets.join(least, prints, "left").drop("print_a", "print_b"), "jaccard-equal")
+    discard(sets)
+    return out
+
+
+def candidates(docs: DataFrame, equal: DataFrame, words: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of distinct sets that meet the bound, and the saturated sets (id)."""
+    buckets = partitions(docs.sparkSession)
+    packed = docs.mapInArrow(_slices(words, similarity, buckets), R.PACKED)
+    shared = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared(FEW), "a long, b long, cls long, n long")
+    shared = saved(shared.groupBy("a", "b", "cls").agg(F.sum("n").alias("n")), "jaccard-shared")
+    cuts = equal.where("n_shingles > 0").select("doc_id", "same", F.explode(F.array(F.struct("cls", "spare"), F.struct((F.col("cls") + 1).alias("cls"), F.col("spare_up").alias("spare")))).alias("x")).select("doc_id", "same", "x.cls", "x.spare")
+    drops = shared.where("b IS NULL").select(F.col("a").alias("doc_id"), "cls", "n")
+    slack = saved(cuts.join(drops, ["doc_id", "cls"], "left").select("doc_id", "same", "cls", (F.col("spare") - F.coalesce("n", F.lit(0))).alias("slack")), "jaccard-slack")
+    side = lambda x: slack.select(F.col("doc_id").alias(x), "cls", F.col("same").alias(f"same_{x}"), F.col("slack").alias(f"slack_{x}"))
+    pairs = shared.where("b IS NOT NULL").join(side("a"), ["a", "cls"]).join(side("b"), ["b", "cls"])
+    pairs = pairs.where("n >= slack_a AND n >= slack_b AND same_a <> same_b").select(F.least("same_a", "same_b").alias("a"), F.greatest("same_a", "same_b").alias("b")).distinct()
+    pairs = saved(pairs, "jaccard-pairs")
+    full = saved(slack.where("slack <= 0").select(F.col("same").alias("id")).distinct(), "jaccard-saturated")
+    discard(shared)
+    return pairs, full
+
+
+def _cut_again(similarity: tuple[int, int], buckets: int):
+    """All slices of sets, empty ones too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                sets = [np.frombuffer(x.as_py(), U64) for x in b.column("elements")]
+                cut = slices(np.concatenate(sets), np.array([len(x) for x in sets]), similarity, empties=True)
+                yield R.pack(R.bucketed({"symbol": cut["sig"], "doc": b.column("id").to_numpy()[cut["row"]]}, buckets))
+
+    return run
+
+
 def _stars(key: tuple, table: pa.Table) -> pa.Table:
-    """Documents that share a slice, each with the least of them."""
+    """Sets that share a slice, each with the least of them."""
     e = R.unpack(table, 0)
     by = np.lexsort((e["doc"], e["symbol"]))
     s, d = e["symbol"][by], e["doc"][by]
@@ -84,36 +166,15 @@ def _stars(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
-def equal_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, same): same is the least doc_id with an equal set; null for empty sets."""
-    sets = saved(docs.mapInArrow(_prints(words), "doc_id long, n_shingles long, print_a long, print_b long"), "jaccard-sets")
-    prints = ["n_shingles", "print_a", "print_b"]
-    least = sets.where("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("same"))
-    return saved(sets.join(least, prints, "left").select("doc_id", "n_shingles", "same"), "jaccard-equal")
-
-
-def families(docs: DataFrame, equal: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """(id, component): distinct sets that share slices with others, and the family of each."""
-    buckets = partitions(docs.sparkSession)
-    packed = docs.mapInArrow(_slices(words, similarity, buckets), R.PACKED)
-    stars = saved(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct(), "jaccard-stars")
-    same = equal.select("doc_id", "same")
-    edges = stars.join(same.toDF("a", "sa"), "a").join(same.toDF("b", "sb"), "b").select(F.col("sa").alias("a"), F.col("sb").alias("b"))
-    return components(edges)
-
-
-SETS = "region long, id long, elements binary"
+SETS = "id long, elements binary"
 
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = 0
-            region = b.column("region")
             for ids, values, counts in set_batches(iter([b]), words):
                 raw = [x.tobytes() for x in np.split(values, np.cumsum(counts)[:-1])]
-                yield pa.record_batch([region.slice(at, len(ids)), pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["region", "id", "elements"])
-                at += len(ids)
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["id", "elements"])
 
     return run
 
@@ -199,7 +260,7 @@ def _join(similarity: tuple[int, int]):
 
 
 def _nearest(similarity: tuple[int, int]):
-    """Each member's regions: its nearest pivot's, and those of pivots within twice the radius more."""
+    """Each member's regions: its nearest pivot's and those of pivots within twice the radius more, or that of the rest, or both."""
     radius = 1 - similarity[0] / similarity[1]
 
     def run(key: tuple, members: pa.Table, pivots: pa.Table) -> pa.Table:
@@ -214,8 +275,10 @@ def _nearest(similarity: tuple[int, int]):
             size = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
             far = 1 - both / (size - both)
             region = mix(pivots.column("id").to_numpy().view(U64) ^ mix(np.full(len(right), key[0].as_py(), np.int64).view(U64))).view(np.int64)
-            near = far <= far.min(1, keepdims=True) + 2 * radius + 1e-9
-            targets = [region[row].tolist() for row in near]
+            least = far.min(1, keepdims=True)
+            own = (far <= least + 2 * radius + 1e-9) & (least <= NEAR)
+            rest = int(mix(np.array([key[0].as_py()], np.int64).view(U64) + U64(1)).view(np.int64)[0])
+            targets = [region[row].tolist() + ([rest] if m > NEAR - radius - 1e-9 else []) for row, m in zip(own, least[:, 0], strict=True)]
         return pa.table({"region": members.column("region"), "id": members.column("id"), "targets": pa.array(targets, pa.list_(pa.int64()))})
 
     return run
@@ -249,7 +312,7 @@ def region_links(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
             dealt = large.withColumn("salt", F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int"))
             near = dealt.groupBy("region", "salt").cogroup(pivots.groupBy("region", "salt")).applyInArrow(_nearest(similarity), "region long, id long, targets array<long>")
             near = saved(near, "jaccard-near")
-            cuts = near.groupBy("region").agg((F.sum(F.size("targets")) / F.count(F.lit(1)) <= GROWTH).alias("few"), F.countDistinct(F.element_at("targets", 1)).alias("kinds"))
+            cuts = near.groupBy("region").agg((F.sum(F.size("targets")) / F.count(F.lit(1)) <= GROWTH).alias("few"), F.countDistinct(F.try_element_at("targets", F.lit(1))).alias("kinds"))
             good = cuts.where("few AND kinds > 1").select("region")
             cut = large.join(near, ["region", "id"]).join(good, "region", "left_semi")
             rows = saved(cut.select(F.explode("targets").alias("region"), "id", "elements"), "jaccard-regions")
@@ -269,13 +332,26 @@ def jaccard_components(documents: DataFrame, words: int = 3, similarity: tuple[i
     """(doc_id, n_shingles, component_id): classes of documents linked by Jaccard similarity of at least a / b of their
     ``words``-word shingle sets, for ``similarity`` (a, b); the component's id is its least doc_id."""
     docs = unique_documents(documents)
-    equal = equal_sets(docs, words)
-    family = saved(families(docs, equal, words, similarity), "jaccard-families")
-    wanted = family.select(F.col("id").alias("doc_id"), F.col("component").alias("region"))
-    sets = saved(docs.join(wanted, "doc_id").select("doc_id", "text", "region").mapInArrow(_sets(words), SETS), "jaccard-members")
-    of = components(region_links(sets, similarity))
+    buckets = partitions(docs.sparkSession)
+    equal = equal_sets(docs, words, similarity)
+    pairs, full = candidates(docs, equal, words, similarity)
+    wanted = full.unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = saved(docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(words), SETS), "jaccard-members")
+    again = sets.join(full, "id", "left_semi").mapInArrow(_cut_again(similarity, buckets), R.PACKED)
+    stars = again.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct()
+    family = components(pairs.unionByName(stars))
+    members = saved(sets.join(family, "id").select(F.col("component").alias("region"), "id", "elements"), "jaccard-regions")
     discard(sets)
+    of = components(region_links(members, similarity))
     named = equal.join(of, F.col("same") == F.col("id"), "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "same", "doc_id").alias("component_id"))
 
 
+def keep_one_each(documents: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, whose doc_id is the least of its class (see jaccard_components);
+    rows without doc_id go, and of rows that share a doc_id one of the smallest text stays."""
+    if not documents.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit("")), *(c for c in documents.columns if c not in ("doc_id", "text"))))
+        documents = documents.withColumn("__row", first).where("__row = 1").drop("__row")
+    kept = jaccard_components(documents, words, similarity).where("component_id = doc_id").select(F.col("doc_id").alias("__kept"))
+    return documents.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")

@@ -82,3 +82,8 @@ def mix_sources(documents: DataFrame, weights: dict[str, float] | None = None, e
     copies = counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     dealt = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"shuffle{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string"))))
     return dealt.repartition(partitions(documents.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
+
+
+def mix_documents(documents: DataFrame, **parameters) -> DataFrame:
+    """mix_sources with the columns of ``documents`` alone: copies are repeated rows."""
+    return mix_sources(documents, **parameters).select(*documents.columns)

@@ -149,3 +149,22 @@ def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.
     model = model or fit_quality(documents, labels, **parameters)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # two weight vectors of fixed size
     return prepared(documents).mapInArrow(_score(shared), "doc_id long, p_text double, p_meta double, quality double").withColumn("keep", F.col("quality") >= threshold)
+
+
+def _keep(shared, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            cols = {c: (whole.column(c).cast(pa.string()) if c in whole.schema.names else pa.nulls(whole.num_rows, pa.string())).fill_null("") for c in ("text", "source", "lang")}
+            seen = pa.record_batch([pa.array(np.arange(whole.num_rows)), *cols.values()], names=["row", *cols])
+            good = [np.zeros(0, bool)]
+            for b, data, offsets in X.rows_of(iter([seen])):
+                good.append(score(shared.value, _views(b, data, offsets))[2] >= threshold)
+            yield whole.filter(pa.array(np.concatenate(good)))
+
+    return run
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.4, model: Model | None = None, **parameters) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, that score at least ``threshold``."""
+    model = model or fit_quality(documents, labels, **parameters)
+    return documents.mapInArrow(_keep(documents.sparkSession.sparkContext.broadcast(model), threshold), documents.schema)

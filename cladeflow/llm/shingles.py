@@ -58,38 +58,49 @@ def size_class(sizes: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(sizes, 1)) / np.log(RATIO) + 1e-9).astype(np.int64)
 
 
-def slices(values: np.ndarray, counts: np.ndarray, tenths: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row): prints of slices of each set; any two sets of Jaccard similarity a / b = ``tenths`` or more share one.
-
-    Similar sets differ in at most d = floor(size * (b - a) / a) elements, size being the smaller set's. Hash each element
-    to one of d + 1 slices: one slice at least has no differing element. d follows from the size class; a set that may have partners in
-    the next class is cut for that class too. Slices without elements say nothing and are only used where a set has so many of
-    them that they could be all that a pair shares."""
-    a, b = tenths
-    sig, rows = [], []
+def slice_numbers(sizes: np.ndarray, cls: np.ndarray, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(slices, least number that similar sets share) for sets of these sizes cut for size class ``cls``."""
+    a, b = similarity
+    top = np.ceil(RATIO ** (cls + 1.0) + 1e-6)  # sizes of the class are below
+    differ = np.floor(top * (b - a) / a).astype(np.int64)
+    spare = np.ceil((differ + 1) * min(0.25, 1.25 * (b - a) / b)).astype(np.int64) + 2
+    return differ + 1 + spare, spare + 1
+
+
+def slices(values: np.ndarray, counts: np.ndarray, similarity: tuple[int, int], empties: bool = False) -> dict[str, np.ndarray]:
+    """Prints of slices of each set: sig, row and of (its size class) of each slice; set (row), cls, empty and need of each (set, size class) cut.
+
+    Sets of Jaccard similarity of at least a / b, ``similarity`` (a, b), differ in at most d = floor(size * (b - a) / a) elements,
+    size being the smaller one's. Elements are hashed to m = d + need slices, so at least ``need`` slices of such a pair are
+    equal. d follows from a size class; a set that may have partners in the next class is cut for that class too. Slices
+    without elements are only given with ``empties``; a set whose dropped slices, empty or otherwise, are fewer than ``need`` shares
+    one of the others with every partner."""
+    a, b = similarity
+    out: dict[str, list[np.ndarray]] = {f: [] for f in ("sig", "row", "of", "set", "cls", "empty", "need")}
     kind = size_class(counts)
     row_of = np.repeat(np.arange(len(counts)), counts)
     for up in (0, 1):
         cls = kind + up
-        top = np.ceil(RATIO ** (cls + 1.0) + 1e-6)  # sizes of the class are below
         low = np.floor(RATIO ** cls.astype(float) - 1e-6)
         use = (counts > 0) & ((up == 0) | (counts * b >= low * a))
-        m = np.floor(top * (b - a) / a).astype(np.int64) + 1
-        extra = np.where(m > 8, 2, 0)  # slices beyond the bound, so that one empty slice or two cannot be the only ones shared
-        m = np.where(m > 1, m + extra, m)
+        m, need = slice_numbers(counts, cls, similarity)
+        cut = np.where(use, m, 0)
+        base = np.cumsum(cut) - cut
         of = np.flatnonzero(use[row_of])
-        r, v = row_of[of], values[of]
-        base = np.cumsum(np.where(use, m, 0)) - np.where(use, m, 0)
-        place = ((mix(v ^ U64(0x5EED)) >> U64(32)) * m[r].astype(U64) >> U64(32)).astype(np.int64)
-        total = int(np.where(use, m, 0).sum())
-        got = np.zeros(total, U64)
-        np.add.at(got, base[r] + place, mix(v))
-        held = np.zeros(total, bool)
-        held[base[r] + place] = True
-        owner = np.repeat(np.arange(len(counts)), np.where(use, m, 0))
-        number = flat_ranges(np.zeros(len(counts), np.int64), np.where(use, m, 0))
-        empty = np.bincount(owner[~held], minlength=len(counts))
-        keep = held | (empty > extra)[owner]
-        sig.append(mix(got + mix((cls[owner].astype(U64) << U64(32)) + number.astype(U64)))[keep])
-        rows.append(owner[keep])
-    return np.concatenate(sig), np.concatenate(rows)
+        r, v = row_of[of], mix(values[of] ^ U64(0x5EED))
+        place = base[r] + ((v >> U64(32)) * m[r].astype(U64) >> U64(32)).astype(np.int64)
+        got, held = np.zeros(int(cut.sum()), U64), np.zeros(int(cut.sum()), bool)
+        np.add.at(got, place, mix(v))
+        held[place] = True
+        owner = np.repeat(np.arange(len(counts)), cut)
+        number = flat_ranges(np.zeros(len(counts), np.int64), cut)
+        keep = held if not empties else np.ones(len(held), bool)
+        out["sig"].append(mix(got + mix((cls[owner].astype(U64) << U64(32)) + number.astype(U64)))[keep])
+        out["row"].append(owner[keep])
+        out["of"].append(cls[owner[keep]])
+        some = np.flatnonzero(use)
+        out["set"].append(some)
+        out["cls"].append(cls[some])
+        out["empty"].append(np.bincount(owner[~held], minlength=len(counts))[some])
+        out["need"].append(need[some])
+    return {f: np.concatenate(v) for f, v in out.items()}

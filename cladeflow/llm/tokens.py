@@ -8,8 +8,8 @@ stream of all ids: the partitions' sums (one row each) give each partition its b
 Encoding splits texts at ASCII blanks and encodes each distinct piece once in a worker's memory: the vocabulary's
 pre-tokenizer never joins tokens over a blank, so the ids are those of the whole text.
 
-Rows: null text counts as empty, giving the end id alone; rows without doc_id are left out; of rows that share a
-doc_id the one with the smallest text stands for all. An empty table gives empty files. Other columns are ignored.
+Rows: null text counts as empty, giving the end id alone. Each row is written: a null doc_id comes first, rows that share a doc_id
+in the order of their texts. An empty table gives empty files. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Rolling, byte_values, flat_ranges, lists, partitions, row_chunks, shared_dir, text_bytes, word_bounds
-from .suffix_dedup import unique_documents
 
 #: distinct units that a worker remembers (about 30 bytes each) before it starts anew
 REMEMBER = 2_000_000
@@ -124,21 +123,22 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, row = encoder(path), 0
         for b in batches:
             data, offsets = text_bytes(b.column("text"))
             for i, j in row_chunks(offsets, TEXT):
                 ids, counts = with_end(*encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), end_id)
-                yield pa.record_batch([b.column("doc_id").slice(i, j - i), lists(ids, counts, pa.int32())], names=["doc_id", "ids"])
+                yield pa.record_batch([b.column("doc_id").slice(i, j - i), pa.array(np.arange(row, row + j - i)), lists(ids, counts, pa.int32())], names=["doc_id", "row", "ids"])
+                row += j - i
 
     return run
 
 
 def write_tokens(documents: DataFrame, vocabulary: str, path: str, end_id: int = 1, stride: int = 1000, stripe_mb: int = 16) -> None:
-    """Write ORC files of (doc_id, ids) under ``path``, file after file in ascending doc_id."""
-    docs = unique_documents(documents)
-    ordered = docs.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    encoded = ordered.mapInArrow(_encode(vocabulary, end_id), "doc_id long, ids array<int>")
+    """Write ORC files of (doc_id, row in the file, ids) under ``path``, file after file in ascending doc_id."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    ordered = docs.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    encoded = ordered.mapInArrow(_encode(vocabulary, end_id), "doc_id long, row long, ids array<int>")
     (
         encoded.write.option("orc.compress", "ZSTD").option("orc.stripe.size", str(stripe_mb << 20)).option("orc.create.index", "true")
         .option("orc.row.index.stride", str(stride)).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
@@ -146,8 +146,8 @@ def write_tokens(documents: DataFrame, vocabulary: str, path: str, end_id: int =
 
 
 def read_tokens(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, ids); with ``ids``, only those documents: the filter goes down to stripe statistics and Bloom filters."""
-    out = spark.read.schema("doc_id long, ids array<int>").orc(path)
+    """(doc_id, row, ids); with ``ids``, only those documents: the filter goes down to stripe statistics and Bloom filters."""
+    out = spark.read.schema("doc_id long, row long, ids array<int>").orc(path)
     return out if ids is None else out.where(F.col("doc_id").isin(ids))
 
 
@@ -156,17 +156,17 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         col = b.column("ids")
         offsets, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False).astype("<u4")
         crc = [zlib.crc32(flat[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64()), b.column("part")], names=["doc_id", "n_tokens", "ids_crc32", "part"])
+        yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64()), b.column("part"), b.column("row")], names=["doc_id", "n_tokens", "ids_crc32", "part", "row"])
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
     # files hold ranges of doc_id in order; a file's number is its place
     read = read_tokens(spark, path).withColumn("part", F.col("_metadata.file_name"))
-    rows = read.mapInArrow(_digest, "doc_id long, n_tokens long, ids_crc32 long, part string")
-    sums = read.groupBy("part").agg(F.sum(F.size("ids").cast("long")).alias("size"), F.min("doc_id").alias("least"))
+    rows = read.mapInArrow(_digest, "doc_id long, n_tokens long, ids_crc32 long, part string, row long")
+    sums = read.groupBy("part").agg(F.sum(F.size("ids").cast("long")).alias("size"), F.min(F.struct("doc_id", "part")).alias("least"))
     bases = sums.withColumn("base", F.sum("size").over(Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("base", F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(bases, "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
