@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,6 +49,33 @@ def discard(df: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _release() -> None:
+    """Give freed memory back to the system: workers live on after their tasks, and the next stage needs the room."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(f):
+    """A task's function that leaves no freed memory behind: of batches, of (key, table) or of (key, table, table)."""
+
+    def rows(batches):
+        yield from f(batches)
+        _release()
+
+    def group(key, table):
+        out = f(key, table)
+        _release()
+        return out
+
+    def pair(key, left, right):
+        out = f(key, left, right)
+        _release()
+        return out
+
+    return {1: rows, 2: group, 3: pair}[f.__code__.co_argcount]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

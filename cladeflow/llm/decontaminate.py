@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WHITE, Rolling, byte_values, flat_ranges, row_chunks, text_bytes
+from .common import U64, WHITE, byte_values, flat_ranges, Rolling, row_chunks, text_bytes, tidy
 
 SHARD = 8 << 20
 CHUNK = 1_000_000
@@ -170,6 +170,7 @@ def verified(p: Patterns, text: np.ndarray, cuts: np.ndarray, owner: np.ndarray,
 
 
 def _search(patterns, q: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = patterns.value
         for b in batches:

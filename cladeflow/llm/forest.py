@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, tidy
 from .components import components
 from .features import bounded_sample
 from .metric_join import forest as spanning
@@ -83,6 +83,7 @@ def matrix(col: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
 
 
 def _route(shared):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
@@ -121,6 +122,7 @@ def first_meetings(forest: Forest, x: np.ndarray, i: np.ndarray, j: np.ndarray,
 def _compare(shared, threshold: float):
     """Rows (id, links, up): links counted here, and the least id of the component found here."""
 
+    @tidy
     def run(key: tuple, table: pa.Table) -> pa.Table:
         tree, leaf = key[0].as_py(), key[1].as_py()
         ids, n, side = (table.column(c).to_numpy() for c in ("id", "n", "side"))

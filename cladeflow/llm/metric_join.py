@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import U64, discard, mix, partitions, saved
+from .common import U64, discard, mix, partitions, saved, tidy
 from .components import components
 from .shingles import set_batches, set_prints, size_class, slices
 from .suffix_dedup import unique_documents
@@ -43,12 +43,13 @@ NEAR = 0.6
 GROWTH = 2.0
 LEVELS = 4
 #: sets that share a slice, beyond which it is dropped (and counted)
-FEW = 8
+FEW = 6
 
 
 def _prints(words: int, similarity: tuple[int, int]):
     """Per document: size and prints of its set; for its size class and the next (0, 1) how many slices it can lose before it is saturated."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, values, counts in set_batches(batches, words):
             a, b = set_prints(values, counts)
@@ -62,6 +63,7 @@ def _prints(words: int, similarity: tuple[int, int]):
 
 
 def _slices(words: int, similarity: tuple[int, int], buckets: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[R.Entries] = []
         seen: set[int] = set()
@@ -89,6 +91,7 @@ def _slices(words: int, similarity: tuple[int, int], buckets: int):
 def _shared(few: int):
     """Rows (a, b, cls, n): sets a < b share n slices that no more than ``few`` sets share; b null: a has n that more share."""
 
+    @tidy
     def run(key: tuple, table: pa.Table) -> pa.Table:
         e = R.unpack(table, 0)
         by = np.lexsort((e["doc"], e["symbol"]))
@@ -124,7 +127,7 @@ def equal_sets(docs: DataFrame, words: int, similarity: tuple[int, int]) -> Data
 
 def candidates(docs: DataFrame, equal: DataFrame, words: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of distinct sets that meet the bound, and the saturated sets (id)."""
-    buckets = partitions(docs.sparkSession)
+    buckets = partitions(docs.sparkSession) * 4
     packed = docs.mapInArrow(_slices(words, similarity, buckets), R.PACKED)
     shared = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared(FEW), "a long, b long, cls long, n long")
     shared = saved(shared.groupBy("a", "b", "cls").agg(F.sum("n").alias("n")), "jaccard-shared")
@@ -143,6 +146,7 @@ def candidates(docs: DataFrame, equal: DataFrame, words: int, similarity: tuple[
 def _cut_again(similarity: tuple[int, int], buckets: int):
     """All slices of sets, empty ones too."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -170,6 +174,7 @@ SETS = "id long, elements binary"
 
 
 def _sets(words: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, values, counts in set_batches(iter([b]), words):
@@ -235,6 +240,7 @@ def forest(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _join(similarity: tuple[int, int]):
     """Links inside each region of a bucket, or between the two blocks of a pair (side 0 and 1; side 2: within the block)."""
 
+    @tidy
     def run(key: tuple, table: pa.Table) -> pa.Table:
         region = table.column("region").to_numpy()
         order = np.lexsort((table.column("id").to_numpy(), region))
@@ -263,6 +269,7 @@ def _nearest(similarity: tuple[int, int]):
     """Each member's regions: its nearest pivot's and those of pivots within twice the radius more, or that of the rest, or both."""
     radius = 1 - similarity[0] / similarity[1]
 
+    @tidy
     def run(key: tuple, members: pa.Table, pivots: pa.Table) -> pa.Table:
         ids = members.column("id").to_numpy()
         if not pivots.num_rows or not members.num_rows:
@@ -336,7 +343,7 @@ def jaccard_components(documents: DataFrame, words: int = 3, similarity: tuple[i
     equal = equal_sets(docs, words, similarity)
     pairs, full = candidates(docs, equal, words, similarity)
     wanted = full.unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = saved(docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(words), SETS), "jaccard-members")
+    sets = saved(docs.join(wanted.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(words), SETS), "jaccard-members")
     again = sets.join(full, "id", "left_semi").mapInArrow(_cut_again(similarity, buckets), R.PACKED)
     stars = again.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct()
     family = components(pairs.unionByName(stars))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features as X
+from .common import tidy
 
 VIEWS = {"text": X.TEXT_SIZE, "meta": X.META_SIZE}
 
@@ -132,6 +133,7 @@ def score(model: Model, views: dict[str, X.Sparse]) -> tuple[np.ndarray, np.ndar
 
 
 def _score(shared):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offsets in X.rows_of(batches):
             yield pa.record_batch([b.column("doc_id"), *(pa.array(p) for p in score(shared.value, _views(b, data, offsets)))], names=["doc_id", "p_text", "p_meta", "quality"])
@@ -152,6 +154,7 @@ def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.
 
 
 def _keep(shared, threshold: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             cols = {c: (whole.column(c).cast(pa.string()) if c in whole.schema.names else pa.nulls(whole.num_rows, pa.string())).fill_null("") for c in ("text", "source", "lang")}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import U64, Rolling, byte_values, discard, mix, partitions, row_chunks, saved, text_bytes, word_bounds
+from .common import U64, byte_values, discard, mix, partitions, Rolling, row_chunks, saved, text_bytes, tidy, word_bounds
 from .suffix_dedup import compare_windows, torn_by_document, torn_of, unique_documents
 
 WIDTH = 50
@@ -120,6 +120,7 @@ def word_entries(names: np.ndarray, counts: np.ndarray, ids: np.ndarray, width:
 
 
 def _parse(width: int, buckets: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[R.Entries]:
             for b in batches:
@@ -137,6 +138,7 @@ def _parse(width: int, buckets: int):
 def _match(width: int):
     """All entries of a bucket: repeated stretches (kind 1) and torn entries (kind 2)."""
 
+    @tidy
     def run(key: tuple, table: pa.Table) -> pa.Table:
         kept, spans = R.split_firsts(R.unpack(table, 0), False, width)
         old = R.unpack(table, 1)
@@ -147,6 +149,7 @@ def _match(width: int):
 
 
 def _torn_words(width: int, buckets: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_bytes(b.column("text"))
@@ -177,6 +180,7 @@ DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_te
 
 
 def _keep(texts: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in (whole.slice(i, 200) for i in range(0, whole.num_rows, 200))):
             rows = []

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import U64, Rolling, byte_values, discard, partitions, row_chunks, saved, shared_dir, text_bytes
+from .common import U64, byte_values, discard, partitions, Rolling, row_chunks, saved, shared_dir, text_bytes, tidy
 
 WIDTH, GRAM, BATCHES = 100, 32, 4
 CHUNK, SEGMENT = 500_000, 1 << 19
@@ -81,6 +81,7 @@ def byte_entries(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, width:
 
 
 def _index(width: int, gram: int, buckets: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[R.Entries]:
             for b in batches:
@@ -95,6 +96,7 @@ def _index(width: int, gram: int, buckets: int):
 def _sort(width: int):
     """The suffix array of a bucket's part of a batch."""
 
+    @tidy
     def run(key: tuple, table: pa.Table) -> pa.Table:
         kept, spans = R.split_firsts(R.unpack(table, 0), True, width)
         old = R.unpack(table, 1)
@@ -108,6 +110,7 @@ def _sort(width: int):
 def _scan(width: int, merge: bool, close: bool):
     """New array against an older level: what the level holds repeats. merge: one array of both; close: torn entries instead."""
 
+    @tidy
     def run(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
         a, b = R.unpack(new, 0), R.unpack(old, 0)
         both = {f: np.concatenate([b[f], a[f]]) for f in R.FIELDS}
@@ -202,6 +205,7 @@ def torn_of(batch: pa.RecordBatch) -> tuple[R.Entries, np.ndarray]:
 
 
 def _torn_bytes(width: int, buckets: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_bytes(b.column("text"))
@@ -212,6 +216,7 @@ def _torn_bytes(width: int, buckets: int):
 
 
 def compare_windows(content: DataFrame, buckets: int, kind: type, width: int, within: bool) -> DataFrame:
+    @tidy
     def run(key: tuple, table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([R.span_batch(R.repeated_windows(table, kind, width, within))], R.SPANS_ARROW)
 

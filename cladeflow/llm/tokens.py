@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, byte_values, flat_ranges, lists, partitions, row_chunks, shared_dir, text_bytes, word_bounds
+from .common import U64, byte_values, flat_ranges, lists, partitions, Rolling, row_chunks, shared_dir, text_bytes, tidy, word_bounds
 
-#: distinct units that a worker remembers (about 30 bytes each) before it starts anew
-REMEMBER = 2_000_000
+#: distinct units that a worker remembers (about 30 bytes each, its ids included) before it starts anew
+REMEMBER = 1_200_000
 TEXT = 1 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 13, 32]] = True
@@ -73,14 +73,14 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.names, self.first, self.size, self.pool = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.names, self.first, self.size, self.pool = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def learn(self, names: np.ndarray, texts: list[str]) -> None:
         got = []
         for i in range(0, len(texts), 4096):
             got += [e.ids for e in self.tokenizer.encode_batch(texts[i : i + 4096], add_special_tokens=False)]
-        size = np.array([len(x) for x in got], np.int64)
-        first = len(self.pool) + np.cumsum(size) - size
+        size = np.array([len(x) for x in got], np.int32)
+        first = (len(self.pool) + np.cumsum(size) - size).astype(np.int32)
         self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))])
         at = np.searchsorted(self.names, names)
         self.names, self.first, self.size = np.insert(self.names, at, names), np.insert(self.first, at, first), np.insert(self.size, at, size)
@@ -105,7 +105,7 @@ class Encoder:
             raw = data.tobytes()
             self.learn(distinct[new], [raw[x:y].decode() for x, y in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)])
         row = np.searchsorted(self.names, distinct)
-        first, size = self.first[row][of], self.size[row][of]
+        first, size = self.first[row][of].astype(np.int64), self.size[row][of].astype(np.int64)
         total = np.r_[0, np.cumsum(size)]
         cut = np.r_[0, np.cumsum(n)]
         return self.pool[flat_ranges(first, size)], np.diff(total[cut])
@@ -122,6 +122,7 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
 
 
 def _encode(path: str, end_id: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, row = encoder(path), 0
         for b in batches:

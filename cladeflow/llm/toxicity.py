@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features as X
+from .common import tidy
 from .quality import known_labels, prepared
 
 SIZE = 1 << 18
@@ -124,6 +125,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, grades: int = 4, label
 
 
 def _score(shared):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b, data, offsets in X.rows_of(batches):
