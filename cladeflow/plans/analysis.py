@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..model import Options
 from ..operators import abundance, annotations, clustering, detection, distances, ranking, scoring
 from ..sources import sinks
+from .settle import settled
 
 
 @dataclass
@@ -33,23 +34,23 @@ class Analysis:
 
 
 def infer_genotypes(long: DataFrame, options: Options) -> Genotypes:
-    """Filter, compare, cluster and rank. Pair distances are kept while they are used thrice."""
+    """Filter, compare, cluster and rank; what later steps use more than once is settled."""
     spark = long.sparkSession
     if options.filter_single or options.filter_startfixed or options.filter_consistency > 0:
         long = detection.filter_trajectories(long, dlimit=options.dlimit, flimit=options.flimit, consistency=options.filter_consistency, single=options.filter_single, startfixed=options.filter_startfixed)
-    found = distances.fill_missing(distances.distances(long, options.metric, options.dlimit, options.flimit)).persist()
+    found = settled(distances.fill_missing(settled(distances.distances(long, options.metric, options.dlimit, options.flimit))))
     if options.known_genotypes:
         rows = [("all", f"known-{i}", x) for i, g in enumerate(options.known_genotypes) for x in g]
-        found = distances.apply_known(found, spark.createDataFrame(rows, "population string, genotype string, label string")).persist()
+        found = distances.apply_known(found, spark.createDataFrame(rows, "population string, genotype string, label string"))
     if options.similarity_cutoff:
         cutoffs = found.select("population").distinct().withColumn("cutoff", F.lit(float(options.similarity_cutoff)))
     else:
         cutoffs = distances.similarity_cutoff(found, options.quantile)
-    members = clustering.cluster(found, cutoffs).persist()
-    series = clustering.mean_genotypes(long, members)
+    members = settled(clustering.cluster(found, cutoffs))
+    series = settled(clustering.mean_genotypes(long, members))
     if options.filter_genotypes:
         return _without_invalid(long, members, series, options)
-    return Genotypes(members, series, ranking.rank_genotypes(series, options.dlimit, options.slimit), found, clustering.linkage(found))
+    return Genotypes(members, series, settled(ranking.rank_genotypes(series, options.dlimit, options.slimit)), found, clustering.linkage(found))
 
 
 def _without_invalid(long: DataFrame, members: DataFrame, series: DataFrame, options: Options, most: int = 50) -> Genotypes:
@@ -59,10 +60,10 @@ def _without_invalid(long: DataFrame, members: DataFrame, series: DataFrame, opt
     again = replace(options, filter_genotypes=False)
     for _ in range(most):
         bad = detection.invalid_genotypes(series, list(options.frequencies), options.dlimit, options.strict).select("population", F.col("label").alias("genotype")).distinct()
-        gone = members.join(bad, ["population", "genotype"], "left_semi").select("population", "label").persist()
+        gone = settled(members.join(bad, ["population", "genotype"], "left_semi").select("population", "label"))
         if gone.isEmpty():
             break
-        long = long.join(gone, ["population", "label"], "left_anti").checkpoint() if long.sparkSession.sparkContext.getCheckpointDir() else long.join(gone, ["population", "label"], "left_anti")
+        long = settled(long.join(gone, ["population", "label"], "left_anti"))
         found = infer_genotypes(long, again)
         members, series = found.members, found.series
     return infer_genotypes(long, again)
@@ -71,14 +72,14 @@ def _without_invalid(long: DataFrame, members: DataFrame, series: DataFrame, opt
 def given_genotypes(series: DataFrame, options: Options) -> Genotypes:
     """Series that are genotypes already: each its own member, named with the prefix genotype-."""
     name = F.when(F.col("label").startswith("genotype-"), F.col("label")).otherwise(F.concat(F.lit("genotype-"), F.col("label")))
-    members = series.select("population", "label").distinct().select("population", name.alias("genotype"), "label")
-    series = series.withColumn("label", name)
-    return Genotypes(members, series, ranking.rank_genotypes(series, options.dlimit, options.slimit))
+    members = settled(series.select("population", "label").distinct().select("population", name.alias("genotype"), "label"))
+    series = settled(series.withColumn("label", name))
+    return Genotypes(members, series, settled(ranking.rank_genotypes(series, options.dlimit, options.slimit)))
 
 
 def infer_lineage(genotypes: Genotypes, options: Options) -> tuple[DataFrame, DataFrame]:
     """(scores, edges)."""
-    scores = scoring.score_pairs(genotypes.series, genotypes.ranks, options.dlimit, options.flimit, options.pvalue, options.weights)
+    scores = settled(scoring.score_pairs(genotypes.series, genotypes.ranks, options.dlimit, options.flimit, options.pvalue, options.weights))
     known = None
     if options.known_ancestry:
         spark = scores.sparkSession
@@ -90,8 +91,8 @@ def analyse(long: DataFrame, options: Options | None = None, is_genotype: bool =
     options = options or Options()
     genotypes = given_genotypes(long, options) if is_genotype else infer_genotypes(long, options)
     scores, edges = infer_lineage(genotypes, options)
-    edges = edges.persist()
-    populations = abundance.population_table(genotypes.series, edges, options.dlimit)
+    edges = settled(edges)
+    populations = settled(abundance.population_table(genotypes.series, edges, options.dlimit))
     return Analysis(genotypes, scores, edges, populations, abundance.stacked_area(populations, edges))
 
 

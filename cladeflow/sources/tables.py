@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import genotype_number, number_in
 
-TIME = re.compile(r"^.?(\d+)$")
+TIME = re.compile(r"^\D?(\d+)$")
 
 
 def separator(path: str) -> str:
