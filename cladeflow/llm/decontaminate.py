@@ -137,8 +137,9 @@ def align_bands(patterns: np.ndarray, text: np.ndarray, begin: np.ndarray, low:
     cost = np.tile(np.arange(width, dtype=np.int32), (n, 1))
     ramp = np.arange(width, dtype=np.int32) * 256
     for i in range(m):
-        cost = cost + ((cells[:, i : i + width] != patterns[:, i : i + 1]).astype(np.int32) << 8)
-        np.minimum(cost[:, :-1], cost[:, 1:] + 256, out=cost[:, :-1])  # pattern byte left out; reads what this row has not yet settled
+        before = cost
+        cost = before + ((cells[:, i : i + width] != patterns[:, i : i + 1]).astype(np.int32) << 8)
+        np.minimum(cost[:, :-1], before[:, 1:] + 256, out=cost[:, :-1])  # pattern byte left out
         cost = np.minimum.accumulate(cost - ramp, axis=1) + ramp  # text byte left out
     best = np.argmin(cost, axis=1)
     value = cost[np.arange(n), best]

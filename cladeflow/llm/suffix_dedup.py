@@ -227,7 +227,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
     """(doc_id, spans): the stretches of each document that windows starting earlier cover; documents without any are left out."""
     spark = docs.sparkSession
     buckets = partitions(spark)
-    edges = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001) or []
+    edges = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001) if batches > 1 else []
     levels = Levels(spark, buckets, width)
     low = None
     for high in [*sorted(set(edges)), None]:
