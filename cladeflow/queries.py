@@ -12,6 +12,7 @@ from .functions import labels as L
 from .functions import series as S
 from .model import BREAKPOINTS
 from .operators import abundance, annotations, clustering, detection, distances, packing, ranking, scoring, trees
+from .plans.settle import settled
 from .sources import adapters, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -497,8 +498,8 @@ NUMBERED = "edges AS (SELECT label AS identity, CASE WHEN label::BIGINT // 3 <>
 
 
 def _populations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    edges = _edges_by_number(spark, sf_dir)
-    return abundance.population_table(adapters.user_events(spark, sf_dir), edges), edges
+    edges = settled(_edges_by_number(spark, sf_dir))
+    return settled(abundance.population_table(adapters.user_events(spark, sf_dir), edges)), edges
 
 
 @query(with_(EVENTS, NUMBERED, POPS) + "SELECT label, t, round(freq, 6) + 0.0 AS freq FROM sub")
