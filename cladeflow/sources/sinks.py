@@ -46,11 +46,11 @@ def options_json(options) -> str:
     return json.dumps(asdict(options), sort_keys=True, indent=4)
 
 
-def plot_script(trajectories: str, populations: str, edges: str, palette: dict[str, str]) -> str:
-    """An R script that draws the stacked areas of the written tables, colors in the order of sorted names."""
+def plot_script(stacked: str, image: str, palette: dict[str, str]) -> str:
+    """An R script that draws the written stacked-area table, colors in the order of sorted names."""
     colors = ", ".join(f'"{palette[k]}"' for k in sorted(palette))
     return "\n".join([
-        "library(ggplot2)", "library(ggmuller)", f'population <- read.table("{populations}", header=TRUE, sep="\\t")', f'edges <- read.table("{edges}", header=TRUE, sep="\\t")',
-        "muller <- get_Muller_df(edges, population)", f"palette <- c({colors})",
-        'ggplot(muller, aes(x=Generation, y=Frequency, group=Group_id, fill=Identity)) + geom_area() + scale_fill_manual(values=palette)', f'ggsave("{trajectories}.png")',
+        "library(ggplot2)", f'files <- list.files("{stacked}", pattern="csv$", full.names=TRUE)', 'stacked <- do.call(rbind, lapply(files, read.table, header=TRUE, sep="\\t", comment.char=""))',
+        "stacked <- stacked[order(stacked$ord), ]", "stacked$group_id <- factor(stacked$group_id, levels=unique(stacked$group_id))", f"palette <- c({colors})",
+        "ggplot(stacked, aes(x=generation, y=frequency, group=group_id, fill=identity)) + geom_area() + scale_fill_manual(values=palette)", f'ggsave("{image}")',
     ])
