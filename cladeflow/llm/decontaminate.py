@@ -1,16 +1,18 @@
 """Operator 3, benchmark decontamination by the q-gram lemma.
 
-Texts and items are compared with A-Z in lower case and every run of white space as one space. Items are cut
-into patterns of ``length`` bytes (the whole item where it is shorter; patterns overlap by half, the last ends with the
-item). A pattern of m bytes that occurs with at most k edits shares at least m - q + 1 - k * q of its q-grams
-with the place, on diagonals that lie within k of each other. So each document's q-grams are looked up among the
-patterns', hits are counted in overlapping diagonal bands (2k + 1 wide, starting every k + 1 diagonals... every placement
-lies in one), bands under the bound go, and the others are verified by banded alignment: no place within the budget is lost.
-
-The patterns' q-grams are broadcast, in shards of at most SHARD bytes of items: one shard for any usual benchmark,
+Texts and items are compared with A-Z in lower case and every run of white space as one space. Looked for is each
+stretch of ``length`` bytes of an item, at any offset (the whole item where it is shorter). A stretch of m bytes that occurs
+with at most k edits shares at least m - q + 1 - k * q of its q-grams with the place, on diagonals that lie within k of each other.
+So each document's q-grams are looked up among the items', and hits are dealt to overlapping diagonal bands (2k + 2 wide,
+starting every k + 1 diagonals: every placement lies in one). In a band, only stretches that hold enough hits are left,
+and banded alignment decides: no place within the budget is lost. Neighbouring stretches' edits differ by one at most, so an
+alignment also settles those stretches near by that its edits leave no doubt about.
+
+The items' q-grams are broadcast, in shards of at most SHARD bytes of items: one shard for any usual benchmark,
 one pass over the documents for each.
 
-Rows: null or empty texts and items hold nothing; items under ``shortest`` bytes are not looked for, as they say too little. Rows without doc_id
+Rows: null or empty texts and items hold nothing. Items under ``shortest`` bytes are looked for with the longest q, up to ``q``, for which
+the lemma holds; those too short for an edit are looked for exactly, and not inside longer words (of A-Z, a-z, 0-9). Rows without doc_id
 are left out; repeated rows are looked at each for itself. An empty table on either side gives an empty result.
 Other columns are ignored.
 """
@@ -48,13 +50,16 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 @dataclass
 class Patterns:
-    """The patterns of one shard, their q-grams sorted by hash, and a bit map of these hashes."""
+    """The items of one shard that are looked for with the same q, their q-grams sorted by hash, and a bit map of these hashes.
+
+    Looked for are all stretches of ``window`` bytes of an item, with ``budget`` edits."""
 
     q: int
     text: np.ndarray
     start: np.ndarray
     size: np.ndarray
     item: np.ndarray
+    window: np.ndarray
     budget: np.ndarray
     hashes: np.ndarray
     owner: np.ndarray
@@ -63,67 +68,78 @@ class Patterns:
 
     @property
     def bound(self) -> np.ndarray:
-        return self.size - self.q + 1 - self.budget * self.q
+        return self.window - self.q + 1 - self.budget * self.q
 
 
 MAP_BITS = 24
+LETTER = np.zeros(256, bool)
+LETTER[[*range(48, 58), *range(97, 123)]] = True
 
 
-def build_patterns(items: list[tuple[int, str | None]], q: int, budget: float, length: int, shortest: int) -> Patterns | None:
+def build_patterns(items: list[tuple[int, str | None]], q: int, budget: float, length: int, shortest: int) -> list[Patterns]:
+    """One for each q in use: ``q`` and, for items under ``shortest`` bytes, the lesser ones they need."""
     data, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
     text, offsets = normalised(data, offsets)
-    starts, sizes, owners = [], [], []
-    for i, (item, _) in enumerate(items):
-        a, n = int(offsets[i]), int(offsets[i + 1] - offsets[i])
-        if n < shortest:
-            continue
-        at = sorted({*range(0, n - length + 1, max(1, length // 2)), max(0, n - length)})
-        for p in at:
-            starts.append(a + p)
-            sizes.append(min(length, n))
-            owners.append(item)
-    if not starts:
-        return None
-    start, size = np.array(starts), np.array(sizes)
-    grams = size - q + 1
-    where = flat_ranges(start, grams)
-    hashes = Rolling(byte_values()[text]).grams(q)[where]
-    owner, place = np.repeat(np.arange(len(start)), grams), flat_ranges(np.zeros(len(start), np.int64), grams)
-    by = np.argsort(hashes, kind="stable")
-    bits = np.zeros(1 << MAP_BITS, bool)
-    bits[(hashes >> U64(64 - MAP_BITS)).astype(np.int64)] = True
-    return Patterns(q, text, start, size, np.array(owners), np.floor(size * budget).astype(np.int64), hashes[by], owner[by].astype(np.int32), place[by].astype(np.int32), bits)
-
-
-def candidate_bands(p: Patterns, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pattern, first diagonal) of the bands whose hits meet the bound."""
+    sizes = np.diff(offsets)
+    windows = np.minimum(sizes, length)
+    budgets = np.floor(windows * budget).astype(np.int64)
+    grams_of = np.where(sizes >= shortest, q, np.minimum(q, windows // (budgets + 1)))
+    numbers = np.array([item for item, _ in items], np.int64)
+    out = []
+    for g in np.unique(grams_of[sizes > 0])[::-1]:
+        of = np.flatnonzero((sizes > 0) & (grams_of == g))
+        start, size = offsets[:-1][of], sizes[of]
+        grams = size - g + 1
+        hashes = Rolling(byte_values()[text]).grams(g)[flat_ranges(start, grams)]
+        owner, place = np.repeat(np.arange(len(of)), grams), flat_ranges(np.zeros(len(of), np.int64), grams)
+        by = np.argsort(hashes, kind="stable")
+        bits = np.zeros(1 << MAP_BITS, bool)
+        bits[(hashes >> U64(64 - MAP_BITS)).astype(np.int64)] = True
+        out.append(Patterns(int(g), text, start, size, numbers[of], windows[of], budgets[of], hashes[by], owner[by].astype(np.int32), place[by].astype(np.int32), bits))
+    return out
+
+
+def candidate_bands(p: Patterns, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(item, first diagonal, first stretch, last stretch): bands and the stretches whose hits in them meet the bound."""
     none = np.zeros(0, np.int64)
-    grams = Rolling(byte_values()[text]).grams(p.q)
     at = np.flatnonzero(p.bits[(grams >> U64(64 - MAP_BITS)).astype(np.int64)])
     lo = np.searchsorted(p.hashes, grams[at], "left")
     n = np.searchsorted(p.hashes, grams[at], "right") - lo
     some = n > 0
     at, lo, n = at[some], lo[some], n[some]
     if not len(at):
-        return none, none
-    # any place lies in a stretch of its pattern's length and budget: too few hits of any kind in it, and it cannot meet the bound
-    reach, least = int((p.size + p.budget).max()), int(p.bound.min())
-    ahead = np.searchsorted(at, at + reach) - np.arange(len(at))
-    back = np.arange(len(at)) + 1 - np.searchsorted(at, at - reach)
-    dense = ahead + back - 1 >= least
+        return none, none, none, none
+    # any place lies in a part of the text of its stretch's length and budget: too few hits of any kind in it, and it cannot meet the bound
+    reach, least = int((p.window + p.budget).max()), int(p.bound.min())
+    dense = np.searchsorted(at, at + reach) - np.searchsorted(at, at - reach) >= least
     at, lo, n = at[dense], lo[dense], n[dense]
     rows = flat_ranges(lo, n)
-    owner = p.owner[rows].astype(np.int64)
-    diagonal = np.repeat(at, n) - p.place[rows] + reach  # from 0 on
-    step = p.budget[owner] + 1
-    width = int(diagonal.max() // 1) + 2 if len(diagonal) else 1
-    band = diagonal // step  # a band takes in two steps: its own and the next
-    key = np.concatenate([owner * width + band, owner * width + band - 1])
-    key, count = np.unique(key, return_counts=True)
-    owner, band = key // width, key % width
-    good = (count >= p.bound[owner]) & (band < width - 1)
-    owner, band = owner[good], band[good]
-    return owner, band * (p.budget[owner] + 1) - reach
+    owner, place = p.owner[rows].astype(np.int64), p.place[rows].astype(np.int64)
+    base = int((p.size + p.budget).max())
+    diagonal = np.repeat(at, n) - place + base  # from 0 on
+    band = diagonal // (p.budget[owner] + 1) + 1  # a band takes in two steps: its own and the next
+    width = int(band.max()) + 1 if len(band) else 1
+    key, place = np.concatenate([owner * width + band, owner * width + band - 1]), np.tile(place, 2)
+    _, of, count = np.unique(key, return_inverse=True, return_counts=True)
+    some = count[of] >= p.bound[key // width]
+    key, place = key[some], place[some]
+    by = np.lexsort((place, key))
+    key, place = key[by], place[by]
+    owner = key // width
+    last = np.arange(len(key)) + p.bound[owner] - 1  # the hit that completes the bound
+    some = np.flatnonzero(last < len(key))
+    some = some[key[last[some]] == key[some]]
+    room = p.window - p.q
+    some = some[place[last[some]] - place[some] <= room[owner[some]]]
+    key, owner = key[some], owner[some]
+    low = np.maximum(place[last[some]] - room[owner], 0)
+    high = np.minimum(place[some], (p.size - p.window)[owner])
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (low[1:] > high[:-1] + 1)
+    first = np.flatnonzero(new)
+    end = np.r_[first[1:], len(key)][: len(first)] - 1
+    owner = owner[first]
+    return owner, (key[first] % width - 1) * (p.budget[owner] + 1) - base, low[first], high[end]
 
 
 def align_bands(patterns: np.ndarray, text: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,53 +162,94 @@ def align_bands(patterns: np.ndarray, text: np.ndarray, begin: np.ndarray, low:
     return value >> 8, begin + (value & 255), begin + best + m
 
 
-def verified(p: Patterns, text: np.ndarray, cuts: np.ndarray, owner: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-    """Of candidate bands those that hold a placement within the budget, each inside one row."""
-    m, k = p.size[owner], p.budget[owner]
-    low, high = np.maximum(first - k, 0), np.minimum(first + 2 * (k + 1) + m + k, len(text))
-    rows = np.searchsorted(cuts, low, "right") - 1  # empty rows have equal cuts: this is the last that begins there
-    last = np.searchsorted(cuts, high, "left")
-    at = np.repeat(np.arange(len(owner)), np.maximum(0, last - rows))
-    row = flat_ranges(rows, np.maximum(0, last - rows))
-    low, high = np.maximum(low[at], cuts[row]), np.minimum(high[at], cuts[row + 1])
-    fits = high - low >= m[at] - k[at]
-    at, row, low, high = at[fits], row[fits], low[fits], high[fits]
+ALIGNED = 2000
+
+
+def verified(p: Patterns, text: np.ndarray, cuts: np.ndarray, owner: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict[str, np.ndarray]:
+    """Placements within the budget of the stretches low .. high of candidate bands, each inside one row: all that begin or end
+    a run of such stretches, and the best ones."""
+    m, k = p.window[owner], p.budget[owner]
+    begin, end = np.maximum(first + low, 0), np.minimum(first + high + 2 * (k + 1) + m, len(text))
+    rows = np.searchsorted(cuts, begin, "right") - 1  # empty rows have equal cuts: this is the last that begins there
+    spread = np.maximum(0, np.searchsorted(cuts, end, "left") - rows)
+    at, row = np.repeat(np.arange(len(owner)), spread), flat_ranges(rows, spread)
+    fits = np.minimum(end[at], cuts[row + 1]) - np.maximum(begin[at], cuts[row]) >= m[at] - k[at]
+    at, row = at[fits], row[fits]
+    task, low, high = np.arange(len(at)), low[at], high[at]
+    best = np.full(len(at), np.iinfo(np.int64).max)
     out: dict[str, list[np.ndarray]] = {f: [np.zeros(0, np.int64)] for f in ("row", "item", "start", "end", "edits")}
-    for size in np.unique(m[at]):
-        of = np.flatnonzero(m[at] == size)
-        o, budget = owner[at[of]], int(k[at[of[0]]])
-        patterns = p.text[p.start[o][:, None] + np.arange(size)].astype(np.int16)
-        edits, start, end = align_bands(patterns, text, first[at[of]] - budget, low[of], high[of], 2 * (budget + 1) + 2 * budget)
+    while len(task):
+        middle = (low + high) // 2
+        edits, start, end = (np.empty(len(task), np.int64) for _ in range(3))
+        for size in np.unique(m[at[task]]):
+            every = np.flatnonzero(m[at[task]] == size)
+            for part in range(0, len(every), ALIGNED):
+                of = every[part : part + ALIGNED]
+                t = task[of]
+                o, budget = owner[at[t]], int(k[at[t[0]]])
+                patterns = p.text[(p.start[o] + middle[of])[:, None] + np.arange(size)].astype(np.int16)
+                edits[of], start[of], end[of] = align_bands(patterns, text, first[at[t]] + middle[of], cuts[row[t]], cuts[row[t] + 1], 2 * (budget + 1))
+        budget = k[at[task]]
         good = edits <= budget
-        start, end = np.clip(start, low[of], high[of]), np.clip(end, low[of], high[of])
-        for f, v in (("row", row[of]), ("item", p.item[o]), ("start", start - cuts[row[of]]), ("end", end - cuts[row[of]]), ("edits", edits)):
-            out[f].append(v[good].astype(np.int64))
+        np.minimum.at(best, task[good], edits[good])
+        a, z = cuts[row[task]], cuts[row[task] + 1]
+        start, end = np.clip(start, a, z), np.clip(end, a, z)
+        whole = good.copy()
+        strict = good & (budget == 0)
+        if strict.any():
+            s, e = start[strict], end[strict]
+            inner = (s > a[strict]) & LETTER[text[s]] & LETTER[text[s - 1]]
+            inner |= (e < z[strict]) & LETTER[text[e - 1]] & LETTER[text[np.minimum(e, len(text) - 1)]]
+            whole[strict] = ~inner
+        for f, v in (("row", row[task]), ("item", p.item[owner[at[task]]]), ("start", start - a), ("end", end - a), ("edits", edits)):
+            out[f].append(v[whole])
+        # what is d stretches away has at least edits - d and at most edits + d edits
+        sure = np.where(best[task] == 0, budget - edits, np.minimum(budget - edits, edits - best[task]))
+        step = np.where(good, np.maximum(1, sure), edits - budget)
+        left, right = np.where(good & (middle > low), np.maximum(middle - step, low), middle - step), np.where(good & (middle < high), np.minimum(middle + step, high), middle + step)
+        before, after = left >= low, right <= high
+        task, low, high = np.r_[task[before], task[after]], np.r_[low[before], right[after]], np.r_[left[before], high[after]]
     return {f: np.concatenate(v) for f, v in out.items()}
 
 
-def _search(patterns, q: int):
+def places(hit: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Placements of an item in a row that touch or overlap as one, with the fewest edits."""
+    by = np.lexsort((hit["start"], hit["item"], hit["row"]))
+    hit = {f: v[by] for f, v in hit.items()}
+    row, item, start = hit["row"], hit["item"], hit["start"]
+    pair = np.r_[0, np.cumsum((row[1:] != row[:-1]) | (item[1:] != item[:-1]))]
+    span = int(hit["end"].max()) + 2
+    reached = np.maximum.accumulate(pair * span + hit["end"])
+    first = np.flatnonzero(np.r_[True, pair[1:] * span + start[1:] > reached[:-1]])
+    least, most = np.minimum.reduceat(hit["edits"], first), np.maximum.reduceat(hit["end"], first)
+    return {"row": row[first], "item": item[first], "start": start[first], "end": most, "edits": least}
+
+
+def _search(patterns):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = patterns.value
         for b in batches:
             data, offsets = text_bytes(b.column("text"))
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for i, j in row_chunks(offsets, CHUNK):
                 text, cuts = normalised(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if len(text) >= q:
-                    owner, first = candidate_bands(p, text)
-                    for part in range(0, len(owner), 2000):
-                        hit = verified(p, text, cuts, owner[part : part + 2000], first[part : part + 2000])
-                        if len(hit["row"]):
-                            cols = (ids[i + hit["row"]], hit["item"], hit["start"], hit["end"], hit["edits"])
-                            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "start", "end", "edits"])
+                rolling = Rolling(byte_values()[text])
+                for p in patterns.value:
+                    bands = candidate_bands(p, rolling.grams(p.q))
+                    if not len(bands[0]):
+                        continue
+                    hit = verified(p, text, cuts, *bands)
+                    if len(hit["row"]):
+                        hit = places(hit)
+                        cols = (ids[i + hit["row"]], hit["item"], hit["start"], hit["end"], hit["edits"])
+                        yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "start", "end", "edits"])
 
     return run
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, q: int = 8, budget: float = 0.1, length: int = 100, shortest: int = 50) -> DataFrame:
     """(doc_id, item_id, start, end, edits, n_places): items found in documents; start and end in the normalised
-    bytes, from the first place to the last, edits of the best place."""
+    bytes, from the first place to the last, edits of the best stretch, and the number of separate places."""
     if length * budget > 60:
         raise ValueError("bands of over 255 diagonals are not supported: take a smaller length or budget")
     if not length * (1 - budget * q) > q or not shortest * (1 - budget * q) > q - 1:
@@ -207,9 +264,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, q: int = 8, budget: f
     for shard in range(shards):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).collect()  # at most about SHARD bytes
         patterns = build_patterns([(r.item_id, r.text) for r in rows], q, budget, length, shortest)
-        if patterns is None:
+        if not patterns:
             continue
-        part = docs.mapInArrow(_search(spark.sparkContext.broadcast(patterns), q), kinds)
+        part = docs.mapInArrow(_search(spark.sparkContext.broadcast(patterns)), kinds)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], kinds)

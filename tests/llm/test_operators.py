@@ -222,6 +222,41 @@ def test_decontaminate(spark):
         decontaminate.find_leaks(docs, bench, q=12)
 
 
+def test_decontaminate_any_stretch(spark):
+    rng = random.Random(18)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).replace("  ", " a").strip()
+    item = "q" + prose(197) + "rs"
+    items = [(0, item), (1, "Who wrote the first of these, and when?"), (2, "twelve men in a boat at sea"), (3, "zyx 7"), (4, "k")]
+    rows, wanted = [], set()
+
+    def put(text, *found):
+        rows.append((len(rows), text))
+        wanted.update((len(rows) - 1, i) for i in found)
+
+    for at in range(0, len(item) - 99, 5):
+        put(prose(60) + "ZZ" + item[at : at + 100] + "ZZ" + prose(40), 0)
+    for at in (7, 25, 33):
+        t = list(item[at : at + 100])
+        for p in range(5, 100, 10):
+            t[p] = "Z"
+        put(prose(30) + "YY" + "".join(t) + "YY", 0)
+        t[50] = "Z"
+        put(prose(30) + "YY" + "".join(t) + "YY")
+    put(prose(50) + " who WROTE the first of  these, and when? " + prose(50), 1)
+    put(prose(50) + " who wrote the frst of these, and wen? " + prose(50), 1)
+    put(prose(50) + " twelve men in a goat at see " + prose(50), 2)
+    put(prose(50) + " twelve hens in a goat at see " + prose(50))
+    put("the code is zyx 7.", 3)
+    put("the code is zyx 77 or uzyx 7")
+    put("k", 4)
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == wanted
+    assert all(r.edits == 0 and r.n_places == 1 and r.end - r.start >= 100 for r in got if r.doc_id < 21)
+    for (d, t), (i, x) in itertools.product(rows[21:], items[:3]):
+        stretches = [x[s : s + 100].lower() for s in range(max(1, len(x) - 99))]
+        assert ((d, i) in wanted) == any(edits(w, " ".join(t.lower().split())) <= len(w) // 10 for w in stretches)
+
+
 def test_mixing(spark):
     rows = [(i, f"t{i}", "en", "big" if i % 4 else ("small" if i % 8 else None), 2) for i in range(2000)] + [(None, "n", None, "", 1), (5, "again", "en", "big", 1)]
     docs = spark.createDataFrame(rows, DOCS)
