@@ -309,6 +309,15 @@ def test_chat(spark):
     assert chat.digest(chat.format_chat(chat.events_of_turns(turns.limit(0)))).count() == 0
 
 
+def test_chat_ties(spark):
+    rows = [(1, 2, "assistant", "b"), (1, 2, "assistant", "a"), (1, None, "user", "later"), (1, None, "assistant", "last"), (1, 1, None, "<"), (1, 2, "assistant", "a")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for made, texts in ((chat.format_chat(chat.events_of_turns(turns)), ["<", "a", "b", "last", "later"]), (chat.render(chat.messages_of_turns(turns)), ["<", "a", "a", "b", "last", "later"])):
+        (back,), (found,) = chat.read_back(made).collect(), chat.digest(made).collect()
+        assert [t.text for t in back.turns] == texts and back.loss_texts == [t for t in texts if t in ("a", "b", "last")]
+        assert found.n_turns == len(texts)
+
+
 def test_chat_events(spark):
     log = [
         (1, 1, 0, "message", "user", "Hi"), (1, 2, 1, "message", "assistant", ""), (1, 3, 1, "delta", None, "Hel"), (1, 4, 1, "delta", None, "lo"), (1, 5, 0, "edit", "user", "Hi!"),
