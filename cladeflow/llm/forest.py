@@ -8,8 +8,9 @@ BLOCK members is compared in pairs of blocks, so a task holds two blocks at most
 A pair that meets in several leaves is counted in the first only (by tree, then by leaf): leaves route their members again to tell, and give
 each vector's number of links and a spanning forest of the links, never the pairs. Links' components follow by contraction.
 
-Rows: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, nor do
-vectors of another length than the most frequent one (the least of these on ties). Rows without vec_id are left out; a repeated
+Each length of vectors has its own forest, so vectors meet those of their length (a length of few vectors is a single leaf).
+
+Rows: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing. Rows without vec_id are left out; a repeated
 vec_id counts once, with the vector that sorts first. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,11 +90,15 @@ def _route(shared):
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
-                x = matrix(b.column("embedding"), b.num_rows)
-                for tree in range(TREES):
-                    row, leaf = shared.value.leaves(x, tree)
-                    out = b.select(["id", "n", "embedding"]).take(pa.array(row))
-                    yield pa.record_batch([pa.array(np.full(len(row), tree), pa.int32()), pa.array(leaf), *out.columns], names=["tree", "leaf", "id", "n", "embedding"])
+                lengths = pc.list_value_length(b.column("embedding")).to_numpy(zero_copy_only=False)
+                for dims in np.unique(lengths):
+                    of = np.flatnonzero(lengths == dims)
+                    alike = b.select(["id", "n", "embedding"]).take(pa.array(of))
+                    x = matrix(alike.column("embedding"), len(of))
+                    for tree in range(TREES):
+                        row, leaf = shared.value[int(dims)].leaves(x, tree)
+                        out = alike.take(pa.array(row))
+                        yield pa.record_batch([pa.array(np.full(len(row), dims), pa.int32()), pa.array(np.full(len(row), tree), pa.int32()), pa.array(leaf), *out.columns], names=["dims", "tree", "leaf", "id", "n", "embedding"])
 
     return run
 
@@ -124,7 +130,7 @@ def _compare(shared, threshold: float):
 
     @tidy
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        tree, leaf = key[0].as_py(), key[1].as_py()
+        dims, tree, leaf = (k.as_py() for k in key[:3])
         ids, n, side = (table.column(c).to_numpy() for c in ("id", "n", "side"))
         x = matrix(table.column("embedding"), len(ids))
         links = np.zeros(len(ids), np.int64)
@@ -139,7 +145,7 @@ def _compare(shared, threshold: float):
                 a, b = a[a < b], b[a < b]
             if not len(a):
                 continue
-            new = first_meetings(shared.value, x, a, b, tree, leaf)
+            new = first_meetings(shared.value[dims], x, a, b, tree, leaf)
             links += np.bincount(a[new], n[b[new]], len(ids)).astype(np.int64) + np.bincount(b[new], n[a[new]], len(ids)).astype(np.int64)
             edges = spanning(np.arange(len(ids)), a, b)
             pairs.append(edges)
@@ -168,21 +174,24 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, seed: int =
     typed = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL")
     typed = typed.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     usable = _usable(typed).withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0)))  # -0.0 is 0.0
-    common = usable.groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    if common is None:
-        return typed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    usable = usable.where(F.size("embedding") == common.dims)
     equal = saved(usable.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")), "forest-equal")
-    sample = bounded_sample(equal.select("id", "embedding"), "id", SAMPLE, seed).toArrow()
-    total = equal.count()
-    grown = spark.sparkContext.broadcast(fit(matrix(sample.column("embedding"), sample.num_rows), total, common.dims, seed))  # at most TREES * 2^MOST_LEVELS numbers
-    routed = saved(equal.mapInArrow(_route(grown), "tree int, leaf long, id long, n long, embedding array<double>"), "forest-routed")
-    sizes = routed.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("size"))
+    totals = {r.dims: r["count"] for r in equal.groupBy(F.size("embedding").alias("dims")).count().collect()}  # a row for each length
+    if not totals:
+        return typed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    sample = bounded_sample(equal.select("id", "embedding"), "id", SAMPLE, seed).toArrow()["embedding"].combine_chunks()
+    lengths = pc.list_value_length(sample).to_numpy(zero_copy_only=False)
+    forests = {}
+    for dims, total in totals.items():
+        of = np.flatnonzero(lengths == dims)
+        forests[dims] = fit(matrix(sample.take(pa.array(of)), len(of)) if len(of) else np.zeros((0, dims)), total, dims, seed)
+    grown = spark.sparkContext.broadcast(forests)  # at most TREES * 2^MOST_LEVELS numbers for each length
+    routed = saved(equal.mapInArrow(_route(grown), "dims int, tree int, leaf long, id long, n long, embedding array<double>"), "forest-routed")
+    sizes = routed.groupBy("dims", "tree", "leaf").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = routed.join(sizes, ["tree", "leaf"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    dealt = routed.join(sizes, ["dims", "tree", "leaf"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("tree", "leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "n", "embedding", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
-    found = saved(dealt.groupBy("tree", "leaf", "low", "high").applyInArrow(_compare(grown, threshold), "id long, links long, up long"), "forest-found")
+    dealt = dealt.select("dims", "tree", "leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "n", "embedding", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
+    found = saved(dealt.groupBy("dims", "tree", "leaf", "low", "high").applyInArrow(_compare(grown, threshold), "id long, links long, up long"), "forest-found")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     of = components(found.select(F.col("id").alias("a"), F.col("up").alias("b")))
     classes = saved(equal.join(counts, "id", "left").join(of, "id", "left").select("id", "embedding", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component")), "forest-classes")

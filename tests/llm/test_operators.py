@@ -182,6 +182,17 @@ def test_forest(spark, monkeypatch, block):
     assert forest.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_forest_lengths(spark, monkeypatch):
+    monkeypatch.setattr(forest, "LEAF", 20)
+    rng = np.random.default_rng(4)
+    vectors = [rng.standard_normal(16).tolist() for _ in range(30)] + [rng.standard_normal(8).tolist() for _ in range(25)] + [[1.0, 2.0], [1.0, 2.0], [1.0, 2.01], [3.0]]
+    vectors += [vectors[3], vectors[31], (np.array(vectors[32]) * 2 + 1e-3).tolist()]
+    got = {r.vec_id: r for r in forest.near_duplicates(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()}
+    for i, v in enumerate(vectors):
+        near = [j for j, w in enumerate(vectors) if j != i and len(w) == len(v) and np.dot(v, w) >= 0.95 * np.linalg.norm(v) * np.linalg.norm(w)]
+        assert (got[i].n_links, got[i].component_id) == (len(near), min([i, *near])), i
+
+
 def edits(pattern, text):
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):
