@@ -1,4 +1,4 @@
-"""Helpers that the corpus operators share: tables in the shared folder, text buffers, hashing."""
+"""Helpers that the corpus operators share: tables in the shared folder, text buffers."""
 
 from __future__ import annotations
 
@@ -6,13 +6,11 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-U64 = np.uint64
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -80,57 +78,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
-    x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
-    return x ^ (x >> U64(32))
-
-
-BASE = 0x9E3779B97F4A7C15
-
-
-@cache
-def byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407)) | U64(1)
-
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i modulo 2^64 for i < n (at least); grown by doubling, kept for the worker's life."""
-    size = max([0, *_powers])
-    if size < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        up, down = np.full(size, BASE, U64), np.full(size, pow(BASE, -1, 1 << 64), U64)
-        up[0] = down[0] = 1
-        _powers.clear()
-        _powers[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[size]
-
-
-class Rolling:
-    """Hashes of any stretch of a sequence of 64-bit symbols in O(1) (polynomial modulo 2^64, finalised)."""
-
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        up, self.down = powers(n + 1)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(values * up[:n], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
-
-    def grams(self, k: int) -> np.ndarray:
-        n = len(self.sums) - 1
-        if n < k:
-            return np.zeros(0, U64)
-        return mix((self.sums[k:] - self.sums[:-k]) * self.down[: n - k + 1])
-
-
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column, one after the other, and n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

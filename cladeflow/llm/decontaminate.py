@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WHITE, byte_values, flat_ranges, Rolling, row_chunks, text_bytes, tidy
+from .common import WHITE, flat_ranges, row_chunks, text_bytes, tidy
+from .hashing import U64, gram_hashes
 
 SHARD = 8 << 20
 CHUNK = 1_000_000
@@ -90,7 +91,7 @@ def build_patterns(items: list[tuple[int, str | None]], q: int, budget: float, l
         of = np.flatnonzero((sizes > 0) & (grams_of == g))
         start, size = offsets[:-1][of], sizes[of]
         grams = size - g + 1
-        hashes = Rolling(byte_values()[text]).grams(g)[flat_ranges(start, grams)]
+        hashes = gram_hashes(text, int(g))[flat_ranges(start, grams)]
         owner, place = np.repeat(np.arange(len(of)), grams), flat_ranges(np.zeros(len(of), np.int64), grams)
         by = np.argsort(hashes, kind="stable")
         bits = np.zeros(1 << MAP_BITS, bool)
@@ -233,9 +234,8 @@ def _search(patterns):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for i, j in row_chunks(offsets, CHUNK):
                 text, cuts = normalised(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                rolling = Rolling(byte_values()[text])
                 for p in patterns.value:
-                    bands = candidate_bands(p, rolling.grams(p.q))
+                    bands = candidate_bands(p, gram_hashes(text, p.q))
                     if not len(bands[0]):
                         continue
                     hit = verified(p, text, cuts, *bands)

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WHITE, Rolling, byte_values, flat_ranges, lists, mix, row_chunks, text_bytes, word_bounds
+from .common import WHITE, flat_ranges, lists, row_chunks, text_bytes, word_bounds
+from .hashing import U64, mix, piece_hashes
 
 CHUNK = 400_000
 _byte = np.arange(256)
@@ -60,20 +61,20 @@ def counted(row: np.ndarray, index: np.ndarray, rows: int, size: int) -> tuple[n
 def words(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Folded words of letters and digits: (row, index, count)."""
     starts, ends, n = word_bounds(data, offsets, ~ALNUM)
-    names = Rolling(byte_values()[FOLD[data]]).of(starts, ends)
+    names = piece_hashes(FOLD[data], starts, ends)
     return counted(np.repeat(np.arange(len(n)), n), (names % U64(size)).astype(np.int64), len(n), size)
 
 
 def words_and_stems(data: np.ndarray, offsets: np.ndarray, size: int, stems: tuple[int, ...] = (4, 5, 6)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Folded words, and the first 4, 5 and 6 bytes of longer ones, which inflected and compounded forms share: (row, index, count)."""
     starts, ends, n = word_bounds(data, offsets, ~ALNUM)
-    roll = Rolling(byte_values()[FOLD[data]])
+    folded = FOLD[data]
     row = np.repeat(np.arange(len(n)), n)
-    rows, names = [row], [roll.of(starts, ends)]
+    rows, names = [row], [piece_hashes(folded, starts, ends)]
     for k in stems:
         long = ends - starts > k
         rows.append(row[long])
-        names.append(mix(roll.of(starts[long], starts[long] + k) + U64(k)))
+        names.append(piece_hashes(folded, starts[long], starts[long] + k, seed=1))
     return counted(np.concatenate(rows), (np.concatenate(names) % U64(size)).astype(np.int64), len(n), size)
 
 
@@ -85,7 +86,7 @@ def shapes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray
     new[1:] = kind[1:] != kind[:-1]
     new[starts] = True
     place = np.r_[0, np.cumsum(new)]
-    names = Rolling(byte_values()[kind[new]]).of(place[starts], place[ends])
+    names = piece_hashes(kind[new], place[starts], place[ends])
     return counted(np.repeat(np.arange(len(n)), n), (names % U64(size)).astype(np.int64), len(n), size)
 
 
@@ -134,7 +135,7 @@ def meta_view(data: np.ndarray, offsets: np.ndarray, source: pa.Array, lang: pa.
     cols.append(named("word", np.round(4 * np.log2(1 + size / np.maximum(n_words, 1))).astype(np.int64)))
     for name, col in (("source", source), ("lang", lang)):
         text, cuts = text_bytes(col)
-        cols.append(named(name, Rolling(byte_values()[text]).of(cuts[:-1], cuts[1:]).view(np.int64)))
+        cols.append(named(name, piece_hashes(text, cuts[:-1], cuts[1:]).view(np.int64)))
     index = np.stack(cols, 1)
     return Sparse(index.ravel().astype(np.int32), np.full(index.size, 1 / np.sqrt(index.shape[1]), np.float32), np.arange(n + 1) * index.shape[1])
 

@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import U64, discard, mix, partitions, saved, tidy
-from .components import components
+from .common import discard, partitions, saved, tidy
+from .components import components, spanning
+from .hashing import U64, mix
 from .shingles import set_batches, set_prints, size_class, slices
 from .suffix_dedup import unique_documents
 
@@ -221,22 +222,6 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], similarity: tuple[in
     return b * both >= a * (total - both)
 
 
-def forest(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Links (x, y are places in ids) as one edge from each linked place to the least id of its component."""
-    up = np.arange(len(ids))
-    if not len(x):
-        return np.zeros((0, 2), np.int64)
-    while True:  # hook to the least neighbour, follow pointers, until nothing moves
-        before = up.copy()
-        np.minimum.at(up, x, up[y])
-        np.minimum.at(up, y, up[x])
-        up = up[up]
-        if (up == before).all():
-            break
-    moved = np.flatnonzero(up != np.arange(len(ids)))
-    return np.stack([ids[moved], ids[up[moved]]], 1)
-
-
 def _join(similarity: tuple[int, int]):
     """Links inside each region of a bucket, or between the two blocks of a pair (side 0 and 1; side 2: within the block)."""
 
@@ -258,7 +243,7 @@ def _join(similarity: tuple[int, int]):
                     continue
                 x, y = np.nonzero(linked([sets[i] for i in l], [sets[i] for i in r], similarity))
                 x, y = l[x], r[y]
-            out.append(forest(ids[part], x, y))
+            out.append(spanning(ids[part], x, y))
         got = np.concatenate(out)
         return pa.table({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1])})
 

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import U64, byte_values, discard, mix, partitions, Rolling, row_chunks, saved, text_bytes, tidy, word_bounds
+from .common import discard, partitions, row_chunks, saved, text_bytes, tidy, word_bounds
+from .hashing import U64, mix, piece_hashes, symbol_hashes
 from .suffix_dedup import compare_windows, torn_by_document, torn_of, unique_documents
 
 WIDTH = 50
@@ -38,7 +39,7 @@ LEVEL = 4
 def word_names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The name of every word, and how many words each row has."""
     starts, ends, counts = word_bounds(data, offsets)
-    return Rolling(byte_values()[data]).of(starts, ends), counts
+    return piece_hashes(data, starts, ends), counts
 
 
 def anchors(names: np.ndarray, windows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +117,7 @@ def word_entries(names: np.ndarray, counts: np.ndarray, ids: np.ndarray, width:
         n = size - width + 1
         windows = R.flat_ranges(base, n)
         at, called = anchors(part, windows, width)
-        yield R.entries_of(windows, at, called, np.repeat(ids[row[i:j]], n), R.flat_ranges(begin[i:j], n), Rolling(part), width)
+        yield R.entries_of(windows, at, called, np.repeat(ids[row[i:j]], n), R.flat_ranges(begin[i:j], n), part, width)
 
 
 def _parse(width: int, buckets: int):
@@ -160,7 +161,7 @@ def _torn_words(width: int, buckets: int):
                 part = R.take(e, np.arange(cuts[i], cuts[j]))
                 if cuts[i] < cuts[j]:
                     base, start = np.r_[0, np.cumsum(counts)], np.arange(max(0, len(names) - width + 1))
-                    yield R.content_batch(part, base[row[cuts[i] : cuts[j]] - i] + part["pos"], Rolling(names).of(start, start + width), width, buckets)
+                    yield R.content_batch(part, base[row[cuts[i] : cuts[j]] - i] + part["pos"], symbol_hashes(names, start, start + width), width, buckets)
 
     return run
 

@@ -21,7 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import U64, Rolling, byte_values, flat_ranges, mix
+from .common import flat_ranges
+from .hashing import U64, mix, piece_hashes, symbol_hashes
 
 #: kind 0: entries; kind 1: repeated stretches (doc_id, start, end); kind 2: torn entries
 PACKED = "bucket int, kind int, n long, symbol binary, print binary, doc binary, pos binary, len binary"
@@ -145,10 +146,10 @@ def by_document(spans: Entries, buckets: int) -> list[tuple[int, int, Entries]]:
     return [(int(spans["doc"][0] % buckets), 1, spans)]
 
 
-def entries_of(windows: np.ndarray, anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, local: np.ndarray, roll: Rolling, width: int) -> Entries:
+def entries_of(windows: np.ndarray, anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, local: np.ndarray, sequence: np.ndarray, width: int) -> Entries:
     """Entries of windows that start at ``windows`` (ascending) with anchors at ``anchor`` named ``name``.
 
-    doc, local: of each window, its document and start inside it."""
+    doc, local: of each window, its document and start inside it; sequence: the bytes, or the names of words, that windows count in."""
     if not len(windows):
         return {f: np.zeros(0, TYPES[f]) for f in FIELDS}
     new = np.ones(len(windows), bool)
@@ -157,7 +158,7 @@ def entries_of(windows: np.ndarray, anchor: np.ndarray, name: np.ndarray, doc: n
     n = np.diff(np.r_[at, len(windows)])
     start = windows[at]
     lead = (anchor[at] - start).astype(U64)  # equal contents under equal symbols must also agree on where the anchor stands
-    return {"symbol": name[at], "print": roll.of(start, start + n + width - 1) ^ mix(lead * U64(1024) + n.astype(U64)), "doc": doc[at], "pos": local[at], "len": n.astype(np.int32)}
+    return {"symbol": name[at], "print": (piece_hashes if sequence.dtype == np.uint8 else symbol_hashes)(sequence, start, start + n + width - 1) ^ mix(lead * U64(1024) + n.astype(U64)), "doc": doc[at], "pos": local[at], "len": n.astype(np.int32)}
 
 
 def torn(e: Entries) -> np.ndarray:
@@ -214,7 +215,7 @@ def repeated_windows(table: pa.Table, kind: type, width: int, within: bool) -> E
         values = e["content"][flat_ranges(begin[part], cells)]
         if kind is np.uint8:
             start = flat_ranges(np.cumsum(cells) - cells, n)
-            values = Rolling(byte_values()[values]).of(start, start + width)
+            values = piece_hashes(values, start, start + width)
         key = values ^ mix(np.repeat(e["symbol"][part], n))
         doc, pos = np.repeat(e["doc"][part], n), flat_ranges(e["pos"][part], n)
         order = np.lexsort((pos, doc, key))

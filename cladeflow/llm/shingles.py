@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import U64, Rolling, byte_values, flat_ranges, mix, row_chunks, text_bytes, word_bounds
+from .common import flat_ranges, row_chunks, text_bytes, word_bounds
+from .hashing import U64, mix, piece_hashes, symbol_hashes
 
 CHUNK = 400_000
 FOLD = np.arange(256, dtype=np.uint8)
@@ -20,14 +21,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     A row of fewer words has its whole sequence as one shingle; a row without words has none."""
     data = FOLD[data]
     starts, ends, n = word_bounds(data, offsets)
-    names = Rolling(byte_values()[data]).of(starts, ends)
-    roll = Rolling(names)
+    names = piece_hashes(data, starts, ends)
     first = np.cumsum(n) - n
     some = np.where(n > 0, np.maximum(n - words + 1, 1), 0)
     at = flat_ranges(first, some)
     row = np.repeat(np.arange(len(n)), some)
     size = np.minimum(words, n)[row]
-    value = roll.of(at, at + size) ^ (words - size).astype(U64)
+    value = symbol_hashes(names, at, at + size)
     by = np.lexsort((value, row))
     value, row = value[by], row[by]
     new = np.ones(len(by), bool)

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import U64, byte_values, discard, partitions, Rolling, row_chunks, saved, shared_dir, text_bytes, tidy
+from .common import discard, partitions, row_chunks, saved, shared_dir, text_bytes, tidy
+from .hashing import U64, gram_hashes
 
 WIDTH, GRAM, BATCHES = 100, 32, 4
 CHUNK, SEGMENT = 500_000, 1 << 19
@@ -70,14 +71,13 @@ def byte_entries(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, width:
         size = end[i:j] - start[i:j]
         base = np.cumsum(size) - size
         text = data[R.flat_ranges(offsets[row[i:j]] + start[i:j], size)] if j - i > 1 else data[offsets[row[i]] + start[i] : offsets[row[i]] + end[i]]
-        roll = Rolling(byte_values()[text])
-        grams = roll.grams(gram)
+        grams = gram_hashes(text, gram)
         low = U64(0xFFFFFF)  # positions in a chunk take 24 bits, so that the leftmost minimum wins
         least = window_minima((grams & ~low) | np.arange(len(grams), dtype=U64), width - gram + 1)
         n = size - width + 1
         windows = R.flat_ranges(base, n)
         anchor = (least[windows] & low).astype(np.int64)
-        yield R.entries_of(windows, anchor, grams[anchor], np.repeat(ids[row[i:j]], n), R.flat_ranges(start[i:j], n), roll, width)
+        yield R.entries_of(windows, anchor, grams[anchor], np.repeat(ids[row[i:j]], n), R.flat_ranges(start[i:j], n), text, width)
 
 
 def _index(width: int, gram: int, buckets: int):

@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, byte_values, flat_ranges, lists, partitions, Rolling, row_chunks, shared_dir, text_bytes, tidy, word_bounds
+from .common import flat_ranges, lists, partitions, row_chunks, shared_dir, text_bytes, tidy, word_bounds
+from .hashing import U64, piece_hashes, same_pieces
 
-#: distinct units that a worker remembers (about 30 bytes each, its ids included) before it starts anew
-REMEMBER = 1_200_000
+#: distinct units that a worker remembers (about 40 bytes each with its ids and its own bytes) before it starts anew
+REMEMBER, REMEMBER_BYTES = 1_200_000, 40 << 20
 TEXT = 1 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 13, 32]] = True
@@ -63,7 +64,9 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Encoder:
-    """Ids of texts; what a unit encodes to is remembered, by the hash of its bytes (ASCII in lower case, as the vocabulary folds case)."""
+    """Ids of texts; what a unit encodes to is remembered (ASCII in lower case, as the vocabulary folds case).
+
+    Units are found again by hash and compared byte by byte; one that only shares a hash is encoded for itself."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks already take all cores
@@ -73,17 +76,27 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.names, self.first, self.size, self.pool = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.names, self.pool, self.raw = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        self.first, self.size, self.at, self.long = (np.zeros(0, np.int32) for _ in range(4))  # of each name: its ids in the pool, its bytes in raw
 
-    def learn(self, names: np.ndarray, texts: list[str]) -> None:
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(first, size) of the ids of each text, which are added to the pool."""
         got = []
         for i in range(0, len(texts), 4096):
             got += [e.ids for e in self.tokenizer.encode_batch(texts[i : i + 4096], add_special_tokens=False)]
         size = np.array([len(x) for x in got], np.int32)
         first = (len(self.pool) + np.cumsum(size) - size).astype(np.int32)
         self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))])
-        at = np.searchsorted(self.names, names)
-        self.names, self.first, self.size = np.insert(self.names, at, names), np.insert(self.first, at, first), np.insert(self.size, at, size)
+        return first, size
+
+    def learn(self, names: np.ndarray, texts: list[str], folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        first, size = self.tokens(texts)
+        long = (ends - starts).astype(np.int32)
+        at = (len(self.raw) + np.cumsum(long) - long).astype(np.int32)
+        self.raw = np.concatenate([self.raw, folded[flat_ranges(starts, long)]])
+        where = np.searchsorted(self.names, names)
+        self.names = np.insert(self.names, where, names)
+        self.first, self.size, self.at, self.long = (np.insert(x, where, y) for x, y in ((self.first, first), (self.size, size), (self.at, at), (self.long, long)))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many each row has)."""
@@ -96,19 +109,31 @@ class Encoder:
         if keep.any():
             at = flat_ranges(starts[keep], (ends - starts)[keep])
             folded[at] = data[at]
-        names = Rolling(byte_values()[folded]).of(starts, ends) + (ends - starts).astype(U64)
+        size = ends - starts
+        names = unit_names(folded, starts, ends)
         distinct, one, of = np.unique(names, return_index=True, return_inverse=True)
-        if len(self.names) + len(distinct) > REMEMBER:
+        if len(self.names) + len(distinct) > REMEMBER or len(self.raw) + int(size[one].sum()) > REMEMBER_BYTES:
             self.forget()
-        new = ~np.isin(distinct, self.names, assume_unique=True)
-        if new.any():
-            raw = data.tobytes()
-            self.learn(distinct[new], [raw[x:y].decode() for x, y in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)])
-        row = np.searchsorted(self.names, distinct)
-        first, size = self.first[row][of].astype(np.int64), self.size[row][of].astype(np.int64)
-        total = np.r_[0, np.cumsum(size)]
+        raw = data.tobytes()
+        text = lambda at: [raw[x:y].decode() for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        new = one[~np.isin(distinct, self.names, assume_unique=True)]
+        if len(new):
+            self.learn(names[new], text(new), folded, starts[new], ends[new])
+        known = np.searchsorted(self.names, distinct)
+        same = self.long[known] == size[one]
+        same[same] = same_pieces(folded, starts[one[same]], self.raw, self.at[known[same]], size[one[same]])
+        alike = same[of] & (size == size[one[of]])
+        alike[alike] = same_pieces(folded, starts[alike], folded, starts[one[of[alike]]], size[alike])
+        first, many = self.first[known][of].astype(np.int64), self.size[known][of].astype(np.int64)
+        if len(other := np.flatnonzero(~alike)):
+            first[other], many[other] = self.tokens(text(other))
+        total = np.r_[0, np.cumsum(many)]
         cut = np.r_[0, np.cumsum(n)]
-        return self.pool[flat_ranges(first, size)], np.diff(total[cut])
+        return self.pool[flat_ranges(first, many)], np.diff(total[cut])
+
+
+def unit_names(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return piece_hashes(folded, starts, ends)
 
 
 @cache

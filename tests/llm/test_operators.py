@@ -136,6 +136,35 @@ def test_jaccard(spark, monkeypatch, words, similarity, limit, few):
     assert got == jaccard_classes(rows, words, *similarity)
 
 
+def thue_morse(n, a="a", b="b"):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join(b if x else a for x in bits)
+
+
+def test_equal_polynomials(spark):
+    """Words that share every polynomial hash modulo a power of two are different words."""
+    rows = []
+    for k in range(9, 14):
+        rows += [(2 * k, thue_morse(1 << k)), (2 * k + 1, thue_morse(1 << k, "b", "a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.component_id == r.doc_id for r in metric_join.jaccard_components(docs).collect())
+    side = " ".join(f"w{i}" for i in range(25))
+    around = spark.createDataFrame([(d, f"{side} {t} {side}") for d, t in rows] + [(99, f"{side} {rows[0][1]} {side}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in recompression.dedup_passages(around).collect()} == {d: 0 for d, _ in rows} | {99: 51}
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup_substrings(docs).collect()}
+    seen, wanted = set(), {}
+    for d, t in rows:
+        mark = bytearray(len(t))
+        for p in range(len(t) - 99):
+            if t[p : p + 100] in seen:
+                mark[p : p + 100] = b"1" * 100
+            seen.add(t[p : p + 100])
+        wanted[d] = sum(x == 49 for x in mark)
+    assert got == wanted
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f", "x", "s", 1), (2, "a b c d e f", "x", "s", 1), (2, "a b c d e f", "x", "s", 1), (9, None, "x", "s", 1), (None, "q", "x", "s", 1)]
     kept = metric_join.keep_one_each(spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS region", "2 AS same"))
@@ -160,6 +189,26 @@ def test_components(spark):
     assert got == {x: top(x) for x in up}
 
 
+def chain(order):
+    return list(zip(order[:-1], order[1:], strict=True))
+
+
+_SHUFFLED = random.Random(2).sample(range(2000), 2000)
+GRAPHS = {"ascending": chain(range(2000)), "shuffled": chain(_SHUFFLED), "star": [(1999, i) for i in range(1999)]}
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_component_rounds(spark, monkeypatch, name):
+    """Rounds between tasks that each hold a few edges only."""
+    rounds = []
+    step = components.star_round
+    monkeypatch.setattr(components, "star_round", lambda live: rounds.append(1) or step(live))
+    edges = GRAPHS[name]
+    random.Random(1).shuffle(edges)
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), per_task=250).collect()}
+    assert got == dict.fromkeys(range(2000), 0) and len(rounds) <= 12
+
+
 @pytest.mark.parametrize("block", [2048, 7])
 def test_forest(spark, monkeypatch, block):
     rng = np.random.default_rng(2)
@@ -182,6 +231,30 @@ def test_forest(spark, monkeypatch, block):
     assert forest.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize(("n", "leaf", "sample"), [(300, 20, 20_000), (2500, 40, 20_000), (6000, 25, 300)])
+def test_forest_recall(spark, monkeypatch, n, leaf, sample):
+    """Of all links, at least nine in ten; the last case has trees far deeper than their sample."""
+    monkeypatch.setattr(forest, "LEAF", leaf)
+    monkeypatch.setattr(forest, "SAMPLE", sample)
+    rng = np.random.default_rng(n)
+    centres = rng.standard_normal((n // 5, 32))
+    x = centres[rng.integers(0, len(centres), n)] + 0.22 * rng.standard_normal((n, 32))
+    got = {r.vec_id: r for r in forest.near_duplicates(spark.createDataFrame(list(enumerate(x.astype(np.float32).tolist())), "vec_id long, embedding array<float>")).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(1) - 1
+    found = np.array([got[i].n_links for i in range(n)])
+    assert links.sum() > n / 2 and (found <= links).all() and found.sum() >= 0.9 * links.sum()
+
+
+def test_forest_magnitudes(spark):
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal(6)
+    rows = [(v * 1e200).tolist(), (v * 1e-200).tolist(), v.tolist(), (v * 1e-310).tolist(), (-v * 1e300).tolist(), [1.7e308] * 6, [1e-300] * 6, [-0.0] * 6]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in forest.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
 def test_forest_lengths(spark, monkeypatch):
     monkeypatch.setattr(forest, "LEAF", 20)
     rng = np.random.default_rng(4)

@@ -64,3 +64,27 @@ def test_round_trip(spark, tmp_path):
         at += len(ids)
     assert [r.ids for r in tokens.read_tokens(spark, path, [9]).collect()] == [[1]]
     assert tokens.token_output(docs.limit(0), PATH).count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join(b if x else a for x in bits)
+
+
+def test_equal_polynomials():
+    """Words that share every polynomial hash modulo a power of two."""
+    encode = tokens.Encoder(PATH)
+    for k in range(9, 14):
+        texts = [thue_morse(1 << k), thue_morse(1 << k, "b", "a")]
+        assert encoded(encode, [" ".join(texts)])[0] == plain(texts[0]) + plain(texts[1])
+        assert encoded(encode, texts[::-1]) == [plain(t) for t in texts[::-1]]
+
+
+def test_equal_names(monkeypatch):
+    """Units whose names collide, in one text and over texts, still get their own ids."""
+    monkeypatch.setattr(tokens, "unit_names", lambda data, starts, ends: (ends - starts).astype(np.uint64) % 3)
+    encode = tokens.Encoder(PATH)
+    for text in ["one two three four. six", "five, seven eight", "One TWO x y zebra"] * 2:
+        assert encoded(encode, [text]) == [plain(text)]
