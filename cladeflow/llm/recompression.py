@@ -1,14 +1,15 @@
 """Operator 8, substring dedup by recompression: equal word sequences get equal inner symbols.
 
-A document's words are named (64-bit), then compressed in rounds: every run of one symbol becomes a symbol, then
-every adjacent pair (left, right), where a coin that is a function of the symbol's name makes it a left or a right
-symbol. A new symbol's name is a function of the names it is made of, so names are global without being handed
-out: two stretches of words anywhere in the corpus that are equal parse equally but for a symbol or two at either
-rim and round, popped here by the same rule for every occurrence. What is left of a 50-word window after
-LEVEL rounds is the same in each occurrence, and its longest symbol is the window's anchor (where nothing is left,
-in very repetitive text, the first symbol of the last round that left something).
-The anchors' names meet in a shuffle, and what shares a high-level symbol is verified (module ``repeats``): as a
-whole by the print of all its words, at the rims of repeats window by window.
+All words are named first, then rounds compress each document's sequence of symbols: every run of one symbol becomes a symbol, then
+adjacent pairs (left, right) do, where a coin that hangs on the symbol and the round makes it a left or a right one. Names are handed out
+by Spark, round by round: each chunk of text sends its distinct words, or its distinct runs and pairs, to their buckets, where equal ones
+get one number, by comparison of their bytes or parts, and the numbers go back to the chunks. Equal symbols thus stand for equal words, without chance.
+
+A symbol's *context* is the stretch of words that its being there hangs on: its own words and, at each round, the neighbours that
+decided where it ends. Wherever the same words stand, a symbol whose context they hold stands too. So each 50-word window takes as its anchor,
+of the last round's symbols with their context inside it, the longest (the one of the least hash where several are); a window without
+any (in very repetitive text) is an anchor itself. Shared symbols reveal repeats, and what shares one is verified (module
+``repeats``): as a whole by the print of all its words, at the rims of repeats window by window.
 
 Rows: null text has no words; rows without doc_id are left out; of rows that share a doc_id the one with the smallest
 text stands for all. Documents under ``width`` words are kept whole. An empty table gives an empty result. Other
@@ -18,75 +19,259 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import discard, partitions, row_chunks, saved, text_bytes, tidy, word_bounds
-from .hashing import U64, mix, piece_hashes, symbol_hashes
-from .suffix_dedup import compare_windows, torn_by_document, torn_of, unique_documents
+from .common import discard, flat_ranges, partitions, row_chunks, saved, text_bytes, tidy, word_bounds
+from .hashing import U64, mix, piece_hashes, same_pieces, symbol_hashes
+from .suffix_dedup import spans_of, torn_by_document, torn_of, unique_documents
 
 WIDTH = 50
-CHUNK, SEGMENT = 500_000, 1 << 16
-#: rounds after which the anchor is chosen among a window's inner symbols (of about (4/3)^LEVEL words)
-LEVEL = 4
-
-
-def word_names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The name of every word, and how many words each row has."""
-    starts, ends, counts = word_bounds(data, offsets)
-    return piece_hashes(data, starts, ends), counts
-
-
-def anchors(names: np.ndarray, windows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and name of each window's anchor; ``windows`` are ascending starts in ``names``."""
-    at, called = windows.copy(), names[windows]
-    alive = np.arange(len(windows))
-    left, right = windows.copy(), windows + width  # inner symbols of each window, end excluded
-    start, total = np.arange(len(names)), len(names)
-    for level in range(LEVEL):
-        # runs: the outermost run on either side may go on outside the window
-        new = np.ones(len(names), bool)
-        new[1:] = names[1:] != names[:-1]
-        run = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        size = np.diff(np.r_[first, len(names)]).astype(U64)
-        left, right = run[left] + 1, run[right - 1]
-        names, start = np.where(size > U64(1), mix(names[first] + size * U64(0x9E3779B97F4A7C15)), names[first]), start[first]
-        some = left < right
-        alive, left, right = alive[some], left[some], right[some]
-        at[alive], called[alive] = start[left], names[left]
-        # pairs: a right symbol at the window's left rim, or a left one at its right rim, may pair outside
-        coin = (mix(names ^ U64(0x51ED270B1 + level)) >> U64(63)) == U64(1)
-        pair = np.zeros(len(names), bool)
-        pair[:-1] = coin[:-1] & ~coin[1:]
-        head = np.ones(len(names), bool)
-        head[1:] = ~pair[:-1]
-        block = np.cumsum(head) - 1
-        left, right = left + ~coin[left], right - coin[right - 1]
-        some = left < right
-        alive, left, right = alive[some], block[left[some]], block[right[some] - 1] + 1
-        both = mix(names[:-1] * U64(0xD1342543DE82EF95) + names[1:]) if len(names) > 1 else names[:0]
-        joined = names.copy()
-        joined[:-1][pair[:-1]] = both[pair[:-1]]
-        names, start = joined[head], start[head]
-        at[alive], called[alive] = start[left], names[left]
-        if level == LEVEL - 1:
-            chosen = longest(names, np.diff(np.r_[start, total]), left, right)
-            at[alive], called[alive] = start[chosen], names[chosen]
-            break
-        if not len(alive):
-            break
-    return at, called
+#: bytes of text and words in a chunk, and words in a piece of a long document (pieces overlap by a window less a word)
+CHUNK, CHUNK_WORDS, SEGMENT = 2_000_000, 1 << 19, 1 << 16
+#: names that a bucket hands out, about
+NAMES = 1_000_000
+
+Arrays = dict[str, np.ndarray]
+#: of a chunk: its pieces, and their words as places among the chunk's distinct words
+READ = {"doc": np.int64, "begin": np.int64, "size": np.int64, "code": np.int32, "raw": np.uint8, "long": np.int32}
+#: of a chunk: its pieces, and their named words with a separator before, between and after them
+WORDS = {"doc": np.int64, "begin": np.int64, "size": np.int64, "words": np.int64}
+#: a run, or a pair of runs: symbols and how often they stand
+KEY = {"s1": np.int64, "n1": np.int32, "s2": np.int64, "n2": np.int32}
+#: of a chunk's symbols: words to the next one, words of context before and after their start, the place of their key among
+#: the chunk's keys or, where that is -1, the symbol itself
+STATE = {"step": np.int32, "before": np.int32, "after": np.int32, "code": np.int32, "symbol": np.int64, **KEY}
+
+
+def rounds_for(width: int) -> int:
+    """As many as leave contexts of about a third of a window: symbols grow by 4/3 a round."""
+    return max(1, round(math.log(max(width, 2) / 16) / math.log(4 / 3)))
+
+
+def kinds(fields: dict) -> str:
+    return "chunk long, names long, " + ", ".join(f"`{f}` binary" for f in fields)
+
+
+def row_of(chunk: int, names: int, arrays: Arrays) -> pa.Table:
+    return pa.table({"chunk": pa.array([chunk], pa.int64()), "names": pa.array([names], pa.int64()), **{f: pa.array([R.planes(v)], pa.binary()) for f, v in arrays.items()}})
+
+
+def arrays_of(rows: pa.Table | pa.RecordBatch, fields: dict, at: int = 0) -> Arrays:
+    return {f: R.unplanes(rows.column(f)[at].as_py(), kind) for f, kind in fields.items()}
+
+
+# ---- words
+
+
+def distinct_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one of each distinct piece, number of each piece), numbered by hash or, should hashes collide, by bytes."""
+    _, one, of = np.unique(piece_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    same = size == size[one[of]]
+    same[same] = same_pieces(data, starts[same], data, starts[one[of[same]]], size[same])
+    if same.all():
+        return one, of
+    raw = data.tobytes()
+    _, one, of = np.unique(np.array([raw[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], object), return_index=True, return_inverse=True)
+    return one, of
+
+
+def _read(width: int):
+    """A row for each chunk of text."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for b in batches:
+            data, offsets = text_bytes(b.column("text"))
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            for i, j in row_chunks(offsets, CHUNK):
+                text = data[offsets[i] : offsets[j]]
+                starts, ends, counts = word_bounds(text, offsets[i : j + 1] - offsets[i])
+                base = np.cumsum(counts) - counts
+                pieces = np.maximum(1, -(-(counts - width + 1) // SEGMENT))
+                row = np.repeat(np.arange(j - i), pieces)
+                begin = flat_ranges(np.zeros(j - i, np.int64), pieces) * SEGMENT
+                size = np.minimum(begin + SEGMENT + width - 1, counts[row]) - begin
+                long = size >= width
+                row, begin, size = row[long], begin[long], size[long]
+                for x, y in row_chunks(np.r_[0, np.cumsum(size)], CHUNK_WORDS):
+                    at = flat_ranges(base[row[x:y]] + begin[x:y], size[x:y])
+                    one, code = distinct_pieces(text, starts[at], ends[at])
+                    first, n = starts[at[one]], (ends - starts)[at[one]]
+                    arrays = {"doc": ids[i:j][row[x:y]].astype(np.int64), "begin": begin[x:y], "size": size[x:y], "code": code.astype(np.int32), "raw": text[flat_ranges(first, n)], "long": n.astype(np.int32)}
+                    yield from row_of(chunk, len(one), arrays).to_batches()
+                    chunk += 1
+
+    return run
+
+
+# ---- naming: chunks ask, buckets answer
+
+ASK = "bucket int, chunk long, at binary, a binary, b binary"
+ASK_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("at", "a", "b"))])
+ANSWER = "chunk long, at binary, name binary"
+
+
+def key_hashes(k: Arrays) -> np.ndarray:
+    return mix(mix(k["s1"].view(U64)) + U64(3) * mix(k["s2"].view(U64)) + mix(k["n1"].astype(U64) << U64(32) | k["n2"].astype(U64)))
+
+
+def distinct_keys(k: Arrays) -> tuple[np.ndarray, np.ndarray]:
+    """As distinct_pieces, of runs and pairs."""
+    _, one, of = np.unique(key_hashes(k), return_index=True, return_inverse=True)
+    if all((v == v[one[of]]).all() for v in k.values()):
+        return one, of
+    _, one, of = np.unique(np.stack([k[f].astype(np.int64) for f in KEY], 1), axis=0, return_index=True, return_inverse=True)
+    return one, of.ravel()
+
+
+def _ask(words: bool, buckets: int):
+    """What each chunk wants named, by bucket."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(whole.num_rows):
+                if words:
+                    got = arrays_of(whole, {"raw": np.uint8, "long": np.int32}, i)
+                    ends = np.cumsum(got["long"], dtype=np.int64)
+                    hashes = piece_hashes(got["raw"], ends - got["long"], ends)
+                else:
+                    got = arrays_of(whole, KEY, i)
+                    hashes = key_hashes(got)
+                of = ((mix(hashes) >> U64(33)) % U64(buckets)).astype(np.int64)
+                by = np.argsort(of, kind="stable")
+                rows = []
+                for at in np.split(by, np.flatnonzero(np.diff(of[by])) + 1) if len(by) else ():
+                    if words:
+                        n = got["long"][at]
+                        a, b = got["raw"][flat_ranges(ends[at] - n, n)].tobytes(), R.planes(n)
+                    else:
+                        a, b = (b"".join(R.planes(got[f][at]) for f in pair) for pair in (("s1", "n1"), ("s2", "n2")))
+                    rows.append((int(of[at[0]]), whole.column("chunk")[i].as_py(), R.planes(at.astype(np.int32)), a, b))
+                yield pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ASK_ARROW)], schema=ASK_ARROW)
+
+    return run
+
+
+def _answer(words: bool, level: int, buckets: int):
+    """Numbers for what a bucket is asked: equal things get one, whichever chunks ask."""
+
+    @tidy
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        a, b = (table.column(c).to_pylist() for c in ("a", "b"))
+        count = np.array([len(x) // 4 for x in table.column("at").to_pylist()], np.int64)
+        if words:
+            n = np.concatenate([R.unplanes(x, np.int32) for x in b]).astype(np.int64)
+            ends = np.cumsum(n)
+            _, of = distinct_pieces(np.frombuffer(b"".join(a), np.uint8), ends - n, ends)
+        else:
+            got: dict[str, list[np.ndarray]] = {f: [] for f in KEY}
+            for side, (s, n) in ((a, ("s1", "n1")), (b, ("s2", "n2"))):
+                for raw, m in zip(side, count.tolist(), strict=True):
+                    got[s].append(R.unplanes(raw[: 8 * m], np.int64))
+                    got[n].append(R.unplanes(raw[8 * m :], np.int32))
+            _, of = distinct_keys({f: np.concatenate(v) for f, v in got.items()})
+        names = (level << 56) + of.astype(np.int64) * buckets + key[0].as_py()
+        return pa.table({"chunk": table.column("chunk"), "at": table.column("at"), "name": pa.array([R.planes(x) for x in np.split(names, np.cumsum(count)[:-1])], pa.binary())})
+
+    return run
+
+
+def named(state: DataFrame, words: bool, level: int, least: int) -> DataFrame:
+    """(chunk, at, name): the answers to what the chunks of ``state`` ask."""
+    total = state.agg(F.coalesce(F.sum("names"), F.lit(0))).first()[0]
+    buckets = max(least, -(-int(total) // NAMES))
+    asked = state.select("chunk", *(("raw", "long") if words else KEY)).mapInArrow(_ask(words, buckets), ASK)
+    return asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer(words, level, buckets), ANSWER)
+
+
+def names_from(answers: pa.Table, count: int) -> np.ndarray:
+    out = np.zeros(count, np.int64)
+    for at, name in zip(answers.column("at").to_pylist(), answers.column("name").to_pylist(), strict=True):
+        out[R.unplanes(at, np.int32)] = R.unplanes(name, np.int64)
+    return out
+
+
+# ---- rounds
+
+
+def compressed(symbol: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int) -> Arrays:
+    """STATE after a round over symbols that start at word ``start`` with the context lo .. hi - 1; negative symbols are separators, which stay alone."""
+    length = start[-1] + 1  # the last symbol is a separator
+    first = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
+    last = np.r_[first[1:], len(symbol)] - 1
+    s, n = symbol[first], (last - first + 1).astype(np.int32)
+    # a run hangs on the neighbours that differ from it
+    start, lo, hi = start[first], lo[np.maximum(first - 1, 0)], hi[np.minimum(last + 1, len(symbol) - 1)]
+    coin = (mix(s.view(U64) ^ mix(n.astype(U64) + U64(level << 40))) >> U64(63)) == U64(1)
+    word = s >= 0
+    pair = np.zeros(len(s), bool)
+    pair[:-1] = coin[:-1] & ~coin[1:] & word[:-1] & word[1:]
+    at = np.flatnonzero(np.r_[True, ~pair[:-1]])
+    two, left = pair[at], coin[at]
+    after, before = np.minimum(at + 1, len(s) - 1), np.maximum(at - 1, 0)
+    # a left symbol hangs on what follows it, a right one on what it follows
+    lo, hi, start = np.where(left, lo[at], lo[before]), np.where(left, hi[after], hi[at]), start[at]
+    key = {"s1": s[at], "n1": n[at], "s2": np.where(two, s[after], -1), "n2": np.where(two, n[after], 0).astype(np.int32)}
+    new = (two | (key["n1"] > 1)) & word[at]
+    key = {f: v[new] for f, v in key.items()}
+    one, of = distinct_keys(key)
+    code = np.full(len(at), -1, np.int32)
+    code[new] = of
+    small = lambda x: x.astype(np.int32)
+    return {"step": small(np.diff(np.r_[start, length])), "before": small(start - lo), "after": small(hi - start), "code": code, "symbol": np.where(new, 0, s[at]), **{f: v[one] for f, v in key.items()}}
+
+
+def symbols_of(rows: pa.Table, answers: pa.Table, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """symbol, start, lo and hi of a chunk's state with the names of its keys put in."""
+    s = arrays_of(rows, {f: kind for f, kind in STATE.items() if f not in KEY}, at)
+    names = names_from(answers, rows.column("names")[at].as_py())
+    symbol = np.where(s["code"] >= 0, names[s["code"]], s["symbol"]) if len(names) else s["symbol"]
+    start = np.cumsum(s["step"], dtype=np.int64) - s["step"]
+    return symbol, start, start - s["before"], start + s["after"]
+
+
+@tidy
+def _words(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+    w = arrays_of(rows, READ)
+    ends = np.cumsum(w["size"] + 1)
+    words = -1 - np.arange(int(ends[-1]) + 1, dtype=np.int64)
+    words[flat_ranges(ends - w["size"], w["size"])] = names_from(answers, rows.column("names")[0].as_py())[w["code"]]
+    return row_of(key[0].as_py(), 0, {"doc": w["doc"], "begin": w["begin"], "size": w["size"], "words": words})
+
+
+@tidy
+def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for i in range(whole.num_rows):
+            words = arrays_of(whole, {"words": np.int64}, i)["words"]
+            place = np.arange(len(words))
+            state = compressed(words, place, place, place + 1, 0)
+            yield from row_of(whole.column("chunk")[i].as_py(), len(state["s1"]), state).to_batches()
+
+
+def _next_round(level: int):
+    @tidy
+    def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        state = compressed(*symbols_of(rows, answers), level)
+        return row_of(key[0].as_py(), len(state["s1"]), state)
+
+    return run
 
 
 def longest(names: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Of symbols left .. right - 1 the one of the most words; of those the least by hashed name, the leftmost of equals."""
-    rank = (U64(255) - np.minimum(words, 255).astype(U64)) << U64(56) | mix(names) >> U64(8)
+    rank = (U64(255) - np.minimum(words, 255).astype(U64)) << U64(56) | mix(names.view(U64)) >> U64(8)
     best = [np.arange(len(names))]
     span = right - left
     for k in range(int(span.max()).bit_length() - 1 if len(span) else 0):
@@ -100,68 +285,76 @@ def longest(names: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.nd
     return out
 
 
-def word_entries(names: np.ndarray, counts: np.ndarray, ids: np.ndarray, width: int) -> Iterator[R.Entries]:
-    """Entries of all windows of the rows, a few hundred thousand words at a time."""
-    offsets = np.r_[0, np.cumsum(counts)]
-    pieces = np.maximum(1, -(-(counts - width + 1) // SEGMENT))
-    row = np.repeat(np.arange(len(counts)), pieces)
-    begin = R.flat_ranges(np.zeros(len(counts), np.int64), pieces) * SEGMENT
-    end = np.minimum(begin + SEGMENT + width - 1, counts[row])
-    long = end - begin >= width
-    row, begin, end = row[long], begin[long], end[long]
-    for i, j in row_chunks(np.r_[0, np.cumsum(end - begin)], SEGMENT + width):
-        size = end[i:j] - begin[i:j]
-        base = np.cumsum(size + 1) - (size + 1)  # a separator of its own name after each piece
-        part = mix(np.arange(int(size.sum()) + len(size), dtype=U64) ^ U64(0xFEEDFACE12345678))
-        part[R.flat_ranges(base, size)] = names[R.flat_ranges(offsets[row[i:j]] + begin[i:j], size)]
-        n = size - width + 1
-        windows = R.flat_ranges(base, n)
-        at, called = anchors(part, windows, width)
-        yield R.entries_of(windows, at, called, np.repeat(ids[row[i:j]], n), R.flat_ranges(begin[i:j], n), part, width)
-
-
-def _parse(width: int, buckets: int):
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[R.Entries]:
-            for b in batches:
-                data, offsets = text_bytes(b.column("text"))
-                ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-                for i, j in row_chunks(offsets, CHUNK):
-                    names, counts = word_names(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    yield from word_entries(names, counts, ids[i:j], width)
+def anchors(symbol: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, words: np.ndarray, windows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and name of each window's anchor."""
+    left, right = np.searchsorted(lo, windows), np.searchsorted(hi, windows + width, "right")
+    some = left < right
+    chosen = longest(symbol, np.diff(np.r_[start, len(words)]), left[some], right[some])
+    at, called = windows.copy(), np.empty(len(windows), U64)
+    at[some], called[some] = start[chosen], symbol[chosen].view(U64)
+    bare = windows[~some]
+    called[~some] = symbol_hashes(words, bare, bare + width)
+    return at, called
 
-        return R.packed_batches(parts(), width, False, buckets)
+
+def _close(width: int, buckets: int):
+    """The last round's names put in, and the entries of all windows of a chunk packed by their anchor's bucket."""
+
+    @tidy
+    def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        of_words = next(i for i in range(2) if rows.column("words")[i].is_valid)
+        w = arrays_of(rows, WORDS, of_words)
+        n = w["size"] - width + 1
+        windows = flat_ranges(np.cumsum(w["size"] + 1) - w["size"], n)
+        at, called = anchors(*symbols_of(rows, answers, 1 - of_words), w["words"], windows, width)
+        entries = R.entries_of(windows, at, called, np.repeat(w["doc"], n), flat_ranges(w["begin"], n), w["words"], width)
+        return pa.Table.from_batches(list(R.packed_batches(iter([entries]), width, False, buckets)), R.PACKED_ARROW)
 
     return run
 
 
-def _match(width: int):
-    """All entries of a bucket: repeated stretches (kind 1) and torn entries (kind 2)."""
+def matched_entries(docs: DataFrame, width: int) -> DataFrame:
+    """Repeated stretches (kind 1) and torn entries (kind 2) by what shares a symbol after rounds_for(width) rounds of naming, saved."""
+    buckets = partitions(docs.sparkSession)
 
-    @tidy
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        kept, spans = R.split_firsts(R.unpack(table, 0), False, width)
-        old = R.unpack(table, 1)
-        spans = R.merged(*(np.r_[spans[f].astype(np.int64), old[f].astype(np.int64)] for f in ("doc", "pos", "print")))
-        return pa.Table.from_batches([R.pack([(key[0].as_py(), 1, spans), (key[0].as_py(), 2, R.take(kept, R.torn(kept)))])], R.PACKED_ARROW)
+    def met(state: DataFrame, words: bool, level: int, more: DataFrame | None = None):
+        left = state if more is None else state.unionByName(more, allowMissingColumns=True)
+        return left.groupBy("chunk").cogroup(named(state, words, level, buckets).groupBy("chunk"))
+
+    read = saved(docs.mapInArrow(_read(width), kinds(READ)), "recompression-read")
+    words = saved(met(read, True, 0).applyInArrow(_words, kinds(WORDS)), "recompression-words")
+    discard(read)
+    state = saved(words.mapInArrow(_first_round, kinds(STATE)), "recompression-round")
+    for level in range(1, rounds_for(width)):
+        state, old = saved(met(state, False, level).applyInArrow(_next_round(level), kinds(STATE)), "recompression-round"), state
+        discard(old)
+    packed = met(state, False, rounds_for(width), words).applyInArrow(_close(width, buckets), R.PACKED)
+    out = saved(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(R.matched(width, False, True), R.PACKED), "recompression-matched")
+    discard(words)
+    discard(state)
+    return out
 
-    return run
+
+# ---- verification and removal
 
 
 def _torn_words(width: int, buckets: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = text_bytes(b.column("text"))
-            e, row = torn_of(b)
-            cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
-            for i, j in row_chunks(offsets, CHUNK):
-                names, counts = word_names(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                part = R.take(e, np.arange(cuts[i], cuts[j]))
-                if cuts[i] < cuts[j]:
-                    base, start = np.r_[0, np.cumsum(counts)], np.arange(max(0, len(names) - width + 1))
-                    yield R.content_batch(part, base[row[cuts[i] : cuts[j]] - i] + part["pos"], symbol_hashes(names, start, start + width), width, buckets)
+        def parts() -> Iterator[R.Entries]:
+            for b in batches:
+                data, offsets = text_bytes(b.column("text"))
+                e, row = torn_of(b)
+                cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
+                for i, j in row_chunks(offsets, CHUNK // 4):
+                    if cuts[i] < cuts[j]:
+                        text = data[offsets[i] : offsets[j]]
+                        starts, ends, counts = word_bounds(text, offsets[i : j + 1] - offsets[i])
+                        part = R.take(e, np.arange(cuts[i], cuts[j]))
+                        base = np.r_[0, np.cumsum(counts)]
+                        yield R.windows_of(part, base[row[cuts[i] : cuts[j]] - i] + part["pos"], piece_hashes(text, starts, ends), width)
+
+        return R.packed_batches(parts(), width, False, buckets)
 
     return run
 
@@ -169,10 +362,9 @@ def _torn_words(width: int, buckets: int):
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, spans): stretches of words of each document covered by windows that start in a document with a smaller doc_id."""
     buckets = partitions(docs.sparkSession)
-    parsed = docs.mapInArrow(_parse(width, buckets), R.PACKED)
-    matched = saved(parsed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_match(width), R.PACKED), "recompression-matched")
-    torn = docs.join(torn_by_document(matched), "doc_id").mapInArrow(_torn_words(width, buckets), R.CONTENT)
-    found = saved(compare_windows(torn, buckets, U64, width, False).unionByName(matched.where("kind = 1").mapInArrow(R.unpack_spans, R.SPANS)), "recompression-spans")
+    matched = matched_entries(docs, width)
+    torn = docs.join(torn_by_document(matched), "doc_id").mapInArrow(_torn_words(width, buckets), R.PACKED)
+    found = saved(spans_of(torn, buckets, width, False).unionByName(matched.where("kind = 1").mapInArrow(R.unpack_spans, R.SPANS)), "recompression-spans")
     discard(matched)
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 

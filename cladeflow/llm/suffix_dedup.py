@@ -204,23 +204,26 @@ def torn_of(batch: pa.RecordBatch) -> tuple[R.Entries, np.ndarray]:
     return {"doc": ids[row], "pos": flat["pos"].astype(np.int64), "len": flat["len"].astype(np.int32), "symbol": np.ascontiguousarray(flat["symbol"]).view(U64)}, row
 
 
-def _torn_bytes(width: int, buckets: int):
+def _torn_windows(width: int, buckets: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = text_bytes(b.column("text"))
-            e, row = torn_of(b)
-            yield R.content_batch(e, offsets[row] + e["pos"], data, width, buckets)
+        def parts() -> Iterator[R.Entries]:
+            for b in batches:
+                data, offsets = text_bytes(b.column("text"))
+                e, row = torn_of(b)
+                for i in range(0, len(row), 2000):
+                    part = R.take(e, np.arange(i, min(i + 2000, len(row))))
+                    yield R.windows_of(part, offsets[row[i : i + 2000]] + part["pos"], data, width)
 
-    return run
+        return R.packed_batches(parts(), width, True, buckets)
 
+    return run
 
-def compare_windows(content: DataFrame, buckets: int, kind: type, width: int, within: bool) -> DataFrame:
-    @tidy
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([R.span_batch(R.repeated_windows(table, kind, width, within))], R.SPANS_ARROW)
 
-    return content.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, R.SPANS)
+def spans_of(packed: DataFrame, buckets: int, width: int, within: bool) -> DataFrame:
+    """(doc_id, start, end) that repeated windows, packed by bucket, cover."""
+    met = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(R.matched(width, within, False), R.PACKED)
+    return met.mapInArrow(R.unpack_spans, R.SPANS)
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -237,8 +240,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
         packed = part.mapInArrow(_index(width, gram, buckets), R.PACKED)
         levels.insert(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sort(width), R.PACKED))
     closed = levels.close()
-    torn = docs.join(torn_by_document(closed), "doc_id").mapInArrow(_torn_bytes(width, buckets), R.CONTENT)
-    found = saved(compare_windows(torn, buckets, np.uint8, width, True).unionByName(closed.where("kind = 1").mapInArrow(R.unpack_spans, R.SPANS)), "suffix-spans")
+    torn = docs.join(torn_by_document(closed), "doc_id").mapInArrow(_torn_windows(width, buckets), R.PACKED)
+    found = saved(spans_of(torn, buckets, width, True).unionByName(closed.where("kind = 1").mapInArrow(R.unpack_spans, R.SPANS)), "suffix-spans")
     discard(closed)
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 

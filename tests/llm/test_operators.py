@@ -77,6 +77,73 @@ def test_recompression(spark, docs):
         assert got[doc].kept_text == kept.decode()
 
 
+def test_recompression_symbols():
+    """Symbols whose context lies in a stretch that stands in two places are the same in both."""
+    rng, names = np.random.default_rng(5), {}
+    shared = rng.integers(0, 9, 160)
+    shared[60:75] = 4  # a run
+    sides = [np.r_[-1, rng.integers(0, 9, n), shared, rng.integers(0, 9, 40), -2] for n in (30, 77)]
+    states = [(x, np.arange(len(x)), np.arange(len(x)), np.arange(len(x)) + 1) for x in sides]
+    for level in range(recompression.rounds_for(50)):
+        found = []
+        for k, state in enumerate(states):
+            s = recompression.compressed(*state, level)
+            ids = [names.setdefault((level, *key), 1000 * (level + 1) + len(names)) for key in zip(*(s[f].tolist() for f in recompression.KEY), strict=True)]
+            symbol = np.array([ids[c] if c >= 0 else x for c, x in zip(s["code"], s["symbol"], strict=True)])
+            start = np.cumsum(s["step"]) - s["step"]
+            assert s["step"].sum() == len(sides[k]) and (np.diff(start - s["before"]) >= 0).all() and (np.diff(start + s["after"]) >= 0).all()
+            states[k] = symbol, start, start - s["before"], start + s["after"]
+            base = (31, 78)[k]
+            inside = (states[k][2] >= base) & (states[k][3] <= base + 160)
+            found.append({(a - base, x) for a, x in zip(start[inside].tolist(), symbol[inside].tolist(), strict=True)})
+        assert found[0] == found[1] and len(found[0]) > 160 * 0.5 ** (level + 1) - 20
+
+
+def test_distinct_pieces(monkeypatch):
+    data = np.frombuffer(b"one two one three two", np.uint8)
+    starts, ends = np.array([0, 4, 8, 12, 18]), np.array([3, 7, 11, 17, 21])
+    for _ in range(2):
+        one, of = recompression.distinct_pieces(data, starts, ends)
+        assert len(one) == 3 and of[0] == of[2] and of[1] == of[4] and len({*of.tolist()}) == 3
+        keys = {"s1": np.array([1, 2, 1]), "n1": np.array([1, 1, 1], np.int32), "s2": np.array([5, 5, 5]), "n2": np.array([1, 1, 1], np.int32)}
+        one, of = recompression.distinct_keys(keys)
+        assert len(one) == 2 and of[0] == of[2] != of[1]
+        monkeypatch.setattr(recompression, "piece_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+        monkeypatch.setattr(recompression, "key_hashes", lambda k: np.zeros(len(k["s1"]), np.uint64))
+
+
+def test_very_long_texts(spark):
+    """Texts of several pieces, against all windows."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    long = [rng.choice(words) for _ in range(140_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(["new"] + long[65_000:66_500] + ["end"] + long[130_900:])), (3, " ".join(long[70_000:70_060] + ["x"] * 70_000)), (4, "x " * 66_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).selectExpr("*", "1 AS bucket", "2 AS spans", "3 AS component_id", "4 AS chunk", "5 AS n_words")
+    seen, wanted = {}, {}
+    for doc, text in rows:
+        w = text.split()
+        mark = np.zeros(len(w) + 1, int)
+        for p in range(len(w) - 49):
+            if seen.setdefault(hash(tuple(w[p : p + 50])), doc) < doc:
+                mark[p] += 1
+                if p + 50 <= len(w):
+                    mark[p + 50] -= 1
+        wanted[doc] = int((np.cumsum(mark)[:-1] > 0).sum())
+    assert {r.doc_id: r.n_removed for r in recompression.dedup_passages(docs, texts=False).collect()} == wanted
+    seen, wanted = set(), {}
+    for doc, text in rows:
+        b = text.encode()
+        mark = np.zeros(len(b) + 1, int)
+        for p in range(len(b) - 99):
+            h = hash(b[p : p + 100])
+            if h in seen:
+                mark[p] += 1
+                mark[p + 100] -= 1
+            seen.add(h)
+        wanted[doc] = int((np.cumsum(mark)[:-1] > 0).sum())
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.dedup_substrings(docs, batches=2).collect()} == wanted
+
+
 def test_segments(monkeypatch):
     """Pieces of very long texts give the same windows as the whole."""
     rng = np.random.default_rng(3)
