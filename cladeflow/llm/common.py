@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,15 +11,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
+    """The folder that all executors share; one of our own only where a local session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(spark, "_cladeflow_dir", None):
         spark._cladeflow_dir = "file://" + tempfile.mkdtemp(prefix="spark-cladeflow-")
     return spark._cladeflow_dir
@@ -78,6 +82,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: bytes of text for each bucket that what is found in texts is dealt to
+BUCKET_TEXT = 64 << 20
+
+
+def buckets_of(documents: DataFrame) -> int:
+    """Buckets for what is found in the texts: as many as the session's shuffle partitions, or more where the texts are large."""
+    size = documents.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    return max(partitions(documents.sparkSession), -(-int(size) // BUCKET_TEXT))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column, one after the other, and n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -63,12 +63,14 @@ def _contract(per_task: int):
 def star_round(live: DataFrame) -> DataFrame:
     """One round on edges a < b: every node's greater neighbours go to its least neighbour, then every node and its lesser neighbours do."""
     both = live.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(live.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    least = saved(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "components-least")  # a table of its own: a join with it can split a hub's edges
     large = saved(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct(), "components-large")
-    least = large.groupBy("b").agg(F.min("a").alias("m"))
+    discard(least)
+    least = saved(large.groupBy("b").agg(F.min("a").alias("m")), "components-least")
     lesser = large.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b")
     small = saved(lesser.unionByName(least.select(F.col("m").alias("a"), "b")).distinct(), "components-small")
     discard(large)
+    discard(least)
     return small
 
 

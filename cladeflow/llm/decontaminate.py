@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, flat_ranges, row_chunks, text_bytes, tidy
+from .common import WHITE, flat_ranges, fresh, row_chunks, text_bytes, tidy
 from .hashing import U64, gram_hashes
 
 SHARD = 8 << 20
@@ -45,6 +45,10 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     drop[1:] = blank[1:] & blank[:-1]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
     drop[first] = blank[first]
+    some = np.flatnonzero(offsets[:-1] < offsets[1:])
+    last = np.maximum.accumulate(np.where(blank, -1, np.arange(len(text))))[offsets[some + 1] - 1]
+    end = np.maximum(last + 1, offsets[some])
+    drop[flat_ranges(end, offsets[some + 1] - end)] = True
     kept = np.r_[0, np.cumsum(~drop)]
     return text[~drop], kept[offsets]
 
@@ -275,5 +279,6 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, q: int = 8, budget: f
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """``documents`` without those that hold an item; all columns stay."""
-    leaks = find_leaks(documents, benchmark, **parameters).select(F.col("doc_id").alias("__leak")).distinct()
-    return documents.join(leaks, F.col("doc_id") == F.col("__leak"), "left_anti")
+    leak = fresh(documents, "leak")
+    leaks = find_leaks(documents, benchmark, **parameters).select(F.col("doc_id").alias(leak)).distinct()
+    return documents.join(leaks, F.col("doc_id") == F.col(leak), "left_anti")

@@ -31,18 +31,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import discard, partitions, saved, tidy
+from .common import buckets_of, discard, fresh, partitions, saved, tidy
 from .components import components, spanning
 from .hashing import U64, mix
 from .shingles import set_batches, set_prints, size_class, slices
 from .suffix_dedup import unique_documents
 
-#: members of a region that one task joins
-LIMIT = 1024
+#: members of a region that are joined at once (larger ones are cut by pivots), and of a block where no pivot can cut
+BASE, BLOCK = 64, 1024
 PIVOTS = 64
 NEAR = 0.6
 GROWTH = 2.0
 LEVELS = 4
+#: members of small regions that one task joins, region by region
+MEMBERS = 50_000
 #: sets that share a slice, beyond which it is dropped (and counted)
 FEW = 6
 
@@ -120,15 +122,15 @@ def equal_sets(docs: DataFrame, words: int, similarity: tuple[int, int]) -> Data
     """(doc_id, n_shingles, cls, spare, spare_up, same): same is the least doc_id with an equal set; null for empty sets."""
     sets = saved(docs.mapInArrow(_prints(words, similarity), "doc_id long, n_shingles long, print_a long, print_b long, cls long, spare long, spare_up long"), "jaccard-sets")
     prints = ["n_shingles", "print_a", "print_b"]
-    least = sets.where("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("same"))
+    least = saved(sets.where("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("same")), "jaccard-least")  # a table of its own: a join with it can split a large group of copies
     out = saved(sets.join(least, prints, "left").drop("print_a", "print_b"), "jaccard-equal")
     discard(sets)
+    discard(least)
     return out
 
 
-def candidates(docs: DataFrame, equal: DataFrame, words: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+def candidates(docs: DataFrame, equal: DataFrame, words: int, similarity: tuple[int, int], buckets: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of distinct sets that meet the bound, and the saturated sets (id)."""
-    buckets = partitions(docs.sparkSession) * 4
     packed = docs.mapInArrow(_slices(words, similarity, buckets), R.PACKED)
     shared = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared(FEW), "a long, b long, cls long, n long")
     shared = saved(shared.groupBy("a", "b", "cls").agg(F.sum("n").alias("n")), "jaccard-shared")
@@ -141,6 +143,7 @@ def candidates(docs: DataFrame, equal: DataFrame, words: int, similarity: tuple[
     pairs = saved(pairs, "jaccard-pairs")
     full = saved(slack.where("slack <= 0").select(F.col("same").alias("id")).distinct(), "jaccard-saturated")
     discard(shared)
+    discard(slack)
     return pairs, full
 
 
@@ -282,25 +285,25 @@ def _bucket(name: str, buckets: int):
 
 def region_links(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(a, b): spanning forests of the links inside the regions of ``sets`` (region, id, elements), saved."""
-    buckets = partitions(sets.sparkSession) * 4
+    buckets = max(partitions(sets.sparkSession) * 4, -(-sets.count() // MEMBERS))
     kinds = "a long, b long"
     found, rows = None, sets
     for level in range(LEVELS + 1):
         sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
         rows = rows.join(sizes, "region")
-        small = rows.where(f"size <= {LIMIT}").withColumn("side", F.lit(2))
+        small = rows.where(f"size <= {BASE}").withColumn("side", F.lit(2))
         part = small.withColumn("bucket", _bucket("region", buckets)).drop("size").groupBy("bucket").applyInArrow(_join(similarity), kinds)
         part = saved(part, "jaccard-links")
         found = part if found is None else found.unionByName(part)
-        large = saved(rows.where(f"size > {LIMIT}"), "jaccard-large")
+        large = saved(rows.where(f"size > {BASE}"), "jaccard-large")
         if large.isEmpty():
             return found
-        blocks = F.ceil(F.col("size") / LIMIT).cast("int")
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         whole = large
         if level < LEVELS:
-            # pivots: about PIVOTS members by hash; members meet their family's pivots in as many tasks as it has blocks
+            # pivots: about the square root of the members, PIVOTS at most, by hash; members meet their family's pivots in as many tasks as it has blocks
             chance = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-            pivots = large.where(chance < PIVOTS / F.col("size")).withColumn("salt", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            pivots = large.where(chance < F.least(F.sqrt("size"), F.lit(PIVOTS)) / F.col("size")).withColumn("salt", F.explode(F.sequence(F.lit(0), blocks - 1)))
             dealt = large.withColumn("salt", F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int"))
             near = dealt.groupBy("region", "salt").cogroup(pivots.groupBy("region", "salt")).applyInArrow(_nearest(similarity), "region long, id long, targets array<long>")
             near = saved(near, "jaccard-near")
@@ -324,9 +327,9 @@ def jaccard_components(documents: DataFrame, words: int = 3, similarity: tuple[i
     """(doc_id, n_shingles, component_id): classes of documents linked by Jaccard similarity of at least a / b of their
     ``words``-word shingle sets, for ``similarity`` (a, b); the component's id is its least doc_id."""
     docs = unique_documents(documents)
-    buckets = partitions(docs.sparkSession)
+    buckets = buckets_of(docs)
     equal = equal_sets(docs, words, similarity)
-    pairs, full = candidates(docs, equal, words, similarity)
+    pairs, full = candidates(docs, equal, words, similarity, 4 * buckets)
     wanted = full.unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = saved(docs.join(wanted.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(words), SETS), "jaccard-members")
     again = sets.join(full, "id", "left_semi").mapInArrow(_cut_again(similarity, buckets), R.PACKED)
@@ -344,6 +347,8 @@ def keep_one_each(documents: DataFrame, words: int = 5, similarity: tuple[int, i
     rows without doc_id go, and of rows that share a doc_id one of the smallest text stays."""
     if not documents.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
         first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit("")), *(c for c in documents.columns if c not in ("doc_id", "text"))))
-        documents = documents.withColumn("__row", first).where("__row = 1").drop("__row")
-    kept = jaccard_components(documents, words, similarity).where("component_id = doc_id").select(F.col("doc_id").alias("__kept"))
-    return documents.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+        row = fresh(documents, "row")
+        documents = documents.withColumn(row, first).where(F.col(row) == 1).drop(row)
+    kept = fresh(documents, "kept")
+    least = jaccard_components(documents, words, similarity).where("component_id = doc_id").select(F.col("doc_id").alias(kept))
+    return documents.join(least, F.col("doc_id") == F.col(kept), "left_semi")

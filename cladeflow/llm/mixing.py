@@ -3,12 +3,14 @@
 Each source gets a mean repetition rate so that its expected share of the output is its target weight; each
 document's number of copies is the Poisson quantile, at that mean, of a uniform number hashed from the seed and
 doc_id; documents are exploded by their count and dealt to all partitions by a hash of seed, doc_id and copy, the order
-inside a partition being that hash too: a global shuffle that any run repeats.
+inside a partition being that hash too: a global shuffle that any run repeats. A source's cumulative probabilities are
+summed once, in its row of the table of rates; a document looks up its number in them.
 
 Rows: the uniform number of a null doc_id is that of the text "null"; a null source is a source of its own, found
-under the key "" of the weights (as is an empty one). Repeated rows get equal counts. Sources without a target weight weigh
+under the key "" of the weights (as is an empty one). Rows that share a doc_id, and those without one, draw the same number and so get equal counts: for
+them the shares hold only on average over seeds. Sources without a target weight weigh
 nothing and go, unless no weights are given: then all sources weigh the same. An empty table gives an empty result. All
-columns are kept; one named like a column added here (copy, shuffle_key, ...) must be renamed before, else ValueError.
+columns are kept; one named like a column added here (copy, n_copies, rate, shuffle_key) gets underscores before its name.
 """
 
 from __future__ import annotations
@@ -16,13 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, saved
+from .common import fresh, partitions, saved
 
-#: a larger mean is drawn as the sum of equal parts of at most this mean: exp(-mean) must not vanish
-PART = 500.0
-#: rates of up to so many sources (some 100 bytes each) are broadcast
-BROADCAST_SOURCES = 50_000
-ADDED = ("copy", "n_copies", "rate", "shuffle_key", "source_key", "salt")
+#: rates of up to so many sources are broadcast, with tables of this many bytes at most in all
+BROADCAST_SOURCES, BROADCAST_BYTES = 50_000, 16 << 20
+ADDED = ("copy", "n_copies", "rate", "shuffle_key")
+LEAST = 1e-30
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -31,24 +32,26 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_quantile(mean: Column, u: Column) -> Column:
-    """The least n with P(N <= n) > u for N Poisson of the mean: the recurrence p(n) = p(n-1) * mean / n, summed until it passes u."""
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("sum"), F.lit(0).alias("n"))
-    limit = F.ceil(mean + 12 * F.sqrt(mean) + 40).cast("int")  # passed with a chance under 2^-52
+def cumulative(mean: Column) -> Column:
+    """(before, sums): P(N <= n) of N Poisson of the mean for n = before, before + 1, ... up to where the rest is under 2^-52; before it they are
+    nothing beside 2^-52. Summed by the recurrence ln p(n) = ln p(n - 1) + ln(mean / n), which no mean drives out of range."""
+    limit = F.ceil(mean + 12 * F.sqrt(mean) + 40).cast("int")
+    start = F.struct((-mean).alias("log"), F.exp(-mean).alias("sum"), F.when(F.exp(-mean) > LEAST, F.array(F.exp(-mean))).otherwise(F.array().cast("array<double>")).alias("sums"), F.when(F.exp(-mean) > LEAST, 0).otherwise(1).alias("before"))
 
     def step(s: Column, k: Column) -> Column:
-        p = s["p"] * mean / k
-        on = s["sum"] <= u
-        return F.struct(F.when(on, p).otherwise(s["p"]).alias("p"), F.when(on, s["sum"] + p).otherwise(s["sum"]).alias("sum"), F.when(on, k).otherwise(s["n"]).alias("n"))
+        log = s["log"] + F.ln(mean) - F.ln(k.cast("double"))
+        total = s["sum"] + F.exp(log)
+        shown = total > LEAST
+        return F.struct(log.alias("log"), total.alias("sum"), F.when(shown, F.array_append(s["sums"], total)).otherwise(s["sums"]).alias("sums"), F.when(shown, s["before"]).otherwise(s["before"] + 1).alias("before"))
 
-    return F.aggregate(F.sequence(F.lit(1), limit), start, step, lambda s: s["n"])
+    table = F.aggregate(F.sequence(F.lit(1), limit), start, step)
+    some = F.struct(table["before"].alias("before"), table["sums"].alias("sums"))
+    return F.when(mean > 0, some).otherwise(F.struct(F.lit(0).alias("before"), F.array(F.lit(1.0)).alias("sums")))
 
 
-def poisson_count(mean: Column, seed: int, doc_id: Column) -> Column:
-    """A Poisson number seeded by the document; means over PART are drawn in parts."""
-    parts = F.ceil(mean / PART).cast("int")
-    many = F.aggregate(F.sequence(F.lit(1), F.greatest(parts, F.lit(1))), F.lit(0), lambda n, j: n + poisson_quantile(mean / parts, uniform(seed, doc_id, j)))
-    return F.when(mean <= PART, poisson_quantile(mean, uniform(seed, doc_id))).otherwise(many)
+def poisson_quantile(table: Column, u: Column) -> Column:
+    """The least n with P(N <= n) > u, from a table of ``cumulative``."""
+    return F.when(u > 0, table["before"] + F.size(F.filter(table["sums"], lambda c: c <= u))).otherwise(0)
 
 
 def rates(documents: DataFrame, weights: dict[str, float] | None, epochs: float) -> DataFrame:
@@ -67,23 +70,27 @@ def mix_sources(documents: DataFrame, weights: dict[str, float] | None = None, e
     """``documents`` replicated and shuffled; adds copy (from 1), n_copies, rate and shuffle_key.
 
     weights: target share of each source, in any unit (None: equal shares). epochs: expected size of the output over that of the input."""
-    if clash := [c for c in ADDED if c in documents.columns]:
-        raise ValueError(f"columns {clash} are added here; rename them first")
-    rate = rates(documents, weights, epochs)
-    docs = documents.withColumn("source_key", F.coalesce("source", F.lit("")))
-    rate = saved(rate, "mixing-rates")
-    if rate.count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(rate), "source_key")
+    own = documents.columns
+    names = {c: fresh(documents, f"_{c}") if c.lower() in ADDED else c for c in own}
+    return _mixed(documents, weights, epochs, seed).select(*(F.col(f"doc.`{c}`").alias(names[c]) for c in own), "copy", "n_copies", "rate", "shuffle_key")
+
+
+def mix_documents(documents: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 17) -> DataFrame:
+    """mix_sources with the columns of ``documents`` alone: copies are repeated rows."""
+    return _mixed(documents, weights, epochs, seed).select("doc.*")
+
+
+def _mixed(documents: DataFrame, weights: dict[str, float] | None, epochs: float, seed: int) -> DataFrame:
+    """(doc, copy, n_copies, rate, shuffle_key); doc is the row."""
+    tables = saved(rates(documents, weights, epochs).withColumn("table", cumulative(F.coalesce("rate", F.lit(0.0)))), "mixing-rates")
+    docs = documents.select(F.struct(*documents.columns).alias("doc"), F.coalesce("source", F.lit("")).alias("source_key"), F.col("doc_id").alias("id"))
+    sources, size = tables.agg(F.count(F.lit(1)), F.sum(F.octet_length("source_key") + 8 * F.size("table.sums"))).first()
+    if sources <= BROADCAST_SOURCES and (size or 0) <= BROADCAST_BYTES:
+        joined = docs.join(F.broadcast(tables), "source_key")
     else:  # a hot source is dealt over all partitions
         salts = partitions(documents.sparkSession)
-        joined = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(rate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["source_key", "salt"]).drop("salt")
-    counted = joined.drop("source_key").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
-    counted = counted.withColumn("n_copies", poisson_count(F.col("rate"), seed, F.col("doc_id")))
+        joined = docs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(tables.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["source_key", "salt"])
+    counted = joined.select("doc", "id", F.coalesce("rate", F.lit(0.0)).alias("rate"), poisson_quantile(F.col("table"), uniform(seed, F.col("id"))).alias("n_copies"))
     copies = counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    dealt = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"shuffle{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string"))))
+    dealt = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"shuffle{seed}"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("copy").cast("string"))))
     return dealt.repartition(partitions(documents.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
-
-
-def mix_documents(documents: DataFrame, **parameters) -> DataFrame:
-    """mix_sources with the columns of ``documents`` alone: copies are repeated rows."""
-    return mix_sources(documents, **parameters).select(*documents.columns)

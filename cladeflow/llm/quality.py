@@ -1,14 +1,14 @@
 """Operator 2, quality classifier by co-training.
 
 Two logistic classifiers see a document differently: one its text (words and their shapes), one its page metadata
-(source, language, layout). They start from the same labels; in each round each scores a pool of unlabelled documents
-and hands those it is surest of, with its own label, to the other. Held-out labelled documents then calibrate each view (Platt) and
+(source, language, layout). They start from the same labels; in each round each scores a pool of unlabelled documents (drawn once, of bounded
+size, as in co-training as it was published) and hands those it is surest of, with its own label, to the other. Held-out labelled documents then calibrate each view (Platt) and
 weigh the two calibrated views against each other; all documents are scored with the combination.
 
 Fitting uses bounded samples (``labelled``, ``pool``: at most so many rows, chosen by a hash of doc_id); features and scores cover all rows.
 
 Rows: null text, source and language count as empty; labels other than 0 and 1 and labels that contradict each other for one
-doc_id are left out. With labels of one class only, or none, every document scores the share of good labels (0.5
+doc_id are left out; of rows that share a doc_id the one that sorts first by text, source and language stands for the label. With labels of one class only, or none, every document scores the share of good labels (0.5
 without any). Repeated rows score alike. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -47,7 +47,7 @@ def _views(b: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> dict[str
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b, data, offsets in X.rows_of(batches):
         views = _views(b, data, offsets)
-        yield pa.record_batch([b.column("label"), *X.sparse_lists(views["text"]), *X.sparse_lists(views["meta"])], names=["label", "text_index", "text_value", "meta_index", "meta_value"])
+        yield pa.record_batch([b.column("doc_id"), b.column("label"), *X.sparse_lists(views["text"]), *X.sparse_lists(views["meta"])], names=["doc_id", "label", "text_index", "text_value", "meta_index", "meta_value"])
 
 
 def known_labels(labels: DataFrame, column: str) -> DataFrame:
@@ -62,8 +62,14 @@ def sample(documents: DataFrame, labels: DataFrame, labelled: int, pool: int, se
     known = X.bounded_sample(ids.join(labels, "doc_id"), "doc_id", labelled, seed)
     others = X.bounded_sample(ids.join(labels.select("doc_id"), "doc_id", "left_anti"), "doc_id", pool, seed + 1).withColumn("label", F.lit(-1))
     chosen = F.broadcast(known.unionByName(others))  # labelled + pool rows of two numbers at most
-    rows = documents.join(chosen, "doc_id").dropDuplicates(["doc_id"])
-    return rows.select("label", "text", "source", "lang").mapInArrow(_extract, "label int, text_index array<int>, text_value array<float>, meta_index array<int>, meta_value array<float>").toArrow()
+    rows = one_each(documents.join(chosen, "doc_id"))
+    kinds = "doc_id long, label int, text_index array<int>, text_value array<float>, meta_index array<int>, meta_value array<float>"
+    return rows.mapInArrow(_extract, kinds).toArrow().sort_by("doc_id")  # any run sees the same rows in the same order
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """(doc_id, label, text, source, lang): of rows that share a doc_id the one that sorts first; these are bounded samples."""
+    return rows.groupBy("doc_id", "label").agg(F.min(F.struct("text", "source", "lang")).alias("first")).select("doc_id", "label", "first.*")
 
 
 def surest(p: np.ndarray, free: np.ndarray, share: float, per_round: int) -> np.ndarray:
@@ -146,7 +152,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, labelled: int = 6000, p
     return co_train(sample(prepared(documents), known_labels(labels, "quality"), labelled, pool, seed), rounds, per_round)
 
 
-def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.4, model: Model | None = None, **parameters) -> DataFrame:
+def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, model: Model | None = None, **parameters) -> DataFrame:
     """(doc_id, p_text, p_meta, quality, keep) of every row; keep: quality of at least ``threshold``."""
     model = model or fit_quality(documents, labels, **parameters)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # two weight vectors of fixed size
@@ -167,7 +173,7 @@ def _keep(shared, threshold: float):
     return run
 
 
-def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.4, model: Model | None = None, **parameters) -> DataFrame:
+def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, model: Model | None = None, **parameters) -> DataFrame:
     """The rows of ``documents``, all columns as they are, that score at least ``threshold``."""
     model = model or fit_quality(documents, labels, **parameters)
     return documents.mapInArrow(_keep(documents.sparkSession.sparkContext.broadcast(model), threshold), documents.schema)

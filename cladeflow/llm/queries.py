@@ -54,9 +54,9 @@ drawn AS (
     ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
   FROM documents JOIN rates ON coalesce(source, '') = source_key),
 steps AS (
-  SELECT doc_id, rate, u, exp(-rate) AS p, exp(-rate) AS total, 0 AS n FROM drawn
+  SELECT doc_id, rate, u, -rate AS log, exp(-rate) AS total, 0 AS n FROM drawn
   UNION ALL
-  SELECT doc_id, rate, u, p * rate / (n + 1), total + p * rate / (n + 1), n + 1 FROM steps WHERE total <= u),
+  SELECT doc_id, rate, u, log + ln(rate) - ln(n + 1), total + exp(log + ln(rate) - ln(n + 1)), n + 1 FROM steps WHERE total <= u AND n < ceil(rate + 12 * sqrt(rate) + 40)),
 quantile AS (SELECT doc_id, max(n)::INTEGER AS n_copies FROM steps GROUP BY doc_id)
 SELECT d.doc_id, d.source, d.text, d.lang, d.n_chars, n_copies, copy::INTEGER AS copy,
   md5('shuffle17:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || copy) AS shuffle_key

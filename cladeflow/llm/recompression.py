@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import discard, flat_ranges, partitions, row_chunks, saved, text_bytes, tidy, word_bounds
+from .common import buckets_of, discard, flat_ranges, row_chunks, saved, text_bytes, tidy, word_bounds
 from .hashing import U64, mix, piece_hashes, same_pieces, symbol_hashes
 from .suffix_dedup import spans_of, torn_by_document, torn_of, unique_documents
 
@@ -313,9 +313,8 @@ def _close(width: int, buckets: int):
     return run
 
 
-def matched_entries(docs: DataFrame, width: int) -> DataFrame:
+def matched_entries(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """Repeated stretches (kind 1) and torn entries (kind 2) by what shares a symbol after rounds_for(width) rounds of naming, saved."""
-    buckets = partitions(docs.sparkSession)
 
     def met(state: DataFrame, words: bool, level: int, more: DataFrame | None = None):
         left = state if more is None else state.unionByName(more, allowMissingColumns=True)
@@ -361,8 +360,8 @@ def _torn_words(width: int, buckets: int):
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, spans): stretches of words of each document covered by windows that start in a document with a smaller doc_id."""
-    buckets = partitions(docs.sparkSession)
-    matched = matched_entries(docs, width)
+    buckets = buckets_of(docs)
+    matched = matched_entries(docs, width, buckets)
     torn = docs.join(torn_by_document(matched), "doc_id").mapInArrow(_torn_words(width, buckets), R.PACKED)
     found = saved(spans_of(torn, buckets, width, False).unionByName(matched.where("kind = 1").mapInArrow(R.unpack_spans, R.SPANS)), "recompression-spans")
     discard(matched)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import discard, partitions, row_chunks, saved, shared_dir, text_bytes, tidy
+from .common import buckets_of, discard, row_chunks, saved, shared_dir, text_bytes, tidy
 from .hashing import U64, gram_hashes
 
 WIDTH, GRAM, BATCHES = 100, 32, 4
@@ -135,9 +135,11 @@ class Levels:
 
     def __init__(self, spark, buckets: int, width: int):
         self.spark, self.buckets, self.width, self.digits = spark, buckets, width, {}
+        self.live: set[str] = set()
 
     def table(self, df: DataFrame) -> str:
         name = f"suffix_level_{uuid.uuid4().hex}"
+        self.live.add(name)
         df.repartition(self.buckets, "bucket").write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "bucket").saveAsTable(name)
         return name
 
@@ -147,6 +149,11 @@ class Levels:
 
     def drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
+        self.live.discard(name)
+
+    def clear(self) -> None:
+        for name in list(self.live):
+            self.drop(name)
 
     def insert(self, batch: DataFrame) -> None:
         """Scan against every level, newest first; carry while the digit is taken."""
@@ -229,17 +236,20 @@ def spans_of(packed: DataFrame, buckets: int, width: int, within: bool) -> DataF
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """(doc_id, spans): the stretches of each document that windows starting earlier cover; documents without any are left out."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = buckets_of(docs)
     edges = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001) if batches > 1 else []
     levels = Levels(spark, buckets, width)
     low = None
-    for high in [*sorted(set(edges)), None]:
-        part = docs if low is None else docs.where(F.col("doc_id") > int(low))
-        part = part if high is None else part.where(F.col("doc_id") <= int(high))
-        low = high
-        packed = part.mapInArrow(_index(width, gram, buckets), R.PACKED)
-        levels.insert(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sort(width), R.PACKED))
-    closed = levels.close()
+    try:
+        for high in [*sorted(set(edges)), None]:
+            part = docs if low is None else docs.where(F.col("doc_id") > int(low))
+            part = part if high is None else part.where(F.col("doc_id") <= int(high))
+            low = high
+            packed = part.mapInArrow(_index(width, gram, buckets), R.PACKED)
+            levels.insert(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sort(width), R.PACKED))
+        closed = levels.close()
+    finally:
+        levels.clear()
     torn = docs.join(torn_by_document(closed), "doc_id").mapInArrow(_torn_windows(width, buckets), R.PACKED)
     found = saved(spans_of(torn, buckets, width, True).unionByName(closed.where("kind = 1").mapInArrow(R.unpack_spans, R.SPANS)), "suffix-spans")
     discard(closed)

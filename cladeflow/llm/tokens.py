@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import flat_ranges, lists, partitions, row_chunks, shared_dir, text_bytes, tidy, word_bounds
+from .common import buckets_of, flat_ranges, lists, row_chunks, shared_dir, text_bytes, tidy, word_bounds
 from .hashing import U64, piece_hashes, same_pieces
 
 #: distinct units that a worker remembers (about 40 bytes each with its ids and its own bytes) before it starts anew
@@ -163,7 +163,8 @@ def _encode(path: str, end_id: int):
 def write_tokens(documents: DataFrame, vocabulary: str, path: str, end_id: int = 1, stride: int = 1000, stripe_mb: int = 16) -> None:
     """Write ORC files of (doc_id, row in the file, ids) under ``path``, file after file in ascending doc_id."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = docs.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share a doc_id, or have none, are dealt by how their texts begin
+    ordered = docs.repartitionByRange(buckets_of(docs), "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     encoded = ordered.mapInArrow(_encode(vocabulary, end_id), "doc_id long, row long, ids array<int>")
     (
         encoded.write.option("orc.compress", "ZSTD").option("orc.stripe.size", str(stripe_mb << 20)).option("orc.create.index", "true")

@@ -1,13 +1,14 @@
 """Operator 4, toxicity by cumulative-link ordinal regression.
 
 Severity has ordered grades 0 .. ``grades`` - 1. P(grade > k) = sigmoid(w . x - c_k) for ordered cuts c_k: all
-thresholds share the weights w over sparse word features. Labels that say toxic or not are graded first: toxic documents by
-how much of the words that set the toxic labels apart they hold, in equal parts. Features are words and their first bytes (stems), hashed, with log counts; those whose
+thresholds share the weights w over sparse word features. ``fit_ordinal`` takes graded labels. Labels that only say toxic or not, as here, hold no
+severity: they are graded first, toxic documents by how much of the words that set the toxic labels apart they hold, in equal parts. So of these scores P(grade > 0) is
+learned from labels, and the grades above order toxic documents by the weight of their toxic words, no more. Features are words and their first bytes (stems), hashed, with log counts; those whose
 share differs most between the classes are kept. The expected severity is the sum of P(grade > k).
 
 Fitting uses a bounded sample (``labelled`` rows at most, chosen by a hash of doc_id); all rows are scored.
 
-Rows: null text counts as empty and scores as a text without known words; labels other than 0 and 1, and contradicting ones, are left out. With
+Rows: null text counts as empty and scores as a text without known words; labels other than 0 and 1, and contradicting ones, are left out; of rows that share a doc_id the one that sorts first stands for the label. With
 labels of one class only, or none, everything scores 0 (or the top grade, if all labels are toxic). Repeated rows score alike. An
 empty table gives an empty result. Other columns are ignored.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import features as X
 from .common import tidy
-from .quality import known_labels, prepared
+from .quality import known_labels, one_each, prepared
 
 SIZE = 1 << 18
 
@@ -48,7 +49,7 @@ def features(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray | None = No
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b, data, offsets in X.rows_of(batches):
-        yield pa.record_batch([b.column("label"), *X.sparse_lists(features(data, offsets))], names=["label", "text_index", "text_value"])
+        yield pa.record_batch([b.column("doc_id"), b.column("label"), *X.sparse_lists(features(data, offsets))], names=["doc_id", "label", "text_index", "text_value"])
 
 
 def graded(x: X.Sparse, y: np.ndarray, kept: np.ndarray, odds: np.ndarray, grades: int) -> np.ndarray:
@@ -108,8 +109,8 @@ def fit_ordinal(x: X.Sparse, grade: np.ndarray, size: int, grades: int, steps: i
 def fit_toxicity(documents: DataFrame, labels: DataFrame, grades: int = 4, labelled: int = 10000, most: int = 512, seed: int = 13) -> Ordinal:
     docs = prepared(documents)
     known = X.bounded_sample(docs.select("doc_id").where("doc_id IS NOT NULL").distinct().join(known_labels(labels, "toxic"), "doc_id"), "doc_id", labelled, seed)
-    rows = docs.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])  # labelled rows of two numbers at most
-    table = rows.select("label", "text").mapInArrow(_extract, "label int, text_index array<int>, text_value array<float>").toArrow()
+    rows = one_each(docs.join(F.broadcast(known), "doc_id"))  # labelled rows of two numbers at most
+    table = rows.select("doc_id", "label", "text").mapInArrow(_extract, "doc_id long, label int, text_index array<int>, text_value array<float>").toArrow().sort_by("doc_id")
     y = table.column("label").to_numpy()
     none = np.zeros(0, np.int64)
     if not len(y) or y.min() == y.max():

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cladeflow.llm import chat, components, decontaminate, features, forest, metric_join, mixing, quality, recompression, suffix_dedup, toxicity
@@ -186,7 +187,7 @@ def jaccard_classes(rows, k, a, b):
     return {d: (len(sets[d]), top(d)) for d in sets}
 
 
-@pytest.mark.parametrize(("words", "similarity", "limit", "few"), [(3, (90, 100), 1024, 6), (5, (80, 100), 1024, 6), (2, (60, 100), 4, 2), (3, (90, 100), 3, 2)])
+@pytest.mark.parametrize(("words", "similarity", "limit", "few"), [(3, (90, 100), 64, 6), (5, (80, 100), 64, 6), (2, (60, 100), 4, 2), (3, (90, 100), 3, 2)])
 def test_jaccard(spark, monkeypatch, words, similarity, limit, few):
     rng = random.Random(9)
     rows = corpus(70, 5)
@@ -196,7 +197,8 @@ def test_jaccard(spark, monkeypatch, words, similarity, limit, few):
         for _ in range(i % 4):
             w[rng.randrange(80)] = f"v{rng.randrange(9)}"
         rows.append((1000 + i, " ".join(w), None, None, 1))
-    monkeypatch.setattr(metric_join, "LIMIT", limit)
+    monkeypatch.setattr(metric_join, "BASE", limit)
+    monkeypatch.setattr(metric_join, "BLOCK", limit)
     monkeypatch.setattr(metric_join, "FEW", few)
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in metric_join.jaccard_components(docs, words, similarity).collect()}
@@ -421,15 +423,25 @@ def test_mixing(spark):
     assert {r.source for r in mixing.mix_sources(docs, {"small": 1.0}).collect()} == {"small"}
     assert mixing.mix_sources(docs, {}).count() == 0 and mixing.mix_sources(docs.limit(0)).count() == 0
     assert mixing.mix_documents(docs).columns == docs.columns
-    with pytest.raises(ValueError, match="rename"):
-        mixing.mix_sources(docs.withColumn("copy", docs.doc_id))
+    clash = mixing.mix_sources(docs.withColumns({"copy": docs.doc_id, "rate": docs.text, "salt": docs.text, "table": docs.text}))
+    assert clash.columns == [*docs.columns, "_copy", "_rate", "salt", "table", "copy", "n_copies", "rate", "shuffle_key"]
+    assert all(r._copy == r.doc_id and r._rate == r.table == r.text for r in clash.collect())
+    assert mixing.mix_documents(docs.withColumn("n_copies", docs.text)).columns == [*docs.columns, "n_copies"]
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    """Beyond the bound of the broadcast the result is the same."""
+    docs = spark.createDataFrame([(i, f"t{i}", "en", f"s{i % 7}", 2) for i in range(300)], DOCS)
+    few = sorted(map(str, mixing.mix_sources(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert sorted(map(str, mixing.mix_sources(docs).collect())) == few
 
 
 def test_poisson(spark):
     from pyspark.sql import functions as F
 
-    rows = [(m, u) for m in (0.0, 0.1, 1.0, 7.5, 300.0) for u in (0.0, 0.3, 0.9, 0.999999)]
-    got = spark.createDataFrame(rows, "m double, u double").withColumn("n", mixing.poisson_quantile(F.col("m"), F.col("u"))).collect()
+    rows = [(m, u) for m in (0.0, 0.1, 1.0, 7.5, 300.0) for u in (0.0, 1e-12, 0.3, 0.9, 0.999999)]
+    got = spark.createDataFrame(rows, "m double, u double").withColumn("table", mixing.cumulative(F.col("m"))).withColumn("n", mixing.poisson_quantile(F.col("table"), F.col("u"))).collect()
     for r in got:
         p = total = math.exp(-r.m)
         n = 0
@@ -438,8 +450,8 @@ def test_poisson(spark):
             p *= r.m / n
             total += p
         assert r.n == n
-    big = spark.range(400).select(mixing.poisson_count(F.lit(2000.0), 1, F.col("id")).alias("n")).agg(F.avg("n"), F.var_samp("n")).first()
-    assert abs(big[0] - 2000) < 12 and 1300 < big[1] < 2900
+    big = spark.range(1).select(mixing.cumulative(F.lit(5000.0)).alias("table")).crossJoin(spark.range(400)).select(mixing.poisson_quantile(F.col("table"), mixing.uniform(1, F.col("id"))).alias("n")).agg(F.avg("n"), F.var_samp("n")).first()
+    assert abs(big[0] - 5000) < 20 and 3500 < big[1] < 7000
 
 
 def test_chat(spark):
@@ -522,6 +534,75 @@ def test_toxicity(spark):
     assert {r.toxic for r in toxicity.score_toxicity(docs, known.limit(0)).collect()} == {False}
 
 
+def sparse(rows, size, rng, each=6):
+    index = np.concatenate([np.sort(rng.choice(size, each, replace=False)) for _ in range(rows)]).astype(np.int32)
+    return features.Sparse(index, rng.random(rows * each).astype(np.float32) + 0.5, np.arange(rows + 1) * each)
+
+
+def dense(x, size):
+    out = np.zeros((len(x), size))
+    out[np.repeat(np.arange(len(x)), np.diff(x.offsets)), x.index] = x.value
+    return out
+
+
+def test_ordinal_grades():
+    """Planted grades: the shared weights and ordered cuts that drew them are found, and the loss is at its least."""
+    rng = np.random.default_rng(3)
+    x, true, cuts = sparse(4000, 30, rng), rng.standard_normal(30), np.array([-1.0, 1.0, 2.5])
+    z = dense(x, 30) @ true
+    grade = (z[:, None] + rng.logistic(size=(4000, 1)) > cuts).sum(1)
+    w, c = toxicity.fit_ordinal(x, grade, 30, 4, steps=600)
+    assert np.corrcoef(w, true)[0, 1] > 0.98 and (np.diff(c) > 0).all() and np.abs(c - cuts).max() < 0.35
+    expected = features.sigmoid((dense(x, 30) @ w)[:, None] - c).sum(1)
+    means = [expected[grade == g].mean() for g in range(4)]
+    assert means == sorted(means) and abs(expected.mean() - grade.mean()) < 0.02
+
+    def loss(w, c):
+        above = np.c_[np.ones(4000), features.sigmoid((dense(x, 30) @ w)[:, None] - c), np.zeros(4000)]
+        return -np.log(above[np.arange(4000), grade] - above[np.arange(4000), grade + 1]).mean()
+
+    assert all(loss(w, c) < loss(w + d, c) + 1e-4 for d in 0.1 * np.eye(30)) and all(loss(w, c) < loss(w, c + d) + 1e-4 for d in 0.1 * np.r_[np.eye(3), -np.eye(3)])
+
+
+def test_logistic():
+    """Gradient at the fitted weights, computed directly, is next to nothing."""
+    rng = np.random.default_rng(4)
+    x = sparse(3000, 20, rng)
+    d = np.c_[dense(x, 20), np.ones(3000)]
+    y = (rng.random(3000) < features.sigmoid(d @ rng.standard_normal(21))).astype(float)
+    w = features.fit_logistic(x, y, 20, steps=800)
+    assert np.abs(d.T @ (features.sigmoid(d @ w) - y) / 3000).max() < 2e-3
+    assert np.allclose(x.dot(w[:-1]), dense(x, 20) @ w[:-1], atol=1e-4) and np.allclose(x.back(y, 20), y @ dense(x, 20), atol=1e-2)
+
+
+def test_cotraining_exchange():
+    """Pseudo-labels pass between the views: a view without any telling label learns from the other's sure ones."""
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 900)
+    label = np.where(np.arange(900) < 300, y, -1).astype(np.int32)
+    text = [[int(v), 2 + int(rng.integers(50))] for v in y]
+    meta = [[int(v) if i >= 300 or i % 2 else 2 + int(rng.integers(50)), 2 + int(rng.integers(50))] for i, v in enumerate(y)]
+    table = pa.table({"label": pa.array(label), **{f"{n}_index": pa.array(r, pa.list_(pa.int32())) for n, r in (("text", text), ("meta", meta))}, **{f"{n}_value": pa.array([[1.0, 0.3]] * 900, pa.list_(pa.float32())) for n in ("text", "meta")}})
+    alone, together = (quality.co_train(table, rounds, 100) for rounds in (0, 3))
+    gap = lambda m: m.weights["meta"][1] - m.weights["meta"][0]
+    assert gap(together) > gap(alone)
+    for m in (alone, together):
+        views = {v: features.gathered(table, v) for v in ("text", "meta")}
+        p_text, p_meta, p = quality.score(m, views)
+        direct = [1 / (1 + np.exp(-np.clip(m.platt[v][0] * (np.array([[w[i] for i in r] for r in rows]) @ [1.0, 0.3] + w[-1]) + m.platt[v][1], -12, 12))) for v, rows, w in (("text", text, m.weights["text"]), ("meta", meta, m.weights["meta"]))]
+        assert np.allclose(p_text, direct[0], atol=1e-4) and np.allclose(p_meta, direct[1], atol=1e-4) and ((p > 0.5) == y)[300:].mean() > 0.97
+
+
+def test_repeated_labelled_rows(spark):
+    """Of several texts of a labelled doc_id one stands, whatever the order of the rows."""
+    rows, labels = labelled(120)
+    again = rows + [(i, "zz other text " * 5, "en", "s0", 1) for i in range(0, 120, 2)] + rows[:10] + [(7, None, None, None, None), (8, "long " * 60_000, "en", "s1", 1)]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for score in (quality.score_quality, toxicity.score_toxicity):
+        a, b = (sorted(map(str, score(spark.createDataFrame(r, DOCS).repartition(n), known).collect())) for r, n in ((again, 2), (again[::-1], 3)))
+        assert a == b and len(a) == len(again)
+
+
 def test_platt():
     rng = np.random.default_rng(0)
     y = (rng.random(800) < 0.4).astype(float)
