@@ -102,3 +102,14 @@ def same_pieces(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np
         on = equal & (left > 8)
         live, p, q, left = live[on], p[on] + 8, q[on] + 8, left[on] - 8
     return out
+
+
+def grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one of each distinct hash, number of each hash), numbered in ascending order."""
+    by = np.argsort(hashes)
+    if not len(by):
+        return by, by
+    new = np.r_[True, hashes[by[1:]] != hashes[by[:-1]]]
+    of = np.empty(len(by), np.int64)
+    of[by] = np.cumsum(new) - 1
+    return by[new], of

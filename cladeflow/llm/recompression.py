@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import buckets_of, discard, flat_ranges, row_chunks, saved, text_bytes, tidy, word_bounds
-from .hashing import U64, mix, piece_hashes, same_pieces, symbol_hashes
+from .common import buckets_of, discard, flat_ranges, row_chunks, saved, saved_by, text_bytes, tidy, word_bounds
+from .hashing import U64, grouped, mix, piece_hashes, same_pieces, symbol_hashes
 from .suffix_dedup import spans_of, torn_by_document, torn_of, unique_documents
 
 WIDTH = 50
@@ -72,15 +72,16 @@ def arrays_of(rows: pa.Table | pa.RecordBatch, fields: dict, at: int = 0) -> Arr
 
 
 def distinct_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of one of each distinct piece, number of each piece), numbered by hash or, should hashes collide, by bytes."""
-    _, one, of = np.unique(piece_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    """(place of one of each distinct piece, number of each piece), numbered by hash and, should hashes collide, by bytes."""
+    hashes = piece_hashes(data, starts, ends)
+    one, of = grouped(hashes)
     size = ends - starts
     same = size == size[one[of]]
     same[same] = same_pieces(data, starts[same], data, starts[one[of[same]]], size[same])
     if same.all():
         return one, of
     raw = data.tobytes()
-    _, one, of = np.unique(np.array([raw[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], object), return_index=True, return_inverse=True)
+    _, one, of = np.unique(np.array([int(h).to_bytes(8) + raw[x:y] for h, x, y in zip(hashes, starts.tolist(), ends.tolist(), strict=True)], object), return_index=True, return_inverse=True)
     return one, of
 
 
@@ -116,26 +117,28 @@ def _read(width: int):
 
 # ---- naming: chunks ask, buckets answer
 
-ASK = "bucket int, chunk long, at binary, a binary, b binary"
-ASK_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("at", "a", "b"))])
-ANSWER = "chunk long, at binary, name binary"
+ASK = "bucket int, chunk long, n int, a binary, b binary"
+ASK_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+ANSWER = "chunk long, bucket int, name binary"
 
 
 def key_hashes(k: Arrays) -> np.ndarray:
-    return mix(mix(k["s1"].view(U64)) + U64(3) * mix(k["s2"].view(U64)) + mix(k["n1"].astype(U64) << U64(32) | k["n2"].astype(U64)))
+    return mix(k["s1"].view(U64) * U64(0xA24BAED4963EE407) + (k["n1"].astype(U64) << U64(32) | k["n2"].astype(U64))) ^ mix(k["s2"].view(U64) * U64(0x9FB21C651E98DF25))
 
 
 def distinct_keys(k: Arrays) -> tuple[np.ndarray, np.ndarray]:
     """As distinct_pieces, of runs and pairs."""
-    _, one, of = np.unique(key_hashes(k), return_index=True, return_inverse=True)
+    hashes = key_hashes(k)
+    one, of = grouped(hashes)
     if all((v == v[one[of]]).all() for v in k.values()):
         return one, of
-    _, one, of = np.unique(np.stack([k[f].astype(np.int64) for f in KEY], 1), axis=0, return_index=True, return_inverse=True)
+    _, one, of = np.unique(np.stack([hashes, *(k[f].astype(U64) for f in KEY)], 1), axis=0, return_index=True, return_inverse=True)
     return one, of.ravel()
 
 
 def _ask(words: bool, buckets: int):
-    """What each chunk wants named, by bucket."""
+    """What each chunk wants named, by bucket. A chunk's things are in the order of their hashes, and buckets are ranges of hashes, so
+    a bucket's are next to each other, and the answers in the order of buckets are those to all."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,19 +148,19 @@ def _ask(words: bool, buckets: int):
                     got = arrays_of(whole, {"raw": np.uint8, "long": np.int32}, i)
                     ends = np.cumsum(got["long"], dtype=np.int64)
                     hashes = piece_hashes(got["raw"], ends - got["long"], ends)
+                    ends = np.r_[0, ends]
                 else:
                     got = arrays_of(whole, KEY, i)
                     hashes = key_hashes(got)
-                of = ((mix(hashes) >> U64(33)) % U64(buckets)).astype(np.int64)
-                by = np.argsort(of, kind="stable")
+                of = ((hashes >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+                cuts = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)] if len(of) else np.zeros(1, np.int64)
                 rows = []
-                for at in np.split(by, np.flatnonzero(np.diff(of[by])) + 1) if len(by) else ():
+                for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     if words:
-                        n = got["long"][at]
-                        a, b = got["raw"][flat_ranges(ends[at] - n, n)].tobytes(), R.planes(n)
+                        a, b = got["raw"][ends[x] : ends[y]].tobytes(), R.planes(got["long"][x:y])
                     else:
-                        a, b = (b"".join(R.planes(got[f][at]) for f in pair) for pair in (("s1", "n1"), ("s2", "n2")))
-                    rows.append((int(of[at[0]]), whole.column("chunk")[i].as_py(), R.planes(at.astype(np.int32)), a, b))
+                        a, b = (R.planes(got[s][x:y]) + R.planes(got[n][x:y]) for s, n in (("s1", "n1"), ("s2", "n2")))
+                    rows.append((int(of[x]), whole.column("chunk")[i].as_py(), y - x, a, b))
                 yield pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ASK_ARROW)], schema=ASK_ARROW)
 
     return run
@@ -169,7 +172,7 @@ def _answer(words: bool, level: int, buckets: int):
     @tidy
     def run(key: tuple, table: pa.Table) -> pa.Table:
         a, b = (table.column(c).to_pylist() for c in ("a", "b"))
-        count = np.array([len(x) // 4 for x in table.column("at").to_pylist()], np.int64)
+        count = table.column("n").to_numpy()
         if words:
             n = np.concatenate([R.unplanes(x, np.int32) for x in b]).astype(np.int64)
             ends = np.cumsum(n)
@@ -181,25 +184,23 @@ def _answer(words: bool, level: int, buckets: int):
                     got[s].append(R.unplanes(raw[: 8 * m], np.int64))
                     got[n].append(R.unplanes(raw[8 * m :], np.int32))
             _, of = distinct_keys({f: np.concatenate(v) for f, v in got.items()})
-        names = (level << 56) + of.astype(np.int64) * buckets + key[0].as_py()
-        return pa.table({"chunk": table.column("chunk"), "at": table.column("at"), "name": pa.array([R.planes(x) for x in np.split(names, np.cumsum(count)[:-1])], pa.binary())})
+        names = (level << 56) + of * buckets + key[0].as_py()
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "name": pa.array([R.planes(x) for x in np.split(names, np.cumsum(count)[:-1])], pa.binary())})
 
     return run
 
 
 def named(state: DataFrame, words: bool, level: int, least: int) -> DataFrame:
-    """(chunk, at, name): the answers to what the chunks of ``state`` ask."""
+    """(chunk, bucket, name): the answers to what the chunks of ``state`` ask."""
     total = state.agg(F.coalesce(F.sum("names"), F.lit(0))).first()[0]
     buckets = max(least, -(-int(total) // NAMES))
     asked = state.select("chunk", *(("raw", "long") if words else KEY)).mapInArrow(_ask(words, buckets), ASK)
     return asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer(words, level, buckets), ANSWER)
 
 
-def names_from(answers: pa.Table, count: int) -> np.ndarray:
-    out = np.zeros(count, np.int64)
-    for at, name in zip(answers.column("at").to_pylist(), answers.column("name").to_pylist(), strict=True):
-        out[R.unplanes(at, np.int32)] = R.unplanes(name, np.int64)
-    return out
+def names_from(answers: pa.Table) -> np.ndarray:
+    names = answers.column("name").to_pylist()
+    return np.concatenate([np.zeros(0, np.int64), *(R.unplanes(names[i], np.int64) for i in np.argsort(answers.column("bucket").to_numpy()))])
 
 
 # ---- rounds
@@ -213,7 +214,8 @@ def compressed(symbol: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.nda
     s, n = symbol[first], (last - first + 1).astype(np.int32)
     # a run hangs on the neighbours that differ from it
     start, lo, hi = start[first], lo[np.maximum(first - 1, 0)], hi[np.minimum(last + 1, len(symbol) - 1)]
-    coin = (mix(s.view(U64) ^ mix(n.astype(U64) + U64(level << 40))) >> U64(63)) == U64(1)
+    coin = s.view(U64) * U64(0xD1342543DE82EF95 + 2 * level) + n.astype(U64) * U64(0xA24BAED4963EE407)
+    coin = (coin ^ (coin >> U64(32))) * U64(0xD6E8FEB86659FD93) >> U64(63) == U64(1)
     word = s >= 0
     pair = np.zeros(len(s), bool)
     pair[:-1] = coin[:-1] & ~coin[1:] & word[:-1] & word[1:]
@@ -235,7 +237,7 @@ def compressed(symbol: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.nda
 def symbols_of(rows: pa.Table, answers: pa.Table, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """symbol, start, lo and hi of a chunk's state with the names of its keys put in."""
     s = arrays_of(rows, {f: kind for f, kind in STATE.items() if f not in KEY}, at)
-    names = names_from(answers, rows.column("names")[at].as_py())
+    names = names_from(answers)
     symbol = np.where(s["code"] >= 0, names[s["code"]], s["symbol"]) if len(names) else s["symbol"]
     start = np.cumsum(s["step"], dtype=np.int64) - s["step"]
     return symbol, start, start - s["before"], start + s["after"]
@@ -246,18 +248,16 @@ def _words(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
     w = arrays_of(rows, READ)
     ends = np.cumsum(w["size"] + 1)
     words = -1 - np.arange(int(ends[-1]) + 1, dtype=np.int64)
-    words[flat_ranges(ends - w["size"], w["size"])] = names_from(answers, rows.column("names")[0].as_py())[w["code"]]
+    words[flat_ranges(ends - w["size"], w["size"])] = names_from(answers)[w["code"]]
     return row_of(key[0].as_py(), 0, {"doc": w["doc"], "begin": w["begin"], "size": w["size"], "words": words})
 
 
 @tidy
-def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for i in range(whole.num_rows):
-            words = arrays_of(whole, {"words": np.int64}, i)["words"]
-            place = np.arange(len(words))
-            state = compressed(words, place, place, place + 1, 0)
-            yield from row_of(whole.column("chunk")[i].as_py(), len(state["s1"]), state).to_batches()
+def _first_round(key: tuple, rows: pa.Table) -> pa.Table:
+    words = arrays_of(rows, {"words": np.int64})["words"]
+    place = np.arange(len(words))
+    state = compressed(words, place, place, place + 1, 0)
+    return row_of(key[0].as_py(), len(state["s1"]), state)
 
 
 def _next_round(level: int):
@@ -302,11 +302,10 @@ def _close(width: int, buckets: int):
 
     @tidy
     def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        of_words = next(i for i in range(2) if rows.column("words")[i].is_valid)
-        w = arrays_of(rows, WORDS, of_words)
+        w = arrays_of(rows, WORDS)
         n = w["size"] - width + 1
         windows = flat_ranges(np.cumsum(w["size"] + 1) - w["size"], n)
-        at, called = anchors(*symbols_of(rows, answers, 1 - of_words), w["words"], windows, width)
+        at, called = anchors(*symbols_of(rows, answers), w["words"], windows, width)
         entries = R.entries_of(windows, at, called, np.repeat(w["doc"], n), flat_ranges(w["begin"], n), w["words"], width)
         return pa.Table.from_batches(list(R.packed_batches(iter([entries]), width, False, buckets)), R.PACKED_ARROW)
 
@@ -314,18 +313,21 @@ def _close(width: int, buckets: int):
 
 
 def matched_entries(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Repeated stretches (kind 1) and torn entries (kind 2) by what shares a symbol after rounds_for(width) rounds of naming, saved."""
+    """Repeated stretches (kind 1) and torn entries (kind 2) by what shares a symbol after rounds_for(width) rounds of naming, saved.
+
+    Chunks stay where they are: their tables are bucketed by chunk, so only questions and answers move."""
+    kept = lambda df, name, moved=True: saved_by(df, f"recompression-{name}", "chunk", buckets, moved)
 
     def met(state: DataFrame, words: bool, level: int, more: DataFrame | None = None):
-        left = state if more is None else state.unionByName(more, allowMissingColumns=True)
-        return left.groupBy("chunk").cogroup(named(state, words, level, buckets).groupBy("chunk"))
+        asked = named(state, words, level, buckets)
+        return (state if more is None else state.join(more.drop("names").hint("merge"), "chunk")).groupBy("chunk").cogroup(asked.groupBy("chunk"))
 
-    read = saved(docs.mapInArrow(_read(width), kinds(READ)), "recompression-read")
-    words = saved(met(read, True, 0).applyInArrow(_words, kinds(WORDS)), "recompression-words")
+    read = kept(docs.mapInArrow(_read(width), kinds(READ)), "read", False)
+    words = kept(met(read, True, 0).applyInArrow(_words, kinds(WORDS)), "words")
     discard(read)
-    state = saved(words.mapInArrow(_first_round, kinds(STATE)), "recompression-round")
+    state = kept(words.groupBy("chunk").applyInArrow(_first_round, kinds(STATE)), "round")
     for level in range(1, rounds_for(width)):
-        state, old = saved(met(state, False, level).applyInArrow(_next_round(level), kinds(STATE)), "recompression-round"), state
+        state, old = kept(met(state, False, level).applyInArrow(_next_round(level), kinds(STATE)), "round"), state
         discard(old)
     packed = met(state, False, rounds_for(width), words).applyInArrow(_close(width, buckets), R.PACKED)
     out = saved(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(R.matched(width, False, True), R.PACKED), "recompression-matched")
