@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import repeats as R
 from .common import buckets_of, discard, flat_ranges, row_chunks, saved, saved_by, text_bytes, tidy, word_bounds
 from .hashing import U64, grouped, mix, piece_hashes, same_pieces, symbol_hashes
-from .suffix_dedup import spans_of, torn_by_document, torn_of, unique_documents
+from .suffix_dedup import compare_windows, torn_by_document, torn_of, unique_documents
 
 WIDTH = 50
 #: bytes of text and words in a chunk, and words in a piece of a long document (pieces overlap by a window less a word)
@@ -313,7 +313,7 @@ def _close(width: int, buckets: int):
 
 
 def matched_entries(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Repeated stretches (kind 1) and torn entries (kind 2) by what shares a symbol after rounds_for(width) rounds of naming, saved.
+    """Repeated stretches (kind 1) and torn entries (kinds 2 and 3) by what shares a symbol after rounds_for(width) rounds of naming, saved.
 
     Chunks stay where they are: their tables are bucketed by chunk, so only questions and answers move."""
     kept = lambda df, name, moved=True: saved_by(df, f"recompression-{name}", "chunk", buckets, moved)
@@ -330,7 +330,7 @@ def matched_entries(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         state, old = kept(met(state, False, level).applyInArrow(_next_round(level), kinds(STATE)), "round"), state
         discard(old)
     packed = met(state, False, rounds_for(width), words).applyInArrow(_close(width, buckets), R.PACKED)
-    out = saved(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(R.matched(width, False, True), R.PACKED), "recompression-matched")
+    out = saved(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(R.matched(width, False), R.PACKED), "recompression-matched")
     discard(words)
     discard(state)
     return out
@@ -342,20 +342,18 @@ def matched_entries(docs: DataFrame, width: int, buckets: int) -> DataFrame:
 def _torn_words(width: int, buckets: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[R.Entries]:
-            for b in batches:
-                data, offsets = text_bytes(b.column("text"))
-                e, row = torn_of(b)
-                cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
-                for i, j in row_chunks(offsets, CHUNK // 4):
-                    if cuts[i] < cuts[j]:
-                        text = data[offsets[i] : offsets[j]]
-                        starts, ends, counts = word_bounds(text, offsets[i : j + 1] - offsets[i])
-                        part = R.take(e, np.arange(cuts[i], cuts[j]))
-                        base = np.r_[0, np.cumsum(counts)]
-                        yield R.windows_of(part, base[row[cuts[i] : cuts[j]] - i] + part["pos"], piece_hashes(text, starts, ends), width)
-
-        return R.packed_batches(parts(), width, False, buckets)
+        for b in batches:
+            data, offsets = text_bytes(b.column("text"))
+            e, row = torn_of(b)
+            cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
+            for i, j in row_chunks(offsets, CHUNK // 4):
+                if cuts[i] < cuts[j]:
+                    text = data[offsets[i] : offsets[j]]
+                    starts, ends, counts = word_bounds(text, offsets[i : j + 1] - offsets[i])
+                    names = piece_hashes(text, starts, ends)
+                    part, at = R.take(e, np.arange(cuts[i], cuts[j])), np.arange(max(0, len(names) - width + 1))
+                    base = np.r_[0, np.cumsum(counts)]
+                    yield R.content_batch(part, base[row[cuts[i] : cuts[j]] - i] + part["pos"], symbol_hashes(names, at, at + width), width, buckets)
 
     return run
 
@@ -364,8 +362,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, spans): stretches of words of each document covered by windows that start in a document with a smaller doc_id."""
     buckets = buckets_of(docs)
     matched = matched_entries(docs, width, buckets)
-    torn = docs.join(torn_by_document(matched), "doc_id").mapInArrow(_torn_words(width, buckets), R.PACKED)
-    found = saved(spans_of(torn, buckets, width, False).unionByName(matched.where("kind = 1").mapInArrow(R.unpack_spans, R.SPANS)), "recompression-spans")
+    torn = docs.join(torn_by_document(matched), "doc_id").mapInArrow(_torn_words(width, buckets), R.CONTENT)
+    found = saved(compare_windows(torn, buckets, U64, width, False).unionByName(matched.where("kind = 1").mapInArrow(R.unpack_spans, R.SPANS)), "recompression-spans")
     discard(matched)
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 

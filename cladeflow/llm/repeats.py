@@ -7,8 +7,8 @@ make one *entry* (doc_id, pos, n, symbol, print): ``pos`` is the first window's
 
 * an entry whose (symbol, print) occurs earlier repeats as a whole: all its windows do;
 * a symbol that has one print only needs nothing more;
-* for the others ("torn" entries, at the rims of repeats) the windows themselves are compared, each in the bucket of its own hash, so that
-  a symbol that many documents hold in different surroundings spreads over all buckets.
+* for the others ("torn" entries, at the rims of repeats) the windows themselves are compared, by hash: in the bucket of their symbol or, where
+  a symbol has over HOT torn entries (many documents hold it in different surroundings), each window in the bucket of its own hash.
 
 Entries travel as packed columns, one row for each bucket of symbols and batch of text, so a shuffled entry costs
 about 23 bytes, and copies inside a batch go no further than the batch: a passage in every document
@@ -25,7 +25,7 @@ import pyarrow as pa
 from .common import flat_ranges, tidy
 from .hashing import U64, mix, piece_hashes, symbol_hashes
 
-#: kind 0: entries; kind 1: repeated stretches (doc_id, start, end); kind 2: torn entries
+#: kind 0: entries; kind 1: repeated stretches (doc_id, start, end); kind 2: torn entries; kind 3: torn entries of hot symbols
 PACKED = "bucket int, kind int, n long, symbol binary, print binary, doc binary, pos binary, len binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in ("symbol", "print", "doc", "pos", "len"))])
 FIELDS = ("symbol", "print", "doc", "pos", "len")
@@ -173,26 +173,97 @@ def torn(e: Entries) -> np.ndarray:
     return kinds[group] > 1
 
 
-# ---- torn entries: window by window
-
-
-def windows_of(e: Entries, where: np.ndarray, sequence: np.ndarray, width: int) -> Entries:
-    """The windows of entries as entries of one window each, named by their contents; where: the entries' start in ``sequence``."""
-    n = e["len"].astype(np.int64)
-    at = flat_ranges(where, n)
-    hashes = piece_hashes if sequence.dtype == np.uint8 else symbol_hashes
-    return {"symbol": hashes(sequence, at, at + width), "print": hashes(sequence, at, at + width, 7), "doc": np.repeat(e["doc"], n), "pos": flat_ranges(e["pos"], n), "len": np.ones(len(at), np.int32)}
+# ---- torn entries: their own symbols, window by window
+
+CONTENT = "bucket int, doc binary, pos binary, len binary, symbol binary, content binary"
+CONTENT_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("doc", "pos", "len", "symbol", "content"))])
+
+
+#: torn entries of one symbol, beyond which their windows are dealt one by one
+HOT = 1000
+
+
+def single_windows(e: Entries, where: np.ndarray, values: np.ndarray, width: int) -> tuple[Entries, np.ndarray]:
+    """Entries, those of hot symbols as one for each window, named by the window's content; and where they start in ``values``."""
+    hot = e["hot"].astype(bool)
+    rest, part = take(e, np.flatnonzero(~hot)), {f: v[hot] for f, v in e.items()}
+    n = part["len"].astype(np.int64)
+    at = flat_ranges(where[hot], n)
+    name = piece_hashes(values, at, at + width) if values.dtype == np.uint8 else values[at]
+    alone = {"doc": np.repeat(part["doc"], n), "pos": flat_ranges(part["pos"], n), "len": np.ones(len(at), np.int32), "symbol": name}
+    return {f: np.concatenate([rest[f], alone[f]]) for f in alone}, np.concatenate([where[~hot], at])
+
+
+def content_batch(e: Entries, where: np.ndarray, values: np.ndarray, width: int, buckets: int) -> pa.RecordBatch:
+    """Packed rows of entries with the bytes they cover or, for 64-bit ``values``, the value of each window; where: their start in ``values``."""
+    e, where = single_windows(e, where, values, width)
+    rows = []
+    for bucket, _, part in bucketed(e | {"at": where}, buckets):
+        n = part["len"].astype(np.int64) + (width - 1 if values.dtype == np.uint8 else 0)
+        rows.append((bucket, *(planes(part[f]) for f in ("doc", "pos", "len", "symbol")), values[flat_ranges(part["at"], n)].tobytes()))
+    return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(CONTENT_ARROW)], schema=CONTENT_ARROW)
+
+
+def repeated_windows(table: pa.Table, kind: type, width: int, within: bool) -> Entries:
+    """Stretches covered by windows of torn entries that start earlier in another (or, within, the same) document.
+
+    kind: uint8 where rows carry bytes, uint64 where they carry the hash of each window."""
+    got: dict[str, list[np.ndarray]] = {f: [] for f in ("doc", "pos", "len", "symbol", "content")}
+    for i in range(table.num_rows):
+        for f in ("doc", "pos", "len", "symbol"):
+            got[f].append(unplanes(table.column(f)[i].as_py(), TYPES[f]))
+        got["content"].append(np.frombuffer(table.column("content")[i].as_py(), kind))
+    if not got["doc"]:
+        return merged(*[np.zeros(0, np.int64)] * 3)
+    e = {f: np.concatenate(v) for f, v in got.items()}
+    size = e["len"].astype(np.int64) + (width - 1 if kind is np.uint8 else 0)
+    begin = np.cumsum(size) - size
+    by = np.argsort(e["symbol"], kind="stable")
+    weight = np.cumsum(e["len"][by])
+    new = np.flatnonzero(np.r_[True, e["symbol"][by][1:] != e["symbol"][by][:-1]])
+    spans, at = [], 0
+    ends = np.r_[new[1:], len(by)]
+    while at < len(new):  # a good hundred thousand windows at a time, symbols whole
+        done = weight[new[at] - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(weight[ends - 1], done + 150_000, side="right")))
+        part = by[new[at] : ends[min(to, len(new)) - 1]]
+        at = to
+        n, cells = e["len"][part].astype(np.int64), size[part]
+        values = e["content"][flat_ranges(begin[part], cells)]
+        if kind is np.uint8:
+            start = flat_ranges(np.cumsum(cells) - cells, n)
+            values = piece_hashes(values, start, start + width)
+        key = values ^ mix(np.repeat(e["symbol"][part], n))
+        doc, pos = np.repeat(e["doc"][part], n), flat_ranges(e["pos"][part], n)
+        order = np.lexsort((pos, doc, key))
+        k, d = key[order], doc[order]
+        first = np.r_[True, k[1:] != k[:-1]]
+        if not within:
+            first = d == d[np.flatnonzero(first)][np.cumsum(first) - 1]
+        rest = order[~first]
+        spans.append(merged(doc[rest], pos[rest], pos[rest] + width))
+    return {f: np.concatenate([s[f] for s in spans]) for f in ("doc", "pos", "print")}
+
+
+def torn_rows(bucket: int, kept: Entries) -> list[tuple[int, int, Entries]]:
+    """Torn entries of a bucket (kind 2), those of hot symbols apart (kind 3)."""
+    part = take(kept, torn(kept))
+    if not len(part["doc"]):
+        return []
+    _, of, n = np.unique(part["symbol"], return_inverse=True, return_counts=True)
+    hot = n[of] > HOT
+    return [(bucket, kind, take(part, np.flatnonzero(hot == (kind == 3)))) for kind in (2, 3)]
 
 
-def matched(width: int, within: bool, torn_too: bool):
-    """Of all entries of a bucket: repeated stretches (kind 1) and, with ``torn_too``, torn entries (kind 2)."""
+def matched(width: int, within: bool):
+    """Of all entries of a bucket: repeated stretches (kind 1) and torn entries (kinds 2 and 3)."""
 
     @tidy
     def run(key: tuple, table: pa.Table) -> pa.Table:
         kept, spans = split_firsts(unpack(table, 0), within, width)
         old, bucket = unpack(table, 1), key[0].as_py()
         spans = merged(*(np.r_[spans[f].astype(np.int64), old[f].astype(np.int64)] for f in ("doc", "pos", "print")))
-        return pa.Table.from_batches([pack([(bucket, 1, spans), *([(bucket, 2, take(kept, torn(kept)))] if torn_too else [])])], PACKED_ARROW)
+        return pa.Table.from_batches([pack([(bucket, 1, spans), *torn_rows(bucket, kept)])], PACKED_ARROW)
 
     return run
 

@@ -124,7 +124,7 @@ def _scan(width: int, merge: bool, close: bool):
             at = at[at >= len(b["doc"])]
         kept = R.take(both, at)
         bucket = key[0].as_py()
-        rows = [(bucket, 1, found), (bucket, 2, R.take(kept, R.torn(kept))) if close else (bucket, 0, kept)]
+        rows = [(bucket, 1, found), *(R.torn_rows(bucket, kept) if close else [(bucket, 0, kept)])]
         return pa.Table.from_batches([R.pack(rows)], R.PACKED_ARROW)
 
     return run
@@ -170,7 +170,7 @@ class Levels:
         self.digits[digit] = new
 
     def close(self) -> DataFrame:
-        """Repeated stretches (kind 1) and torn entries (kind 2) of the whole family."""
+        """Repeated stretches (kind 1) and torn entries (kinds 2 and 3) of the whole family."""
         names = [self.digits[d] for d in sorted(self.digits)]
         while len(names) > 2:
             out = self.table(self.pair(names[0], names[1], merge=True))
@@ -190,47 +190,48 @@ def torn_entries(closed: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            e = R.unpack(b, 2)
-            if len(e["doc"]):
-                yield pa.record_batch([pa.array(e["doc"]), pa.array(e["pos"]), pa.array(e["len"]), pa.array(e["symbol"].view(np.int64))], names=["doc_id", "pos", "len", "symbol"])
+            for kind in (2, 3):
+                e = R.unpack(b, kind)
+                if len(e["doc"]):
+                    yield pa.record_batch([pa.array(e["doc"]), pa.array(e["pos"]), pa.array(e["len"]), pa.array(e["symbol"].view(np.int64)), pa.array(np.full(len(e["doc"]), kind == 3))], names=["doc_id", "pos", "len", "symbol", "hot"])
 
-    return closed.where("kind = 2").mapInArrow(rows, "doc_id long, pos long, len int, symbol long")
+    return closed.where("kind IN (2, 3)").mapInArrow(rows, "doc_id long, pos long, len int, symbol long, hot boolean")
+
+
+TORN = ("pos", "len", "symbol", "hot")
 
 
 def torn_by_document(closed: DataFrame) -> DataFrame:
-    return torn_entries(closed).groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("pos", "len", "symbol")))
+    return torn_entries(closed).groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in TORN))
 
 
 def torn_of(batch: pa.RecordBatch) -> tuple[R.Entries, np.ndarray]:
     """Entries of a batch of documents joined with torn_by_document, and the row of each."""
-    cols = {c: batch.column(c) for c in ("pos", "len", "symbol")}
+    cols = {c: batch.column(c) for c in TORN}
     n = np.diff(cols["pos"].offsets.to_numpy())
     row = np.repeat(np.arange(len(n)), n)
     flat = {c: v.flatten().to_numpy(zero_copy_only=False) for c, v in cols.items()}
     ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-    return {"doc": ids[row], "pos": flat["pos"].astype(np.int64), "len": flat["len"].astype(np.int32), "symbol": np.ascontiguousarray(flat["symbol"]).view(U64)}, row
+    return {"doc": ids[row], "pos": flat["pos"].astype(np.int64), "len": flat["len"].astype(np.int32), "symbol": np.ascontiguousarray(flat["symbol"]).view(U64), "hot": flat["hot"]}, row
 
 
-def _torn_windows(width: int, buckets: int):
+def _torn_bytes(width: int, buckets: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[R.Entries]:
-            for b in batches:
-                data, offsets = text_bytes(b.column("text"))
-                e, row = torn_of(b)
-                for i in range(0, len(row), 2000):
-                    part = R.take(e, np.arange(i, min(i + 2000, len(row))))
-                    yield R.windows_of(part, offsets[row[i : i + 2000]] + part["pos"], data, width)
-
-        return R.packed_batches(parts(), width, True, buckets)
+        for b in batches:
+            data, offsets = text_bytes(b.column("text"))
+            e, row = torn_of(b)
+            yield R.content_batch(e, offsets[row] + e["pos"], data, width, buckets)
 
     return run
 
 
-def spans_of(packed: DataFrame, buckets: int, width: int, within: bool) -> DataFrame:
-    """(doc_id, start, end) that repeated windows, packed by bucket, cover."""
-    met = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(R.matched(width, within, False), R.PACKED)
-    return met.mapInArrow(R.unpack_spans, R.SPANS)
+def compare_windows(content: DataFrame, buckets: int, kind: type, width: int, within: bool) -> DataFrame:
+    @tidy
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([R.span_batch(R.repeated_windows(table, kind, width, within))], R.SPANS_ARROW)
+
+    return content.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, R.SPANS)
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -250,8 +251,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
         closed = levels.close()
     finally:
         levels.clear()
-    torn = docs.join(torn_by_document(closed), "doc_id").mapInArrow(_torn_windows(width, buckets), R.PACKED)
-    found = saved(spans_of(torn, buckets, width, True).unionByName(closed.where("kind = 1").mapInArrow(R.unpack_spans, R.SPANS)), "suffix-spans")
+    torn = docs.join(torn_by_document(closed), "doc_id").mapInArrow(_torn_bytes(width, buckets), R.CONTENT)
+    found = saved(compare_windows(torn, buckets, np.uint8, width, True).unionByName(closed.where("kind = 1").mapInArrow(R.unpack_spans, R.SPANS)), "suffix-spans")
     discard(closed)
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 

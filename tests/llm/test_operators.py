@@ -48,6 +48,24 @@ def words_of(text):
     return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
 
 
+def test_hot_symbols():
+    """Windows of hot symbols meet by their own content; the stretches found are the same."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(97, 100, 160).astype(np.uint8)
+    data = np.concatenate([np.r_[base[k % 7 :], rng.integers(97, 123, 40).astype(np.uint8)] for k in range(30)])
+    size = np.array([160 - k % 7 + 40 for k in range(30)])
+    start = np.cumsum(size) - size
+    e = {"doc": np.arange(30), "pos": np.zeros(30, np.int64), "len": (size - 99).astype(np.int32), "symbol": np.full(30, 5, np.uint64)}
+    found = []
+    for hot in (np.zeros(30, bool), np.ones(30, bool), np.arange(30) % 1 == 0):
+        table = pa.Table.from_batches([R.content_batch(e | {"hot": hot}, start, data, 100, 3)])
+        s = R.repeated_windows(table, np.uint8, 100, True)
+        s = R.merged(s["doc"], s["pos"], s["print"])
+        found.append({f: v.tolist() for f, v in s.items()})
+        assert len({*table.column("bucket").to_pylist()}) == (3 if hot.all() else 1)
+    assert found[0] == found[1] == found[2] and len(found[0]["doc"]) >= 23
+
+
 @pytest.mark.parametrize("batches", [1, 4, 5])
 def test_suffix_dedup(spark, docs, batches):
     got = {r.doc_id: r for r in suffix_dedup.dedup_substrings(docs, batches=batches).collect()}
