@@ -35,19 +35,21 @@ from .suffix_dedup import compare_windows, torn_by_document, torn_of, unique_doc
 
 WIDTH = 50
 #: bytes of text and words in a chunk, and words in a piece of a long document (pieces overlap by a window less a word)
-CHUNK, CHUNK_WORDS, SEGMENT = 2_000_000, 1 << 19, 1 << 16
+CHUNK, CHUNK_WORDS, SEGMENT = 1_000_000, 1 << 18, 1 << 16
 #: names that a bucket hands out, about
 NAMES = 1_000_000
+#: names of different rounds differ: a name is a multiple of it and the round
+NAMINGS = 16
 
 Arrays = dict[str, np.ndarray]
 #: of a chunk: its pieces, and their words as places among the chunk's distinct words
 READ = {"doc": np.int64, "begin": np.int64, "size": np.int64, "code": np.int32, "raw": np.uint8, "long": np.int32}
-#: of a chunk: its pieces, and their named words with a separator before, between and after them
+#: of a chunk: its pieces, and their named words
 WORDS = {"doc": np.int64, "begin": np.int64, "size": np.int64, "words": np.int64}
-#: a run, or a pair of runs: symbols and how often they stand
+#: a run, or a pair of runs: symbols (the second one's number and 1, or 0) and how often they stand
 KEY = {"s1": np.int64, "n1": np.int32, "s2": np.int64, "n2": np.int32}
-#: of a chunk's symbols: words to the next one, words of context before and after their start, the place of their key among
-#: the chunk's keys or, where that is -1, the symbol itself
+#: of a chunk's symbols: words to the next one, words of context before and after their start, and 0 for a separator, 1 for one of ``symbol``
+#: (in their order), or 2 and the place of their key among the chunk's keys
 STATE = {"step": np.int32, "before": np.int32, "after": np.int32, "code": np.int32, "symbol": np.int64, **KEY}
 
 
@@ -60,12 +62,28 @@ def kinds(fields: dict) -> str:
     return "chunk long, names long, " + ", ".join(f"`{f}` binary" for f in fields)
 
 
+def to_bytes(x: np.ndarray) -> bytes:
+    """Numbers from 0 on as planes of their bytes, as many as the largest one needs, after the number of planes."""
+    planes = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    parts = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize)
+    return bytes([planes]) + b"".join(parts[:, i].tobytes() for i in range(planes))
+
+
+def from_bytes(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], (len(raw) - 1) // raw[0])
+    out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+    for i, plane in enumerate(planes):
+        out[:, i] = plane
+    return out.view(kind).reshape(-1)
+
+
 def row_of(chunk: int, names: int, arrays: Arrays) -> pa.Table:
-    return pa.table({"chunk": pa.array([chunk], pa.int64()), "names": pa.array([names], pa.int64()), **{f: pa.array([R.planes(v)], pa.binary()) for f, v in arrays.items()}})
+    raw = {f: R.planes(v) if f == "doc" else to_bytes(v) for f, v in arrays.items()}  # ids may be negative
+    return pa.table({"chunk": pa.array([chunk], pa.int64()), "names": pa.array([names], pa.int64()), **{f: pa.array([x], pa.binary()) for f, x in raw.items()}})
 
 
 def arrays_of(rows: pa.Table | pa.RecordBatch, fields: dict, at: int = 0) -> Arrays:
-    return {f: R.unplanes(rows.column(f)[at].as_py(), kind) for f, kind in fields.items()}
+    return {f: (R.unplanes if f == "doc" else from_bytes)(rows.column(f)[at].as_py(), kind) for f, kind in fields.items()}
 
 
 # ---- words
@@ -77,7 +95,8 @@ def distinct_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
     one, of = grouped(hashes)
     size = ends - starts
     same = size == size[one[of]]
-    same[same] = same_pieces(data, starts[same], data, starts[one[of[same]]], size[same])
+    long = np.flatnonzero(same & (size > 8))  # hashes of up to eight bytes differ where the bytes do
+    same[long] = same_pieces(data, starts[long], data, starts[one[of[long]]], size[long])
     if same.all():
         return one, of
     raw = data.tobytes()
@@ -117,8 +136,8 @@ def _read(width: int):
 
 # ---- naming: chunks ask, buckets answer
 
-ASK = "bucket int, chunk long, n int, a binary, b binary"
-ASK_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+ASK = "bucket int, chunk long, n int, s1 binary, n1 binary, s2 binary, n2 binary, raw binary, long binary"
+ASK_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), *((f, pa.binary()) for f in (*KEY, "raw", "long"))])
 ANSWER = "chunk long, bucket int, name binary"
 
 
@@ -156,12 +175,9 @@ def _ask(words: bool, buckets: int):
                 cuts = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)] if len(of) else np.zeros(1, np.int64)
                 rows = []
                 for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    if words:
-                        a, b = got["raw"][ends[x] : ends[y]].tobytes(), R.planes(got["long"][x:y])
-                    else:
-                        a, b = (R.planes(got[s][x:y]) + R.planes(got[n][x:y]) for s, n in (("s1", "n1"), ("s2", "n2")))
-                    rows.append((int(of[x]), whole.column("chunk")[i].as_py(), y - x, a, b))
-                yield pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ASK_ARROW)], schema=ASK_ARROW)
+                    part = {"raw": got["raw"][ends[x] : ends[y]], "long": got["long"][x:y]} if words else {f: got[f][x:y] for f in KEY}
+                    rows.append({"bucket": int(of[x]), "chunk": whole.column("chunk")[i].as_py(), "n": y - x, **{f: to_bytes(v) for f, v in part.items()}})
+                yield pa.record_batch([pa.array([r.get(f.name) for r in rows], f.type) for f in ASK_ARROW], schema=ASK_ARROW)
 
     return run
 
@@ -171,21 +187,14 @@ def _answer(words: bool, level: int, buckets: int):
 
     @tidy
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        a, b = (table.column(c).to_pylist() for c in ("a", "b"))
-        count = table.column("n").to_numpy()
+        got = {f: np.concatenate([from_bytes(x, kind) for x in table.column(f).to_pylist()]) for f, kind in ({"raw": np.uint8, "long": np.int32} if words else KEY).items()}
         if words:
-            n = np.concatenate([R.unplanes(x, np.int32) for x in b]).astype(np.int64)
-            ends = np.cumsum(n)
-            _, of = distinct_pieces(np.frombuffer(b"".join(a), np.uint8), ends - n, ends)
+            ends = np.cumsum(got["long"], dtype=np.int64)
+            _, of = distinct_pieces(got["raw"], ends - got["long"], ends)
         else:
-            got: dict[str, list[np.ndarray]] = {f: [] for f in KEY}
-            for side, (s, n) in ((a, ("s1", "n1")), (b, ("s2", "n2"))):
-                for raw, m in zip(side, count.tolist(), strict=True):
-                    got[s].append(R.unplanes(raw[: 8 * m], np.int64))
-                    got[n].append(R.unplanes(raw[8 * m :], np.int32))
-            _, of = distinct_keys({f: np.concatenate(v) for f, v in got.items()})
-        names = (level << 56) + of * buckets + key[0].as_py()
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "name": pa.array([R.planes(x) for x in np.split(names, np.cumsum(count)[:-1])], pa.binary())})
+            _, of = distinct_keys(got)
+        names = (of * buckets + key[0].as_py()) * NAMINGS + level
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "name": pa.array([to_bytes(x) for x in np.split(names, np.cumsum(table.column("n").to_numpy())[:-1])], pa.binary())})
 
     return run
 
@@ -200,7 +209,7 @@ def named(state: DataFrame, words: bool, level: int, least: int) -> DataFrame:
 
 def names_from(answers: pa.Table) -> np.ndarray:
     names = answers.column("name").to_pylist()
-    return np.concatenate([np.zeros(0, np.int64), *(R.unplanes(names[i], np.int64) for i in np.argsort(answers.column("bucket").to_numpy()))])
+    return np.concatenate([np.zeros(0, np.int64), *(from_bytes(names[i], np.int64) for i in np.argsort(answers.column("bucket").to_numpy()))])
 
 
 # ---- rounds
@@ -224,21 +233,23 @@ def compressed(symbol: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.nda
     after, before = np.minimum(at + 1, len(s) - 1), np.maximum(at - 1, 0)
     # a left symbol hangs on what follows it, a right one on what it follows
     lo, hi, start = np.where(left, lo[at], lo[before]), np.where(left, hi[after], hi[at]), start[at]
-    key = {"s1": s[at], "n1": n[at], "s2": np.where(two, s[after], -1), "n2": np.where(two, n[after], 0).astype(np.int32)}
-    new = (two | (key["n1"] > 1)) & word[at]
-    key = {f: v[new] for f, v in key.items()}
+    new = (two | (n[at] > 1)) & word[at]
+    first, two, after = at[new], two[new], after[new]
+    key = {"s1": s[first], "n1": n[first], "s2": np.where(two, s[after] + 1, 0), "n2": np.where(two, n[after], 0).astype(np.int32)}
     one, of = distinct_keys(key)
-    code = np.full(len(at), -1, np.int32)
-    code[new] = of
+    code = word[at].astype(np.int32)
+    code[new] = of + 2
     small = lambda x: x.astype(np.int32)
-    return {"step": small(np.diff(np.r_[start, length])), "before": small(start - lo), "after": small(hi - start), "code": code, "symbol": np.where(new, 0, s[at]), **{f: v[one] for f, v in key.items()}}
+    return {"step": small(np.diff(np.r_[start, length])), "before": small(start - lo), "after": small(hi - start), "code": code, "symbol": s[at[code == 1]], **{f: v[one] for f, v in key.items()}}
 
 
 def symbols_of(rows: pa.Table, answers: pa.Table, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """symbol, start, lo and hi of a chunk's state with the names of its keys put in."""
     s = arrays_of(rows, {f: kind for f, kind in STATE.items() if f not in KEY}, at)
-    names = names_from(answers)
-    symbol = np.where(s["code"] >= 0, names[s["code"]], s["symbol"]) if len(names) else s["symbol"]
+    code, names = s["code"], names_from(answers)
+    symbol = -1 - np.cumsum(code == 0)  # separators differ from each other
+    symbol[code == 1] = s["symbol"]
+    symbol[code > 1] = names[code[code > 1] - 2]
     start = np.cumsum(s["step"], dtype=np.int64) - s["step"]
     return symbol, start, start - s["before"], start + s["after"]
 
@@ -246,16 +257,21 @@ def symbols_of(rows: pa.Table, answers: pa.Table, at: int = 0) -> tuple[np.ndarr
 @tidy
 def _words(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
     w = arrays_of(rows, READ)
-    ends = np.cumsum(w["size"] + 1)
-    words = -1 - np.arange(int(ends[-1]) + 1, dtype=np.int64)
-    words[flat_ranges(ends - w["size"], w["size"])] = names_from(answers)[w["code"]]
-    return row_of(key[0].as_py(), 0, {"doc": w["doc"], "begin": w["begin"], "size": w["size"], "words": words})
+    return row_of(key[0].as_py(), 0, {"doc": w["doc"], "begin": w["begin"], "size": w["size"], "words": names_from(answers)[w["code"]]})
+
+
+def separated(words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The words of pieces of these sizes with a separator before, between and after them."""
+    ends = np.cumsum(size + 1)
+    out = -1 - np.arange(int(ends[-1]) + 1, dtype=np.int64)
+    out[flat_ranges(ends - size, size)] = words
+    return out
 
 
 @tidy
 def _first_round(key: tuple, rows: pa.Table) -> pa.Table:
-    words = arrays_of(rows, {"words": np.int64})["words"]
-    place = np.arange(len(words))
+    words = separated(**arrays_of(rows, {"words": np.int64, "size": np.int64}))
+    place = np.arange(len(words), dtype=np.int32)
     state = compressed(words, place, place, place + 1, 0)
     return row_of(key[0].as_py(), len(state["s1"]), state)
 
@@ -305,8 +321,9 @@ def _close(width: int, buckets: int):
         w = arrays_of(rows, WORDS)
         n = w["size"] - width + 1
         windows = flat_ranges(np.cumsum(w["size"] + 1) - w["size"], n)
-        at, called = anchors(*symbols_of(rows, answers), w["words"], windows, width)
-        entries = R.entries_of(windows, at, called, np.repeat(w["doc"], n), flat_ranges(w["begin"], n), w["words"], width)
+        words = separated(w["words"], w["size"])
+        at, called = anchors(*symbols_of(rows, answers), words, windows, width)
+        entries = R.entries_of(windows, at, called, np.repeat(w["doc"], n), flat_ranges(w["begin"], n), words, width)
         return pa.Table.from_batches(list(R.packed_batches(iter([entries]), width, False, buckets)), R.PACKED_ARROW)
 
     return run

@@ -108,7 +108,8 @@ def test_recompression_symbols():
         for k, state in enumerate(states):
             s = recompression.compressed(*state, level)
             ids = [names.setdefault((level, *key), 1000 * (level + 1) + len(names)) for key in zip(*(s[f].tolist() for f in recompression.KEY), strict=True)]
-            symbol = np.array([ids[c] if c >= 0 else x for c, x in zip(s["code"], s["symbol"], strict=True)])
+            plain = iter(s["symbol"].tolist())
+            symbol = np.array([ids[c - 2] if c > 1 else next(plain) if c else -1 - i for i, c in enumerate(s["code"].tolist())])
             start = np.cumsum(s["step"]) - s["step"]
             assert s["step"].sum() == len(sides[k]) and (np.diff(start - s["before"]) >= 0).all() and (np.diff(start + s["after"]) >= 0).all()
             states[k] = symbol, start, start - s["before"], start + s["after"]
