@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import matrices as M
 from ..functions import series as S
 from ..model import DETECTED
 from .packing import pack, pairs
@@ -20,27 +26,33 @@ def category(a: Column, b: Column) -> Column:
     return F.when(a["ever_fixed"] & b["ever_fixed"], both).when(a["ever_fixed"] | b["ever_fixed"], "oneFixed").otherwise("notFixed")
 
 
-def pair_table(long: DataFrame, dlimit: float = DETECTED, flimit: float = 0.97, blocks: int = 8) -> DataFrame:
-    """(population, a, b, category, l, r, span): pairs with both series and the valid range that their category asks for."""
-    met = pairs(flagged(pack(long), dlimit, flimit), blocks)
-    rows = met.select("population", F.col("a.label").alias("a"), F.col("b.label").alias("b"), category(F.col("a"), F.col("b")).alias("category"), F.col("a.fs").alias("l"), F.col("b.fs").alias("r"))
+def categorised(long: DataFrame, dlimit: float = DETECTED, flimit: float = 0.97) -> DataFrame:
+    """(population, a, b, category, l, r): pairs with both series."""
+    met = pairs(flagged(pack(long), dlimit, flimit))
+    return met.select("population", F.col("a.label").alias("a"), F.col("b.label").alias("b"), category(F.col("a"), F.col("b")).alias("category"), F.col("a.fs").alias("l"), F.col("b.fs").alias("r"))
+
+
+def pair_table(long: DataFrame, dlimit: float = DETECTED, flimit: float = 0.97) -> DataFrame:
+    """categorised with span, the valid range that the category asks for."""
     l, r = F.col("l"), F.col("r")
-    return rows.withColumn("span", F.when(F.col("category") == "oneFixed", S.valid_range(l, r, dlimit)).otherwise(S.valid_range(l, r, dlimit, masked=True)))
+    return categorised(long, dlimit, flimit).withColumn("span", F.when(F.col("category") == "oneFixed", S.valid_range(l, r, dlimit)).otherwise(S.valid_range(l, r, dlimit, masked=True)))
 
 
-def fixed_overlap(l: Column, r: Column, flimit: float) -> Column:
-    """0 where the fixed points of both are the same, and some; else null."""
-    at = lambda xs: F.filter(F.transform(xs, lambda x, i: F.when(x >= flimit, i)), lambda i: i.isNotNull())
-    return F.when((F.size(at(l)) > 0) & (at(l) == at(r)), 0.0)
+def distances(long: DataFrame, metric: str = "binomial", dlimit: float = DETECTED, flimit: float = 0.97) -> DataFrame:
+    """(population, a, b, distance) of each pair, null where the metric has no value: a batch of pairs is two matrices, see functions.matrices."""
+    found = M.metric(metric)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            width = M.width_of(b, "l", "r")
+            l, r = (M.matrix(b.column(c), width) for c in ("l", "r"))
+            kind = b.column("category")
+            one, only = (pc.equal(kind, k).to_numpy(zero_copy_only=False) for k in ("oneFixed", "onlyFixed"))
+            m = np.where(one[:, None], M.span(l, r, dlimit), M.span(l, r, dlimit, masked=True))
+            value = np.where(only, M.fixed_overlap(l, r, flimit), found(l, r, m))
+            yield pa.record_batch([*(b.column(c) for c in ("population", "a", "b")), pa.array(value, mask=np.isnan(value))], names=["population", "a", "b", "distance"])
 
-def distances(long: DataFrame, metric: str = "binomial", dlimit: float = DETECTED, flimit: float = 0.97, blocks: int = 8) -> DataFrame:
-    """(population, a, b, distance) of each pair, null where the metric has no value."""
-    found = S.metric(metric)
-    rows = pair_table(long, dlimit, flimit, blocks)
-    rows = rows.withColumn("x", S.cut(F.col("l"), F.col("span"))).withColumn("y", S.cut(F.col("r"), F.col("span")))
-    value = F.when(F.col("category") == "onlyFixed", fixed_overlap(F.col("l"), F.col("r"), flimit)).otherwise(found(F.col("x"), F.col("y")))
-    return rows.select("population", "a", "b", value.alias("distance"))
+    return categorised(long, dlimit, flimit).mapInArrow(run, "population string, a string, b string, distance double")
 
 
 def fill_missing(distance: DataFrame) -> DataFrame:
@@ -71,11 +83,27 @@ def square(distance: DataFrame) -> DataFrame:
     return own.groupBy("population", F.col("a").alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "distance"))), lambda x: x["distance"]).alias("row"))
 
 
-def similarity_cutoff(distance: DataFrame, quantile: float = 0.05) -> DataFrame:
-    """(population, cutoff): interpolated quantile of the distances above 0 and below the largest, each counted for both directions."""
+def similarity_cutoff(distance: DataFrame, quantile: float = 0.05, bins: int = 4096) -> DataFrame:
+    """(population, cutoff): interpolated quantile of the distances above 0 and below the largest, each counted for both directions.
+
+    Distances are counted by value in even bins; only the bins that hold the two ranks looked for are put in order, so no task sees all
+    distances of a population."""
     tops = distance.groupBy("population").agg(F.max("distance").alias("top"))
-    inner = distance.join(tops, "population").where("distance > 0 AND distance < top")
-    return both_ways(inner.select("population", "a", "b", "distance")).groupBy("population").agg(F.percentile("distance", F.lit(quantile)).alias("cutoff"))
+    place = F.least(F.floor(F.col("distance") / F.col("top") * bins), F.lit(bins - 1)).cast("int")
+    inner = distance.join(tops, "population").where("distance > 0 AND distance < top").select("population", place.alias("bin"), "distance")
+    values = inner.groupBy("population", "bin", "distance").agg(F.count(F.lit(1)).alias("n"))
+    counts = inner.groupBy("population", "bin").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("population"))
+    before = F.sum("n").over(Window.partitionBy("population").orderBy("bin")) - F.col("n")  # at most ``bins`` rows a population
+    rank = quantile * (2 * total - 1)  # in the list of both directions: value i stands at 2i and 2i + 1
+    at = counts.select("population", "bin", "n", before.alias("before"), rank.alias("rank"))
+    low, high = F.floor(F.floor("rank") / 2), F.floor(F.ceil("rank") / 2)
+    held = at.where((low >= F.col("before")) & (low < F.col("before") + F.col("n")) | (high >= F.col("before")) & (high < F.col("before") + F.col("n")))
+    w = Window.partitionBy("population", "bin").orderBy("distance")
+    rows = values.join(held.select("population", "bin", "before", "rank"), ["population", "bin"]).withColumn("end", F.col("before") + F.sum("n").over(w))
+    holds = lambda k: (k < F.col("end")) & (k >= F.col("end") - F.col("n"))
+    found = rows.groupBy("population").agg(F.max("rank").alias("rank"), F.max(F.when(holds(low), F.col("distance"))).alias("l"), F.max(F.when(holds(high), F.col("distance"))).alias("h"))
+    return found.select("population", (F.col("l") + (F.col("rank") - F.floor("rank")) * (F.col("h") - F.col("l"))).alias("cutoff"))
 
 
 def histogram(distance: DataFrame, bins: int = 20) -> DataFrame:

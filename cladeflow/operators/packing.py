@@ -23,18 +23,28 @@ def complete(long: DataFrame, times: list[int]) -> DataFrame:
     return grid.join(long, ["population", "label", "t"], "left").select("population", "label", "t", F.coalesce("freq", F.lit(0.0)).alias("freq"))
 
 
-def pairs(rows: DataFrame, blocks: int = 8, order: str = "label") -> DataFrame:
+#: rows of a population in a block, about: a task joins some pairs of blocks
+BLOCK = 256
+
+
+def pairs(rows: DataFrame, order: str = "label", block: int = BLOCK) -> DataFrame:
     """Each unordered pair of rows of a population once: (population, a, b), structs of the rows, a before b in ``order``.
 
-    Rows are dealt to blocks by hash and meet in pairs of blocks: an equi-join whose work spreads over blocks * (blocks + 1) / 2
-    keys a population (times populations), each row copied ``blocks`` times, instead of a nested loop over broadcast rows."""
-    block = F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int")
+    Rows are dealt by hash to blocks of about ``block`` rows and meet in pairs of blocks: an equi-join on the pair of blocks, each row being
+    copied once for each block of its population. The keys are dealt to a set number of tasks, which adaptive execution leaves as
+    they are: rows are few and small beside the pairs that they make."""
+    sizes = rows.groupBy("population").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    blocked = rows.join(sizes, "population").withColumn("mine", F.pmod(F.xxhash64(order), F.col("blocks").cast("long")).cast("int"))
     row = F.struct(*[c for c in rows.columns if c != "population"])
-    dealt = rows.select("population", block.alias("mine"), row.alias("row")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keyed = dealt.select("population", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "row")
-    left, right = keyed.alias("x"), keyed.alias("y")
-    met = left.join(right, (F.col("x.population") == F.col("y.population")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high")) & (F.col(f"x.row.{order}") < F.col(f"y.row.{order}")) & ((F.col("x.mine") != F.col("y.mine")) | (F.col("x.low") == F.col("x.high"))))
-    return met.select("x.population", F.col("x.row").alias("a"), F.col("y.row").alias("b"))
+    dealt = blocked.select("population", "mine", row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = F.xxhash64("population", F.least("mine", "other"), F.greatest("mine", "other"))
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    keyed = dealt.select("population", "mine", "other", "row", met.alias("met")).repartition(tasks, "met")
+    left, right = keyed.alias("x"), keyed.alias("y").hint("shuffle_hash")
+    # one join key, the one the rows are dealt by; the rest (a key may stand for two pairs of blocks) is put so that it makes no other keys
+    blocks = (F.col("x.mine") - F.col("y.other") == 0) & (F.col("x.other") - F.col("y.mine") == 0) & F.array_contains(F.array("x.population"), F.col("y.population"))
+    return left.join(right, (F.col("x.met") == F.col("y.met")) & (F.col(f"x.row.{order}") < F.col(f"y.row.{order}")) & blocks).select("x.population", F.col("x.row").alias("a"), F.col("y.row").alias("b"))
 
 
 def pair_count(n: int) -> int:

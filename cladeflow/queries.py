@@ -172,11 +172,12 @@ _BINOMIAL = distance_sql(BINOMIAL).rstrip()
 
 @query(_BINOMIAL + ",\n" + _FILLED + " SELECT a, b, round(distance, 6) AS distance FROM filled")
 def distance_filled(spark, sf_dir):
-    return rounded(distances.fill_missing(distances.distances(adapters.user_events(spark, sf_dir))), "distance")
+    return rounded(_filled(spark, sf_dir), "distance")
 
 
 def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distances.fill_missing(distances.distances(adapters.user_events(spark, sf_dir)))
+    """Distances that later steps read several times, computed once."""
+    return distances.fill_missing(settled(distances.distances(adapters.user_events(spark, sf_dir))))
 
 
 @query(_BINOMIAL + ",\n" + _FILLED + ", inner_ AS (SELECT distance FROM filled WHERE distance > 0 AND distance < (SELECT max(distance) FROM filled)) SELECT round(quantile_cont(distance, 0.05), 6) AS cutoff FROM (SELECT * FROM inner_ UNION ALL SELECT * FROM inner_)")
@@ -255,7 +256,7 @@ def ward_linkage(spark, sf_dir):
 
 @query()
 def ward_members(spark, sf_dir):
-    found = _filled(spark, sf_dir).persist()
+    found = _filled(spark, sf_dir)
     return clustering.cluster(found, distances.similarity_cutoff(found)).drop("population")
 
 

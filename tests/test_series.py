@@ -3,9 +3,11 @@
 import math
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from cladeflow.functions import labels as L
+from cladeflow.functions import matrices as M
 from cladeflow.functions import series as S
 from cladeflow.model import Options, parse_frequencies
 from cladeflow.operators import abundance, annotations, clustering, detection, distances, packing, ranking, scoring, trees
@@ -124,36 +126,49 @@ def test_score_greater(spark, left, right, expected):
 
 @pytest.mark.parametrize(("left", "right", "expected"), FIXED)
 def test_score_fixed(spark, left, right, expected):
-    rows = pair(spark, left, right).withColumns({"x": F.col("l"), "y": F.col("r")})
-    assert scoring._fixed(rows, 0.03, 0.97, 0.05).first().score_fixed == expected
+    assert scoring.scored(pair(spark, left, right)).first().score_fixed == expected
 
 
-def test_metrics(spark):
+def one(f, l, r, *more, **options):
+    l, r = (np.array([x], float) for x in (l, r))
+    return f(l, r, np.ones(l.shape, bool), *more, **options)[0]
+
+
+def test_metrics():
     l, r = [0.1, 0.4, 0.9], [0.2, 0.2, 0.7]
-    assert value(spark, l, r, S.minkowski) == pytest.approx(0.3)
+    assert one(M.minkowski, l, r) == pytest.approx(0.3)
     n, ml, mr = 3, sum(l) / 3, sum(r) / 3
     c = sum((a - ml) * (b - mr) for a, b in zip(l, r)) / math.sqrt(sum((a - ml) ** 2 for a in l) * sum((b - mr) ** 2 for b in r))
-    assert value(spark, l, r, lambda x, y: S.pearson(x, y, False)) == pytest.approx(1 - c)
-    assert value(spark, l, r, S.pearson) == pytest.approx(1 - c * (1 + (1 - c * c) / (2 * n)))
-    b = value(spark, l, r, S.binomial)
-    assert value(spark, l, r, S.binomial_probability) == pytest.approx(math.erf(b))
-    assert value(spark, l, r, S.combined) == pytest.approx(2 * value(spark, l, r, S.pearson) + value(spark, l, r, S.minkowski))
-    assert value(spark, [], [], S.binomial) is None and value(spark, [0.5, 0.5], [0.1, 0.4], S.pearson) is None
-    assert value(spark, [1, 1], [1, 1], S.binomial) is None
-    for x in (0.01, 0.5, 1.0, 2.5, 5.0, 7.0):
-        assert spark.range(1).select(S.erf(F.lit(x)).alias("v")).first().v == pytest.approx(math.erf(x), abs=1e-13)
+    assert one(M.pearson, l, r, adjusted=False) == pytest.approx(1 - c)
+    assert one(M.pearson, l, r) == pytest.approx(1 - c * (1 + (1 - c * c) / (2 * n)))
+    b = one(M.binomial, l, r)
+    assert one(M.binomial_probability, l, r) == pytest.approx(math.erf(b))
+    assert one(M.combined, l, r) == pytest.approx(2 * one(M.pearson, l, r) + one(M.minkowski, l, r))
+    assert math.isnan(one(M.binomial, [], [])) and math.isnan(one(M.pearson, [0.5, 0.5], [0.1, 0.4])) and math.isnan(one(M.binomial, [1, 1], [1, 1]))
+    for name, f in M.METRICS.items():  # a mask counts its points alone
+        far = np.array([[9.0, *l, 7.0]]), np.array([[3.0, *r, 0.0]])
+        assert f(*far, np.array([[False, True, True, True, False]]))[0] == pytest.approx(one(f, l, r)), name
     with pytest.raises(ValueError, match="not a metric"):
-        S.metric("other")
+        M.metric("other")
 
 
 def test_areas(spark):
     l, r = [0.2, 0.8, 0.2], [0.5, 0.5, 0.5]
     assert value(spark, l, r, lambda x, y: S.area(x)) == pytest.approx(1.0)
-    assert value(spark, l, r, S.common_area) == pytest.approx(2 * (0.5 * 0.35 + 0.5 * 0.5))
-    assert value(spark, [0.1, 0.1], [0.4, 0.4], S.jaccard) == pytest.approx(0.75)
-    assert value(spark, [0.4, 0.4], [0.1, 0.1], S.contains) is True
-    assert value(spark, [0.1, 0.1], [0.4, 0.4], S.contains) is False
-    assert value(spark, [0.3], [0.3], S.common_area) == 0 and value(spark, [], [], S.common_area) == 0
+    rows = lambda *x: [np.array([v], float) for v in x]
+    common = lambda l, r: M.curves_area(*(M.curve(x) for x in rows(l, r)))[0]
+    assert common(l, r) == pytest.approx(2 * (0.5 * 0.35 + 0.5 * 0.5)) and M.trapezoid(M.curve(*rows(l)))[0] == pytest.approx(1.0)
+    assert one(M.jaccard, [0.1, 0.1], [0.4, 0.4]) == pytest.approx(0.75)
+    assert M.contains(*rows([0.4, 0.4], [0.1, 0.1]))[0] and not M.contains(*rows([0.1, 0.1], [0.4, 0.4]))[0]
+    assert common([0.3], [0.3]) == 0 and common([], []) == 0
+
+
+def test_uneven_series(spark):
+    """Series of other lengths are compared with 0 where they lack points."""
+    rows = spark.createDataFrame([([0.1, 0.5, 0.6], [0.1, 0.2]), ([0.1], [0.3, 0.4, 0.2]), ([], [])], "l array<double>, r array<double>")
+    full = spark.createDataFrame([([0.1, 0.5, 0.6], [0.1, 0.2, 0.0]), ([0.1, 0.0, 0.0], [0.3, 0.4, 0.2]), ([0.0] * 3, [0.0] * 3)], "l array<double>, r array<double>")
+    plain = lambda df: [tuple(r)[2:] for r in scoring.scored(df).collect()]
+    assert plain(rows) == plain(full)
 
 
 def test_valid_range(spark):
