@@ -42,6 +42,9 @@ class Options:
     filter_consistency: float = 0.0
     filter_genotypes: bool = False
     strict: bool = False
+    name: str = "result"
+    palette: str = "lineage"
+    color_names: bool = True
     known_genotypes: list[list[str]] = field(default_factory=list)
     known_ancestry: dict[str, str] = field(default_factory=dict)
 

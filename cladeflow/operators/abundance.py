@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import DETECTED, ROOT, VISIBLE
+from .packing import placed
 from .trees import tour
 
 P = "population"
@@ -65,7 +66,7 @@ def ages(table: DataFrame) -> DataFrame:
     """(population, identity, age): place by first generation shown (the last one for those never shown), then by name."""
     last = F.max("generation").over(Window.partitionBy(P))
     seen = table.withColumn("last", last).where("abundance > 0 OR generation = last").groupBy(P, "identity").agg(F.min("generation").alias("first"))
-    return seen.select(P, "identity", F.row_number().over(Window.partitionBy(P).orderBy("first", "identity")).alias("age"))
+    return placed(seen, ["first"], ["identity"], "age").select(P, "identity", "age")
 
 
 def stacked_area(table: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def stacked_area(table: DataFrame, edges: DataFrame) -> DataFrame:
     rows = halves.join(order, [P, "identity"])
     gen = F.when(F.col("generation") == F.floor("generation"), F.col("generation").cast("long").cast("string")).otherwise(F.col("generation").cast("string"))
     out = rows.withColumn("unique_id", F.concat_ws("_", "group_id", gen))
-    return out.select(P, "generation", "identity", "abundance", "frequency", "group_id", "unique_id", F.row_number().over(Window.partitionBy(P).orderBy("generation", "ord")).alias("ord"))
+    return placed(out.withColumnRenamed("ord", "turn"), ["generation"], ["turn"], "ord").select(P, "generation", "identity", "abundance", "frequency", "group_id", "unique_id", "ord")
 
 
 def merge_halves(stacked: DataFrame) -> DataFrame:

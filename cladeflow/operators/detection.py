@@ -72,9 +72,9 @@ def fuzzy_backgrounds(long: DataFrame, frequencies: list[float]) -> DataFrame:
 
 
 def invalid_genotypes(long: DataFrame, frequencies: list[float], dlimit: float = DETECTED, strict: bool = False) -> DataFrame:
-    """(population, label, background, reason): genotypes that cannot be as they are beside a background.
+    """(population, label, background, reason): genotypes that cannot be as they are beside a background, once each, with the first such background by name.
 
-    A background's time of detection or fixation is that of its least value above the limit (the first of equal ones)."""
+    A population's backgrounds come as one array to each of its genotypes, so no pair of them becomes a row. A background's time of detection or fixation is that of its least value above the limit (the first of equal ones)."""
     backgrounds = fuzzy_backgrounds(long, frequencies)
     rows = long.join(backgrounds, KEY)
     at = lambda limit: F.min(F.when(F.col("freq") > limit, F.struct("freq", "t")))
@@ -83,9 +83,13 @@ def invalid_genotypes(long: DataFrame, frequencies: list[float], dlimit: float =
     others = long.join(backgrounds.select(*KEY), KEY, "left_anti")
     seen = F.when(F.col("freq") > dlimit, F.col("t"))
     packed = others.groupBy(*KEY).agg(F.count(seen).alias("n"), F.min(seen).alias("first"), F.max(seen).alias("last"), F.map_from_entries(F.collect_list(F.struct("t", "freq"))).alias("by_t"))
-    met = packed.join(points, "population")
-    value = F.coalesce(F.try_element_at("by_t", F.col("fixed_t")), F.lit(0.0))
-    around = lambda t: (F.col("first") < F.col(t)) & (F.col(t) < F.col("last"))
-    present = around("seen_t") & around("fixed_t") & (F.lit(strict) | ((value > dlimit) & (value + F.col("fixed_freq") > 1 + dlimit)))
-    reason = F.when(F.col("n") < 2, "notEnoughTimepoints").when(present, "presentBeforeAndAfterFixedGenotype")
-    return met.select(*KEY, "background", reason.alias("reason")).where("reason IS NOT NULL")
+    met = packed.join(points.groupBy("population").agg(F.array_sort(F.collect_list(F.struct("background", "seen_t", "fixed_t", "fixed_freq"))).alias("backgrounds")), "population")
+    around = lambda t: (F.col("first") < t) & (t < F.col("last"))
+
+    def present(b: Column) -> Column:
+        value = F.coalesce(F.try_element_at("by_t", b["fixed_t"]), F.lit(0.0))
+        return around(b["seen_t"]) & around(b["fixed_t"]) & (F.lit(strict) | ((value > dlimit) & (value + b["fixed_freq"] > 1 + dlimit)))
+
+    few = F.col("n") < 2
+    found = met.withColumn("background", F.try_element_at(F.when(few, F.col("backgrounds")).otherwise(F.filter("backgrounds", present)), F.lit(1))["background"])
+    return found.select(*KEY, "background", F.when(few, "notEnoughTimepoints").otherwise("presentBeforeAndAfterFixedGenotype").alias("reason")).where("background IS NOT NULL")

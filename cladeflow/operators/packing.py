@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.settle import settled
+
 
 def pack(long: DataFrame) -> DataFrame:
     """(population, label, fs): one row a label; a label's points are few (the sampled times)."""
@@ -47,5 +49,24 @@ def pairs(rows: DataFrame, order: str = "label", block: int = BLOCK) -> DataFram
     return left.join(right, (F.col("x.met") == F.col("y.met")) & (F.col(f"x.row.{order}") < F.col(f"y.row.{order}")) & blocks).select("x.population", F.col("x.row").alias("a"), F.col("y.row").alias("b"))
 
 
+def placed(rows: DataFrame, groups: list[str], order: list, name: str) -> DataFrame:
+    """``rows`` with their place in their population, from 1, in the order of ``groups`` (columns, none of them null) and then ``order``: places inside
+    groups after the sizes of the groups before, so that no task orders a whole population."""
+    key = ["population", *groups]
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select(*key, (F.sum("__n").over(Window.partitionBy("population").orderBy(*groups)) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return rows.withColumn("__in", inside).join(before, key).withColumn(name, (F.col("__in") + F.col("__before")).cast("int")).drop("__in", "__before")
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with their place in the order of the input, from 1: places inside partitions, after the sizes of the partitions before."""
+    apart = settled(rows.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = apart.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # a row for each partition
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return apart.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1).drop("__at", "__part", "__before")
+
+
 def pair_count(n: int) -> int:
     return n * (n - 1) // 2

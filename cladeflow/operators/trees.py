@@ -6,24 +6,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import ROOT
+from ..plans.settle import settled
+from .packing import numbered
 
+P = "population"
 
-def _recursive(edges: DataFrame, sql: str, **views: DataFrame) -> DataFrame:
-    """Recursive SQL over ``edges``; the session's limit on levels is lifted to any real tree's depth."""
-    spark = edges.sparkSession
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", "10000")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(sql, edges=edges, **views)
+
+def doubled(jumps: DataFrame, found: DataFrame, step, nodes: int) -> DataFrame:
+    """``found`` after ``step(jumps, found)``, with jumps (population, identity, far) of twice the length each time, until no jump is left: as many
+    rounds as the depth of the tree has binary digits. ValueError where a path is longer than the tree has nodes: a cycle."""
+    for _ in range(nodes.bit_length() + 1):
+        found = settled(step(jumps, found))
+        over = jumps.select(P, F.col("identity").alias("far"), F.col("far").alias("next"))
+        jumps = settled(jumps.join(over, [P, "far"]).select(P, "identity", F.col("next").alias("far")))
+        if jumps.isEmpty():
+            return found
+    raise ValueError("following parents does not come to an end: the edges have a cycle")
+
+
+def _parents(edges: DataFrame) -> DataFrame:
+    return edges.select(P, "identity", F.col("parent").alias("far"))
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
-    """(population, identity, ancestor, distance) of every node up to the root."""
-    return _recursive(edges, """
-        WITH RECURSIVE walk(population, identity, ancestor, distance) AS (
-          SELECT population, identity, parent, 1 FROM {edges}
-          UNION ALL
-          SELECT w.population, w.identity, e.parent, w.distance + 1 FROM walk w JOIN {edges} e ON e.population = w.population AND e.identity = w.ancestor)
-        SELECT * FROM walk""")
+    """(population, identity, ancestor, distance) of every node up to the root: a row for each node and each level above it."""
+    length = [1]
+
+    def longer(jumps: DataFrame, found: DataFrame) -> DataFrame:
+        further = jumps.join(found.withColumnRenamed("identity", "far"), [P, "far"])
+        out = found.unionByName(further.select(P, "identity", "ancestor", (F.col("distance") + length[0]).alias("distance")))
+        length[0] *= 2
+        return out
+
+    edges = settled(edges)
+    return doubled(_parents(edges), edges.select(P, "identity", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), longer, edges.count())
+
+
+def highest(edges: DataFrame) -> DataFrame:
+    """(population, identity, top, iterations): the highest node under the root (or under a node without a parent) at or above each node, and the node's depth, from 1.
+
+    One row a node in each round; ValueError where the edges have a cycle."""
+    edges = settled(edges)
+    inner = edges.join(edges.select(P, F.col("identity").alias("parent")), [P, "parent"], "left_semi")
+    start = edges.select(P, "identity", F.col("identity").alias("top"), F.lit(1).alias("iterations"))
+
+    def step(jumps: DataFrame, found: DataFrame) -> DataFrame:
+        above = found.select(P, F.col("identity").alias("far"), F.col("top").alias("over"), F.col("iterations").alias("more"))
+        rows = found.join(jumps, [P, "identity"], "left").join(above, [P, "far"], "left")
+        return rows.select(P, "identity", F.coalesce("over", "top").alias("top"), (F.col("iterations") + F.coalesce("more", F.lit(0))).alias("iterations"))
+
+    return doubled(_parents(inner), start, step, edges.count())
 
 
 def descendants(edges: DataFrame) -> DataFrame:
@@ -33,10 +65,7 @@ def descendants(edges: DataFrame) -> DataFrame:
 
 def clades(edges: DataFrame) -> DataFrame:
     """(population, identity, parent, clade, iterations): the child of the root above (or at) each node, and the depth, from 1."""
-    up = ancestors(edges)
-    depth = up.groupBy("population", "identity").agg(F.max("distance").alias("iterations"))
-    tops = up.where(F.col("ancestor") != ROOT).groupBy("population", "identity").agg(F.max_by("ancestor", "distance").alias("above"))
-    return edges.join(depth, ["population", "identity"]).join(tops, ["population", "identity"], "left").select("population", "identity", "parent", F.coalesce("above", "identity").alias("clade"), "iterations")
+    return edges.join(highest(edges), [P, "identity"]).select(P, "identity", "parent", F.col("top").alias("clade"), "iterations")
 
 
 def major_clades(edges: DataFrame, share: int = 20) -> DataFrame:
@@ -74,11 +103,16 @@ def tour(edges: DataFrame, ages: DataFrame) -> DataFrame:
     """(population, group_id, identity, ord): every node twice, around its children, which go by descending age from the outside.
 
     ages: (population, identity, age). A node's path is its ancestors' ages; it opens after its closing in descending order of paths."""
-    return _recursive(edges, f"""
-        WITH RECURSIVE walk(population, identity, path) AS (
-          SELECT population, identity, lpad(cast(age AS string), 9, '0') FROM {{ages}} WHERE identity = '{ROOT}'
-          UNION ALL
-          SELECT e.population, e.identity, concat(w.path, '/', lpad(cast(a.age AS string), 9, '0'))
-          FROM walk w JOIN {{edges}} e ON e.population = w.population AND e.parent = w.identity JOIN {{ages}} a ON a.population = e.population AND a.identity = e.identity),
-        keys AS (SELECT population, identity, path AS k, 'a' AS s FROM walk UNION ALL SELECT population, identity, concat(path, '~'), '' FROM walk)
-        SELECT population, concat(identity, s) AS group_id, identity, row_number() OVER (PARTITION BY population ORDER BY k DESC) AS ord FROM keys""", ages=ages)
+    edges = settled(edges)
+    start = ages.select(P, "identity", F.col("identity").alias("top"), F.lpad(F.col("age").cast("string"), 9, "0").alias("path"))
+
+    def step(jumps: DataFrame, found: DataFrame) -> DataFrame:
+        above = found.select(P, F.col("identity").alias("far"), F.col("top").alias("over"), F.col("path").alias("before"))
+        rows = found.join(jumps, [P, "identity"], "left").join(above, [P, "far"], "left")
+        return rows.select(P, "identity", F.coalesce("over", "top").alias("top"), F.concat_ws("/", "before", "path").alias("path"))
+
+    paths = doubled(_parents(edges), start, step, edges.count()).where(F.col("top") == ROOT)
+    keys = paths.select(P, "identity", F.col("path").alias("k"), F.concat("identity", F.lit("a")).alias("group_id")).unionByName(paths.select(P, "identity", F.concat("path", F.lit("~")).alias("k"), F.col("identity").alias("group_id")))
+    placed = settled(numbered(keys.orderBy(P, F.desc("k")), "place"))
+    first = placed.groupBy(P).agg(F.min("place").alias("least"))
+    return placed.join(first, P).select(P, "group_id", "identity", (F.col("place") - F.col("least") + 1).cast("int").alias("ord"))

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import Options
+from ..model import ROOT, ROOT_COLOR, Options
 from ..operators import abundance, annotations, clustering, detection, distances, ranking, scoring
-from ..sources import sinks
+from ..sources import sinks, tables
 from .settle import settled
 
 
@@ -33,12 +33,18 @@ class Analysis:
     stacked: DataFrame
 
 
-def infer_genotypes(long: DataFrame, options: Options) -> Genotypes:
-    """Filter, compare, cluster and rank; what later steps use more than once is settled."""
+def infer_genotypes(long: DataFrame, options: Options, distance: DataFrame | None = None) -> Genotypes:
+    """Filter, compare, cluster and rank; what later steps use more than once is settled.
+
+    distance: (population, a, b, distance) known from before; pairs of labels that are filtered out go."""
     spark = long.sparkSession
     if options.filter_single or options.filter_startfixed or options.filter_consistency > 0:
         long = detection.filter_trajectories(long, dlimit=options.dlimit, flimit=options.flimit, consistency=options.filter_consistency, single=options.filter_single, startfixed=options.filter_startfixed)
-    found = settled(distances.fill_missing(settled(distances.distances(long, options.metric, options.dlimit, options.flimit))))
+    if distance is None:
+        distance = settled(distances.distances(long, options.metric, options.dlimit, options.flimit))
+    else:
+        distance = settled(distances.reduced(distance, long.select("population", "label").distinct()))
+    found = settled(distances.fill_missing(distance))
     if options.known_genotypes:
         rows = [("all", f"known-{i}", x) for i, g in enumerate(options.known_genotypes) for x in g]
         found = distances.apply_known(found, spark.createDataFrame(rows, "population string, genotype string, label string"))
@@ -46,14 +52,15 @@ def infer_genotypes(long: DataFrame, options: Options) -> Genotypes:
         cutoffs = found.select("population").distinct().withColumn("cutoff", F.lit(float(options.similarity_cutoff)))
     else:
         cutoffs = distances.similarity_cutoff(found, options.quantile)
-    members = settled(clustering.cluster(found, cutoffs))
+    members = clustering.with_single(clustering.cluster(found, cutoffs), long)
+    members = settled(clustering.named_by_color(members) if options.color_names else members)
     series = settled(clustering.mean_genotypes(long, members))
     if options.filter_genotypes:
-        return _without_invalid(long, members, series, options)
+        return _without_invalid(long, members, series, options, distance)
     return Genotypes(members, series, settled(ranking.rank_genotypes(series, options.dlimit, options.slimit)), found, clustering.linkage(found))
 
 
-def _without_invalid(long: DataFrame, members: DataFrame, series: DataFrame, options: Options, most: int = 50) -> Genotypes:
+def _without_invalid(long: DataFrame, members: DataFrame, series: DataFrame, options: Options, distance: DataFrame, most: int = 50) -> Genotypes:
     """Remove the members of invalid genotypes and infer again, until none is left: a few rounds, each a plan of its own."""
     from dataclasses import replace
 
@@ -64,9 +71,9 @@ def _without_invalid(long: DataFrame, members: DataFrame, series: DataFrame, opt
         if gone.isEmpty():
             break
         long = settled(long.join(gone, ["population", "label"], "left_anti"))
-        found = infer_genotypes(long, again)
+        found = infer_genotypes(long, again, distance)  # pairs are compared once
         members, series = found.members, found.series
-    return infer_genotypes(long, again)
+    return infer_genotypes(long, again, distance)
 
 
 def given_genotypes(series: DataFrame, options: Options) -> Genotypes:
@@ -87,30 +94,60 @@ def infer_lineage(genotypes: Genotypes, options: Options) -> tuple[DataFrame, Da
     return scores, scoring.resolve_edges(scoring.candidates(scores, known), genotypes.ranks)
 
 
-def analyse(long: DataFrame, options: Options | None = None, is_genotype: bool = False) -> Analysis:
+def analyse(long: DataFrame, options: Options | None = None, is_genotype: bool = False, distance: DataFrame | None = None) -> Analysis:
+    """The whole analysis of series that are as validate_series wants them; distance: known from before (see infer_genotypes)."""
     options = options or Options()
-    genotypes = given_genotypes(long, options) if is_genotype else infer_genotypes(long, options)
+    long = tables.validate_series(long)
+    genotypes = given_genotypes(long, options) if is_genotype else infer_genotypes(long, options, distance)
     scores, edges = infer_lineage(genotypes, options)
-    edges = settled(edges)
+    edges = tables.validate_edges(settled(edges))
     populations = settled(abundance.population_table(genotypes.series, edges, options.dlimit))
     return Analysis(genotypes, scores, edges, populations, abundance.stacked_area(populations, edges))
 
 
-def save(result: Analysis, long: DataFrame, info: DataFrame, folder: str, options: Options, fmt: str = "tsv") -> dict[str, str]:
-    """Write every table; populations and edges only where there are none yet. Returns the paths."""
+def palette_of(result: Analysis, options: Options, genotype_annotations: DataFrame | None = None, colors: DataFrame | None = None, annotation_colors: DataFrame | None = None) -> DataFrame:
+    """(population, identity, color): by lineage or of well distinguishable colors; colors of annotations and of genotypes (identity, color) go before."""
+    identities = result.edges.select("population", "identity")
+    if annotation_colors is not None and genotype_annotations is not None:
+        own = annotations.annotation_palette(genotype_annotations, annotation_colors).where("color IS NOT NULL").select("identity", "color")
+        colors = own if colors is None else colors.select("identity", "color").unionByName(own.join(colors, "identity", "left_anti"))
+    if options.palette not in ("lineage", "distinct"):
+        raise ValueError(f"{options.palette!r} is not a palette: lineage or distinct")
+    found = annotations.lineage_palette(result.edges, colors) if options.palette == "lineage" else annotations.distinct_palette(identities, colors)
+    return found.unionByName(identities.select("population", F.lit(ROOT).alias("identity"), F.lit(ROOT_COLOR).alias("color")).distinct())
+
+
+def save(result: Analysis, long: DataFrame, info: DataFrame, folder: str, options: Options, fmt: str = "tsv", aliases: DataFrame | None = None, colors: DataFrame | None = None, annotation_colors: DataFrame | None = None) -> dict[str, str]:
+    """Write every table, with the options and a script that draws the stacked area; populations and edges only where there are none yet. Returns the paths.
+
+    aliases: (key, value), other names of genes; colors: (identity, color); annotation_colors: (annotation, color)."""
     g = result.genotypes
-    palette = annotations.distinct_palette(result.edges.select("population", "identity"))
-    tables = {"trajectories": sinks.trajectory_table(long, info, g.members), "genotypes": g.series.join(clustering.member_lists(g.members).withColumnRenamed("genotype", "label"), ["population", "label"]), "members": clustering.member_lists(g.members), "scores": result.scores, "edges": result.edges, "populations": result.populations, "stacked": result.stacked, "palette": palette, "lineage_dot": annotations.dot_graph(result.edges, palette)}
+    notes = annotations.genotype_annotations(g.members, annotations.label_annotations(info, aliases))
+    palette = settled(palette_of(result, options, notes, colors, annotation_colors))
+    members = clustering.member_lists(g.members)
+    merged = settled(abundance.merge_halves(result.stacked))
+    tables_ = {
+        "trajectories": sinks.trajectory_table(long, info, g.members), "genotypes": g.series.join(members.withColumnRenamed("genotype", "label"), ["population", "label"]), "members": members, "annotations": notes,
+        "scores": result.scores, "edges": result.edges, "populations": result.populations, "stacked": result.stacked, "series": merged.join(palette, ["population", "identity"], "left"),
+        "label_anchors": abundance.label_anchors(merged), "smooth": abundance.interpolated(g.series), "palette": palette, "trajectory_palette": annotations.trajectory_palette(palette, g.members), "lineage_dot": annotations.dot_graph(result.edges, palette),
+    }
     if g.distance is not None:
-        tables |= {"distances": g.distance, "distance_matrix": distances.square(g.distance), "linkage": g.linkage}
-    return {k: sinks.write_table(v, folder, k, fmt, keep=k in ("populations", "edges")) for k, v in tables.items()}
-
+        tables_ |= {"distances": g.distance, "distance_matrix": distances.square(g.distance), "linkage": g.linkage}
+    paths = {k: sinks.write_table(v, folder, k, fmt, keep=k in ("populations", "edges")) for k, v in tables_.items()}
+    paths["options"] = sinks.write_text(long.sparkSession, sinks.options_json(options), folder, "options")
+    if fmt == "tsv":
+        few = palette.orderBy("population", "identity").limit(sinks.DRAWN).collect()  # what one picture can show
+        paths["script"] = sinks.write_text(long.sparkSession, sinks.plot_script(paths["stacked"], f"{options.name}.png", {r.identity: r.color for r in few}), folder, "script")
+    return paths
 
-def run(spark: SparkSession, path: str, folder: str, options: Options | None = None, is_genotype: bool = False) -> dict[str, str]:
-    """From a table file to the folder of results."""
-    from ..sources import tables
 
+def run(spark: SparkSession, path: str, folder: str, options: Options | None = None, is_genotype: bool = False, pairwise: str | None = None, aliases: str | None = None, colors: str | None = None, annotation_colors: str | None = None) -> dict[str, str]:
+    """From a table (a file, or pasted text) to the folder of results. pairwise: a file of distances from before; the others: files of two columns."""
     options = options or Options()
-    wide = tables.read_wide(spark, path)
+    wide = tables.read_any(spark, path)
     long, info = tables.parse_genotypes(wide) if is_genotype else tables.parse_series(wide)
-    return save(analyse(long, options, is_genotype), long, info, folder, options)
+    long = settled(long)
+    known = tables.read_distances(spark, pairwise) if pairwise else None
+    two = lambda file, key, value: tables.read_map(spark, file).toDF(key, value) if file else None
+    result = analyse(long, options, is_genotype, known)
+    return save(result, long, info, folder, options, aliases=two(aliases, "key", "value"), colors=two(colors, "identity", "color"), annotation_colors=two(annotation_colors, "annotation", "color"))

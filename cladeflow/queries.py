@@ -39,11 +39,11 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 EVENTS = """
 cells AS (SELECT user_id::VARCHAR AS label, (date_diff('day', DATE '2024-01-01', ts::DATE) // 3)::INTEGER AS t, round(sum(value), 4) AS v FROM events WHERE event_type = 'purchase' GROUP BY ALL),
-grid AS (SELECT label, t::INTEGER AS t FROM (SELECT DISTINCT label FROM cells), range(10) r(t)),
+grid AS (SELECT label, t::INTEGER AS t FROM (SELECT DISTINCT label FROM cells), (SELECT unnest(range(least(0, min(t)), max(t) + 1)) AS t FROM cells)),
 traj AS (SELECT label, t, coalesce(round(v / (SELECT max(v) FROM cells), 6), 0) AS freq FROM grid LEFT JOIN cells USING (label, t))"""
 YEARS = """
 cells AS (SELECT l_suppkey::VARCHAR AS label, (year(l_shipdate) - 1995)::INTEGER AS t, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
-grid AS (SELECT label, t::INTEGER AS t FROM (SELECT DISTINCT label FROM cells), range(7) r(t)),
+grid AS (SELECT label, t::INTEGER AS t FROM (SELECT DISTINCT label FROM cells), (SELECT unnest(range(least(0, min(t)), max(t) + 1)) AS t FROM cells)),
 traj AS (SELECT label, t, coalesce(round(v / (SELECT max(v) FROM cells), 6), 0) AS freq FROM grid LEFT JOIN cells USING (label, t))"""
 PACKED = "packed AS (SELECT label, list(freq ORDER BY t) AS fs FROM traj GROUP BY label)"
 
@@ -309,6 +309,21 @@ def first_fixed(spark, sf_dir):
     return detection.first_fixed(adapters.user_events(spark, sf_dir), 0.5).drop("population")
 
 
+#: cells as people write them: numbers, percent, exponents, signs, blanks, words and nothing
+_WRITTEN = """CASE l_linenumber % 7 WHEN 0 THEN l_discount::VARCHAR WHEN 1 THEN (l_quantity * 2)::INTEGER::VARCHAR || '.5%' WHEN 2 THEN (l_quantity::INTEGER)::VARCHAR || 'e-05' WHEN 3 THEN '-0.' || (l_quantity::INTEGER)::VARCHAR
+WHEN 4 THEN '  ' || (l_quantity::INTEGER)::VARCHAR || ' ' WHEN 5 THEN 'about ' || (l_quantity::INTEGER)::VARCHAR || '.25 of' ELSE CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE 'none' END END"""
+
+
+@query(f"""WITH cells AS (SELECT l_orderkey, l_linenumber, {_WRITTEN} AS cell FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(coalesce(try_cast(trim(cell) AS DOUBLE), try_cast(nullif(regexp_extract(cell, '[0-9]+([.][0-9]+)?'), '') AS DOUBLE)), 9) + 0.0 AS number FROM cells""")
+def number_cells(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    whole, kind = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber") % 7
+    cell = F.when(kind == 0, F.col("l_discount").cast("string")).when(kind == 1, F.concat((F.col("l_quantity") * 2).cast("int").cast("string"), F.lit(".5%"))).when(kind == 2, F.concat(whole, F.lit("e-05")))
+    cell = cell.when(kind == 3, F.concat(F.lit("-0."), whole)).when(kind == 4, F.concat(F.lit("  "), whole, F.lit(" "))).when(kind == 5, F.concat(F.lit("about "), whole, F.lit(".25 of"))).otherwise(F.when(F.col("l_orderkey") % 2 == 0, "").otherwise("none"))
+    return lines.select("l_orderkey", "l_linenumber", (F.round(L.number_in(cell), 9) + F.lit(0.0)).alias("number"))
+
+
 @query(with_(EVENTS) + "SELECT label, min(t) AS first_t, max(t) AS last_t FROM traj WHERE freq > 0.5 GROUP BY label")
 def boundaries_fixed(spark, sf_dir):
     return detection.boundaries_fixed(adapters.user_events(spark, sf_dir), 0.5).drop("population")
@@ -336,12 +351,12 @@ def fuzzy_backgrounds(spark, sf_dir):
 @query(with_(EVENTS, _TOPS, """b AS (SELECT label AS background, arg_min(t, (freq, t)) FILTER (freq > 0.03) AS seen_t, arg_min(t, (freq, t)) FILTER (freq > cutoff) AS fixed_t, min(freq) FILTER (freq > cutoff) AS fixed_freq FROM traj JOIN bg USING (label) GROUP BY label)""",
 "o AS (SELECT label, count(*) FILTER (freq > 0.03) AS n, min(t) FILTER (freq > 0.03) AS f, max(t) FILTER (freq > 0.03) AS la FROM traj WHERE label NOT IN (SELECT label FROM bg) GROUP BY label)",
 """m AS (SELECT o.label, background, CASE WHEN n < 2 THEN 'notEnoughTimepoints' WHEN f < seen_t AND seen_t < la AND f < fixed_t AND fixed_t < la AND v.freq > 0.03 AND v.freq + fixed_freq > 1.03 THEN 'presentBeforeAndAfterFixedGenotype' END AS reason
-FROM o, b, traj v WHERE v.label = o.label AND v.t = fixed_t)""") + "SELECT * FROM m WHERE reason IS NOT NULL")
+FROM o, b, traj v WHERE v.label = o.label AND v.t = fixed_t)""") + "SELECT label, min(background) AS background, any_value(reason) AS reason FROM m WHERE reason IS NOT NULL GROUP BY label")
 def invalid_genotypes(spark, sf_dir):
     return detection.invalid_genotypes(adapters.user_events(spark, sf_dir), [0.9, 0.6, 0.3, 0.0], D).drop("population")
 
 
-@query(with_(EVENTS, PACKED) + f"SELECT a.label AS a, b.label AS b, len([i for i in range(1, 11) if a.fs[i] > 0.03 AND b.fs[i] > 0.03])::INTEGER AS overlap FROM packed a JOIN packed b ON a.label < b.label")
+@query(with_(EVENTS, PACKED) + f"SELECT a.label AS a, b.label AS b, len([i for i in range(1, len(a.fs) + 1) if a.fs[i] > 0.03 AND b.fs[i] > 0.03])::INTEGER AS overlap FROM packed a JOIN packed b ON a.label < b.label")
 def pair_overlap(spark, sf_dir):
     met = packing.pairs(packing.pack(adapters.user_events(spark, sf_dir)))
     return met.select(F.col("a.label").alias("a"), F.col("b.label").alias("b"), S.count_if(S.zipped(F.col("a.fs"), F.col("b.fs"), lambda x, y: (x > D) & (y > D)), lambda v: v).alias("overlap"))
@@ -428,7 +443,7 @@ def background_sum(spark, sf_dir):
 
 # ---- trees
 
-TREE = """edges AS (SELECT 'r' || r_regionkey AS identity, 'genotype-0' AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT DISTINCT 'n' || c_nationkey || ':' || c_mktsegment, 'n' || c_nationkey FROM customer)"""
+TREE = """edges AS (SELECT 'r' || r_regionkey AS identity, 'genotype-0' AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT DISTINCT 'n' || c_nationkey || ':' || c_mktsegment, 'n' || c_nationkey FROM customer UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey || ':' || c_mktsegment FROM customer)"""
 WALK = "walk(identity, ancestor, distance) AS (SELECT identity, parent, 1 FROM edges UNION ALL SELECT w.identity, e.parent, w.distance + 1 FROM walk w JOIN edges e ON e.identity = w.ancestor)"
 
 
@@ -568,7 +583,7 @@ def label_anchors(spark, sf_dir):
     return rounded(abundance.label_anchors(merged), "y", digits=7)
 
 
-@query(with_(EVENTS) + """, nx AS (SELECT *, lead(t) OVER w AS nt, lead(freq) OVER w AS nf FROM traj WINDOW w AS (PARTITION BY label ORDER BY t)), pts AS (SELECT i::INTEGER AS i, i * 9 / 100.0 AS x FROM range(100) r(i))
+@query(with_(EVENTS) + """, nx AS (SELECT *, lead(t) OVER w AS nt, lead(freq) OVER w AS nf FROM traj WINDOW w AS (PARTITION BY label ORDER BY t)), pts AS (SELECT i::INTEGER AS i, lo + i * (hi - lo) / 100.0 AS x FROM range(100) r(i), (SELECT min(t) AS lo, max(t) AS hi FROM traj))
 SELECT label, i, round(x, 9) AS x, round(freq + (x - t) / (nt - t) * (nf - freq), 9) + 0.0 AS y FROM nx JOIN pts ON x >= t - 1e-9 AND x < nt - 1e-9""")
 def interpolated(spark, sf_dir):
     return rounded(abundance.interpolated(adapters.user_events(spark, sf_dir)), "x", "y", digits=9)

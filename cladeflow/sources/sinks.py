@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: logical tables and their folders
 TABLES = {
     "trajectories": "tables", "genotypes": "tables", "edges": "tables", "populations": "tables", "stacked": "tables",
     "distances": "supplementary-files", "distance_matrix": "supplementary-files", "linkage": "supplementary-files", "scores": "supplementary-files", "members": "supplementary-files",
-    "options": "supplementary-files", "lineage_dot": "graphics", "palette": "graphics", "script": "scripts",
+    "annotations": "supplementary-files", "options": "supplementary-files", "lineage_dot": "graphics", "palette": "graphics", "trajectory_palette": "graphics", "series": "graphics", "label_anchors": "graphics", "smooth": "graphics", "script": "scripts",
 }
 
 
@@ -33,6 +33,17 @@ def write_table(df: DataFrame, folder: str, name: str, fmt: str = "tsv", keep: b
     return path
 
 
+#: genotypes that a drawing script names colors of
+DRAWN = 5000
+
+
+def write_text(spark: SparkSession, text: str, folder: str, name: str) -> str:
+    """Write a short text as one part of a logical table."""
+    path = f"{folder}/{TABLES[name]}/{name}"
+    spark.createDataFrame([(text,)], "text string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+    return path
+
+
 def trajectory_table(long: DataFrame, info: DataFrame, members: DataFrame) -> DataFrame:
     """Series in the order of time, information and genotype of each label; labels of no genotype are "rejected"."""
     series = long.groupBy("population", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "freq"))), lambda x: x["freq"]).alias("series"))

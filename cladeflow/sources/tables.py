@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import genotype_number, number_in
+from ..operators import trees
+from ..operators.packing import numbered
 
 TIME = re.compile(r"^\D?(\d+)$")
 
@@ -33,6 +35,11 @@ def text_wide(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([tuple((r + [None] * len(head))[: len(head)]) for r in rows], ", ".join(f"`{h}` string" for h in head))
 
 
+def read_any(spark: SparkSession, source: str) -> DataFrame:
+    """A table from a path or, where there is a line end in it, from pasted text."""
+    return text_wide(spark, source) if "\n" in source.strip() else read_wide(spark, source)
+
+
 def time_columns(columns: list[str]) -> dict[str, int]:
     """Columns named by a time: digits, with one character before them at most."""
     return {c: int(m[1]) for c in columns if (m := TIME.match(c.strip()))}
@@ -67,8 +74,7 @@ def parse_series(wide: DataFrame, key: str = "Trajectory", population: str = "al
     if not times:
         raise ValueError("no column is named by a time")
     if key not in wide.columns:
-        order = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
-        wide = wide.withColumn(key, (F.concat(F.lit("genotype-"), order.cast("string")) if key == "Genotype" else order.cast("string")))
+        wide = numbered(wide, key).withColumn(key, F.concat(F.lit("genotype-" if key == "Genotype" else ""), F.col(key).cast("string")))
     pop = F.coalesce(F.col("Population").cast("string"), F.lit(population)) if "Population" in wide.columns else F.lit(population)
     base = wide.withColumns({"__population": pop, "__label": F.col(key).cast("string")})
     long = base.select("__population", "__label", *[number_in(F.col(f"`{c}`").cast("string")).alias(f"t{t}") for c, t in times.items()])
@@ -126,11 +132,25 @@ def read_edges(spark: SparkSession, path: str, population: str = "all") -> DataF
     return wide.select(F.lit(population).alias("population"), F.col(names["identity"]).alias("identity"), F.col(names["parent"]).alias("parent"))
 
 
-def validate_edges(edges: DataFrame) -> None:
+def validate_edges(edges: DataFrame) -> DataFrame:
+    """``edges`` as they are, or ValueError: columns are there, each genotype has one parent, and following parents comes to an end."""
     if missing := {"population", "identity", "parent"} - set(edges.columns):
         raise ValueError(f"edges lack {sorted(missing)}")
     if not edges.groupBy("population", "identity").count().where("count > 1").limit(1).isEmpty():
         raise ValueError("a genotype has two parents")
+    trees.highest(edges)
+    return edges
+
+
+def validate_series(long: DataFrame) -> DataFrame:
+    """``long`` as it is, or ValueError: columns are there, no point is missing or stands twice, and frequencies are in [0, 1]."""
+    if missing := {"population", "label", "t", "freq"} - set(long.columns):
+        raise ValueError(f"the series lack {sorted(missing)}")
+    if not long.where("label IS NULL OR t IS NULL OR freq IS NULL OR freq < 0 OR freq > 1").limit(1).isEmpty():
+        raise ValueError("a point has no label, time or frequency in [0, 1]")
+    if not long.groupBy("population", "label", "t").count().where("count > 1").limit(1).isEmpty():
+        raise ValueError("a label has two points at one time")
+    return long
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

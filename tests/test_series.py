@@ -207,6 +207,65 @@ def test_files(spark, tmp_path):
         sinks.write_table(edges, str(tmp_path), "edges", "xml")
 
 
+def test_cli(spark, tmp_path):
+    """Distances, aliases, colors, annotations, options and the script, from the command line."""
+    lines = TRAVERSE.strip().splitlines()
+    head, *rows = (x.split(",") for x in lines)
+    wide = [[head[0], "Gene", "Annotation", *head[1:]]] + [[r[0], f"gene{i % 3}<", f"N{i}(x)", *r[1:]] for i, r in enumerate(rows)]
+    (tmp_path / "t.tsv").write_text("\n".join("\t".join(r) for r in wide))
+    cli.main(["lineage", "--input", str(tmp_path / "t.tsv"), "--output", str(tmp_path / "first")])
+    read = lambda out, name: spark.read.csv(f"{tmp_path}/{out}/{sinks.TABLES[name]}/{name}", header=True, sep="\t").collect()
+    pairs = read("first", "distances")
+    assert len(pairs) == 153
+    (tmp_path / "pairs.tsv").write_text("\n".join(f"{r.a}\t{r.b}\t{r.distance}" for r in pairs))
+    (tmp_path / "alias.tsv").write_text("gene0\tother\n")
+    (tmp_path / "colors.tsv").write_text("genotype-1\t#123456\n")
+    (tmp_path / "notes.tsv").write_text("gene1 N1\t#654321\n")
+    files = {"--filename-pairwise": "pairs.tsv", "--gene-alias": "alias.tsv", "--genotype-colors": "colors.tsv", "--annotation-colors": "notes.tsv"}
+    cli.main(["lineage", "--input", str(tmp_path / "t.tsv"), "--output", str(tmp_path / "again"), "--palette", "distinct", "--name", "drawn", *(x for k, v in files.items() for x in (k, str(tmp_path / v)))])
+    assert {(r.identity, r.parent) for r in read("first", "edges")} == {(r.identity, r.parent) for r in read("again", "edges")}
+    members = {x: r.genotype for r in read("again", "members") for x in r.members.split("|")}
+    notes = {r.genotype: r.annotations for r in read("again", "annotations")}
+    assert "other N0" in notes[members["M1"]] and "gene1 N1" in notes[members["M10"]]
+    colors = {r.identity: r.color for r in read("again", "palette")}
+    assert colors["genotype-1"] == "#123456" and "#654321" in colors.values()
+    text = lambda out, name: "\n".join(r.value for r in spark.read.text(f"{tmp_path}/{out}/{sinks.TABLES[name]}/{name}").collect())
+    assert '"name": "drawn"' in text("again", "options") and "drawn.png" in text("again", "script") and "#123456" in text("again", "script")
+    assert {r.color for r in read("again", "series")} <= set(colors.values()) and read("again", "label_anchors") and read("again", "smooth")
+
+
+def test_alone_and_validation(spark):
+    """A population of one series is its own genotype; input that is not as it must be is refused."""
+    kinds = "population string, label string, t int, freq double"
+    rows = [("alone", "A", t, f) for t, f in enumerate([0.0, 0.3, 0.9])] + [("pair", x, t, f) for x, fs in (("B", [0.0, 0.2, 0.8]), ("C", [0.0, 0.4, 0.1])) for t, f in enumerate(fs)]
+    result = analysis.analyse(spark.createDataFrame(rows, kinds))
+    assert {(r.population, r.label) for r in result.genotypes.members.collect()} == {("alone", "A"), ("pair", "B"), ("pair", "C")}
+    assert {(r.population, r.identity, r.parent) for r in result.edges.collect() if r.population == "alone"} == {("alone", "genotype-1", "genotype-0")}
+    for bad, what in (([("p", "A", 0, 1.5)], "frequency"), ([("p", "A", 0, None)], "frequency"), ([("p", "A", 0, 0.1), ("p", "A", 0, 0.2)], "two points")):
+        with pytest.raises(ValueError, match=what):
+            analysis.analyse(spark.createDataFrame(bad, kinds))
+    ring = spark.createDataFrame([("p", "a", "c"), ("p", "b", "a"), ("p", "c", "b")], "population string, identity string, parent string")
+    for walk in (tables.validate_edges, trees.ancestors, trees.clades):
+        with pytest.raises(ValueError, match="cycle"):
+            walk(ring)
+
+
+def test_numbers(spark):
+    cells = ["1e-05", "-0.02", "26.1%", " 3 ", "", "none", "about 7.5 of", "NaN", "+4", None, "1.5E3"]
+    got = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").select("i", L.number_in(F.col("c")).alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == [1e-05, -0.02, 26.1, 3, None, None, 7.5, None, 4, None, 1500]
+    long, _ = tables.parse_series(tables.text_wide(spark, "Trajectory,0,1\nA,1e-05,-0.02\nB,0.5,1"))
+    assert {(r.label, r.t): r.freq for r in long.collect()} == {("A", 0): 1e-05, ("A", 1): 0, ("B", 0): 0.5, ("B", 1): 1}
+
+
+def test_places(spark):
+    rows = spark.createDataFrame([("p", i % 4, i) for i in range(50)] + [("q", 1, 7)], "population string, g int, v int").repartition(5)
+    got = packing.placed(rows, ["g"], ["v"], "at").collect()
+    assert [(r.g, r.v) for r in sorted(got, key=lambda r: r["at"]) if r.population == "p"] == sorted((i % 4, i) for i in range(50)) and [r["at"] for r in got if r.population == "q"] == [1]
+    wide = spark.range(1000, numPartitions=7)
+    assert [(r.id + 1) for r in packing.numbered(wide, "n").collect()] == [r.n for r in packing.numbered(wide, "n").collect()]
+
+
 def test_filters(spark):
     rows = [("A", 0, 0.0), ("A", 1, 0.5), ("A", 2, 0.0), ("B", 0, 0.99), ("B", 1, 0.5), ("B", 2, 0.2), ("C", 0, 0.5), ("C", 1, 0.52), ("C", 2, 0.5), ("E", 0, 0.0), ("E", 1, 0.3), ("E", 2, 0.9)]
     long = spark.createDataFrame([("p", *r) for r in rows], "population string, label string, t int, freq double")
