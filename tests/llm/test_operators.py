@@ -429,6 +429,38 @@ def test_decontaminate_any_stretch(spark):
         assert ((d, i) in wanted) == any(edits(w, " ".join(t.lower().split())) <= len(w) // 10 for w in stretches)
 
 
+def test_decontaminate_long_and_repeated(spark):
+    """Very long texts, repeated rows, ties, blanks at the ends and columns of clashing names."""
+    rng = random.Random(28)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    items = [(1, prose(25) + " \n "), (2, prose(25)), (2, prose(25)), (3, "  " + prose(6) + "\t")]
+    long = prose(150_000) + " " + items[0][1] + prose(150_000) + items[1][1].upper() + " " + prose(10)
+    rows = [(5, long), (6, prose(80)), (7, prose(9) + items[2][1] + prose(9)), (7, prose(9) + items[2][1] + prose(9)), (7, None), (8, prose(9) + " " + items[3][1].strip())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS leak", "2 AS item_id", "3 AS edits").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS doc_id")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert set(found) == {(5, 1), (5, 2), (7, 2), (8, 3)} and all(r.edits == 0 for r in found.values())
+    at = " ".join(long.lower().split())
+    r = found[5, 1]
+    assert at[r.start : r.end].startswith(" ".join(items[0][1].split())[:20])
+    kept = decontaminate.decontaminate(docs, bench)
+    assert [r.doc_id for r in kept.collect()] == [6] and kept.columns == docs.columns
+
+
+def test_jaccard_long_and_clashing(spark):
+    rng = random.Random(29)
+    words = [f"w{i}" for i in range(5000)]
+    long = [rng.choice(words) for _ in range(120_000)]
+    near = list(long)
+    near[60_000] = "changed"
+    rows = [(4, " ".join(long), "x"), (2, " ".join(near).upper(), "y"), (9, " ".join(long[:60_000]), "z"), (None, " ".join(long), "n"), (6, None, "q"), (7, "same words here now", "q"), (8, "same words here now", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, region string").selectExpr("*", "1 AS component_id", "2 AS n_shingles", "3 AS same", "4 AS cls").repartition(2)
+    got = {r.doc_id: r.component_id for r in metric_join.jaccard_components(docs).collect()}
+    assert got == {4: 2, 2: 2, 9: 9, 6: 6, 7: 7, 8: 7}
+    kept = metric_join.keep_one_each(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 6, 7, 9] and kept.columns == docs.columns
+
+
 def test_mixing(spark):
     rows = [(i, f"t{i}", "en", "big" if i % 4 else ("small" if i % 8 else None), 2) for i in range(2000)] + [(None, "n", None, "", 1), (5, "again", "en", "big", 1)]
     docs = spark.createDataFrame(rows, DOCS)
@@ -500,6 +532,15 @@ def test_chat_ties(spark):
         assert found.n_turns == len(texts)
 
 
+def test_chat_long(spark):
+    long = "a\\b<c>#d: é " * 60_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 2, "assistant", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS formatted", "2 AS loss", "3 AS message")
+    made = chat.render(chat.messages_of_turns(turns))
+    (back,), (found,) = chat.read_back(made).collect(), chat.digest(made).collect()
+    assert [t.text for t in back.turns] == [long, long, ""] and "".join(back.loss_texts) == long and found.loss_chars == len(long)
+
+
 def test_chat_events(spark):
     log = [
         (1, 1, 0, "message", "user", "Hi"), (1, 2, 1, "message", "assistant", ""), (1, 3, 1, "delta", None, "Hel"), (1, 4, 1, "delta", None, "lo"), (1, 5, 0, "edit", "user", "Hi!"),
