@@ -661,12 +661,31 @@ def distinct_palette(spark, sf_dir):
     return annotations.distinct_palette(adapters.customer_tree(spark, sf_dir).select("population", "identity")).drop("population")
 
 
-@query()
+_CLADES = """big AS (SELECT parent AS node FROM edges GROUP BY parent HAVING count(*) > (SELECT floor(count(*) / 20.0) FROM edges)),
+up AS (SELECT identity, arg_min(ancestor, distance) AS major FROM (SELECT identity, identity AS ancestor, 0 AS distance FROM edges UNION ALL SELECT * FROM walk) WHERE ancestor IN (SELECT node FROM big) GROUP BY identity),
+majors AS (SELECT e.identity, coalesce(major, e.identity) AS major, (SELECT max(distance) FROM walk w WHERE w.identity = e.identity) AS iterations FROM edges e LEFT JOIN up USING (identity)),
+heads AS (SELECT major, row_number() OVER (ORDER BY try_cast(string_split(major, '-')[-1] AS DOUBLE) NULLS LAST, major) AS hue FROM (SELECT DISTINCT major FROM majors)),
+shades AS (SELECT identity, (hue * 137 % 360)::DOUBLE / 60 AS angle, 0.4::DOUBLE + 0.6::DOUBLE * row_number() OVER (PARTITION BY major ORDER BY iterations, identity) / count(*) OVER (PARTITION BY major) AS light FROM majors JOIN heads USING (major))"""
+
+
+def _channel(shift: str) -> str:
+    turned = f"(angle + {shift}::DOUBLE)"
+    return f"trunc(greatest(0::DOUBLE, least(1::DOUBLE, abs({turned} - 6 * floor({turned} / 6) - 3) - 1)) * light * 255)::INTEGER"
+
+
+@query(recursive(TREE, WALK, _CLADES) + f"SELECT identity, '#' || upper(printf('%02x%02x%02x', {_channel('0')}, {_channel('4')}, {_channel('2')})) AS color FROM shades")
 def lineage_palette(spark, sf_dir):
     return annotations.lineage_palette(adapters.customer_tree(spark, sf_dir)).drop("population")
 
 
-@query()
+_LIGHT = " + ".join(f"{w}::DOUBLE * ('0x' || substr(color, {at}, 2))::INTEGER" for w, at in ((0.299, 2), (0.587, 4), (0.114, 6)))
+
+
+@query(with_(TREE) + f""", i AS (SELECT identity, row_number() OVER (ORDER BY try_cast(string_split(identity, '-')[-1] AS DOUBLE) NULLS LAST, identity) AS i FROM edges),
+pal AS (SELECT identity, CASE WHEN i <= 20 THEN [{_PAL}][i] ELSE '#' || substr(md5(identity), 1, 6) END AS color FROM i),
+lines AS (SELECT 0 AS k, '"' || identity || '" [style=filled, fillcolor="' || color || '", fontcolor="' || CASE WHEN ({_LIGHT}) / 255 > 0.5 THEN '#000000' ELSE '#FFFFFF' END || '"];' AS line FROM pal
+  UNION ALL SELECT 1, '"' || parent || '" -> "' || identity || '";' FROM edges)
+SELECT 'digraph lineage {{' || chr(10) || string_agg(line, chr(10) ORDER BY k, line) || chr(10) || '}}' AS dot FROM lines""")
 def lineage_dot(spark, sf_dir):
     edges = adapters.customer_tree(spark, sf_dir)
     return annotations.dot_graph(edges, annotations.distinct_palette(edges.select("population", "identity"))).drop("population")
