@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, forest, metric_join, mixing, quality, recompression, suffix_dedup, tokens, toxicity
+from . import chat, codes, decontaminate, forest, merkle, metric_join, mixing, quality, recompression, suffix_dedup, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,5 +97,72 @@ FROM turns GROUP BY conv_id
 """
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_cotraining, op3_qgram_decontamination, op4_toxicity_ordinal, op5_forest_near_dedup, op6_mix_sources, op7_jaccard_join, op8_recompression_dedup, op9_token_output, op10_chat_format)}
-ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op10_chat_format": OP10_SQL}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _op11_sql() -> str:
+    """Nearest entries by comparison with all 64; two rounds of floored means."""
+    near = """(SELECT p.vec_id, p.part, p.x, c.entry, c.d FROM {parts} p, LATERAL (
+      SELECT b.entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda k: (p.x[k] - b.x[k]) * (p.x[k] - b.x[k]))) AS d FROM {book} b WHERE b.part = p.part ORDER BY d, b.entry LIMIT 1) c)"""
+    moved = """(SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM {book} b LEFT JOIN (
+      SELECT part, entry, list(v ORDER BY k) AS x FROM (
+        SELECT part, entry, k, floor(sum(x[k])::DOUBLE / count(*))::BIGINT AS v FROM {near} a, LATERAL (SELECT unnest(range(1, len(a.x) + 1)) AS k) GROUP BY part, entry, k) GROUP BY part, entry) m
+      ON m.part = b.part AND m.entry = b.entry)"""
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x FROM kept, LATERAL (SELECT unnest(range(16)) AS part)),
+seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64),
+book0 AS MATERIALIZED (SELECT part, entry, x FROM parts JOIN seeds USING (vec_id)),
+near0 AS MATERIALIZED {near.format(parts="parts", book="book0")},
+book1 AS MATERIALIZED {moved.format(book="book0", near="near0")},
+near1 AS MATERIALIZED {near.format(parts="parts", book="book1")},
+book2 AS MATERIALIZED {moved.format(book="book1", near="near1")},
+near2 AS MATERIALIZED {near.format(parts="parts", book="book2")},
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near2 GROUP BY vec_id),
+total AS (SELECT label, sum(error)::BIGINT AS label_error FROM coded JOIN kept USING (vec_id) GROUP BY label)
+SELECT c.vec_id, code, error, label_error, (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM book2) AS codebooks_sha256
+FROM coded c JOIN kept k ON k.vec_id = c.vec_id JOIN total t ON t.label IS NOT DISTINCT FROM k.label
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(merkle.build(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _op12_sql() -> str:
+    """Leaves, all levels of both trees by recursion over runs of 8, and for each leaf its way up."""
+    part = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+    leaf = lambda text: "sha256(" + " || ".join(part.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    climb = """SELECT t, level + 1, pos // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM {0} WHERE n > 1 GROUP BY t, level, pos // 8"""
+    beside = """SELECT t, level, pos, n, h, coalesce(string_agg(h, '' ORDER BY pos) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre,
+      coalesce(string_agg(h, '' ORDER BY pos) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post FROM {0} WINDOW w AS (PARTITION BY t, level, pos // 8 ORDER BY pos)"""
+    return f"""
+WITH RECURSIVE bits AS (
+  SELECT doc_id, 1 AS i, 4294967295::BIGINT AS crc FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL
+  SELECT doc_id, i + 1, list_reduce(list_prepend(xor(crc, ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT), range(8)::BIGINT[]), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) FROM bits WHERE i <= length(doc_id::VARCHAR)),
+thirds AS (SELECT doc_id FROM bits WHERE i = length(doc_id::VARCHAR) + 1 AND xor(crc, 4294967295) % 3 = 0),
+leaves AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS t, {leaf("text")} AS h, {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS low FROM documents),
+ranked AS (SELECT t, doc_id, h, CASE WHEN doc_id IN (SELECT doc_id FROM thirds) THEN low ELSE h END AS tampered,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY t) AS n FROM leaves),
+nodes(t, level, pos, n, h) AS (SELECT t, 0, pos, n, h FROM ranked UNION ALL {climb.format("nodes")}),
+subs AS (SELECT t, h, row_number() OVER (ORDER BY t) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(t, level, pos, n, h) AS (SELECT '', 0, pos, n, h FROM subs UNION ALL {climb.format("tops")}),
+node_sides AS ({beside.format("nodes")}), top_sides AS ({beside.format("tops")}),
+up(rid, t, level, pos, h, proof, done) AS (
+  SELECT t || ':' || pos, t, 0, pos, tampered, '', n = 1 FROM ranked
+  UNION ALL
+  SELECT u.rid, u.t, u.level + 1, u.pos // 8, sha256(s.pre || u.h || s.post), u.proof || s.pre || s.post, s.n <= 8 FROM up u JOIN node_sides s ON s.t = u.t AND s.level = u.level AND s.pos = u.pos WHERE NOT u.done),
+over(rid, level, pos, h, proof, done) AS (
+  SELECT u.rid, 0, s.pos, u.h, u.proof, s.n = 1 FROM up u JOIN subs s USING (t) WHERE u.done
+  UNION ALL
+  SELECT o.rid, o.level + 1, o.pos // 8, sha256(s.pre || o.h || s.post), o.proof || s.pre || s.post, s.n <= 8 FROM over o JOIN top_sides s ON s.level = o.level AND s.pos = o.pos WHERE NOT o.done)
+SELECT r.doc_id, r.h AS leaf, s.h AS subroot, root.h AS root, sha256(o.proof) AS proof_sha256, o.h AS folded_root, o.h = root.h AS verified
+FROM ranked r JOIN subs s USING (t) JOIN over o ON o.done AND o.rid = r.t || ':' || r.pos, (SELECT h FROM tops WHERE n = 1) root
+"""
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_cotraining, op3_qgram_decontamination, op4_toxicity_ordinal, op5_forest_near_dedup, op6_mix_sources, op7_jaccard_join, op8_recompression_dedup, op9_token_output, op10_chat_format, op11_vector_codes, op12_merkle_manifest)}
+ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op10_chat_format": OP10_SQL, "op11_vector_codes": _op11_sql(), "op12_merkle_manifest": _op12_sql()}
