@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codes, decontaminate, forest, merkle, metric_join, mixing, quality, recompression, suffix_dedup, tokens, toxicity
+from . import chat, codes, decontaminate, forest, langmodel, merkle, metric_join, mixing, quality, recompression, suffix_dedup, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -164,5 +164,9 @@ FROM ranked r JOIN subs s USING (t) JOIN over o ON o.done AND o.rid = r.t || ':'
 """
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_cotraining, op3_qgram_decontamination, op4_toxicity_ordinal, op5_forest_near_dedup, op6_mix_sources, op7_jaccard_join, op8_recompression_dedup, op9_token_output, op10_chat_format, op11_vector_codes, op12_merkle_manifest)}
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.fit_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_cotraining, op3_qgram_decontamination, op4_toxicity_ordinal, op5_forest_near_dedup, op6_mix_sources, op7_jaccard_join, op8_recompression_dedup, op9_token_output, op10_chat_format, op11_vector_codes, op12_merkle_manifest, op13_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op10_chat_format": OP10_SQL, "op11_vector_codes": _op11_sql(), "op12_merkle_manifest": _op12_sql()}
