@@ -2,12 +2,12 @@
 
 Tokens are words, A-Z folded, and an end after each text; every text also has a begin before it, which is only context. The model mixes orders:
 
-    P1(w) = (c(w) + 1) / (N + V + 1)      P(w | context) = c(context w) / (c(context) + MASS) + MASS / (c(context) + MASS) * P(w | shorter context)
+    P1(w) = (c(w) + 1) / (N + V + 1)      P(w | context) = c(context w) / (c(context) + M) + M / (c(context) + M) * P(w | shorter context)
 
-over the counts of all training texts, none left out: sums to one at each order, as unknown words share one place of P1.
+M = MASS[order], over the counts of all training texts, none left out: sums to one at each order, as unknown words share one place of P1.
 
 A trie level holds the n-grams of one length: the contexts (nodes of the level above), pointers to where each one's successors begin, the successors, and for
-each its share c(context w) / (c(context) + MASS) as a code of 1 / STEPS decades, rounded down so that no sum exceeds one; all but the last level
+each its share c(context w) / (c(context) + M) as a code of 1 / STEPS decades, rounded down so that no sum exceeds one; all but the last level
 hold counts too. Contexts, pointers, successors (raised by the successors before them) and running counts are monotone, so they stand in Elias-Fano
 form. A successor is not the word but its rank among the words known to follow the context without its first word, a far smaller number, and it is
 searched for between its context's two pointers, by the sequence's successor search. A level is dealt to buckets by context, and a context of over SPLIT tokens
@@ -39,7 +39,9 @@ from .hashing import U64, mix, piece_hashes
 from .recompression import distinct_pieces, from_bytes, to_bytes
 from .shingles import FOLD
 
-ORDER, MASS, STEPS, ABSENT = 3, 4.0, 4096, 65535
+ORDER, STEPS, ABSENT = 3, 4096, 65535
+#: weight of the shorter context's probabilities, in tokens, at each order from 2 on
+MASS = {2: 300.0, 3: 20.0}
 #: bytes of text and tokens in a chunk, tokens in a piece of a long text, tokens of a context beyond which its successors are split, tokens for each bucket
 CHUNK, CHUNK_TOKENS, SEGMENT, SPLIT, BUCKET_TOKENS = 2_000_000, 1 << 19, 1 << 16, 1 << 17, 1_500_000
 BLANK = np.array([0x20, 0x20], np.uint8)
@@ -137,7 +139,7 @@ def trained(c: Arrays) -> np.ndarray:
 
 def paired(c: Arrays, of: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the n-gram that ends at each token or -1, left and right parts of each distinct one); of: the same for n - 1, node: their nodes + 1."""
-    of = np.where((of >= 0) & (node[of] > 0), of, -1)
+    of = np.where(np.r_[node, 0][of] > 0, of, -1)
     before = np.r_[-1, of[:-1]]
     before[np.cumsum(c["lead"] + c["size"])[:-1]] = -1
     live = np.flatnonzero((before >= 0) & (of >= 0))
@@ -256,12 +258,12 @@ def _find_words(key: tuple, table: pa.Table, held: pa.Table) -> pa.Table:
     return answered(table, {"found": found, "count": np.r_[0, v["count"]][found]}, WORD_ANSWER)
 
 
-def trie_level(context: np.ndarray, item: np.ndarray, count: np.ndarray, total: np.ndarray, counts: bool) -> bytes:
+def trie_level(context: np.ndarray, item: np.ndarray, count: np.ndarray, total: np.ndarray, mass: float, counts: bool) -> bytes:
     """A bucket of a level from its n-grams, ascending by (context, item)."""
     first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
     pointers = np.r_[first, len(context)]
     raise_by = np.r_[0, np.cumsum(item[pointers[1:-1] - 1] + 1)] if len(first) else np.zeros(0, np.int64)
-    share = np.minimum(np.ceil(-np.log10(count / (total + MASS)) * STEPS - 1e-9), ABSENT - 1).astype(np.uint16)
+    share = np.minimum(np.ceil(-np.log10(count / (total + mass)) * STEPS - 1e-9), ABSENT - 1).astype(np.uint16)
     sequences = [context[first], pointers, item + np.repeat(raise_by, np.diff(pointers))] + ([np.r_[0, np.cumsum(count)]] if counts else [])
     return np.array([len(sequences)], np.int64).tobytes() + b"".join(map(Monotone.dump, sequences)) + share.tobytes()
 
@@ -298,7 +300,7 @@ class TrieLevel:
         return out
 
 
-def _build(counts: bool):
+def _build(mass: float, counts: bool):
     @tidy
     def run(key: tuple, table: pa.Table) -> pa.Table:
         a = joined(table, GRAM_ASK)
@@ -307,7 +309,7 @@ def _build(counts: bool):
         context, item = a["context"][some], a["item"][some]
         first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (item[1:] != item[:-1])]) if len(some) else some
         count = np.add.reduceat(a["count"][some], first) if len(some) else some
-        level = trie_level(context[first], item[first], count, a["total"][some][first], counts)
+        level = trie_level(context[first], item[first], count, a["total"][some][first], mass, counts)
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "grams": pa.array([len(first)], pa.int64()), "level": pa.array([level], pa.binary())})
 
     return run
@@ -317,7 +319,7 @@ def _build(counts: bool):
 def _find_grams(key: tuple, table: pa.Table, held: pa.Table) -> pa.Table:
     a = joined(table, {"context": np.int64, "item": np.int64})
     # the level's arrays are views of the buffer that Arrow holds
-    raw = memoryview(held.column("level").combine_chunks()[0].as_buffer()) if held.num_rows else trie_level(*[np.zeros(0, np.int64)] * 4, False)
+    raw = memoryview(held.column("level").combine_chunks()[0].as_buffer()) if held.num_rows else trie_level(*[np.zeros(0, np.int64)] * 4, 1.0, False)
     return answered(table, TrieLevel(raw).find(a["context"], a["item"]), GRAM_ANSWER)
 
 
@@ -384,13 +386,13 @@ def _score(level: int, buckets: int, tokens: int, words: int):
         p = (c["count"][c["code"]] + 1) / (tokens + words + 1)
         real, base = scored(c), np.log10(p)
         of, state = c["code"].astype(np.int64), {"node": c["node"], "count": c["count"]}
-        for nxt in known:
+        for mass, nxt in zip(MASS.values(), known, strict=True):
             before = np.r_[-1, of[:-1]]
             before[np.cumsum(c["lead"] + c["size"])[:-1]] = -1
             context = np.where(before >= 0, np.r_[state["count"], 0][before], 0)
             of, *_ = paired(c, of, state["node"])
             share = np.where(of >= 0, np.r_[nxt["share"], ABSENT][of], ABSENT)
-            p = np.where(share < ABSENT, 10.0 ** (-share / STEPS), 0.0) + MASS / (context + MASS) * p
+            p = np.where(share < ABSENT, 10.0 ** (-share / STEPS), 0.0) + mass / (context + mass) * p
             state = nxt
         first = np.cumsum(c["size"]) - c["size"]
         sums = [np.add.reduceat(x[real], first) for x in ((c["count"][c["code"]] > 0).astype(np.int64), base, np.log10(p))]
@@ -445,7 +447,7 @@ def run(documents: DataFrame, held: Column, model: Model | None = None) -> tuple
     for level in range(2, ORDER + 1):
         asks = by_bucket(state.mapInArrow(_ask_grams(level, model.buckets), binaries("bucket int, chunk long, n int", GRAM_ASK)), "asks")
         if fit:
-            model.levels.append(by_bucket(asks.groupBy("bucket").applyInArrow(_build(level < ORDER), "bucket int, grams long, level binary"), f"level{level}", True))
+            model.levels.append(by_bucket(asks.groupBy("bucket").applyInArrow(_build(MASS[level], level < ORDER), "bucket int, grams long, level binary"), f"level{level}", True))
         answers = met(state, asks, model.levels[level - 2], _find_grams, GRAM_ANSWER)
         if level < ORDER:
             found = kept(answers.applyInArrow(_learn(level, model.buckets), "chunk long, " + ", ".join(f"{f}{level} binary" for f in GRAMS)), "grams")

@@ -53,8 +53,8 @@ def brute(rows):
             base += math.log10(p)
             for k in range(2, min(L.ORDER, i + 1) + 1):
                 gram, context = count[tuple(t[i - k + 1 : i + 1])], count[tuple(t[i - k + 1 : i])]
-                share = 10 ** (-math.ceil(-math.log10(gram / (context + L.MASS)) * L.STEPS - 1e-9) / L.STEPS) if gram else 0
-                p = share + L.MASS / (context + L.MASS) * p
+                share = 10 ** (-math.ceil(-math.log10(gram / (context + L.MASS[k])) * L.STEPS - 1e-9) / L.STEPS) if gram else 0
+                p = share + L.MASS[k] / (context + L.MASS[k]) * p
             score += math.log10(p)
         out.append((doc, held(doc), len(t) - 1, sum(count[w,] > 0 for w in t[1:]), n, base, score))
     return sorted(out, key=str)
@@ -74,7 +74,15 @@ def test_scores_of_all_texts(spark):
     want = brute(rows)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=1e-9)
-    assert sum(g[6] for g in got if g[1]) > sum(g[5] for g in got if g[1])  # texts held out are told better than by single words
+
+
+def test_context_tells_more_than_words(spark):
+    """Held-out texts of a language with fixed sequences of words."""
+    rng = random.Random(4)
+    phrases = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(9)) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(30)), 1, 1) for i in range(300)]
+    got = [r for r in L.fit_and_score(spark.createDataFrame(rows, DOCS)).collect() if r.held_out]
+    assert len(got) > 20 and sum(r.score for r in got) > 0.7 * sum(r.base_score for r in got)
 
 
 def test_a_model_scores_other_texts(spark):
@@ -92,13 +100,13 @@ def test_split_contexts():
     rng = np.random.default_rng(1)
     context, item = np.divmod(np.unique(rng.integers(0, 300 * 1000, 4000)), 1000)
     count, total = rng.integers(1, 9, len(item)), np.full(len(item), 5000)
-    level = L.TrieLevel(L.trie_level(context, item, count, total, True))
+    level = L.TrieLevel(L.trie_level(context, item, count, total, 4.0, True))
     got = level.find(np.r_[context, context], np.r_[item, item + 1000])
     n = len(item)
     assert (got["found"][:n] == np.arange(n) + 1).all() and (got["count"][:n] == count).all() and not got["found"][n:].any()
     first = np.searchsorted(context, context)
     assert (got["rank"][:n] == np.arange(n) - first).all()
-    assert (10.0 ** (-got["share"][:n] / L.STEPS) <= count / (total + L.MASS) + 1e-15).all()
+    assert (10.0 ** (-got["share"][:n] / L.STEPS) <= count / (total + 4.0) + 1e-15).all()
     parts, part = L.splits(np.array([10, L.SPLIT * 5]), np.array([3, 4]))
     assert parts.tolist() == [1, 6] and part[0] == 0 and 0 <= part[1] < 6
 
