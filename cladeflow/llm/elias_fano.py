@@ -12,6 +12,8 @@ import numpy as np
 from .hashing import U64
 
 _WORD = np.uint64(63)
+#: places asked for are many where they are over this part of the sequence
+MANY = 16
 
 
 def _select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -74,12 +76,21 @@ class Monotone:
         over = np.where(shift > 0, self.low[word + 1] << ((U64(64) - shift) & _WORD), U64(0))
         return (self.low[word] >> shift | over) & U64((1 << self.width) - 1)
 
+    def all(self) -> np.ndarray:
+        """All numbers, one after the other."""
+        top = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little")) - np.arange(self.n)
+        return (top.astype(U64) << U64(self.width) | self._low(np.arange(self.n))).astype(np.int64)
+
     def get(self, i: np.ndarray) -> np.ndarray:
-        """The numbers at places i."""
+        """The numbers at places i; where they are many beside n, by reading the sequence once."""
+        if len(i) * MANY > self.n:
+            return self.all()[i]
         return ((self._place(self.ones, i, False) - i).astype(U64) << U64(self.width) | self._low(i)).astype(np.int64)
 
     def successor(self, values: np.ndarray) -> np.ndarray:
-        """The first place whose number is not under each value; n where there is none."""
+        """The first place whose number is not under each value; n where there is none. Many values meet the sequence read once."""
+        if len(values) * MANY > self.n:
+            return np.searchsorted(self.all(), values)
         out = np.full(len(values), self.n, np.int64)
         if not self.n:
             return out

@@ -15,7 +15,7 @@ to several by its successors; a bucket is one binary value of a Parquet table, a
 hands it (an executor has no file of its own to map).
 
 Chunks of text stay where they are, in tables bucketed by chunk. Order by order they ask for their distinct n-grams (with their counts in training texts) and get
-nodes, ranks and codes: the asks are first summed into the level, then answered from it. A word or n-gram is asked for once a chunk, however often it stands.
+nodes, ranks and codes: a bucket's asks are first summed into its part of the level, then answered from it. A word or n-gram is asked for once a chunk, however often it stands.
 Equality is that of bytes (words) and numbers (n-grams); hashes only deal to buckets.
 
 Rows: null text counts as empty (the end alone); each row is scored, also rows that share a doc_id or have none (those train). Long texts are cut into pieces that overlap by the
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_of, discard, flat_ranges, row_chunks, saved_by, text_bytes, tidy, word_bounds
+from .common import buckets_of, discard, flat_ranges, row_chunks, saved, saved_by, text_bytes, tidy, word_bounds
 from .elias_fano import Monotone
 from .hashing import U64, mix, piece_hashes
 from .recompression import distinct_pieces, from_bytes, to_bytes
@@ -143,12 +143,28 @@ def paired(c: Arrays, of: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.
     before = np.r_[-1, of[:-1]]
     before[np.cumsum(c["lead"] + c["size"])[:-1]] = -1
     live = np.flatnonzero((before >= 0) & (of >= 0))
-    key, number = np.unique(before[live].astype(np.int64) * len(node) + of[live], return_inverse=True)
+    key, number = numbered(before[live].astype(np.int64) * len(node) + of[live])
     out = np.full(len(of), -1, np.int64)
     out[live] = number
     return out, *np.divmod(key, max(len(node), 1))
 
 
+def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, ascending; the number of each key among them)."""
+    by = np.argsort(key)
+    ranked = key[by]
+    new = np.ones(len(by), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(new) - 1
+    return ranked[new], out
+
+
+def ordered(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """Places by bucket, in their order inside each."""
+    return np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+
+
 def splits(total: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(parts that each context's successors are dealt to, the part of each item)."""
     parts = 1 + total // SPLIT
@@ -156,10 +172,10 @@ def splits(total: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def dealt(context: np.ndarray, item: np.ndarray, total: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each n-gram, order by bucket, context and item)."""
+    """(bucket of each n-gram, their order by bucket)."""
     part = splits(total, item)[1]
     bucket = (mix(context.astype(U64) * U64(0x9E3779B97F4A7C15) + part.astype(U64)) % U64(buckets)).astype(np.int64)
-    return bucket, np.lexsort((item, context, bucket))
+    return bucket, ordered(bucket, buckets)
 
 
 def in_buckets(bucket: np.ndarray) -> list[tuple[int, int]]:
@@ -191,7 +207,7 @@ def _ask_words(buckets: int):
 
 def word_buckets(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     bucket = (piece_hashes(raw, starts, ends) % U64(buckets)).astype(np.int64)
-    return bucket, np.argsort(bucket, kind="stable")
+    return bucket, ordered(bucket, buckets)
 
 
 def _ask_grams(level: int, buckets: int):
@@ -226,36 +242,52 @@ def asked(c: Arrays, known: list[Arrays]) -> tuple[np.ndarray, Arrays]:
 # ---- levels
 
 
-@tidy
-def _vocabulary(key: tuple, table: pa.Table) -> pa.Table:
-    """A bucket's training words with their counts, and sums of them."""
-    a = joined(table, WORD_ASK)
-    ends = np.cumsum(a["long"], dtype=np.int64)
-    starts = ends - a["long"]
-    one, of = distinct_pieces(a["raw"], starts, ends)
-    total = np.bincount(of, weights=a["count"], minlength=len(one)).astype(np.int64)
-    some = one[total > 0]
-    total = total[total > 0]
-    rows = [{"bucket": key[0].as_py(), "words": len(some), "tokens": int(total.sum()), "raw": a["raw"][flat_ranges(starts[some], a["long"][some].astype(np.int64))], "long": a["long"][some], "count": total}]
-    return packed({"bucket": pa.int32(), "words": pa.int64(), "tokens": pa.int64()}, rows, WORD_ASK)
-
-
 def answered(table: pa.Table, found: Arrays, fields: dict) -> pa.Table:
     cuts = np.cumsum(table.column("n").to_numpy())[:-1]
     parts = {f: np.split(v, cuts) for f, v in found.items()}
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), **{f: pa.array([to_bytes(x) for x in parts[f]], pa.binary()) for f in fields}})
 
 
-@tidy
-def _find_words(key: tuple, table: pa.Table, held: pa.Table) -> pa.Table:
-    v, a = joined(held, WORD_ASK), joined(table, WORD_ASK)
+WORD_ROWS = binaries("chunk long, bucket int, words long, tokens long", {**WORD_ANSWER, "raw": 0, "long": 0, "total": 0})
+GRAM_ROWS = binaries("chunk long, bucket int, level binary", GRAM_ANSWER)
+WORD_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.int64()), ("tokens", pa.int64()), *((f, pa.binary()) for f in (*WORD_ANSWER, "raw", "long", "total"))])
+GRAM_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("level", pa.binary()), *((f, pa.binary()) for f in GRAM_ANSWER)])
+
+
+def together(schema: pa.Schema, parts: list[pa.Table]) -> pa.Table:
+    """Tables of some of the columns as one; columns that a table lacks are null."""
+    return pa.concat_tables([pa.table([t.column(f.name) if f.name in t.column_names else pa.nulls(t.num_rows, f.type) for f in schema], schema=schema) for t in parts])
+
+
+def found_words(table: pa.Table, a: Arrays, v: Arrays) -> pa.Table:
+    """Answers from a bucket of the vocabulary, v."""
     ends = np.cumsum(np.r_[v["long"], a["long"]], dtype=np.int64)
     one, of = distinct_pieces(np.r_[v["raw"], a["raw"]], np.r_[0, ends[:-1]], ends)
     n = len(v["long"])
     at = np.zeros(len(one), np.int64)
     at[of[:n]] = np.arange(n) + 1
     found = at[of[n:]]
-    return answered(table, {"found": found, "count": np.r_[0, v["count"]][found]}, WORD_ANSWER)
+    return answered(table, {"found": found, "count": np.r_[0, v["total"]][found]}, WORD_ANSWER)
+
+
+@tidy
+def _learn_words(key: tuple, table: pa.Table) -> pa.Table:
+    """A bucket's training words with their counts (one row), and the answers to its asks from them."""
+    a = joined(table, WORD_ASK)
+    ends = np.cumsum(a["long"], dtype=np.int64)
+    starts = ends - a["long"]
+    one, of = distinct_pieces(a["raw"], starts, ends)
+    total = np.bincount(of, weights=a["count"], minlength=len(one)).astype(np.int64)
+    some = one[total > 0]
+    total = total[total > 0]
+    v = {"raw": a["raw"][flat_ranges(starts[some], a["long"][some].astype(np.int64))], "long": a["long"][some], "total": total}
+    row = {"bucket": key[0].as_py(), "words": len(some), "tokens": int(total.sum()), **v}
+    return together(WORD_SCHEMA, [packed({"bucket": pa.int32(), "words": pa.int64(), "tokens": pa.int64()}, [row], {"raw": 0, "long": 0, "total": 0}), found_words(table, a, v)])
+
+
+@tidy
+def _find_words(key: tuple, table: pa.Table, held: pa.Table) -> pa.Table:
+    return together(WORD_SCHEMA, [found_words(table, joined(table, WORD_ASK), joined(held, {"raw": np.uint8, "long": np.int32, "total": np.int64}))])
 
 
 def trie_level(context: np.ndarray, item: np.ndarray, count: np.ndarray, total: np.ndarray, mass: float, counts: bool) -> bytes:
@@ -300,17 +332,38 @@ class TrieLevel:
         return out
 
 
-def _build(mass: float, counts: bool):
+def distinct_grams(context: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one of each distinct n-gram, ascending by (context, item); the number of each)."""
+    wide = int(item.max(initial=0)).bit_length()
+    if int(context.max(initial=0)).bit_length() + wide < 63:
+        key = context << wide | item
+        by = np.argsort(key)
+        new = np.r_[True, key[by][1:] != key[by][:-1]] if len(by) else np.zeros(0, bool)
+    else:
+        by = np.lexsort((item, context))
+        new = np.r_[True, (context[by][1:] != context[by][:-1]) | (item[by][1:] != item[by][:-1])]
+    of = np.empty(len(by), np.int64)
+    of[by] = np.cumsum(new) - 1
+    return by[new], of
+
+
+def found_grams(table: pa.Table, a: Arrays, one: np.ndarray, of: np.ndarray, raw: memoryview | bytes) -> pa.Table:
+    """Answers from a bucket of a level: each distinct n-gram is looked for once."""
+    found = TrieLevel(raw).find(a["context"][one], a["item"][one])
+    return answered(table, {f: v[of] for f, v in found.items()}, GRAM_ANSWER)
+
+
+def _learn_grams(mass: float, counts: bool):
+    """A bucket's part of a level (one row), and the answers to its asks from it."""
+
     @tidy
     def run(key: tuple, table: pa.Table) -> pa.Table:
         a = joined(table, GRAM_ASK)
-        some = np.flatnonzero(a["count"])
-        some = some[np.lexsort((a["item"][some], a["context"][some]))]
-        context, item = a["context"][some], a["item"][some]
-        first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (item[1:] != item[:-1])]) if len(some) else some
-        count = np.add.reduceat(a["count"][some], first) if len(some) else some
-        level = trie_level(context[first], item[first], count, a["total"][some][first], mass, counts)
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "grams": pa.array([len(first)], pa.int64()), "level": pa.array([level], pa.binary())})
+        one, of = distinct_grams(a["context"], a["item"])
+        count = np.bincount(of, weights=a["count"], minlength=len(one)).astype(np.int64)
+        some = one[count > 0]
+        level = trie_level(a["context"][some], a["item"][some], count[count > 0], a["total"][some], mass, counts)
+        return together(GRAM_SCHEMA, [pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "level": pa.array([level], pa.binary())}), found_grams(table, a, one, of, level)])
 
     return run
 
@@ -320,7 +373,7 @@ def _find_grams(key: tuple, table: pa.Table, held: pa.Table) -> pa.Table:
     a = joined(table, {"context": np.int64, "item": np.int64})
     # the level's arrays are views of the buffer that Arrow holds
     raw = memoryview(held.column("level").combine_chunks()[0].as_buffer()) if held.num_rows else trie_level(*[np.zeros(0, np.int64)] * 4, 1.0, False)
-    return answered(table, TrieLevel(raw).find(a["context"], a["item"]), GRAM_ANSWER)
+    return together(GRAM_SCHEMA, [found_grams(table, a, *distinct_grams(a["context"], a["item"]), raw)])
 
 
 # ---- answers come to their chunks
@@ -346,8 +399,8 @@ def _name(buckets: int):
     return run
 
 
-def _grams(c: Arrays, known: list[Arrays], answers: pa.Table, buckets: int) -> tuple[np.ndarray, Arrays]:
-    of, ask = asked(c, known)
+def _received(ask: Arrays, answers: pa.Table, buckets: int) -> Arrays:
+    """GRAMS of what a chunk has asked."""
     bucket, by = dealt(ask["context"], ask["item"], ask["total"], buckets)
     got = in_order(answers, GRAM_ANSWER)
     out = {f: np.zeros(len(by), kind) for f, kind in GRAMS.items()}
@@ -355,7 +408,7 @@ def _grams(c: Arrays, known: list[Arrays], answers: pa.Table, buckets: int) -> t
     out["node"][by] = np.where(got["found"] > 0, (got["found"] - 1) * buckets + bucket[by] + 1, 0)
     out["item"][by] = got["rank"] * parts[by] + part[by]
     out["count"][by], out["share"][by] = got["count"], got["share"]
-    return of, out
+    return out
 
 
 def _known(rows: pa.Table, level: int) -> list[Arrays]:
@@ -367,7 +420,7 @@ def _learn(level: int, buckets: int):
 
     @tidy
     def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        _, out = _grams(arrays(rows, NAMED), _known(rows, level), answers, buckets)
+        out = _received(asked(arrays(rows, NAMED), _known(rows, level))[1], answers, buckets)
         return packed({"chunk": pa.int64()}, [{"chunk": key[0].as_py(), **out}], GRAMS).rename_columns(["chunk", *(f"{f}{level}" for f in GRAMS)])
 
     return run
@@ -382,15 +435,15 @@ def _score(level: int, buckets: int, tokens: int, words: int):
     @tidy
     def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         c, known = arrays(rows, NAMED), _known(rows, level)
-        known.append(_grams(c, known, answers, buckets)[1])
         p = (c["count"][c["code"]] + 1) / (tokens + words + 1)
         real, base = scored(c), np.log10(p)
-        of, state = c["code"].astype(np.int64), {"node": c["node"], "count": c["count"]}
-        for mass, nxt in zip(MASS.values(), known, strict=True):
+        of, state = c["code"].astype(np.int64), {"node": c["node"], "item": c["node"], "count": c["count"]}
+        for order, mass in MASS.items():
             before = np.r_[-1, of[:-1]]
             before[np.cumsum(c["lead"] + c["size"])[:-1]] = -1
             context = np.where(before >= 0, np.r_[state["count"], 0][before], 0)
-            of, *_ = paired(c, of, state["node"])
+            of, left, right = paired(c, of, state["node"])
+            nxt = known[order - 2] if order < level else _received({"context": state["node"][left], "item": state["item"][right], "total": state["count"][left]}, answers, buckets)
             share = np.where(of >= 0, np.r_[nxt["share"], ABSENT][of], ABSENT)
             p = np.where(share < ABSENT, 10.0 ** (-share / STEPS), 0.0) + mass / (context + mass) * p
             state = nxt
@@ -419,43 +472,46 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def run(documents: DataFrame, held: Column, model: Model | None = None) -> tuple[Model, DataFrame]:
-    """The model (learned from the rows that are not held out, unless one is given) and the scores of all rows."""
+def run(documents: DataFrame, held: Column, model: Model | None = None, keep: bool = True) -> tuple[Model, DataFrame]:
+    """The model (learned from the rows that are not held out, unless one is given) and the scores of all rows. keep: whether the model's tables stay for other documents."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
     spread = buckets_of(docs)
     kept = lambda df, name, moved=True: saved_by(df, f"lm-{name}", "chunk", spread, moved)
     chunks = kept(docs.mapInArrow(_read, binaries("chunk long", READ)), "read", False)
     fit = model is None
     if fit:
-        # a chunk's words are at most its tokens: three bytes of text make one at most, usually six
-        buckets = max(spread, -(-int(docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]) // (6 * BUCKET_TOKENS)))
-        model = Model(None, [], buckets, 0, 0)
-    by_bucket = lambda df, name, moved=False: saved_by(df, f"lm-{name}", "bucket", model.buckets, moved)
-    asks = by_bucket(chunks.mapInArrow(_ask_words(model.buckets), binaries("bucket int, chunk long, n int", WORD_ASK)), "asks")
-    if fit:
-        model.vocabulary = by_bucket(asks.groupBy("bucket").applyInArrow(_vocabulary, binaries("bucket int, words long, tokens long", WORD_ASK)), "vocabulary", True)
-        model.words, model.tokens = model.vocabulary.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+        model = Model(None, [], max(spread, -(-int(size) // (6 * BUCKET_TOKENS))), 0, 0)  # a token has six bytes, about
 
-    def met(state: DataFrame, asks: DataFrame, table: DataFrame, find, fields: dict):
-        answers = asks.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(find, binaries("chunk long, bucket int", fields))
-        return state.groupBy("chunk").cogroup(answers.repartition(spread, "chunk").groupBy("chunk"))
+    def told(state: DataFrame, ask, fields: dict, table: DataFrame | None, learn, find, kinds: str) -> DataFrame:
+        """Answers to what chunks ask, saved, with the rows of what is learned from the asks where there is no table yet."""
+        asks = state.mapInArrow(ask, binaries("bucket int, chunk long, n int", fields)).repartition(model.buckets, "bucket").groupBy("bucket")
+        return saved(asks.applyInArrow(learn, kinds) if table is None else asks.cogroup(table.groupBy("bucket")).applyInArrow(find, kinds), "lm-answers")
 
-    state = kept(met(chunks, asks, model.vocabulary, _find_words, WORD_ANSWER).applyInArrow(_name(model.buckets), binaries("chunk long", NAMED)), "named")
-    discard(asks)
-    discard(chunks)
+    def met(state: DataFrame, answers: DataFrame, fields: dict):
+        return state.groupBy("chunk").cogroup(answers.where("chunk IS NOT NULL").select("chunk", "bucket", *fields).repartition(spread, "chunk").groupBy("chunk"))
+
+    answers = told(chunks, _ask_words(model.buckets), WORD_ASK, model.vocabulary, _learn_words, _find_words, WORD_ROWS)
+    if fit:
+        learned = answers.where("chunk IS NULL")
+        model.words, model.tokens = learned.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+        if keep:
+            model.vocabulary = saved(learned.select("bucket", "raw", "long", "total"), "lm-vocabulary")
+    state = kept(met(chunks, answers, WORD_ANSWER).applyInArrow(_name(model.buckets), binaries("chunk long", NAMED)), "named")
     made = [state]
+    discard(answers)
+    discard(chunks)
     for level in range(2, ORDER + 1):
-        asks = by_bucket(state.mapInArrow(_ask_grams(level, model.buckets), binaries("bucket int, chunk long, n int", GRAM_ASK)), "asks")
-        if fit:
-            model.levels.append(by_bucket(asks.groupBy("bucket").applyInArrow(_build(MASS[level], level < ORDER), "bucket int, grams long, level binary"), f"level{level}", True))
-        answers = met(state, asks, model.levels[level - 2], _find_grams, GRAM_ANSWER)
+        known = None if fit else model.levels[level - 2]
+        answers = told(state, _ask_grams(level, model.buckets), GRAM_ASK, known, _learn_grams(MASS[level], level < ORDER), _find_grams, GRAM_ROWS)
+        if fit and keep:
+            model.levels.append(saved(answers.where("chunk IS NULL").select("bucket", "level"), f"lm-level{level}"))
         if level < ORDER:
-            found = kept(answers.applyInArrow(_learn(level, model.buckets), "chunk long, " + ", ".join(f"{f}{level} binary" for f in GRAMS)), "grams")
-            made.append(found)
-            state = state.join(found.hint("merge"), "chunk")
-            discard(asks)
-    pieces = saved_by(answers.applyInArrow(_score(ORDER, model.buckets, model.tokens, model.words), PIECES), "lm-pieces", "row", spread)
-    for table in (asks, *made):
+            made.append(kept(met(state, answers, GRAM_ANSWER).applyInArrow(_learn(level, model.buckets), "chunk long, " + ", ".join(f"{f}{level} binary" for f in GRAMS)), "grams"))
+            state = state.join(made[-1].hint("merge"), "chunk")
+            discard(answers)
+    pieces = saved(met(state, answers, GRAM_ANSWER).applyInArrow(_score(ORDER, model.buckets, model.tokens, model.words), PIECES), "lm-pieces")
+    for table in (answers, *made):
         discard(table)
     return model, _whole(pieces, model)
 
@@ -469,7 +525,7 @@ def _whole(pieces: DataFrame, model: Model) -> DataFrame:
 
 def fit_and_score(documents: DataFrame) -> DataFrame:
     """Scores of all documents by the model of those that are not held out (see the module)."""
-    return run(documents, held_out())[1]
+    return run(documents, held_out(), keep=False)[1]
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
