@@ -43,7 +43,7 @@ ORDER, STEPS, ABSENT = 3, 4096, 65535
 #: weight of the shorter context's probabilities, in tokens, at each order from 2 on
 MASS = {2: 300.0, 3: 20.0}
 #: bytes of text and tokens in a chunk, tokens in a piece of a long text, tokens of a context beyond which its successors are split, tokens for each bucket
-CHUNK, CHUNK_TOKENS, SEGMENT, SPLIT, BUCKET_TOKENS = 2_000_000, 1 << 19, 1 << 16, 1 << 17, 1_500_000
+CHUNK, CHUNK_TOKENS, SEGMENT, SPLIT, BUCKET_TOKENS = 6_000_000, 1 << 20, 1 << 16, 1 << 17, 1_500_000
 BLANK = np.array([0x20, 0x20], np.uint8)
 
 Arrays = dict[str, np.ndarray]
@@ -68,27 +68,51 @@ def packed(keys: dict[str, pa.DataType], rows: list[dict], fields: dict) -> pa.T
 
 
 def _pack(field: str, values: np.ndarray) -> bytes:
-    return values.astype(np.int64).tobytes() if field == "doc" else to_bytes(values)  # ids may be negative
+    return squeezed(values.astype(np.int64).tobytes() if field == "doc" else to_bytes(values))  # ids may be negative
+
+
+_ZSTD = pa.Codec("zstd", 3)
+
+
+def squeezed(raw: bytes) -> bytes:
+    """Bytes for a shuffle, whose own codec finds repeats but not what is merely frequent."""
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def opened(raw: bytes) -> bytes:
+    return _ZSTD.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
 
 
 def arrays(rows: pa.Table | pa.RecordBatch, fields: dict, i: int = 0) -> Arrays:
-    raw = {f: rows.column(f)[i].as_py() for f in fields}
+    raw = {f: opened(rows.column(f)[i].as_py()) for f in fields}
     return {f: np.frombuffer(raw[f], np.int64) if f == "doc" else from_bytes(raw[f], kind) for f, kind in fields.items()}
 
 
 def joined(rows: pa.Table, fields: dict) -> Arrays:
     """The arrays of all rows, one after the other."""
-    return {f: np.concatenate([np.zeros(0, kind), *(from_bytes(x, kind) for x in rows.column(f).to_pylist())]) for f, kind in fields.items()}
+    return {f: np.concatenate([np.zeros(0, kind), *(from_bytes(opened(x), kind) for x in rows.column(f).to_pylist())]) for f, kind in fields.items()}
 
 
 # ---- chunks of text
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to CHUNK bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= CHUNK:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 @tidy
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each chunk of text."""
     chunk = base_row = TaskContext.get().partitionId() << 40
-    for b in batches:
+    for b in gathered(batches):
         data, offsets = text_bytes(b.column("text"))
         ids = b.column("doc_id").to_pylist()
         held = b.column("held_out").to_numpy(zero_copy_only=False)
@@ -245,7 +269,7 @@ def asked(c: Arrays, known: list[Arrays]) -> tuple[np.ndarray, Arrays]:
 def answered(table: pa.Table, found: Arrays, fields: dict) -> pa.Table:
     cuts = np.cumsum(table.column("n").to_numpy())[:-1]
     parts = {f: np.split(v, cuts) for f, v in found.items()}
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), **{f: pa.array([to_bytes(x) for x in parts[f]], pa.binary()) for f in fields}})
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), **{f: pa.array([squeezed(to_bytes(x)) for x in parts[f]], pa.binary()) for f in fields}})
 
 
 WORD_ROWS = binaries("chunk long, bucket int, words long, tokens long", {**WORD_ANSWER, "raw": 0, "long": 0, "total": 0})
