@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import ROOT, ROOT_COLOR, Options
-from ..operators import abundance, annotations, clustering, detection, distances, ranking, scoring
+from ..operators import abundance, annotations, clustering, detection, distances, ranking, scoring, ward
 from ..sources import sinks, tables
 from .settle import settled
 
@@ -52,12 +52,14 @@ def infer_genotypes(long: DataFrame, options: Options, distance: DataFrame | Non
         cutoffs = found.select("population").distinct().withColumn("cutoff", F.lit(float(options.similarity_cutoff)))
     else:
         cutoffs = distances.similarity_cutoff(found, options.quantile)
-    members = clustering.with_single(clustering.cluster(found, cutoffs), long)
+    places = settled(ward.leaves(found))
+    linkage = settled(ward.linkage_of(ward.merges(found, places), places))
+    members = clustering.with_single(clustering.flat(linkage, places, cutoffs), long)
     members = settled(clustering.named_by_color(members) if options.color_names else members)
     series = settled(clustering.mean_genotypes(long, members))
     if options.filter_genotypes:
         return _without_invalid(long, members, series, options, distance)
-    return Genotypes(members, series, settled(ranking.rank_genotypes(series, options.dlimit, options.slimit)), found, clustering.linkage(found))
+    return Genotypes(members, series, settled(ranking.rank_genotypes(series, options.dlimit, options.slimit)), found, linkage)
 
 
 def _without_invalid(long: DataFrame, members: DataFrame, series: DataFrame, options: Options, distance: DataFrame, most: int = 50) -> Genotypes:

@@ -249,14 +249,51 @@ def cluster_index(spark, sf_dir):
     return rounded(rounded(rows, "within", "between"), "index", digits=5)
 
 
-@query()
+_LOT = "((x + y) % 65521 * 40503 + (x % 8191) * (y % 8191) * 31) % 65537"
+#: Ward's merges by rounds: w holds a round's pairs of clusters (kind 0) and its merges (kind 1); lists of both come from one scan of the round before
+_WARD = f"""
+lab AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS place FROM packed),
+w(round, kind, x, y, d, nx, ny, hx, hy) AS (
+  SELECT 0, 0, least(p.place, q.place), greatest(p.place, q.place), round(distance, 6) * round(distance, 6), 1.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM filled JOIN lab p ON p.label = a JOIN lab q ON q.label = b
+  UNION ALL
+  SELECT * FROM (
+    WITH pr AS MATERIALIZED (SELECT * FROM w WHERE kind = 0),
+    turned AS (SELECT x, y, d, nx, ny, hx, hy FROM pr UNION ALL SELECT y, x, d, ny, nx, hy, hx FROM pr),
+    near AS MATERIALIZED (SELECT x, arg_min({{'y': y, 'd': d, 'n': nx + ny, 'h': greatest(d, hx, hy)}}, (d, {_LOT}, y)) AS m FROM turned GROUP BY x),
+    met AS MATERIALIZED (SELECT s.x AS a, s.m.y AS b, s.m.d AS d, s.m.n AS n, s.m.h AS h FROM near s JOIN near t ON t.x = s.m.y AND t.m.y = s.x WHERE s.x < s.m.y),
+    part AS MATERIALIZED (SELECT a AS c, a, true AS one, d, n, h FROM met UNION ALL SELECT b, a, false, d, n, h FROM met),
+    seen AS (SELECT pr.round, pr.d, coalesce(l.a, x) AS lc, coalesce(l.one, true) AS l1, nx AS lp, coalesce(l.n, nx) AS ln, coalesce(l.h, hx) AS lh, coalesce(l.d, 0) AS ld,
+        coalesce(r.a, y) AS rc, coalesce(r.one, true) AS r1, ny AS rp, coalesce(r.n, ny) AS rn, coalesce(r.h, hy) AS rh, coalesce(r.d, 0) AS rd, l.a IS NULL AND r.a IS NULL AS old
+      FROM pr LEFT JOIN part l ON l.c = x LEFT JOIN part r ON r.c = y),
+    put AS (SELECT * FROM seen WHERE lc < rc UNION ALL SELECT round, d, rc, r1, rp, rn, rh, rd, lc, l1, lp, ln, lh, ld, old FROM seen WHERE lc > rc),
+    cells AS (SELECT any_value(round) AS round, lc, rc, bool_and(old) AS old, any_value(d) AS d, coalesce(max((lp + rp) * d) FILTER (l1 AND r1), 0) AS d11, coalesce(max((lp + rp) * d) FILTER (l1 AND NOT r1), 0) AS d12,
+        coalesce(max((lp + rp) * d) FILTER (NOT l1 AND r1), 0) AS d21, coalesce(max((lp + rp) * d) FILTER (NOT l1 AND NOT r1), 0) AS d22, max(ln) AS ln, max(rn) AS rn, max(lh) AS lh, max(rh) AS rh, max(ld) AS ld, max(rd) AS rd FROM put GROUP BY lc, rc)
+    SELECT round + 1, 0, lc, rc, CASE WHEN old THEN d ELSE ((d11 + d12) + (d21 + d22) - rn * ld - ln * rd) / (ln + rn) END, ln, rn, lh, rh FROM cells
+    UNION ALL
+    SELECT (SELECT max(round) FROM pr), 1, a, b, h, n, 0, 0, 0 FROM met)),
+merges AS (SELECT round, x AS a, y AS b, d AS height, nx::INTEGER AS observations, ((SELECT count(*) FROM lab) + row_number() OVER (ORDER BY d, round, x) - 1)::INTEGER AS id FROM w WHERE kind = 1),
+tree AS (SELECT m.id, m.height, m.observations, coalesce((SELECT max_by(k.id, k.round) FROM merges k WHERE k.a = m.a AND k.round < m.round), m.a)::INTEGER AS l, coalesce((SELECT max_by(k.id, k.round) FROM merges k WHERE k.a = m.b), m.b)::INTEGER AS r FROM merges m)"""
+_RECURSIVE = lambda sql: sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
+def _six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances to six digits, so that equal ones are equal wherever they are computed."""
+    return settled(_filled(spark, sf_dir).withColumn("distance", F.round("distance", 6)))
+
+
+@query(_RECURSIVE(_BINOMIAL) + ",\n" + _FILLED + ",\n" + _WARD + ' SELECT least(l, r) AS "left", greatest(l, r) AS "right", round(sqrt(height), 6) AS distance, observations, id AS cluster_id FROM tree')
 def ward_linkage(spark, sf_dir):
-    return rounded(clustering.linkage(_filled(spark, sf_dir)), "distance")
+    return rounded(clustering.linkage(_six(spark, sf_dir)), "distance")
 
 
-@query()
+@query(_RECURSIVE(_BINOMIAL) + ",\n" + _FILLED + ",\n" + _WARD + """,
+inner_ AS (SELECT round(distance, 6) AS distance FROM filled WHERE round(distance, 6) > 0 AND round(distance, 6) < (SELECT max(round(distance, 6)) FROM filled)),
+cutoff AS (SELECT quantile_cont(distance, 0.05) AS c FROM (SELECT * FROM inner_ UNION ALL SELECT * FROM inner_)),
+up(place, top) AS (SELECT place, place FROM lab UNION ALL SELECT up.place, m.a FROM up JOIN merges m ON m.b = up.top WHERE sqrt(m.height) <= (SELECT c FROM cutoff)),
+held AS (SELECT place, min(top) AS root FROM up GROUP BY place)
+SELECT 'genotype-' || dense_rank() OVER (ORDER BY root) AS genotype, label FROM held JOIN lab USING (place)""")
 def ward_members(spark, sf_dir):
-    found = _filled(spark, sf_dir)
+    found = _six(spark, sf_dir)
     return clustering.cluster(found, distances.similarity_cutoff(found)).drop("population")
 
 
