@@ -43,14 +43,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def saved_by(df: DataFrame, name: str, key: str, buckets: int, moved: bool = False) -> DataFrame:
-    """Write ``df`` to a table of the shared warehouse, bucketed by ``key``, and read it back: grouping by the key moves no rows.
+    """Write ``df`` to a table in the shared folder, bucketed by ``key``, and read it back: grouping by the key moves no rows.
     moved: whether the rows are dealt by the key already, as grouping by it leaves them."""
     spark = df.sparkSession
     table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        (df if moved else df.repartition(buckets, key)).write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+        (df if moved else df.repartition(buckets, key)).write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").bucketBy(buckets, key).saveAsTable(table)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.table(table)
@@ -62,12 +62,22 @@ def discard(df: DataFrame) -> None:
     """Delete the files behind a table made by ``saved`` or ``saved_by`` that no later step reads."""
     spark = df.sparkSession
     if table := getattr(df, "_cladeflow_table", None):
-        spark.sql(f"DROP TABLE IF EXISTS {table} PURGE")
+        drop_table(spark, table)
         return
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if path.startswith("file:") or "://" in path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_table(spark: SparkSession, table: str) -> None:
+    """Drop a table of the shared folder with its files; one that is gone stays gone."""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    _delete(spark, f"{shared_dir(spark)}/{table}")
 
 
 def _release() -> None:

@@ -1,12 +1,19 @@
 """64-bit hashes of pieces of a buffer, many pieces at a time, and exact comparison of pieces.
 
-A piece is read eight bytes (a lane) at a time; each lane is mixed into the hash by shifts and products that do not commute, so no
-algebra of the bytes survives (a polynomial modulo 2^64 gives all Thue-Morse words of a length one hash). Pieces of over LONG bytes are
-hashed as the sequence of their parts' hashes. Pieces of a sequence of 64-bit symbols are pieces of its bytes.
+``piece_hashes`` are the same in every run: they deal, sample and number things whose equality is then told by their bytes. Whoever knows
+their constants can make different pieces of one hash, so nothing counts as equal by them alone.
+
+``keyed_hashes`` hang on a key that is drawn for each run. A piece is read as 32-bit numbers s_1 .. s_2m, and each half of the hash is the upper half of
+sum of (k_2i-1 + s_2i-1) * (k_2i + s_2i) modulo 2^64, over multipliers k of its own (multilinear hashing in its half-multiplication form), with the
+length as two more numbers: two pieces, however chosen before the key is drawn, share a hash with a probability of about 2^-64 (a few times that for those of over
+LONG bytes, which are hashed as the sequence of their parts' hashes). Pieces of a sequence of 64-bit symbols are pieces of its bytes.
 """
 
 from __future__ import annotations
 
+import secrets
+from functools import lru_cache
+
 import numpy as np
 
 U64 = np.uint64
@@ -73,6 +80,78 @@ def symbol_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, see
     return piece_hashes(np.ascontiguousarray(symbols).view(np.uint8), starts * 8, ends * 8, seed)
 
 
+def draw() -> int:
+    """A key for one run."""
+    return secrets.randbits(62)
+
+
+@lru_cache(8)
+def multipliers(key: int) -> np.ndarray:
+    """[half of the hash, lane (those of the length last), half of the lane]."""
+    return np.random.Generator(np.random.PCG64(key)).integers(0, 1 << 64, (2, LONG // 8 + 2, 2), U64)
+
+
+_LOW = U64(0xFFFFFFFF)
+
+
+def _added(sums: np.ndarray, lane: np.ndarray, m: np.ndarray) -> None:
+    low, high = lane & _LOW, lane >> U64(32)
+    for k in (0, 1):
+        sums[k] += (m[k, 0] + low) * (m[k, 1] + high)
+
+
+def _folded(sums: np.ndarray) -> np.ndarray:
+    return mix(sums[0] & ~_LOW | sums[1] >> U64(32))
+
+
+def keyed_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """Hashes of the bytes start .. end - 1 of ``data`` under ``key``, for each pair of starts and ends."""
+    size, m = ends - starts, multipliers(key)
+    sums = np.zeros((2, len(size)), U64)
+    long = size > LONG
+    if long.any():
+        first, parts = starts[long], -(-size[long] // LONG)
+        at = np.repeat(np.cumsum(parts) - parts, parts)
+        begin = np.repeat(first, parts) + (np.arange(int(parts.sum())) - at) * LONG
+        inner = keyed_hashes(data, begin, np.minimum(begin + LONG, np.repeat(ends[long], parts)), key + 1)
+        last = np.cumsum(parts)
+        sums[:, long] = keyed_hashes(inner.view(np.uint8), 8 * (last - parts), 8 * last, key + 2)
+    view, short = lanes(data), np.flatnonzero(~long)
+    for i in range(0, len(short), BLOCK):  # what the caches hold
+        live = short[i : i + BLOCK]
+        at, left, got, lane = starts[live], size[live], np.zeros((2, len(live)), U64), 0
+        while len(live):
+            _added(got, view[at] & _MASKS[np.clip(left, 0, 8)], m[:, lane])
+            lane += 1
+            on = left > 8
+            if not on.all():
+                sums[:, live] = got
+                live, at, left, got = live[on], at[on], left[on], got[:, on]
+            at, left = at + 8, left - 8
+    _added(sums, size.astype(U64), m[:, -1])
+    return _folded(sums)
+
+
+def keyed_symbols(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """Hashes under ``key`` of the stretches start .. end - 1 of a sequence of 64-bit symbols."""
+    return keyed_hashes(np.ascontiguousarray(symbols).view(np.uint8), starts * 8, ends * 8, key)
+
+
+def keyed_grams(data: np.ndarray, k: int, key: int) -> np.ndarray:
+    """Hashes under ``key`` of all ``k`` consecutive bytes, k being LONG at most."""
+    n = len(data) - k + 1
+    if n < 1:
+        return np.zeros(0, U64)
+    view, m, out = lanes(data), multipliers(key), np.empty(n, U64)
+    for i in range(0, n, BLOCK):
+        j = min(n, i + BLOCK)
+        got = np.zeros((2, j - i), U64)
+        for lane, at in enumerate(range(0, k, 8)):
+            _added(got, view[at + i : at + j] & _MASKS[min(8, k - at)], m[:, lane])
+        out[i:j] = _folded(got)
+    return out
+
+
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all ``k`` consecutive bytes. For k up to 8 no two different grams share one."""
     n = len(data) - k + 1
@@ -91,10 +170,10 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
 def same_pieces(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether ``size`` bytes from each start on are the same in ``a`` and in ``b``."""
     out = np.ones(len(size), bool)
-    for i in np.flatnonzero(size > LONG):
+    for i in np.flatnonzero(size > 16 * LONG):
         out[i] = np.array_equal(a[a_starts[i] : a_starts[i] + size[i]], b[b_starts[i] : b_starts[i] + size[i]])
     x, y = lanes(a), lanes(b)
-    live = np.flatnonzero((size > 0) & (size <= LONG))
+    live = np.flatnonzero((size > 0) & (size <= 16 * LONG))
     p, q, left = a_starts[live], b_starts[live], size[live]
     while len(live):
         equal = ((x[p] ^ y[q]) & _MASKS[np.minimum(left, 8)]) == 0

@@ -499,8 +499,22 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def run(documents: DataFrame, held: Column, model: Model | None = None, keep: bool = True) -> tuple[Model, DataFrame]:
     """The model (learned from the rows that are not held out, unless one is given) and the scores of all rows. keep: whether the model's tables stay for other documents."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
+    made: list[DataFrame] = []
+    try:
+        return _walk(docs, model, keep, made)
+    finally:
+        for table in made:
+            discard(table)
+
+
+def _walk(docs: DataFrame, model: Model | None, keep: bool, made: list[DataFrame]) -> tuple[Model, DataFrame]:
+    """As run; made: tables that go at the end."""
     spread = buckets_of(docs)
-    kept = lambda df, name, moved=True: saved_by(df, f"lm-{name}", "chunk", spread, moved)
+
+    def kept(df: DataFrame, name: str, moved: bool = True) -> DataFrame:
+        made.append(saved_by(df, f"lm-{name}", "chunk", spread, moved))
+        return made[-1]
+
     chunks = kept(docs.mapInArrow(_read, binaries("chunk long", READ)), "read", False)
     fit = model is None
     if fit:
@@ -522,7 +536,6 @@ def run(documents: DataFrame, held: Column, model: Model | None = None, keep: bo
         if keep:
             model.vocabulary = saved(learned.select("bucket", "raw", "long", "total"), "lm-vocabulary")
     state = kept(met(chunks, answers, WORD_ANSWER).applyInArrow(_name(model.buckets), binaries("chunk long", NAMED)), "named")
-    made = [state]
     discard(answers)
     discard(chunks)
     for level in range(2, ORDER + 1):
@@ -531,12 +544,11 @@ def run(documents: DataFrame, held: Column, model: Model | None = None, keep: bo
         if fit and keep:
             model.levels.append(saved(answers.where("chunk IS NULL").select("bucket", "level"), f"lm-level{level}"))
         if level < ORDER:
-            made.append(kept(met(state, answers, GRAM_ANSWER).applyInArrow(_learn(level, model.buckets), "chunk long, " + ", ".join(f"{f}{level} binary" for f in GRAMS)), "grams"))
-            state = state.join(made[-1].hint("merge"), "chunk")
+            found = kept(met(state, answers, GRAM_ANSWER).applyInArrow(_learn(level, model.buckets), "chunk long, " + ", ".join(f"{f}{level} binary" for f in GRAMS)), "grams")
+            state = state.join(found.hint("merge"), "chunk")
             discard(answers)
     pieces = saved(met(state, answers, GRAM_ANSWER).applyInArrow(_score(ORDER, model.buckets, model.tokens, model.words), PIECES), "lm-pieces")
-    for table in (answers, *made):
-        discard(table)
+    discard(answers)
     return model, _whole(pieces, model)
 
 

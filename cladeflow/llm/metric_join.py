@@ -16,6 +16,8 @@
    pairs of blocks. Each region or pair of blocks is joined exactly and gives a spanning forest of its links, not its pairs.
 4. Links' components, by contraction.
 
+Words and shingles are told apart by hashes of 64 bits under a key drawn for the run (module ``hashing``), equal sets by their size and two sums of mixed hashes.
+
 Rows: null text has no words; rows without doc_id are left out; of rows that share a doc_id the one with the smallest text
 stands for all. Documents without words have an empty set and link with nothing. An empty table gives an empty
 result. Other columns are ignored.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from . import repeats as R
 from .common import buckets_of, discard, fresh, partitions, saved, tidy
 from .components import components, spanning
-from .hashing import U64, mix
+from .hashing import U64, draw, mix
 from .shingles import set_batches, set_prints, size_class, slices
 from .suffix_dedup import unique_documents
 
@@ -49,12 +51,12 @@ MEMBERS = 50_000
 FEW = 6
 
 
-def _prints(words: int, similarity: tuple[int, int]):
+def _prints(words: int, similarity: tuple[int, int], key: int):
     """Per document: size and prints of its set; for its size class and the next (0, 1) how many slices it can lose before it is saturated."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, values, counts in set_batches(batches, words):
+        for ids, values, counts in set_batches(batches, words, key):
             a, b = set_prints(values, counts)
             cut = slices(values, counts, similarity)
             kind = size_class(counts)
@@ -65,7 +67,7 @@ def _prints(words: int, similarity: tuple[int, int]):
     return run
 
 
-def _slices(words: int, similarity: tuple[int, int], buckets: int):
+def _slices(words: int, similarity: tuple[int, int], buckets: int, key: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[R.Entries] = []
@@ -76,7 +78,7 @@ def _slices(words: int, similarity: tuple[int, int], buckets: int):
             held.clear()
             return R.pack(R.bucketed(e, buckets))
 
-        for ids, values, counts in set_batches(batches, words):
+        for ids, values, counts in set_batches(batches, words, key):
             a, _ = set_prints(values, counts)
             new = np.array([not (x in seen or seen.add(x)) for x in a.tolist()], bool)  # an equal set of this task speaks for it
             if len(seen) > 500_000:
@@ -118,9 +120,9 @@ def _shared(few: int):
     return run
 
 
-def equal_sets(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+def equal_sets(docs: DataFrame, words: int, similarity: tuple[int, int], key: int) -> DataFrame:
     """(doc_id, n_shingles, cls, spare, spare_up, same): same is the least doc_id with an equal set; null for empty sets."""
-    sets = saved(docs.mapInArrow(_prints(words, similarity), "doc_id long, n_shingles long, print_a long, print_b long, cls long, spare long, spare_up long"), "jaccard-sets")
+    sets = saved(docs.mapInArrow(_prints(words, similarity, key), "doc_id long, n_shingles long, print_a long, print_b long, cls long, spare long, spare_up long"), "jaccard-sets")
     prints = ["n_shingles", "print_a", "print_b"]
     least = saved(sets.where("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("same")), "jaccard-least")  # a table of its own: a join with it can split a large group of copies
     out = saved(sets.join(least, prints, "left").drop("print_a", "print_b"), "jaccard-equal")
@@ -129,9 +131,9 @@ def equal_sets(docs: DataFrame, words: int, similarity: tuple[int, int]) -> Data
     return out
 
 
-def candidates(docs: DataFrame, equal: DataFrame, words: int, similarity: tuple[int, int], buckets: int) -> tuple[DataFrame, DataFrame]:
+def candidates(docs: DataFrame, equal: DataFrame, words: int, similarity: tuple[int, int], buckets: int, key: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of distinct sets that meet the bound, and the saturated sets (id)."""
-    packed = docs.mapInArrow(_slices(words, similarity, buckets), R.PACKED)
+    packed = docs.mapInArrow(_slices(words, similarity, buckets, key), R.PACKED)
     shared = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared(FEW), "a long, b long, cls long, n long")
     shared = saved(shared.groupBy("a", "b", "cls").agg(F.sum("n").alias("n")), "jaccard-shared")
     cuts = equal.where("n_shingles > 0").select("doc_id", "same", F.explode(F.array(F.struct("cls", "spare"), F.struct((F.col("cls") + 1).alias("cls"), F.col("spare_up").alias("spare")))).alias("x")).select("doc_id", "same", "x.cls", "x.spare")
@@ -177,11 +179,11 @@ def _stars(key: tuple, table: pa.Table) -> pa.Table:
 SETS = "id long, elements binary"
 
 
-def _sets(words: int):
+def _sets(words: int, key: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, values, counts in set_batches(iter([b]), words):
+            for ids, values, counts in set_batches(iter([b]), words, key):
                 raw = [x.tobytes() for x in np.split(values, np.cumsum(counts)[:-1])]
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["id", "elements"])
 
@@ -327,11 +329,11 @@ def jaccard_components(documents: DataFrame, words: int = 3, similarity: tuple[i
     """(doc_id, n_shingles, component_id): classes of documents linked by Jaccard similarity of at least a / b of their
     ``words``-word shingle sets, for ``similarity`` (a, b); the component's id is its least doc_id."""
     docs = unique_documents(documents)
-    buckets = buckets_of(docs)
-    equal = equal_sets(docs, words, similarity)
-    pairs, full = candidates(docs, equal, words, similarity, 4 * buckets)
+    buckets, key = buckets_of(docs), draw()
+    equal = equal_sets(docs, words, similarity, key)
+    pairs, full = candidates(docs, equal, words, similarity, 4 * buckets, key)
     wanted = full.unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = saved(docs.join(wanted.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(words), SETS), "jaccard-members")
+    sets = saved(docs.join(wanted.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(words, key), SETS), "jaccard-members")
     again = sets.join(full, "id", "left_semi").mapInArrow(_cut_again(similarity, buckets), R.PACKED)
     stars = again.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct()
     family = components(pairs.unionByName(stars))

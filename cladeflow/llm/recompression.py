@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from .common import buckets_of, discard, flat_ranges, row_chunks, saved, saved_by, text_bytes, tidy, word_bounds
-from .hashing import U64, grouped, mix, piece_hashes, same_pieces, symbol_hashes
+from .hashing import U64, draw, grouped, keyed_symbols, mix, piece_hashes, same_pieces
 from .suffix_dedup import compare_windows, torn_by_document, torn_of, unique_documents
 
 WIDTH = 50
@@ -95,7 +95,7 @@ def distinct_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
     one, of = grouped(hashes)
     size = ends - starts
     same = size == size[one[of]]
-    long = np.flatnonzero(same & (size > 8))  # hashes of up to eight bytes differ where the bytes do
+    long = np.flatnonzero(same & (size > 8))  # of one length up to eight bytes, hashes differ where the bytes do
     same[long] = same_pieces(data, starts[long], data, starts[one[of[long]]], size[long])
     if same.all():
         return one, of
@@ -301,7 +301,7 @@ def longest(names: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.nd
     return out
 
 
-def anchors(symbol: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, words: np.ndarray, windows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(symbol: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, words: np.ndarray, windows: np.ndarray, width: int, key: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and name of each window's anchor."""
     left, right = np.searchsorted(lo, windows), np.searchsorted(hi, windows + width, "right")
     some = left < right
@@ -309,11 +309,11 @@ def anchors(symbol: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarra
     at, called = windows.copy(), np.empty(len(windows), U64)
     at[some], called[some] = start[chosen], symbol[chosen].view(U64)
     bare = windows[~some]
-    called[~some] = symbol_hashes(words, bare, bare + width)
+    called[~some] = keyed_symbols(words, bare, bare + width, key)
     return at, called
 
 
-def _close(width: int, buckets: int):
+def _close(width: int, buckets: int, run_key: int):
     """The last round's names put in, and the entries of all windows of a chunk packed by their anchor's bucket."""
 
     @tidy
@@ -322,41 +322,46 @@ def _close(width: int, buckets: int):
         n = w["size"] - width + 1
         windows = flat_ranges(np.cumsum(w["size"] + 1) - w["size"], n)
         words = separated(w["words"], w["size"])
-        at, called = anchors(*symbols_of(rows, answers), words, windows, width)
-        entries = R.entries_of(windows, at, called, np.repeat(w["doc"], n), flat_ranges(w["begin"], n), words, width)
+        at, called = anchors(*symbols_of(rows, answers), words, windows, width, run_key)
+        entries = R.entries_of(windows, at, called, np.repeat(w["doc"], n), flat_ranges(w["begin"], n), words, width, run_key + 10)
         return pa.Table.from_batches(list(R.packed_batches(iter([entries]), width, False, buckets)), R.PACKED_ARROW)
 
     return run
 
 
-def matched_entries(docs: DataFrame, width: int, buckets: int) -> DataFrame:
+def matched_entries(docs: DataFrame, width: int, buckets: int, key: int) -> DataFrame:
     """Repeated stretches (kind 1) and torn entries (kinds 2 and 3) by what shares a symbol after rounds_for(width) rounds of naming, saved.
 
     Chunks stay where they are: their tables are bucketed by chunk, so only questions and answers move."""
-    kept = lambda df, name, moved=True: saved_by(df, f"recompression-{name}", "chunk", buckets, moved)
+    live: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str, moved: bool = True) -> DataFrame:
+        live.append(saved_by(df, f"recompression-{name}", "chunk", buckets, moved))
+        return live[-1]
 
     def met(state: DataFrame, words: bool, level: int, more: DataFrame | None = None):
         asked = named(state, words, level, buckets)
         return (state if more is None else state.join(more.drop("names").hint("merge"), "chunk")).groupBy("chunk").cogroup(asked.groupBy("chunk"))
 
-    read = kept(docs.mapInArrow(_read(width), kinds(READ)), "read", False)
-    words = kept(met(read, True, 0).applyInArrow(_words, kinds(WORDS)), "words")
-    discard(read)
-    state = kept(words.groupBy("chunk").applyInArrow(_first_round, kinds(STATE)), "round")
-    for level in range(1, rounds_for(width)):
-        state, old = kept(met(state, False, level).applyInArrow(_next_round(level), kinds(STATE)), "round"), state
-        discard(old)
-    packed = met(state, False, rounds_for(width), words).applyInArrow(_close(width, buckets), R.PACKED)
-    out = saved(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(R.matched(width, False), R.PACKED), "recompression-matched")
-    discard(words)
-    discard(state)
-    return out
+    try:
+        read = kept(docs.mapInArrow(_read(width), kinds(READ)), "read", False)
+        words = kept(met(read, True, 0).applyInArrow(_words, kinds(WORDS)), "words")
+        discard(read)
+        state = kept(words.groupBy("chunk").applyInArrow(_first_round, kinds(STATE)), "round")
+        for level in range(1, rounds_for(width)):
+            state, old = kept(met(state, False, level).applyInArrow(_next_round(level), kinds(STATE)), "round"), state
+            discard(old)
+        packed = met(state, False, rounds_for(width), words).applyInArrow(_close(width, buckets, key), R.PACKED)
+        return saved(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(R.matched(width, False), R.PACKED), "recompression-matched")
+    finally:
+        for table in live:
+            discard(table)
 
 
 # ---- verification and removal
 
 
-def _torn_words(width: int, buckets: int):
+def _torn_words(width: int, buckets: int, key: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -367,20 +372,18 @@ def _torn_words(width: int, buckets: int):
                 if cuts[i] < cuts[j]:
                     text = data[offsets[i] : offsets[j]]
                     starts, ends, counts = word_bounds(text, offsets[i : j + 1] - offsets[i])
-                    names = piece_hashes(text, starts, ends)
-                    part, at = R.take(e, np.arange(cuts[i], cuts[j])), np.arange(max(0, len(names) - width + 1))
-                    base = np.r_[0, np.cumsum(counts)]
-                    yield R.content_batch(part, base[row[cuts[i] : cuts[j]] - i] + part["pos"], symbol_hashes(names, at, at + width), width, buckets)
+                    part, base = R.take(e, np.arange(cuts[i], cuts[j])), np.r_[0, np.cumsum(counts)]
+                    yield R.content_batch(part, base[row[cuts[i] : cuts[j]] - i] + part["pos"], R.Units.of_words(text, starts, ends), width, buckets, key)
 
     return run
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, spans): stretches of words of each document covered by windows that start in a document with a smaller doc_id."""
-    buckets = buckets_of(docs)
-    matched = matched_entries(docs, width, buckets)
-    torn = docs.join(torn_by_document(matched), "doc_id").mapInArrow(_torn_words(width, buckets), R.CONTENT)
-    found = saved(compare_windows(torn, buckets, U64, width, False).unionByName(matched.where("kind = 1").mapInArrow(R.unpack_spans, R.SPANS)), "recompression-spans")
+    buckets, key = buckets_of(docs), draw()
+    matched = matched_entries(docs, width, buckets, key)
+    torn = docs.join(torn_by_document(matched), "doc_id").mapInArrow(_torn_words(width, buckets, key), R.CONTENT)
+    found = saved(compare_windows(torn, buckets, True, width, False, key).unionByName(matched.where("kind = 1").mapInArrow(R.unpack_spans, R.SPANS)), "recompression-spans")
     discard(matched)
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 

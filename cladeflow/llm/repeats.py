@@ -7,9 +7,11 @@ make one *entry* (doc_id, pos, n, symbol, print): ``pos`` is the first window's
 
 * an entry whose (symbol, print) occurs earlier repeats as a whole: all its windows do;
 * a symbol that has one print only needs nothing more;
-* for the others ("torn" entries, at the rims of repeats) the windows themselves are compared, by hash: in the bucket of their symbol or, where
+* for the others ("torn" entries, at the rims of repeats) the windows themselves are compared, by their bytes: in the bucket of their symbol or, where
   a symbol has over HOT torn entries (many documents hold it in different surroundings), each window in the bucket of its own hash.
 
+Prints are 64-bit hashes under the run's key (module ``hashing``); in op1 the anchor's name is another, in op8 it is an exact name.
+
 Entries travel as packed columns, one row for each bucket of symbols and batch of text, so a shuffled entry costs
 about 23 bytes, and copies inside a batch go no further than the batch: a passage in every document
 comes to its bucket once a batch, not once a document.
@@ -22,8 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import flat_ranges, tidy
-from .hashing import U64, mix, piece_hashes, symbol_hashes
+from .common import flat_ranges, tidy, word_bounds
+from .hashing import U64, keyed_hashes, keyed_symbols, mix, same_pieces
 
 #: kind 0: entries; kind 1: repeated stretches (doc_id, start, end); kind 2: torn entries; kind 3: torn entries of hot symbols
 PACKED = "bucket int, kind int, n long, symbol binary, print binary, doc binary, pos binary, len binary"
@@ -147,7 +149,7 @@ def by_document(spans: Entries, buckets: int) -> list[tuple[int, int, Entries]]:
     return [(int(spans["doc"][0] % buckets), 1, spans)]
 
 
-def entries_of(windows: np.ndarray, anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, local: np.ndarray, sequence: np.ndarray, width: int) -> Entries:
+def entries_of(windows: np.ndarray, anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, local: np.ndarray, sequence: np.ndarray, width: int, key: int) -> Entries:
     """Entries of windows that start at ``windows`` (ascending) with anchors at ``anchor`` named ``name``.
 
     doc, local: of each window, its document and start inside it; sequence: the bytes, or the names of words, that windows count in."""
@@ -159,7 +161,7 @@ def entries_of(windows: np.ndarray, anchor: np.ndarray, name: np.ndarray, doc: n
     n = np.diff(np.r_[at, len(windows)])
     start = windows[at]
     lead = (anchor[at] - start).astype(U64)  # equal contents under equal symbols must also agree on where the anchor stands
-    return {"symbol": name[at], "print": (piece_hashes if sequence.dtype == np.uint8 else symbol_hashes)(sequence, start, start + n + width - 1) ^ mix(lead * U64(1024) + n.astype(U64)), "doc": doc[at], "pos": local[at], "len": n.astype(np.int32)}
+    return {"symbol": name[at], "print": (keyed_hashes if sequence.dtype == np.uint8 else keyed_symbols)(sequence, start, start + n + width - 1, key) ^ mix(lead * U64(1024) + n.astype(U64)), "doc": doc[at], "pos": local[at], "len": n.astype(np.int32)}
 
 
 def torn(e: Entries) -> np.ndarray:
@@ -183,41 +185,90 @@ CONTENT_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in (
 HOT = 1000
 
 
-def single_windows(e: Entries, where: np.ndarray, values: np.ndarray, width: int) -> tuple[Entries, np.ndarray]:
-    """Entries, those of hot symbols as one for each window, named by the window's content; and where they start in ``values``."""
+class Units:
+    """Bytes, or words each with a blank after it, that windows count in: unit i stands at begin(i) .. end(i) - 1 of data."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> None:
+        self.data, self.starts, self.ends = data, starts, ends
+
+    @staticmethod
+    def of_words(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Units:
+        """The words of a text without what else is between them."""
+        size = ends - starts
+        last = np.cumsum(size + 1) - 1
+        data = np.full(int(last[-1]) + 1 if len(last) else 0, 0x20, np.uint8)
+        data[flat_ranges(last - size, size)] = text[flat_ranges(starts, size)]
+        return Units(data, last - size, last)
+
+    @staticmethod
+    def parsed(data: np.ndarray, words: bool) -> Units:
+        return Units(data, *word_bounds(data, np.array([0, len(data)]))[:2]) if words else Units(data)
+
+    def begin(self, i: np.ndarray) -> np.ndarray:
+        return i if self.starts is None else self.starts[i]
+
+    def end(self, i: np.ndarray) -> np.ndarray:
+        return i + 1 if self.ends is None else self.ends[i]
+
+    def after(self, i: np.ndarray) -> np.ndarray:
+        """As end, with the blank after a word."""
+        return i + 1 if self.ends is None else self.ends[i] + 1
+
+
+def single_windows(e: Entries, where: np.ndarray, units: Units, width: int, key: int) -> tuple[Entries, np.ndarray]:
+    """Entries, those of hot symbols as one for each window, named by the window's content; and their first units."""
     hot = e["hot"].astype(bool)
     rest, part = take(e, np.flatnonzero(~hot)), {f: v[hot] for f, v in e.items()}
     n = part["len"].astype(np.int64)
     at = flat_ranges(where[hot], n)
-    name = piece_hashes(values, at, at + width) if values.dtype == np.uint8 else values[at]
+    name = keyed_hashes(units.data, units.begin(at), units.end(at + width - 1), key)
     alone = {"doc": np.repeat(part["doc"], n), "pos": flat_ranges(part["pos"], n), "len": np.ones(len(at), np.int32), "symbol": name}
     return {f: np.concatenate([rest[f], alone[f]]) for f in alone}, np.concatenate([where[~hot], at])
 
 
-def content_batch(e: Entries, where: np.ndarray, values: np.ndarray, width: int, buckets: int) -> pa.RecordBatch:
-    """Packed rows of entries with the bytes they cover or, for 64-bit ``values``, the value of each window; where: their start in ``values``."""
-    e, where = single_windows(e, where, values, width)
+def content_batch(e: Entries, where: np.ndarray, units: Units, width: int, buckets: int, key: int) -> pa.RecordBatch:
+    """Packed rows of entries with the bytes they cover; where: their first units."""
+    e, where = single_windows(e, where, units, width, key)
     rows = []
     for bucket, _, part in bucketed(e | {"at": where}, buckets):
-        n = part["len"].astype(np.int64) + (width - 1 if values.dtype == np.uint8 else 0)
-        rows.append((bucket, *(planes(part[f]) for f in ("doc", "pos", "len", "symbol")), values[flat_ranges(part["at"], n)].tobytes()))
+        begin = units.begin(part["at"])
+        content = units.data[flat_ranges(begin, units.after(part["at"] + part["len"] + width - 2) - begin)]
+        rows.append((bucket, *(planes(part[f]) for f in ("doc", "pos", "len", "symbol")), content.tobytes()))
     return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(CONTENT_ARROW)], schema=CONTENT_ARROW)
 
 
-def repeated_windows(table: pa.Table, kind: type, width: int, within: bool) -> Entries:
+def equal_windows(data: np.ndarray, begin: np.ndarray, end: np.ndarray, symbol: np.ndarray, key: int) -> np.ndarray:
+    """A number for each window, the same for two of one symbol only where their bytes are."""
+    numbers = keyed_hashes(data, begin, end, key) ^ mix(symbol)
+    by = np.argsort(numbers, kind="stable")
+    first = by[np.flatnonzero(np.r_[True, numbers[by][1:] != numbers[by][:-1]])] if len(by) else by
+    one = np.empty(len(by), np.int64)
+    one[by] = np.repeat(first, np.diff(np.r_[np.searchsorted(numbers[by], numbers[first]), len(by)]))
+    size = end - begin
+    same = (size == size[one]) & (symbol == symbol[one])
+    rest = np.flatnonzero(same & (one != np.arange(len(one))))
+    same[rest] = same_pieces(data, begin[rest], data, begin[one[rest]], size[rest])
+    if same.all():
+        return numbers
+    found: dict[tuple[int, bytes], int] = {}
+    return np.array([found.setdefault((s, data[x:y].tobytes()), len(found)) for s, x, y in zip(symbol.tolist(), begin.tolist(), end.tolist(), strict=True)], U64)
+
+
+def repeated_windows(table: pa.Table, words: bool, width: int, within: bool, key: int) -> Entries:
     """Stretches covered by windows of torn entries that start earlier in another (or, within, the same) document.
 
-    kind: uint8 where rows carry bytes, uint64 where they carry the hash of each window."""
+    words: windows count in words, not bytes."""
     got: dict[str, list[np.ndarray]] = {f: [] for f in ("doc", "pos", "len", "symbol", "content")}
     for i in range(table.num_rows):
         for f in ("doc", "pos", "len", "symbol"):
             got[f].append(unplanes(table.column(f)[i].as_py(), TYPES[f]))
-        got["content"].append(np.frombuffer(table.column("content")[i].as_py(), kind))
+        got["content"].append(np.frombuffer(table.column("content")[i].as_py(), np.uint8))
     if not got["doc"]:
         return merged(*[np.zeros(0, np.int64)] * 3)
     e = {f: np.concatenate(v) for f, v in got.items()}
-    size = e["len"].astype(np.int64) + (width - 1 if kind is np.uint8 else 0)
-    begin = np.cumsum(size) - size
+    units = Units.parsed(e["content"], words)
+    size = e["len"].astype(np.int64) + width - 1
+    at_unit = np.cumsum(size) - size
     by = np.argsort(e["symbol"], kind="stable")
     weight = np.cumsum(e["len"][by])
     new = np.flatnonzero(np.r_[True, e["symbol"][by][1:] != e["symbol"][by][:-1]])
@@ -228,15 +279,12 @@ def repeated_windows(table: pa.Table, kind: type, width: int, within: bool) -> E
         to = max(at + 1, int(np.searchsorted(weight[ends - 1], done + 150_000, side="right")))
         part = by[new[at] : ends[min(to, len(new)) - 1]]
         at = to
-        n, cells = e["len"][part].astype(np.int64), size[part]
-        values = e["content"][flat_ranges(begin[part], cells)]
-        if kind is np.uint8:
-            start = flat_ranges(np.cumsum(cells) - cells, n)
-            values = piece_hashes(values, start, start + width)
-        key = values ^ mix(np.repeat(e["symbol"][part], n))
+        n = e["len"][part].astype(np.int64)
+        window = flat_ranges(at_unit[part], n)
+        number = equal_windows(units.data, units.begin(window), units.end(window + width - 1), np.repeat(e["symbol"][part], n), key)
         doc, pos = np.repeat(e["doc"][part], n), flat_ranges(e["pos"][part], n)
-        order = np.lexsort((pos, doc, key))
-        k, d = key[order], doc[order]
+        order = np.lexsort((pos, doc, number))
+        k, d = number[order], doc[order]
         first = np.r_[True, k[1:] != k[:-1]]
         if not within:
             first = d == d[np.flatnonzero(first)][np.cumsum(first) - 1]

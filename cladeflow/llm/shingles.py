@@ -8,26 +8,26 @@ import numpy as np
 import pyarrow as pa
 
 from .common import flat_ranges, row_chunks, text_bytes, word_bounds
-from .hashing import U64, mix, piece_hashes, symbol_hashes
+from .hashing import U64, keyed_hashes, keyed_symbols, mix
 
 CHUNK = 400_000
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, how many each row has): distinct ``words``-word shingles of each row, A-Z folded, ascending.
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes under ``key``, how many each row has): distinct ``words``-word shingles of each row, A-Z folded, ascending.
 
     A row of fewer words has its whole sequence as one shingle; a row without words has none."""
     data = FOLD[data]
     starts, ends, n = word_bounds(data, offsets)
-    names = piece_hashes(data, starts, ends)
+    names = keyed_hashes(data, starts, ends, key)
     first = np.cumsum(n) - n
     some = np.where(n > 0, np.maximum(n - words + 1, 1), 0)
     at = flat_ranges(first, some)
     row = np.repeat(np.arange(len(n)), some)
     size = np.minimum(words, n)[row]
-    value = symbol_hashes(names, at, at + size)
+    value = keyed_symbols(names, at, at + size, key + 10)
     by = np.lexsort((value, row))
     value, row = value[by], row[by]
     new = np.ones(len(by), bool)
@@ -42,13 +42,13 @@ def set_prints(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return a[cut[1:]] - a[cut[:-1]], b[cut[1:]] - b[cut[:-1]]
 
 
-def set_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def set_batches(batches: Iterator[pa.RecordBatch], words: int, key: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(doc_id, hashes, counts), a few hundred kilobytes of text at a time."""
     for b in batches:
         data, offsets = text_bytes(b.column("text"))
         ids = b.column("doc_id").to_numpy(zero_copy_only=False)
         for i, j in row_chunks(offsets, CHUNK):
-            yield ids[i:j], *shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+            yield ids[i:j], *shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words, key)
 
 
 RATIO = 1.5

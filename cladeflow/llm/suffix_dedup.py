@@ -9,7 +9,7 @@ counter carry. A suffix is thus rewritten about log2(batches) times. After the l
 against each other for suffixes that agree in the first block but not in all ("torn"): only for those, the rims
 of repeats, are the bytes themselves read again and every 100-byte window compared.
 
-Levels are tables bucketed by the suffix's bucket in the shared warehouse: scans and merges move no rows.
+Levels are tables bucketed by the suffix's bucket in the shared folder: scans and merges move no rows.
 
 Rows: null text counts as empty; rows without doc_id are left out; of rows that share a doc_id the one with
 the smallest text stands for all. Texts shorter than the window keep all their bytes. An empty table gives an
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import buckets_of, discard, row_chunks, saved, shared_dir, text_bytes, tidy
-from .hashing import U64, gram_hashes
+from .common import buckets_of, discard, drop_table, row_chunks, saved, shared_dir, text_bytes, tidy
+from .hashing import U64, draw, keyed_grams
 
 WIDTH, GRAM, BATCHES = 100, 32, 4
 CHUNK, SEGMENT = 500_000, 1 << 19
@@ -62,7 +62,7 @@ def segments(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, n
     return row, start, np.minimum(start + SEGMENT + width - 1, size[row])
 
 
-def byte_entries(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, width: int, gram: int) -> Iterator[R.Entries]:
+def byte_entries(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, width: int, gram: int, key: int) -> Iterator[R.Entries]:
     """Entries of all windows of the rows, some megabytes of text at a time."""
     row, start, end = segments(offsets, width)
     long = end - start >= width
@@ -71,22 +71,22 @@ def byte_entries(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, width:
         size = end[i:j] - start[i:j]
         base = np.cumsum(size) - size
         text = data[R.flat_ranges(offsets[row[i:j]] + start[i:j], size)] if j - i > 1 else data[offsets[row[i]] + start[i] : offsets[row[i]] + end[i]]
-        grams = gram_hashes(text, gram)
+        grams = keyed_grams(text, gram, key)
         low = U64(0xFFFFFF)  # positions in a chunk take 24 bits, so that the leftmost minimum wins
         least = window_minima((grams & ~low) | np.arange(len(grams), dtype=U64), width - gram + 1)
         n = size - width + 1
         windows = R.flat_ranges(base, n)
         anchor = (least[windows] & low).astype(np.int64)
-        yield R.entries_of(windows, anchor, grams[anchor], np.repeat(ids[row[i:j]], n), R.flat_ranges(start[i:j], n), text, width)
+        yield R.entries_of(windows, anchor, grams[anchor], np.repeat(ids[row[i:j]], n), R.flat_ranges(start[i:j], n), text, width, key + 10)
 
 
-def _index(width: int, gram: int, buckets: int):
+def _index(width: int, gram: int, buckets: int, key: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[R.Entries]:
             for b in batches:
                 data, offsets = text_bytes(b.column("text"))
-                yield from byte_entries(data, offsets, b.column("doc_id").to_numpy(zero_copy_only=False), width, gram)
+                yield from byte_entries(data, offsets, b.column("doc_id").to_numpy(zero_copy_only=False), width, gram, key)
 
         return R.packed_batches(parts(), width, True, buckets)
 
@@ -140,7 +140,7 @@ class Levels:
     def table(self, df: DataFrame) -> str:
         name = f"suffix_level_{uuid.uuid4().hex}"
         self.live.add(name)
-        df.repartition(self.buckets, "bucket").write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "bucket").saveAsTable(name)
+        df.repartition(self.buckets, "bucket").write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(self.spark)}/{name}").bucketBy(self.buckets, "bucket").saveAsTable(name)
         return name
 
     def pair(self, new: str, old: str, merge: bool, close: bool = False) -> DataFrame:
@@ -148,7 +148,7 @@ class Levels:
         return read(new).groupBy("bucket").cogroup(read(old).groupBy("bucket")).applyInArrow(_scan(self.width, merge, close), R.PACKED)
 
     def drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
+        drop_table(self.spark, name)
         self.live.discard(name)
 
     def clear(self) -> None:
@@ -215,21 +215,21 @@ def torn_of(batch: pa.RecordBatch) -> tuple[R.Entries, np.ndarray]:
     return {"doc": ids[row], "pos": flat["pos"].astype(np.int64), "len": flat["len"].astype(np.int32), "symbol": np.ascontiguousarray(flat["symbol"]).view(U64), "hot": flat["hot"]}, row
 
 
-def _torn_bytes(width: int, buckets: int):
+def _torn_bytes(width: int, buckets: int, key: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_bytes(b.column("text"))
             e, row = torn_of(b)
-            yield R.content_batch(e, offsets[row] + e["pos"], data, width, buckets)
+            yield R.content_batch(e, offsets[row] + e["pos"], R.Units(data), width, buckets, key)
 
     return run
 
 
-def compare_windows(content: DataFrame, buckets: int, kind: type, width: int, within: bool) -> DataFrame:
+def compare_windows(content: DataFrame, buckets: int, words: bool, width: int, within: bool, run_key: int) -> DataFrame:
     @tidy
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([R.span_batch(R.repeated_windows(table, kind, width, within))], R.SPANS_ARROW)
+        return pa.Table.from_batches([R.span_batch(R.repeated_windows(table, words, width, within, run_key))], R.SPANS_ARROW)
 
     return content.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, R.SPANS)
 
@@ -237,7 +237,7 @@ def compare_windows(content: DataFrame, buckets: int, kind: type, width: int, wi
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """(doc_id, spans): the stretches of each document that windows starting earlier cover; documents without any are left out."""
     spark = docs.sparkSession
-    buckets = buckets_of(docs)
+    buckets, key = buckets_of(docs), draw()
     edges = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001) if batches > 1 else []
     levels = Levels(spark, buckets, width)
     low = None
@@ -246,13 +246,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
             part = docs if low is None else docs.where(F.col("doc_id") > int(low))
             part = part if high is None else part.where(F.col("doc_id") <= int(high))
             low = high
-            packed = part.mapInArrow(_index(width, gram, buckets), R.PACKED)
+            packed = part.mapInArrow(_index(width, gram, buckets, key), R.PACKED)
             levels.insert(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sort(width), R.PACKED))
         closed = levels.close()
     finally:
         levels.clear()
-    torn = docs.join(torn_by_document(closed), "doc_id").mapInArrow(_torn_bytes(width, buckets), R.CONTENT)
-    found = saved(compare_windows(torn, buckets, np.uint8, width, True).unionByName(closed.where("kind = 1").mapInArrow(R.unpack_spans, R.SPANS)), "suffix-spans")
+    torn = docs.join(torn_by_document(closed), "doc_id").mapInArrow(_torn_bytes(width, buckets, key), R.CONTENT)
+    found = saved(compare_windows(torn, buckets, False, width, True, key).unionByName(closed.where("kind = 1").mapInArrow(R.unpack_spans, R.SPANS)), "suffix-spans")
     discard(closed)
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 

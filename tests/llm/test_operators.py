@@ -6,12 +6,14 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from cladeflow.llm import chat, components, decontaminate, features, forest, metric_join, mixing, quality, recompression, suffix_dedup, toxicity
+from cladeflow.llm import chat, components, decontaminate, features, forest, hashing, metric_join, mixing, quality, recompression, suffix_dedup, toxicity
 from cladeflow.llm import repeats as R
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -58,8 +60,8 @@ def test_hot_symbols():
     e = {"doc": np.arange(30), "pos": np.zeros(30, np.int64), "len": (size - 99).astype(np.int32), "symbol": np.full(30, 5, np.uint64)}
     found = []
     for hot in (np.zeros(30, bool), np.ones(30, bool), np.arange(30) % 1 == 0):
-        table = pa.Table.from_batches([R.content_batch(e | {"hot": hot}, start, data, 100, 3)])
-        s = R.repeated_windows(table, np.uint8, 100, True)
+        table = pa.Table.from_batches([R.content_batch(e | {"hot": hot}, start, R.Units(data), 100, 3, 7)])
+        s = R.repeated_windows(table, False, 100, True, 7)
         s = R.merged(s["doc"], s["pos"], s["print"])
         found.append({f: v.tolist() for f, v in s.items()})
         assert len({*table.column("bucket").to_pylist()}) == (3 if hot.all() else 1)
@@ -169,10 +171,10 @@ def test_segments(monkeypatch):
     rng = np.random.default_rng(3)
     data = rng.integers(97, 100, 5000).astype(np.uint8)
     offsets, ids = np.array([0, 20, 4000, 5000]), np.array([1, 2, 3])
-    whole = [e for e in suffix_dedup.byte_entries(data, offsets, ids, 100, 32)]
+    whole = [e for e in suffix_dedup.byte_entries(data, offsets, ids, 100, 32, 7)]
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 300)
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
-    cut = [e for e in suffix_dedup.byte_entries(data, offsets, ids, 100, 32)]
+    cut = [e for e in suffix_dedup.byte_entries(data, offsets, ids, 100, 32, 7)]
     n = lambda es: sum(int(e["len"].sum()) for e in es)
     assert n(whole) == n(cut) == (4000 - 20 - 99) + (1000 - 99)
     symbols = lambda es: Counter({(int(d), int(p) + k, int(s)): 1 for e in es for d, p, s, m in zip(e["doc"], e["pos"], e["symbol"], e["len"], strict=True) for k in range(m)})
@@ -253,6 +255,58 @@ def test_equal_polynomials(spark):
     assert got == wanted
 
 
+def test_words_made_to_share_a_fixed_hash(spark):
+    """Two words of one hash under the fixed constants, and lanes made to cancel each other: nothing is linked or removed for it."""
+    a, b = "xtda514ta4a01006", "3cor9s07rxz6aol9"
+    one, two = (np.frombuffer(x.encode(), np.uint8) for x in (a, b))
+    assert hashing.piece_hashes(one, np.array([0]), np.array([16])) == hashing.piece_hashes(two, np.array([0]), np.array([16]))
+    rows = [(1, a), (2, b), (3, f"p q {a}"), (4, f"p q {b}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r.component_id, r.n_shingles) for r in metric_join.jaccard_components(docs).orderBy("doc_id").collect()] == [(k, 1) for k in (1, 2, 3, 4)]
+    side = " ".join(f"w{i}" for i in range(49))
+    docs = spark.createDataFrame([(1, f"{a} {side}"), (2, f"{b} {side}"), (3, f"{side} {a}"), (4, f"{side} {b}"), (5, f"{side} {b}")], "doc_id long, text string")
+    assert [r.n_removed for r in recompression.dedup_passages(docs).orderBy("doc_id").collect()] == [0, 0, 0, 0, 50]
+    docs = spark.createDataFrame([(1, a + "z" * 84), (2, b + "z" * 84), (3, "y" * 40 + a + "x" * 44), (4, "y" * 40 + b + "x" * 44), (5, "y" * 40 + b + "x" * 44)], "doc_id long, text string")
+    assert [r.n_removed for r in suffix_dedup.dedup_substrings(docs).orderBy("doc_id").collect()] == [0, 0, 0, 0, 100]
+
+
+def test_windows_are_told_apart_by_bytes(monkeypatch):
+    """Should all hashes be one, equal windows are still only those of equal bytes."""
+    monkeypatch.setattr(R, "keyed_hashes", lambda data, starts, ends, key: np.zeros(len(starts), np.uint64))
+    data = np.frombuffer(b"abcabcabdab", np.uint8)
+    begin = np.array([0, 3, 6, 1, 4, 7, 9])
+    end = begin + np.array([3, 3, 3, 2, 2, 2, 2])
+    got = R.equal_windows(data, begin, end, np.zeros(7, np.uint64), 1)
+    text = [data[x:y].tobytes() for x, y in zip(begin, end)]
+    assert all((got[i] == got[j]) == (text[i] == text[j]) for i in range(7) for j in range(7))
+
+
+def test_keyed_hashes_of_all_lengths():
+    rng = np.random.default_rng(0)
+    data = rng.integers(0, 3, 4000).astype(np.uint8)
+    starts, size = rng.integers(0, 2000, 3000), rng.integers(0, 1800, 3000)
+    keys = hashing.keyed_hashes(data, starts, starts + size, 5)
+    seen = {}
+    for k, x, n in zip(keys.tolist(), starts, size):
+        assert seen.setdefault(k, data[x : x + n].tobytes()) == data[x : x + n].tobytes()
+    assert (hashing.keyed_hashes(data, starts, starts + size, 6) != keys).all()
+    assert len({data[i : i + 32].tobytes() for i in range(3969)}) == len(set(hashing.keyed_grams(data, 32, 9).tolist()))
+
+
+def test_no_table_stays_behind(spark):
+    """Neither success nor a failing step leaves tables in the warehouse or a catalog entry."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i % 3) * 7 + k}" for k in range(60))) for i in range(6)], "doc_id long, text string")
+    before = {t.name for t in spark.catalog.listTables()}
+    recompression.dedup_passages(docs).collect()
+    suffix_dedup.dedup_substrings(docs).collect()
+    bad = spark.createDataFrame([(1, "a b")], "doc_id long, text string").withColumn("text", F.when(F.raise_error("broken").isNull(), F.col("text")))
+    with pytest.raises(Exception, match="broken"):
+        recompression.dedup_passages(bad).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    warehouse = Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"))
+    assert not warehouse.exists() or not list(warehouse.iterdir())
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f", "x", "s", 1), (2, "a b c d e f", "x", "s", 1), (2, "a b c d e f", "x", "s", 1), (9, None, "x", "s", 1), (None, "q", "x", "s", 1)]
     kept = metric_join.keep_one_each(spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS region", "2 AS same"))
