@@ -52,10 +52,14 @@ Arrays = dict[str, np.ndarray]
 READ = {"row": np.int64, "doc": np.int64, "none": np.int8, "held": np.int8, "begin": np.int64, "size": np.int64, "lead": np.int64, "code": np.int32, "raw": np.uint8, "long": np.int32}
 #: the same with the words' nodes (number + 1, or 0) and counts
 NAMED = {**{f: READ[f] for f in ("row", "doc", "none", "held", "begin", "size", "lead", "code")}, "node": np.int64, "count": np.int64}
-#: of a chunk's distinct n-grams: node + 1 (or 0), number among successors, count, code
-GRAMS = {"node": np.int64, "item": np.int64, "count": np.int64, "share": np.int32}
+#: of a chunk's distinct n-grams: node + 1 (or 0), number among successors, count
+GRAMS = {"node": np.int64, "item": np.int64, "count": np.int64}
 WORD_ASK, GRAM_ASK = {"raw": np.uint8, "long": np.int32, "count": np.int64}, {"context": np.int64, "item": np.int64, "count": np.int64, "total": np.int64}
-WORD_ANSWER, GRAM_ANSWER = {"found": np.int64, "count": np.int64}, {"found": np.int64, "rank": np.int64, "count": np.int64, "share": np.int32}
+WORD_ANSWER, GRAM_ANSWER = {"found": np.int64, "count": np.int64}, {"place": np.int64, "rank": np.int64, "count": np.int64}
+#: the last level tells shares alone; those of the others follow from their counts
+LAST_ANSWER = {"share": np.int32}
+#: contexts and places ascend in a message: they go as steps, no step being what is not found
+STEPPED = ("context", "place")
 
 
 def binaries(keys: str, fields: dict) -> str:
@@ -68,9 +72,18 @@ def packed(keys: dict[str, pa.DataType], rows: list[dict], fields: dict) -> pa.T
 
 
 def _pack(field: str, values: np.ndarray) -> bytes:
+    if field in STEPPED:
+        values = np.diff(np.maximum.accumulate(values), prepend=0)
     return squeezed(values.astype(np.int64).tobytes() if field == "doc" else to_bytes(values))  # ids may be negative
 
 
+def _unpack(field: str, raw: bytes, kind: type) -> np.ndarray:
+    values = from_bytes(opened(raw), kind)
+    if field == "place":
+        return np.where(values > 0, np.cumsum(values), 0)
+    return np.cumsum(values) if field == "context" else values
+
+
 _ZSTD = pa.Codec("zstd", 3)
 
 
@@ -90,7 +103,7 @@ def arrays(rows: pa.Table | pa.RecordBatch, fields: dict, i: int = 0) -> Arrays:
 
 def joined(rows: pa.Table, fields: dict) -> Arrays:
     """The arrays of all rows, one after the other."""
-    return {f: np.concatenate([np.zeros(0, kind), *(from_bytes(opened(x), kind) for x in rows.column(f).to_pylist())]) for f, kind in fields.items()}
+    return {f: np.concatenate([np.zeros(0, kind), *(_unpack(f, x, kind) for x in rows.column(f).to_pylist())]) for f, kind in fields.items()}
 
 
 # ---- chunks of text
@@ -134,7 +147,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 of = np.repeat(r, lead[x:y] + size[x:y])
                 at = np.where(within < 0, 0, np.where(within == words[of], 1, first[of] + within))
                 one, code = distinct_pieces(text, starts[np.r_[0, 1, at]], ends[np.r_[0, 1, at]])
-                place_of = np.r_[code[:2], np.setdiff1d(np.arange(len(one)), code[:2])]  # begin and end to the front
+                often = np.bincount(code, minlength=len(one))
+                often[code[:2]] = len(code) + 2, len(code) + 1
+                place_of = np.argsort(-often, kind="stable")  # begin and end to the front, then the most frequent: small numbers
                 new = np.empty(len(one), np.int64)
                 new[place_of] = np.arange(len(one))
                 one = np.r_[0, 1, at][one[place_of]]
@@ -196,10 +211,14 @@ def splits(total: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def dealt(context: np.ndarray, item: np.ndarray, total: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each n-gram, their order by bucket)."""
+    """(bucket of each n-gram, their order by bucket, context and item)."""
     part = splits(total, item)[1]
     bucket = (mix(context.astype(U64) * U64(0x9E3779B97F4A7C15) + part.astype(U64)) % U64(buckets)).astype(np.int64)
-    return bucket, ordered(bucket, buckets)
+    wide = int(item.max(initial=0)).bit_length()
+    high = wide + int(context.max(initial=0)).bit_length()
+    if high + buckets.bit_length() < 63:
+        return bucket, np.argsort(bucket << high | context << wide | item)
+    return bucket, np.lexsort((item, context, bucket))
 
 
 def in_buckets(bucket: np.ndarray) -> list[tuple[int, int]]:
@@ -269,13 +288,13 @@ def asked(c: Arrays, known: list[Arrays]) -> tuple[np.ndarray, Arrays]:
 def answered(table: pa.Table, found: Arrays, fields: dict) -> pa.Table:
     cuts = np.cumsum(table.column("n").to_numpy())[:-1]
     parts = {f: np.split(v, cuts) for f, v in found.items()}
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), **{f: pa.array([squeezed(to_bytes(x)) for x in parts[f]], pa.binary()) for f in fields}})
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), **{f: pa.array([_pack(f, x) for x in parts[f]], pa.binary()) for f in fields}})
 
 
 WORD_ROWS = binaries("chunk long, bucket int, words long, tokens long", {**WORD_ANSWER, "raw": 0, "long": 0, "total": 0})
-GRAM_ROWS = binaries("chunk long, bucket int, level binary", GRAM_ANSWER)
+GRAM_ROWS = binaries("chunk long, bucket int, level binary", {**GRAM_ANSWER, **LAST_ANSWER})
 WORD_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.int64()), ("tokens", pa.int64()), *((f, pa.binary()) for f in (*WORD_ANSWER, "raw", "long", "total"))])
-GRAM_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("level", pa.binary()), *((f, pa.binary()) for f in GRAM_ANSWER)])
+GRAM_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("level", pa.binary()), *((f, pa.binary()) for f in (*GRAM_ANSWER, *LAST_ANSWER))])
 
 
 def together(schema: pa.Schema, parts: list[pa.Table]) -> pa.Table:
@@ -314,12 +333,19 @@ def _find_words(key: tuple, table: pa.Table, held: pa.Table) -> pa.Table:
     return together(WORD_SCHEMA, [found_words(table, joined(table, WORD_ASK), joined(held, {"raw": np.uint8, "long": np.int32, "total": np.int64}))])
 
 
+def shares(count: np.ndarray, total: np.ndarray, mass: float) -> np.ndarray:
+    """Codes of count / (total + mass), rounded down; ABSENT where count is 0."""
+    some = count > 0
+    code = np.ceil(-np.log10(np.where(some, count, 1) / (total + mass)) * STEPS - 1e-9)
+    return np.where(some, np.clip(code, 0, ABSENT - 1), ABSENT).astype(np.int32)
+
+
 def trie_level(context: np.ndarray, item: np.ndarray, count: np.ndarray, total: np.ndarray, mass: float, counts: bool) -> bytes:
     """A bucket of a level from its n-grams, ascending by (context, item)."""
     first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
     pointers = np.r_[first, len(context)]
     raise_by = np.r_[0, np.cumsum(item[pointers[1:-1] - 1] + 1)] if len(first) else np.zeros(0, np.int64)
-    share = np.minimum(np.ceil(-np.log10(count / (total + mass)) * STEPS - 1e-9), ABSENT - 1).astype(np.uint16)
+    share = shares(count, total, mass).astype(np.uint16)
     sequences = [context[first], pointers, item + np.repeat(raise_by, np.diff(pointers))] + ([np.r_[0, np.cumsum(count)]] if counts else [])
     return np.array([len(sequences)], np.int64).tobytes() + b"".join(map(Monotone.dump, sequences)) + share.tobytes()
 
@@ -333,12 +359,13 @@ class TrieLevel:
             self.parts.append(Monotone(raw, at))
             at = self.parts[-1].end
         self.contexts, self.pointers, self.successors = self.parts[:3]
+        self.counts = len(self.parts) > 3
         self.shares = np.frombuffer(raw, np.uint16, self.successors.n, at)
 
     def find(self, context: np.ndarray, item: np.ndarray) -> Arrays:
-        """found (place + 1, or 0), rank among the context's successors, count (0 in the last level) and share of each n-gram."""
+        """place (+ 1, or 0), rank among the context's successors, count (0 in the last level) and share of each n-gram."""
         n = len(context)
-        out = {"found": np.zeros(n, np.int64), "rank": np.zeros(n, np.int64), "count": np.zeros(n, np.int64), "share": np.full(n, ABSENT, np.int32)}
+        out = {"place": np.zeros(n, np.int64), "rank": np.zeros(n, np.int64), "count": np.zeros(n, np.int64), "share": np.full(n, ABSENT, np.int32)}
         j = self.contexts.successor(context)
         live = np.flatnonzero(j < self.contexts.n)
         live = live[self.contexts.get(j[live]) == context[live]]
@@ -350,8 +377,8 @@ class TrieLevel:
         hit = np.flatnonzero(at < end)
         hit = hit[self.successors.get(at[hit]) == value[hit]]
         live, at, begin = live[hit], at[hit], begin[hit]
-        out["found"][live], out["rank"][live], out["share"][live] = at + 1, at - begin, self.shares[at]
-        if len(self.parts) > 3:
+        out["place"][live], out["rank"][live], out["share"][live] = at + 1, at - begin, self.shares[at]
+        if self.counts:
             out["count"][live] = self.parts[3].get(at + 1) - self.parts[3].get(at)
         return out
 
@@ -373,8 +400,9 @@ def distinct_grams(context: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, n
 
 def found_grams(table: pa.Table, a: Arrays, one: np.ndarray, of: np.ndarray, raw: memoryview | bytes) -> pa.Table:
     """Answers from a bucket of a level: each distinct n-gram is looked for once."""
-    found = TrieLevel(raw).find(a["context"][one], a["item"][one])
-    return answered(table, {f: v[of] for f, v in found.items()}, GRAM_ANSWER)
+    level = TrieLevel(raw)
+    found, fields = level.find(a["context"][one], a["item"][one]), GRAM_ANSWER if level.counts else LAST_ANSWER
+    return answered(table, {f: found[f][of] for f in fields}, fields)
 
 
 def _learn_grams(mass: float, counts: bool):
@@ -392,12 +420,15 @@ def _learn_grams(mass: float, counts: bool):
     return run
 
 
-@tidy
-def _find_grams(key: tuple, table: pa.Table, held: pa.Table) -> pa.Table:
-    a = joined(table, {"context": np.int64, "item": np.int64})
-    # the level's arrays are views of the buffer that Arrow holds
-    raw = memoryview(held.column("level").combine_chunks()[0].as_buffer()) if held.num_rows else trie_level(*[np.zeros(0, np.int64)] * 4, 1.0, False)
-    return together(GRAM_SCHEMA, [found_grams(table, a, *distinct_grams(a["context"], a["item"]), raw)])
+def _find_grams(counts: bool):
+    @tidy
+    def run(key: tuple, table: pa.Table, held: pa.Table) -> pa.Table:
+        a = joined(table, {"context": np.int64, "item": np.int64})
+        # the level's arrays are views of the buffer that Arrow holds
+        raw = memoryview(held.column("level").combine_chunks()[0].as_buffer()) if held.num_rows else trie_level(*[np.zeros(0, np.int64)] * 4, 1.0, counts)
+        return together(GRAM_SCHEMA, [found_grams(table, a, *distinct_grams(a["context"], a["item"]), raw)])
+
+    return run
 
 
 # ---- answers come to their chunks
@@ -429,9 +460,9 @@ def _received(ask: Arrays, answers: pa.Table, buckets: int) -> Arrays:
     got = in_order(answers, GRAM_ANSWER)
     out = {f: np.zeros(len(by), kind) for f, kind in GRAMS.items()}
     parts, part = splits(ask["total"], ask["item"])
-    out["node"][by] = np.where(got["found"] > 0, (got["found"] - 1) * buckets + bucket[by] + 1, 0)
+    out["node"][by] = np.where(got["place"] > 0, (got["place"] - 1) * buckets + bucket[by] + 1, 0)
     out["item"][by] = got["rank"] * parts[by] + part[by]
-    out["count"][by], out["share"][by] = got["count"], got["share"]
+    out["count"][by] = got["count"]
     return out
 
 
@@ -467,8 +498,13 @@ def _score(level: int, buckets: int, tokens: int, words: int):
             before[np.cumsum(c["lead"] + c["size"])[:-1]] = -1
             context = np.where(before >= 0, np.r_[state["count"], 0][before], 0)
             of, left, right = paired(c, of, state["node"])
-            nxt = known[order - 2] if order < level else _received({"context": state["node"][left], "item": state["item"][right], "total": state["count"][left]}, answers, buckets)
-            share = np.where(of >= 0, np.r_[nxt["share"], ABSENT][of], ABSENT)
+            if order < level:
+                nxt = known[order - 2]
+                share = shares(nxt["count"], state["count"][left], mass)
+            else:
+                nxt, share = {}, np.empty(len(left), np.int32)
+                share[dealt(state["node"][left], state["item"][right], state["count"][left], buckets)[1]] = in_order(answers, LAST_ANSWER)["share"]
+            share = np.r_[share, ABSENT][of]
             p = np.where(share < ABSENT, 10.0 ** (-share / STEPS), 0.0) + mass / (context + mass) * p
             state = nxt
         first = np.cumsum(c["size"]) - c["size"]
@@ -540,14 +576,14 @@ def _walk(docs: DataFrame, model: Model | None, keep: bool, made: list[DataFrame
     discard(chunks)
     for level in range(2, ORDER + 1):
         known = None if fit else model.levels[level - 2]
-        answers = told(state, _ask_grams(level, model.buckets), GRAM_ASK, known, _learn_grams(MASS[level], level < ORDER), _find_grams, GRAM_ROWS)
+        answers = told(state, _ask_grams(level, model.buckets), GRAM_ASK, known, _learn_grams(MASS[level], level < ORDER), _find_grams(level < ORDER), GRAM_ROWS)
         if fit and keep:
             model.levels.append(saved(answers.where("chunk IS NULL").select("bucket", "level"), f"lm-level{level}"))
         if level < ORDER:
             found = kept(met(state, answers, GRAM_ANSWER).applyInArrow(_learn(level, model.buckets), "chunk long, " + ", ".join(f"{f}{level} binary" for f in GRAMS)), "grams")
             state = state.join(found.hint("merge"), "chunk")
             discard(answers)
-    pieces = saved(met(state, answers, GRAM_ANSWER).applyInArrow(_score(ORDER, model.buckets, model.tokens, model.words), PIECES), "lm-pieces")
+    pieces = saved(met(state, answers, LAST_ANSWER).applyInArrow(_score(ORDER, model.buckets, model.tokens, model.words), PIECES), "lm-pieces")
     discard(answers)
     return model, _whole(pieces, model)
 

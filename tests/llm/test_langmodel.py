@@ -103,7 +103,7 @@ def test_split_contexts():
     level = L.TrieLevel(L.trie_level(context, item, count, total, 4.0, True))
     got = level.find(np.r_[context, context], np.r_[item, item + 1000])
     n = len(item)
-    assert (got["found"][:n] == np.arange(n) + 1).all() and (got["count"][:n] == count).all() and not got["found"][n:].any()
+    assert (got["place"][:n] == np.arange(n) + 1).all() and (got["count"][:n] == count).all() and not got["place"][n:].any()
     first = np.searchsorted(context, context)
     assert (got["rank"][:n] == np.arange(n) - first).all()
     assert (10.0 ** (-got["share"][:n] / L.STEPS) <= count / (total + 4.0) + 1e-15).all()
