@@ -71,25 +71,46 @@ def fuzzy_backgrounds(long: DataFrame, frequencies: list[float]) -> DataFrame:
     return tops.withColumn("cutoff", passed).where("cutoff IS NOT NULL AND top > cutoff").select(*KEY, "cutoff")
 
 
+def background_times(long: DataFrame, backgrounds: DataFrame, dlimit: float) -> DataFrame:
+    """(population, background, seen_t, fixed_t, fixed_freq): a background's time of detection or fixation is that of its least value above the limit (the first of equal ones)."""
+    at = lambda limit: F.min(F.when(F.col("freq") > limit, F.struct("freq", "t")))
+    points = long.join(backgrounds, KEY).groupBy(*KEY).agg(at(F.lit(dlimit)).alias("seen"), at(F.col("cutoff")).alias("fixed"))
+    return points.select("population", F.col("label").alias("background"), F.col("seen.t").alias("seen_t"), F.col("fixed.t").alias("fixed_t"), F.col("fixed.freq").alias("fixed_freq"))
+
+
+def leading(times: DataFrame) -> DataFrame:
+    """Of backgrounds with the same two times only those whose frequency when fixed exceeds that of all before them by name: what a later one of the others rules
+    out, an earlier one does."""
+    before = Window.partitionBy("population", "fixed_t", "seen_t").orderBy("background").rowsBetween(Window.unboundedPreceding, -1)
+    return times.withColumn("most", F.max("fixed_freq").over(before)).where("most IS NULL OR fixed_freq > most").drop("most")
+
+
 def invalid_genotypes(long: DataFrame, frequencies: list[float], dlimit: float = DETECTED, strict: bool = False) -> DataFrame:
     """(population, label, background, reason): genotypes that cannot be as they are beside a background, once each, with the first such background by name.
 
-    A population's backgrounds come as one array to each of its genotypes, so no pair of them becomes a row. A background's time of detection or fixation is that of its least value above the limit (the first of equal ones)."""
+    A genotype meets the sampled times inside its span, and at each the leading backgrounds fixed then: an equi-join on the time, which can split, in
+    place of all backgrounds beside each genotype."""
     backgrounds = fuzzy_backgrounds(long, frequencies)
-    rows = long.join(backgrounds, KEY)
-    at = lambda limit: F.min(F.when(F.col("freq") > limit, F.struct("freq", "t")))
-    points = rows.groupBy(*KEY).agg(at(F.lit(dlimit)).alias("seen"), at(F.col("cutoff")).alias("fixed"))
-    points = points.select("population", F.col("label").alias("background"), F.col("seen.t").alias("seen_t"), F.col("fixed.t").alias("fixed_t"), F.col("fixed.freq").alias("fixed_freq"))
+    times = background_times(long, backgrounds, dlimit)
     others = long.join(backgrounds.select(*KEY), KEY, "left_anti")
     seen = F.when(F.col("freq") > dlimit, F.col("t"))
-    packed = others.groupBy(*KEY).agg(F.count(seen).alias("n"), F.min(seen).alias("first"), F.max(seen).alias("last"), F.map_from_entries(F.collect_list(F.struct("t", "freq"))).alias("by_t"))
-    met = packed.join(points.groupBy("population").agg(F.array_sort(F.collect_list(F.struct("background", "seen_t", "fixed_t", "fixed_freq"))).alias("backgrounds")), "population")
-    around = lambda t: (F.col("first") < t) & (t < F.col("last"))
-
-    def present(b: Column) -> Column:
-        value = F.coalesce(F.try_element_at("by_t", b["fixed_t"]), F.lit(0.0))
-        return around(b["seen_t"]) & around(b["fixed_t"]) & (F.lit(strict) | ((value > dlimit) & (value + b["fixed_freq"] > 1 + dlimit)))
-
-    few = F.col("n") < 2
-    found = met.withColumn("background", F.try_element_at(F.when(few, F.col("backgrounds")).otherwise(F.filter("backgrounds", present)), F.lit(1))["background"])
-    return found.select(*KEY, "background", F.when(few, "notEnoughTimepoints").otherwise("presentBeforeAndAfterFixedGenotype").alias("reason")).where("background IS NOT NULL")
+    spans = others.groupBy(*KEY).agg(F.count(seen).alias("n"), F.min(seen).alias("first"), F.max(seen).alias("last"))
+    fixed = times.select("population", F.col("fixed_t").alias("t")).distinct()  # the sampled times at most
+    inside = spans.where("n >= 2").join(fixed, "population").where("first < t AND t < last").join(others.select(*KEY, "t", "freq"), [*KEY, "t"], "left").withColumn("freq", F.coalesce("freq", F.lit(0.0)))
+    if not strict:
+        inside = inside.where(F.col("freq") > dlimit)
+    met = inside.join(leading(times).withColumnRenamed("fixed_t", "t"), ["population", "t"]).where("first < seen_t AND seen_t < last")
+    if not strict:
+        met = met.where(F.col("freq") + F.col("fixed_freq") > 1 + dlimit)
+    present = met.groupBy(*KEY).agg(F.min("background").alias("background")).withColumn("reason", F.lit("presentBeforeAndAfterFixedGenotype"))
+    few = spans.where("n < 2").select(*KEY).join(times.groupBy("population").agg(F.min("background").alias("background")), "population").withColumn("reason", F.lit("notEnoughTimepoints"))
+    return present.unionByName(few)
+
+
+def first_invalid(long: DataFrame, ranks: DataFrame, frequencies: list[float], dlimit: float = DETECTED, strict: bool = False) -> DataFrame:
+    """(population, label): of each population the invalid genotype that is found first, backgrounds going by rank and genotypes by rank beside each."""
+    place = F.lpad(F.col("rank").cast("string"), 10, "0")
+    named = ranks.select(*KEY, place.alias("place"))
+    found = invalid_genotypes(long.join(named, KEY).drop("label").withColumnRenamed("place", "label"), frequencies, dlimit, strict)
+    first = found.groupBy("population").agg(F.min(F.struct("background", "label")).alias("m")).select("population", F.col("m.label").alias("place"))
+    return first.join(named, ["population", "place"]).select(*KEY)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ class Genotypes:
     ranks: DataFrame
     distance: DataFrame | None = None
     linkage: DataFrame | None = None
+    #: populations that were clustered again in each round of the genotype filter
+    again: tuple[int, ...] = ()
 
 
 @dataclass
@@ -57,25 +60,33 @@ def infer_genotypes(long: DataFrame, options: Options, distance: DataFrame | Non
     members = clustering.with_single(clustering.flat(linkage, places, cutoffs), long)
     members = settled(clustering.named_by_color(members) if options.color_names else members)
     series = settled(clustering.mean_genotypes(long, members))
-    if options.filter_genotypes:
-        return _without_invalid(long, members, series, options, distance)
-    return Genotypes(members, series, settled(ranking.rank_genotypes(series, options.dlimit, options.slimit)), found, linkage)
-
+    genotypes = Genotypes(members, series, settled(ranking.rank_genotypes(series, options.dlimit, options.slimit)), found, linkage)
+    return _without_invalid(long, genotypes, options, distance) if options.filter_genotypes else genotypes
+
+
+def _without_invalid(long: DataFrame, found: Genotypes, options: Options, distance: DataFrame) -> Genotypes:
+    """Remove the members of each population's first invalid genotype and infer again, until none is left.
+
+    Only the populations that lost something are clustered again, from the distances that stand; the others are done. A round removes a series at least."""
+    again = replace(options, filter_genotypes=False, filter_single=False, filter_startfixed=False, filter_consistency=0.0)
+    done, rounds = [], []
+    while True:
+        bad = detection.first_invalid(found.series, found.ranks, list(options.frequencies), options.dlimit, options.strict).withColumnRenamed("label", "genotype")
+        gone = settled(found.members.join(bad, ["population", "genotype"], "left_semi").select("population", "label"))
+        lost = settled(gone.select("population").distinct())
+        done.append(_parts(found, lost, "left_anti") if rounds or not lost.isEmpty() else found)
+        if lost.isEmpty():
+            break
+        rounds.append(lost.count())
+        long = settled(long.join(lost, "population", "left_semi").join(gone, ["population", "label"], "left_anti"))
+        distance = settled(distance.join(lost, "population", "left_semi"))
+        found = infer_genotypes(long, again, distance)
+    whole = [reduce(DataFrame.unionByName, parts) for parts in zip(*([g.members, g.series, g.ranks, g.distance, g.linkage] for g in done), strict=True)]
+    return Genotypes(*map(settled, whole), again=tuple(rounds))
 
-def _without_invalid(long: DataFrame, members: DataFrame, series: DataFrame, options: Options, distance: DataFrame, most: int = 50) -> Genotypes:
-    """Remove the members of invalid genotypes and infer again, until none is left: a few rounds, each a plan of its own."""
-    from dataclasses import replace
 
-    again = replace(options, filter_genotypes=False)
-    for _ in range(most):
-        bad = detection.invalid_genotypes(series, list(options.frequencies), options.dlimit, options.strict).select("population", F.col("label").alias("genotype")).distinct()
-        gone = settled(members.join(bad, ["population", "genotype"], "left_semi").select("population", "label"))
-        if gone.isEmpty():
-            break
-        long = settled(long.join(gone, ["population", "label"], "left_anti"))
-        found = infer_genotypes(long, again, distance)  # pairs are compared once
-        members, series = found.members, found.series
-    return infer_genotypes(long, again, distance)
+def _parts(found: Genotypes, populations: DataFrame, how: str) -> Genotypes:
+    return Genotypes(*(x.join(populations, "population", how) for x in (found.members, found.series, found.ranks, found.distance, found.linkage)))
 
 
 def given_genotypes(series: DataFrame, options: Options) -> Genotypes:
@@ -143,10 +154,10 @@ def save(result: Analysis, long: DataFrame, info: DataFrame, folder: str, option
     return paths
 
 
-def run(spark: SparkSession, path: str, folder: str, options: Options | None = None, is_genotype: bool = False, pairwise: str | None = None, aliases: str | None = None, colors: str | None = None, annotation_colors: str | None = None) -> dict[str, str]:
-    """From a table (a file, or pasted text) to the folder of results. pairwise: a file of distances from before; the others: files of two columns."""
+def run(spark: SparkSession, path: str, folder: str, options: Options | None = None, is_genotype: bool = False, pairwise: str | None = None, aliases: str | None = None, colors: str | None = None, annotation_colors: str | None = None, sheet: str | None = None) -> dict[str, str]:
+    """From a table (a file, or pasted text) to the folder of results. sheet: of a workbook. pairwise: a file of distances from before; the others: files of two columns."""
     options = options or Options()
-    wide = tables.read_any(spark, path)
+    wide = tables.read_any(spark, path, sheet)
     long, info = tables.parse_genotypes(wide) if is_genotype else tables.parse_series(wide)
     long = settled(long)
     known = tables.read_distances(spark, pairwise) if pairwise else None

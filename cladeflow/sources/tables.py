@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import genotype_number, number_in
 from ..operators import trees
 from ..operators.packing import numbered
+from . import workbook
 
 TIME = re.compile(r"^\D?(\d+)$")
 
@@ -19,10 +20,13 @@ def separator(path: str) -> str:
     return "\t" if path.lower().endswith((".tsv", ".tab")) else ","
 
 
-def read_wide(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A csv, tsv or tab file with a header, all columns as text. Excel workbooks are refused: save the sheet as tsv."""
-    if path.lower().endswith((".xls", ".xlsx")):
-        raise ValueError("Excel workbooks are not read here; save the sheet as a .tsv file")
+def read_wide(spark: SparkSession, path: str, encoding: str = "UTF-8", sheet: str | None = None) -> DataFrame:
+    """A csv, tsv or tab file with a header, or a sheet of an .xlsx workbook; all columns as text. The older .xls form is refused."""
+    if path.lower().endswith(".xls"):
+        raise ValueError("the .xls form is not read here; save the workbook as .xlsx")
+    if path.lower().endswith(".xlsx"):
+        wide = workbook.read(spark, path, sheet)
+        return wide.toDF(*[c.strip() for c in wide.columns])
     wide = spark.read.option("encoding", encoding).csv(path, header=True, sep=separator(path))
     return wide.toDF(*[c.strip() for c in wide.columns])
 
@@ -35,9 +39,9 @@ def text_wide(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([tuple((r + [None] * len(head))[: len(head)]) for r in rows], ", ".join(f"`{h}` string" for h in head))
 
 
-def read_any(spark: SparkSession, source: str) -> DataFrame:
-    """A table from a path or, where there is a line end in it, from pasted text."""
-    return text_wide(spark, source) if "\n" in source.strip() else read_wide(spark, source)
+def read_any(spark: SparkSession, source: str, sheet: str | None = None) -> DataFrame:
+    """A table from a path (sheet: of a workbook) or, where there is a line end in it, from pasted text."""
+    return text_wide(spark, source) if "\n" in source.strip() else read_wide(spark, source, sheet=sheet)
 
 
 def time_columns(columns: list[str]) -> dict[str, int]:
