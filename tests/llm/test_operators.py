@@ -307,6 +307,36 @@ def test_no_table_stays_behind(spark):
     assert not warehouse.exists() or not list(warehouse.iterdir())
 
 
+def test_poisson_of_large_means(spark):
+    """Quantiles near and far from the mean of up to 1e7 against sums in plain Python, quickly; copies in blocks are all there."""
+    import time
+
+    def quantile(mean, u):
+        m = int(mean)
+        reach = int(12 * math.sqrt(mean) + 40)
+        log = lambda n: (n - mean) + n * math.log1p((mean - n) / n) - 0.5 * math.log(2 * math.pi * n) - 1 / (12 * n) + 1 / (360 * n**3)
+        total, n = 0.0, m - reach - 1
+        while total <= u:
+            n += 1
+            total += math.exp(log(n))
+        return n
+
+    df = spark.createDataFrame([(mean, u) for mean in (1001.5, 5e4, 1e6) for u in (1e-9, 0.01, 0.5, 0.99, 1 - 1e-9)] + [(1e7, 0.3)], "mean double, u double")
+    began = time.time()
+    got = df.select("mean", "u", mixing.large_quantile(F.col("mean"), F.col("u")).alias("n")).collect()
+    assert time.time() - began < 20 and all(r.n == quantile(r.mean, r.u) for r in got)
+    counted = spark.createDataFrame([(1, 25_001), (2, 3), (3, 0), (4, 10_000), (5, 10_001)], "id long, n_copies int")
+    for most in (1.0, 1e6):
+        made = mixing.replicated(counted, most).groupBy("id").agg(F.count("*").alias("n"), F.min("copy").alias("a"), F.max("copy").alias("b"), F.countDistinct("copy").alias("d")).collect()
+        assert {(r.id, r.n, r.a, r.b, r.d) for r in made} == {(i, n, 1, n, n) for i, n in ((1, 25_001), (2, 3), (4, 10_000), (5, 10_001))}
+
+
+def test_one_document_against_many(spark):
+    docs = spark.createDataFrame([(i, "t", "en", "big", 1) for i in range(3000)] + [(9000, "t", "en", "rare", 1)], DOCS)
+    n = {r.source: r["count"] for r in mixing.mix_documents(docs).groupBy("source").count().collect()}
+    assert abs(n["rare"] - 1500.5) < 6 * math.sqrt(1500) and abs(n["big"] - 1500.5) < 6 * math.sqrt(1500)
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f", "x", "s", 1), (2, "a b c d e f", "x", "s", 1), (2, "a b c d e f", "x", "s", 1), (9, None, "x", "s", 1), (None, "q", "x", "s", 1)]
     kept = metric_join.keep_one_each(spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS region", "2 AS same"))
