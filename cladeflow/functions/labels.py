@@ -21,9 +21,9 @@ def clean_annotation(label: Column) -> Column:
 
 
 def number_in(text: Column) -> Column:
-    """The number that a text is, with sign and exponent; else the first digits in it ("26.1%" is 26.1); null without any."""
-    whole = F.trim(text).try_cast("double")
-    return F.when(whole.isNotNull() & ~F.isnan(whole), whole).otherwise(F.nullif(F.regexp_extract(text, r"\d+(?:\.\d+)?", 0), F.lit("")).cast("double"))
+    """The number that a text is, with sign and exponent; else the first digits in it ("26.1%" is 26.1); null without any, as for "inf"."""
+    whole = F.when(F.trim(text).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.trim(text)).try_cast("double")
+    return F.when(F.abs(whole) < float("inf"), whole).otherwise(F.nullif(F.regexp_extract(text, r"\d+(?:\.\d+)?", 0), F.lit("")).cast("double"))
 
 
 def channel(color: Column, place: int) -> Column:

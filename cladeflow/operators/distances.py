@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import matrices as M
 from ..functions import series as S
 from ..model import DETECTED
+from ..plans.settle import settled
 from .packing import pack, pairs
 
 
@@ -83,27 +85,47 @@ def square(distance: DataFrame) -> DataFrame:
     return own.groupBy("population", F.col("a").alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "distance"))), lambda x: x["distance"]).alias("row"))
 
 
-def similarity_cutoff(distance: DataFrame, quantile: float = 0.05, bins: int = 4096) -> DataFrame:
-    """(population, cutoff): interpolated quantile of the distances above 0 and below the largest, each counted for both directions.
-
-    Distances are counted by value in even bins; only the bins that hold the two ranks looked for are put in order, so no task sees all
-    distances of a population."""
+#: distances that are put in order once a rank is known to be among them
+FEW = 10_000
+
+
+def ranked_values(values: DataFrame, ranks: DataFrame, bins: int = 4096, few: int = FEW) -> DataFrame:
+    """(population, which, value): of each population's ``value``s in ascending order the one at place k, from 0; ranks: (population, which, k).
+
+    The values are counted in even bins between the least and the largest; the bin that holds the rank, from its own least to its own largest value, is counted in
+    bins again, until it holds a single value or ``few`` of them, which are then put in order. So a window never has more than ``bins`` or
+    ``few`` rows of a rank, however the values are spread: a pass narrows what is left to a ``bins``-th of its width."""
+    p = ["population", "which"]
+    ends = values.groupBy("population").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"))
+    left = settled(ranks.join(ends, "population").select(*p, "k", "lo", "hi", "n"))
+    done = [left.where("lo = hi").select(*p, F.col("lo").alias("value"))]
+    while True:
+        left = left.where("lo < hi")
+        small = left.where(F.col("n") <= few)
+        inside = values.join(small, "population").where("value >= lo AND value <= hi")
+        place = F.row_number().over(Window.partitionBy(*p).orderBy("value")) - 1
+        done.append(inside.withColumn("at", place).where("at = k").select(*p, "value"))
+        left = left.where(F.col("n") > few)
+        if left.isEmpty():
+            break
+        inside = values.join(left, "population").where("value >= lo AND value <= hi")
+        bin_ = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+        counts = inside.groupBy(*p, "k", bin_.alias("bin")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"))
+        before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(*p).orderBy("bin")) - F.col("n"))
+        left = settled(before.where("before <= k AND k < before + n").select(*p, (F.col("k") - F.col("before")).alias("k"), "lo", "hi", "n"))
+        done.append(left.where("lo = hi").select(*p, F.col("lo").alias("value")))
+    return reduce(DataFrame.unionByName, done)
+
+
+def similarity_cutoff(distance: DataFrame, quantile: float = 0.05, bins: int = 4096, few: int = FEW) -> DataFrame:
+    """(population, cutoff): interpolated quantile of the distances above 0 and below the largest, each counted for both directions (see ranked_values)."""
     tops = distance.groupBy("population").agg(F.max("distance").alias("top"))
-    place = F.least(F.floor(F.col("distance") / F.col("top") * bins), F.lit(bins - 1)).cast("int")
-    inner = distance.join(tops, "population").where("distance > 0 AND distance < top").select("population", place.alias("bin"), "distance")
-    values = inner.groupBy("population", "bin", "distance").agg(F.count(F.lit(1)).alias("n"))
-    counts = inner.groupBy("population", "bin").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy("population"))
-    before = F.sum("n").over(Window.partitionBy("population").orderBy("bin")) - F.col("n")  # at most ``bins`` rows a population
-    rank = quantile * (2 * total - 1)  # in the list of both directions: value i stands at 2i and 2i + 1
-    at = counts.select("population", "bin", "n", before.alias("before"), rank.alias("rank"))
-    low, high = F.floor(F.floor("rank") / 2), F.floor(F.ceil("rank") / 2)
-    held = at.where((low >= F.col("before")) & (low < F.col("before") + F.col("n")) | (high >= F.col("before")) & (high < F.col("before") + F.col("n")))
-    w = Window.partitionBy("population", "bin").orderBy("distance")
-    rows = values.join(held.select("population", "bin", "before", "rank"), ["population", "bin"]).withColumn("end", F.col("before") + F.sum("n").over(w))
-    holds = lambda k: (k < F.col("end")) & (k >= F.col("end") - F.col("n"))
-    found = rows.groupBy("population").agg(F.max("rank").alias("rank"), F.max(F.when(holds(low), F.col("distance"))).alias("l"), F.max(F.when(holds(high), F.col("distance"))).alias("h"))
-    return found.select("population", (F.col("l") + (F.col("rank") - F.floor("rank")) * (F.col("h") - F.col("l"))).alias("cutoff"))
+    inner = distance.join(tops, "population").where("distance > 0 AND distance < top").select("population", F.col("distance").alias("value"))
+    rank = quantile * (2 * F.count(F.lit(1)) - 1)  # in the list of both directions: value i stands at 2i and 2i + 1
+    of = settled(inner.groupBy("population").agg(rank.alias("rank")))
+    ranks = of.select("population", F.explode(F.array(*(F.struct(F.lit(w).alias("which"), F.floor(f("rank") / 2).alias("k")) for w, f in (("l", F.floor), ("h", F.ceil))))).alias("r")).select("population", "r.which", "r.k")
+    found = ranked_values(inner, ranks, bins, few).groupBy("population").agg(*(F.max(F.when(F.col("which") == w, F.col("value"))).alias(w) for w in ("l", "h")))
+    return found.join(of, "population").select("population", (F.col("l") + (F.col("rank") - F.floor("rank")) * (F.col("h") - F.col("l"))).alias("cutoff"))
 
 
 def histogram(distance: DataFrame, bins: int = 20) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,15 +90,30 @@ def shared_tokens(annotations: DataFrame) -> DataFrame:
     return x.join(y, ["population", "word"]).where("a <= b").groupBy("population", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def group_clades(annotations: dict[str, list[str]]) -> list[list[str]]:
-    """Greedy groups of a few annotated clades: each clade not yet in a group opens one with all that share a word with it."""
-    words = {k: {w for x in v for w in x.split(" ") if w} for k, v in annotations.items()}
-    groups, seen = [], set()
-    for k, v in words.items():
-        if k not in seen:
-            groups.append([o for o, w in words.items() if v & w])
-            seen |= {k, *groups[-1]}
-    return groups
+def group_clades(annotations: DataFrame) -> DataFrame:
+    """(population, opener, identity): greedy groups of clades. In the order of ``place`` each clade that is in no group yet opens one, with all clades
+    that share a word with it, also those of other groups; a clade without words opens none. annotations: (population, identity, place, annotations).
+
+    Openers share no word, so they are found in rounds of local minima: a clade opens a group once it is the first of all that hold any of its words and are
+    undecided; the words of an opener are then taken, and clades that hold one are decided. Words and clades are grouped, never paired."""
+    words = annotations.select(P, "identity", "place", F.explode(F.array_distinct(F.filter(F.split(F.concat_ws(" ", "annotations"), " "), lambda w: w != ""))).alias("word"))
+    words = settled(words)
+    left, openers = words, []
+    while True:
+        first = left.groupBy(P, "word").agg(F.min(F.struct("place", "identity")).alias("m"))
+        judged = left.join(first, [P, "word"]).groupBy(P, "identity").agg(F.bool_and(F.col("m.identity") == F.col("identity")).alias("first"))
+        opened = settled(judged.where("first").select(P, "identity"))
+        if opened.isEmpty():
+            break
+        openers.append(opened)
+        taken = words.join(opened, [P, "identity"]).select(P, "word").distinct()
+        decided = left.join(taken, [P, "word"]).select(P, "identity").distinct()
+        left = settled(left.join(decided, [P, "identity"], "left_anti"))
+    if not openers:
+        return words.select(P, F.col("identity").alias("opener"), "identity").limit(0)
+    own = reduce(DataFrame.unionByName, openers)
+    held = words.join(own, [P, "identity"]).select(P, "word", F.col("identity").alias("opener"))
+    return words.join(held, [P, "word"]).select(P, "opener", "identity").distinct()
 
 
 def tour(edges: DataFrame, ages: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import labels as L
 from .functions import series as S
 from .model import BREAKPOINTS
-from .operators import abundance, annotations, clustering, detection, distances, packing, ranking, scoring, trees
+from .operators import abundance, annotations, clustering, detection, distances, packing, ranking, regions, scoring, trees
 from .plans.settle import settled
 from .sources import adapters, tables
 
@@ -741,6 +741,65 @@ def series_area(spark, sf_dir):
     return adapters.vectors(spark, sf_dir).select("label", F.round(S.area(F.col("fs")), 6).alias("area"))
 
 
+# ---- regions
+
+
+_OUTLINE = """points AS (SELECT label, i - 1 AS i, p.x AS x, p.y AS y FROM (SELECT label, unnest(o) AS p, unnest(range(1, len(o) + 1)) AS i FROM (
+  SELECT label, (CASE WHEN fs[1] <> 0 THEN [{'x': 0.0::DOUBLE, 'y': 0.0::DOUBLE}] ELSE [] END) || [{'x': (k - 1)::DOUBLE, 'y': fs[k]} for k in range(1, len(fs) + 1)] || (CASE WHEN fs[-1] <> 0 THEN [{'x': (len(fs) - 1)::DOUBLE, 'y': 0.0::DOUBLE}] ELSE [] END) AS o FROM packed))),
+cut AS (SELECT *, coalesce(y = 0 AND lag(y) OVER (PARTITION BY label ORDER BY i) = 0, false)::INTEGER AS c FROM points),
+island AS (SELECT *, sum(c) OVER (PARTITION BY label ORDER BY i) AS island FROM cut),
+step AS (SELECT *, coalesce((x - lag(x) OVER w) * (y + lag(y) OVER w) / 2, 0) AS step, count(*) OVER (PARTITION BY label, island) AS n FROM island WINDOW w AS (PARTITION BY label, island ORDER BY i)),
+kept AS (SELECT *, sum(step) OVER (PARTITION BY label, island) AS area, dense_rank() OVER (PARTITION BY label ORDER BY island) AS piece FROM step WHERE n > 2)"""
+
+
+@query(with_(EVENTS, PACKED, _OUTLINE) + "SELECT label, piece::INTEGER AS piece, i::INTEGER AS i, x, round(y, 6) AS y, round(area, 6) AS area, piece = first(piece) OVER (PARTITION BY label ORDER BY round(area, 6) DESC, piece ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS main FROM kept")
+def series_pieces(spark, sf_dir):
+    points = regions.vertices(packing.pack(adapters.user_events(spark, sf_dir)), raised=False)
+    return rounded(regions.pieces(points), "y", "area")
+
+
+_STRIPS = f"""lines AS (SELECT label, {curve('fs')} AS c FROM packed),
+steps AS (SELECT a.label AS a, b.label AS b, i - 1 AS x, a.c[i] AS f0, a.c[i + 1] AS f1, b.c[i] AS g0, b.c[i + 1] AS g1 FROM lines a JOIN lines b ON a.label < b.label, LATERAL (SELECT unnest(range(1, len(a.c))) AS i)),
+sides AS (SELECT *, f0 - g0 AS d0, f1 - g1 AS d1 FROM steps),
+crossed AS (SELECT *, CASE WHEN d0 * d1 < 0 THEN d0 / (d0 - d1) END AS u FROM sides),
+strips AS (
+  SELECT a, b, x::DOUBLE AS x0, x + 1.0::DOUBLE AS x1, least(f0, g0) AS low0, least(f1, g1) AS low1, greatest(f0, g0) AS high0, greatest(f1, g1) AS high1, CASE WHEN d0 + d1 > 0 THEN 'a' WHEN d0 + d1 < 0 THEN 'b' ELSE '=' END AS upper FROM crossed WHERE u IS NULL
+  UNION ALL SELECT a, b, x, x + u, least(f0, g0), f0 + u * (f1 - f0), greatest(f0, g0), f0 + u * (f1 - f0), CASE WHEN d0 > 0 THEN 'a' ELSE 'b' END FROM crossed WHERE u IS NOT NULL
+  UNION ALL SELECT a, b, x + u, x + 1, f0 + u * (f1 - f0), least(f1, g1), f0 + u * (f1 - f0), greatest(f1, g1), CASE WHEN d1 > 0 THEN 'a' ELSE 'b' END FROM crossed WHERE u IS NOT NULL)"""
+_ENDS = ("x0", "x1", "low0", "low1", "high0", "high1")
+
+
+@query(with_(YEARS, PACKED, _STRIPS) + f"SELECT a, b, {', '.join(f'round({c}, 8) + 0.0 AS {c}' for c in _ENDS)}, upper FROM strips")
+def region_overlay(spark, sf_dir):
+    return rounded(regions.overlay(packing.pack(adapters.supplier_years(spark, sf_dir))), *_ENDS, digits=8)
+
+
+_AREAS = ("only_a", "only_b", "symmetric", "common", "either")
+
+
+@query(with_(EVENTS, PACKED, _STRIPS) + """, areas AS (SELECT a, b, coalesce(sum((x1 - x0) * (high0 + high1 - low0 - low1) / 2) FILTER (upper = 'a'), 0) AS only_a, coalesce(sum((x1 - x0) * (high0 + high1 - low0 - low1) / 2) FILTER (upper = 'b'), 0) AS only_b,
+  sum((x1 - x0) * (low0 + low1) / 2) AS common, sum((x1 - x0) * (high0 + high1) / 2) AS either FROM strips GROUP BY a, b)
+SELECT a, b, round(only_a, 8) + 0.0 AS only_a, round(only_b, 8) + 0.0 AS only_b, round(only_a + only_b, 8) + 0.0 AS symmetric, round(common, 8) + 0.0 AS common, round(either, 8) + 0.0 AS either FROM areas""")
+def region_areas(spark, sf_dir):
+    return rounded(regions.region_areas(regions.overlay(packing.pack(adapters.user_events(spark, sf_dir)))), *_AREAS, digits=8)
+
+
+_PART_WORDS = "named AS (SELECT p_partkey AS place, list_distinct(list_filter(string_split(p_name || ' ' || p_brand, ' '), lambda w: w <> '')) AS words FROM part)"
+
+
+@query("WITH RECURSIVE " + _PART_WORDS + """,
+ranked AS (SELECT row_number() OVER (ORDER BY place) AS r, place, words FROM named),
+walk(r, opener, used) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, []::VARCHAR[]
+  UNION ALL SELECT n.r, CASE WHEN list_has_any(n.words, w.used) THEN NULL ELSE n.place END, CASE WHEN list_has_any(n.words, w.used) THEN w.used ELSE w.used || n.words END FROM walk w JOIN ranked n ON n.r = w.r + 1),
+openers AS (SELECT n.place, n.words FROM walk w JOIN ranked n ON n.r = w.r WHERE w.opener IS NOT NULL)
+SELECT o.place::VARCHAR AS opener, n.place::VARCHAR AS identity FROM openers o JOIN named n ON list_has_any(o.words, n.words)""")
+def clade_groups(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    noted = part.select(F.lit("all").alias("population"), F.col("p_partkey").cast("string").alias("identity"), F.col("p_partkey").alias("place"), F.array("p_name", "p_brand").alias("annotations"))
+    return trees.group_clades(noted).drop("population")
+
+
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
     return dict(QUERIES), dict(ORACLE_SQL)
 

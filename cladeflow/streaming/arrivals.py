@@ -24,11 +24,13 @@ def windowed_means(stream: DataFrame, every: str = "1 hour", late: str = "1 day"
 
 
 def into_table(stream: DataFrame, path: str, checkpoint: str, then: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Append distinct points to a parquet table; after each micro-batch ``then`` sees the whole table."""
+    """Add distinct points to a parquet table; after each micro-batch ``then`` sees the whole table.
 
-    def merge(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").parquet(path)
+    A batch has a folder of its own number, overwritten, so a batch that runs again after a failure leaves its points once."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
         if then is not None:
-            then(batch.sparkSession.read.parquet(path))
+            then(batch.sparkSession.read.schema(batch.schema).parquet(path))
 
     return distinct_points(stream).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -291,7 +291,11 @@ def test_trees(spark):
     assert [r.group_id for r in trees.tour(edges, ages).orderBy("ord").collect()] == ["genotype-0", "e", "ea", "a", "c", "ca", "b", "d", "da", "ba", "aa", "genotype-0a"]
     deep = spark.createDataFrame([("p", f"n{i}", f"n{i - 1}" if i else "genotype-0") for i in range(105)], "population string, identity string, parent string")
     assert trees.clades(deep).agg(F.max("iterations")).first()[0] == 105
-    assert trees.group_clades({"g10": ["dltB "], "g11": ["dltB Q111*"], "g16": ["P|Q "], "g6": ["S G119C"], "g9": ["dltB "]}) == [["g10", "g11", "g9"], ["g16"], ["g6"]]
+    noted = spark.createDataFrame([("p", k, i, v) for i, (k, v) in enumerate({"g10": ["dltB "], "g11": ["dltB Q111*"], "g16": ["P|Q "], "g6": ["S G119C"], "g9": ["dltB "], "bare": []}.items())], "population string, identity string, place int, annotations array<string>")
+    found = {}
+    for r in trees.group_clades(noted).collect():
+        found.setdefault(r.opener, set()).add(r.identity)
+    assert found == {"g10": {"g10", "g11", "g9"}, "g16": {"g16"}, "g6": {"g6"}}
     tables.validate_edges(edges)
     with pytest.raises(ValueError, match="two parents"):
         tables.validate_edges(edges.union(edges.limit(1)))
