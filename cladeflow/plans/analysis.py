@@ -124,9 +124,10 @@ def palette_of(result: Analysis, options: Options, genotype_annotations: DataFra
     if annotation_colors is not None and genotype_annotations is not None:
         own = annotations.annotation_palette(genotype_annotations, annotation_colors).where("color IS NOT NULL").select("identity", "color")
         colors = own if colors is None else colors.select("identity", "color").unionByName(own.join(colors, "identity", "left_anti"))
-    if options.palette not in ("lineage", "distinct"):
-        raise ValueError(f"{options.palette!r} is not a palette: lineage or distinct")
-    found = annotations.lineage_palette(result.edges, colors) if options.palette == "lineage" else annotations.distinct_palette(identities, colors)
+    if options.palette == "lineage":
+        found = annotations.lineage_palette(result.edges, colors)
+    else:
+        found = annotations.distinct_palette(identities, colors) if options.palette == "distinct" else annotations.scheme_palette(identities, options.palette, colors)
     return found.unionByName(identities.select("population", F.lit(ROOT).alias("identity"), F.lit(ROOT_COLOR).alias("color")).distinct())
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import labels as L
 from .functions import series as S
 from .model import BREAKPOINTS
-from .operators import abundance, annotations, clustering, detection, distances, packing, ranking, regions, scoring, trees
+from .operators import abundance, annotations, clustering, condensed, detection, distances, packing, ranking, regions, scoring, trees
 from .plans.settle import settled
 from .sources import adapters, tables
 
@@ -736,7 +736,7 @@ def derivative_agreement(spark, sf_dir):
     return annotations.derivative_agreement(rows).select("a", "b", F.round("correlated", 6).alias("correlated"), F.round("anticorrelated", 6).alias("anticorrelated"))
 
 
-@query("SELECT vec_id::VARCHAR AS label, round(list_sum([(x::DOUBLE + 1) / 2 for x in embedding]) - ((embedding[1]::DOUBLE + 1) / 2 + (embedding[64]::DOUBLE + 1) / 2) / 2, 6) AS area FROM embeddings WHERE len(embedding) = 64")
+@query("WITH v AS (SELECT vec_id, [(x::DOUBLE + 1) / 2 for x in embedding] AS fs FROM embeddings WHERE len(embedding) > 0) SELECT vec_id::VARCHAR AS label, CASE WHEN len(fs) > 1 THEN round(list_sum([CASE WHEN i > 1 AND i < len(fs) AND fs[i] < 0.0001 THEN 0.0001 ELSE fs[i] END for i in range(1, len(fs) + 1)]) - (fs[1] + fs[-1]) / 2, 6) ELSE 0.0 END AS area FROM v")
 def series_area(spark, sf_dir):
     return adapters.vectors(spark, sf_dir).select("label", F.round(S.area(F.col("fs")), 6).alias("area"))
 
@@ -800,6 +800,27 @@ def clade_groups(spark, sf_dir):
     return trees.group_clades(noted).drop("population")
 
 
+@query(_BINOMIAL + ",\n" + _FILLED + """, lab AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS place, count(*) OVER () AS n FROM packed)
+SELECT (p.n * p.place - p.place * (p.place + 1) // 2 + q.place - p.place - 1)::BIGINT AS k, round(distance, 6) + 0.0 AS distance FROM filled JOIN lab p ON p.label = a JOIN lab q ON q.label = b""")
+def condensed_vector(spark, sf_dir):
+    found = settled(_filled(spark, sf_dir))
+    places = condensed.placed_labels(found)
+    rows = condensed.blocks(condensed.condensed(found, places)).select("block", F.posexplode("values").alias("at", "distance"))
+    return rounded(rows.select((F.col("block") * condensed.SIZE + F.col("at")).alias("k"), "distance", F.lit("all").alias("population")), "distance")
+
+
+_MIXED = lambda i: f"round(a[lo + 1][{i}] + (spot - lo) * (a[lo + 2][{i}] - a[lo + 1][{i}]))::INTEGER"
+_ANCHORS = [[int(c[i : i + 2], 16) for i in (0, 2, 4)] for c in annotations.SCHEMES["Greens"].split()]
+
+
+@query(f"""WITH ranked AS (SELECT 'genotype-' || n_nationkey AS identity, row_number() OVER (ORDER BY n_nationkey)::DOUBLE AS i, count(*) OVER () AS n FROM nation),
+spots AS (SELECT identity, {_ANCHORS} AS a, i / (n + 1) * 8 AS spot FROM ranked), low AS (SELECT *, least(floor(spot), 7)::INTEGER AS lo FROM spots)
+SELECT identity, CASE identity WHEN 'genotype-0' THEN '#FFFFFF' ELSE '#' || upper(printf('%02x%02x%02x', {_MIXED(1)}, {_MIXED(2)}, {_MIXED(3)})) END AS color FROM low""")
+def scheme_palette(spark, sf_dir):
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lit("all").alias("population"), F.concat(F.lit("genotype-"), F.col("n_nationkey").cast("string")).alias("identity"))
+    return annotations.scheme_palette(nations, "Greens").drop("population")
+
+
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
     return dict(QUERIES), dict(ORACLE_SQL)
 

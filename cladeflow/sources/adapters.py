@@ -33,10 +33,10 @@ def supplier_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return over_all_times(scaled(cells))
 
 
-def vectors(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
-    """Packed series of embeddings, mapped from [-1, 1] to [0, 1]."""
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed series of embeddings of any length, mapped from [-1, 1] to [0, 1]; empty ones and null ones are no series."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return rows.select(F.lit("all").alias("population"), F.col("vec_id").cast("string").alias("label"), F.transform("embedding", lambda x: (x.cast("double") + 1) / 2).alias("fs")).where(F.size("fs") == dims)
+    return rows.select(F.lit("all").alias("population"), F.col("vec_id").cast("string").alias("label"), F.transform("embedding", lambda x: (x.cast("double") + 1) / 2).alias("fs")).where("size(fs) > 0")
 
 
 def customer_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
