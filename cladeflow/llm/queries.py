@@ -168,5 +168,46 @@ def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmodel.fit_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+_WORDS = r"coalesce(regexp_extract_all({0}, '[^\x20\x09-\x0D]+'), []) AS w"
+
+#: windows of bytes as hexadecimal digits; a window repeats where it is not the first of its content
+OP1_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS k, substr(h, 2 * p + 1, 200) AS content FROM docs, LATERAL (SELECT unnest(range(0, n - 99)) AS p)),
+shared AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY content ORDER BY doc_id, p) AS r FROM windows WHERE k IN (SELECT k FROM shared)) WHERE r > 1),
+islands AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 100, true)::INTEGER AS new FROM again)),
+runs AS (SELECT doc_id, min(p) AS b, max(p) + 100 AS e FROM islands GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS b, b AS e FROM runs UNION ALL SELECT doc_id, max(e), NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * b + 1, 2 * (coalesce(e, n) - b)), '' ORDER BY b) AS h FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(e - b) AS gone, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, docs.h))) AS kept_sha256
+FROM docs LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP7_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 2 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i : i + 2], ' ') for i in range(1, len(w) - 1)] END) AS s FROM docs),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, other) AS (SELECT a, b FROM both_ways UNION SELECT r.id, b.b FROM reach r JOIN both_ways b ON b.a = r.other)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(other), d.doc_id))::BIGINT AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON id = d.doc_id GROUP BY d.doc_id, n
+"""
+
+OP8_SQL = f"""
+WITH docs AS (SELECT doc_id, {_WORDS.format("text")} FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS k FROM docs, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS i)),
+firsts AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k HAVING min(doc_id) < max(doc_id)),
+again AS (SELECT doc_id, i AS j FROM windows JOIN firsts USING (k) WHERE doc_id > first),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM docs),
+marked AS (SELECT doc_id, word, j, count(a.j) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone FROM words LEFT JOIN again a USING (doc_id, j)),
+kept AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS gone, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT gone), '') AS t FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_cotraining, op3_qgram_decontamination, op4_toxicity_ordinal, op5_forest_near_dedup, op6_mix_sources, op7_jaccard_join, op8_recompression_dedup, op9_token_output, op10_chat_format, op11_vector_codes, op12_merkle_manifest, op13_lm_scoring)}
-ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op10_chat_format": OP10_SQL, "op11_vector_codes": _op11_sql(), "op12_merkle_manifest": _op12_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_array_dedup": OP1_SQL, "op7_jaccard_join": OP7_SQL, "op8_recompression_dedup": OP8_SQL, "op6_mix_sources": OP6_SQL, "op10_chat_format": OP10_SQL, "op11_vector_codes": _op11_sql(), "op12_merkle_manifest": _op12_sql()}
