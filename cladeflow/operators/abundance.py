@@ -101,6 +101,21 @@ def label_anchors(merged: DataFrame) -> DataFrame:
     return at.join(heap.select(P, "group_id", F.col("generation").alias("x"), F.col("under").alias("y")), [P, "group_id", "x"])
 
 
+def label_places(anchors: DataFrame, near_x: float = 2.0, near_y: float = 0.1, top: float | None = None) -> DataFrame:
+    """(population, group_id, x, y, moved): anchors of which no two are nearer than ``near_x`` in x and ``near_y`` in y at once.
+
+    x goes to the middle of its band of near_x. In a band labels keep their order by (y, group_id), and each goes up as far as the one under it asks for, those
+    with room stay; with ``top``, what would stand higher goes down again, as far as the labels over it ask for. The rows of a band are ordered alone, and the same
+    anchors always give the same places."""
+    band = F.floor(F.col("x") / near_x)
+    w = Window.partitionBy(P, "band").orderBy("y", "group_id")
+    rows = anchors.withColumn("band", band).withColumn("i", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(P, "band")))
+    up = F.col("i") * near_y + F.max(F.col("y") - F.col("i") * near_y).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    place = up if top is None else F.least(up, F.lit(float(top)) - (F.col("n") - F.col("i")) * near_y)
+    x = (F.col("band") + 0.5) * near_x
+    return rows.withColumn("place", place).select(P, "group_id", x.alias("x"), F.col("place").alias("y"), ((x != F.col("x")) | (F.abs(F.col("place") - F.col("y")) > 1e-12)).alias("moved"))
+
+
 def interpolated(long: DataFrame, points: int = 100) -> DataFrame:
     """(population, label, i, x, y): each series at ``points`` even steps from its first time up to, not including, its last, on straight lines."""
     w = Window.partitionBy(P, "label")

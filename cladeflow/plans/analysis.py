@@ -143,7 +143,7 @@ def save(result: Analysis, long: DataFrame, info: DataFrame, folder: str, option
     tables_ = {
         "trajectories": sinks.trajectory_table(long, info, g.members), "genotypes": g.series.join(members.withColumnRenamed("genotype", "label"), ["population", "label"]), "members": members, "annotations": notes,
         "scores": result.scores, "edges": result.edges, "populations": result.populations, "stacked": result.stacked, "series": merged.join(palette, ["population", "identity"], "left"),
-        "label_anchors": abundance.label_anchors(merged), "smooth": abundance.interpolated(g.series), "palette": palette, "trajectory_palette": annotations.trajectory_palette(palette, g.members), "lineage_dot": annotations.dot_graph(result.edges, palette),
+        "label_anchors": (anchors := settled(abundance.label_anchors(merged))), "label_places": abundance.label_places(anchors, top=1.0), "smooth": abundance.interpolated(g.series), "palette": palette, "trajectory_palette": annotations.trajectory_palette(palette, g.members), "lineage_dot": annotations.dot_graph(result.edges, palette),
     }
     if g.distance is not None:
         tables_ |= {"distances": g.distance, "distance_matrix": distances.square(g.distance), "linkage": g.linkage}

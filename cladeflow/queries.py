@@ -611,15 +611,27 @@ def merge_halves(spark, sf_dir):
     return rounded(rounded(abundance.merge_halves(abundance.stacked_area(*_populations(spark, sf_dir))), "abundance"), "frequency", digits=8)
 
 
-@query(_STACKED + _MERGED + """, span AS (SELECT group_id, (max(generation) - min(generation)) / 2 AS mid, min(generation) AS f, list(generation) AS gens FROM merged WHERE abundance <> 0 GROUP BY group_id),
+_ANCHORED = _STACKED + _MERGED + """, span AS (SELECT group_id, (max(generation) - min(generation)) / 2 AS mid, min(generation) AS f, list(generation) AS gens FROM merged WHERE abundance <> 0 GROUP BY group_id),
 x AS (SELECT group_id, CASE WHEN list_contains(gens, mid) THEN mid ELSE f END AS x FROM span), pl AS (SELECT group_id, min(ord) AS place FROM merged GROUP BY group_id),
-heap AS (SELECT m.group_id, generation, sum(frequency) OVER (PARTITION BY generation ORDER BY place) AS y FROM merged m JOIN pl USING (group_id))
-SELECT x.group_id, x, round(y, 7) + 0.0 AS y FROM x JOIN heap h ON h.group_id = x.group_id AND h.generation = x.x""")
+heap AS (SELECT m.group_id, generation, sum(frequency) OVER (PARTITION BY generation ORDER BY place) AS y FROM merged m JOIN pl USING (group_id)),
+anchors AS (SELECT x.group_id, x, round(y, 7) + 0.0 AS y FROM x JOIN heap h ON h.group_id = x.group_id AND h.generation = x.x)"""
+
+
+@query(_ANCHORED + " SELECT group_id, x, y FROM anchors")
 def label_anchors(spark, sf_dir):
     merged = abundance.merge_halves(abundance.stacked_area(*_populations(spark, sf_dir)))
     return rounded(abundance.label_anchors(merged), "y", digits=7)
 
 
+@query(_ANCHORED + """, band AS (SELECT *, floor(x / 2) AS band, row_number() OVER (PARTITION BY floor(x / 2) ORDER BY y, group_id) AS i, count(*) OVER (PARTITION BY floor(x / 2)) AS n FROM anchors),
+pushed AS (SELECT *, least(i * 0.01::DOUBLE + max(y - i * 0.01::DOUBLE) OVER (PARTITION BY band ORDER BY y, group_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0::DOUBLE - (n - i) * 0.01::DOUBLE) AS place FROM band)
+SELECT group_id, (band + 0.5) * 2 AS x, round(place, 9) + 0.0 AS y, (band + 0.5) * 2 <> x OR abs(place - y) > 1e-12 AS moved FROM pushed""")
+def label_places(spark, sf_dir):
+    merged = abundance.merge_halves(abundance.stacked_area(*_populations(spark, sf_dir)))
+    anchors = abundance.label_anchors(merged).withColumn("y", F.round("y", 7))
+    return rounded(abundance.label_places(anchors, 2.0, 0.01, 1.0), "y", digits=9)
+
+
 @query(with_(EVENTS) + """, nx AS (SELECT *, lead(t) OVER w AS nt, lead(freq) OVER w AS nf FROM traj WINDOW w AS (PARTITION BY label ORDER BY t)), pts AS (SELECT i::INTEGER AS i, lo + i * (hi - lo) / 100.0 AS x FROM range(100) r(i), (SELECT min(t) AS lo, max(t) AS hi FROM traj))
 SELECT label, i, round(x, 9) AS x, round(freq + (x - t) / (nt - t) * (nf - freq), 9) + 0.0 AS y FROM nx JOIN pts ON x >= t - 1e-9 AND x < nt - 1e-9""")
 def interpolated(spark, sf_dir):
