@@ -189,7 +189,7 @@ def test_import(spark):
     with pytest.raises(ValueError, match="time"):
         tables.parse_series(tables.text_wide(spark, "a,b\n1,2"))
     with pytest.raises(ValueError, match="Excel"):
-        tables.read_wide(spark, "x.xlsx")
+        tables.read_wide(spark, "x.xls")
 
 
 def test_files(spark, tmp_path):
