@@ -96,8 +96,12 @@ _LOW = U64(0xFFFFFFFF)
 
 def _added(sums: np.ndarray, lane: np.ndarray, m: np.ndarray) -> None:
     low, high = lane & _LOW, lane >> U64(32)
+    left, right = np.empty_like(low), np.empty_like(low)
     for k in (0, 1):
-        sums[k] += (m[k, 0] + low) * (m[k, 1] + high)
+        np.add(low, m[k, 0], out=left)
+        np.add(high, m[k, 1], out=right)
+        left *= right
+        sums[k] += left
 
 
 def _folded(sums: np.ndarray) -> np.ndarray:
@@ -120,14 +124,20 @@ def keyed_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: in
     for i in range(0, len(short), BLOCK):  # what the caches hold
         live = short[i : i + BLOCK]
         at, left, got, lane = starts[live], size[live], np.zeros((2, len(live)), U64), 0
-        while len(live):
-            _added(got, view[at] & _MASKS[np.clip(left, 0, 8)], m[:, lane])
-            lane += 1
-            on = left > 8
+        whole = int(left.min()) // 8 if len(left) else 0
+        while lane < whole:  # lanes that all pieces have
+            _added(got, view[at], m[:, lane])
+            at, lane = at + 8, lane + 1
+        left = left - 8 * whole
+        while True:
+            on = left > 0
             if not on.all():
                 sums[:, live] = got
                 live, at, left, got = live[on], at[on], left[on], got[:, on]
-            at, left = at + 8, left - 8
+            if not len(live):
+                break
+            _added(got, view[at] & _MASKS[np.minimum(left, 8)], m[:, lane])
+            at, left, lane = at + 8, left - 8, lane + 1
     _added(sums, size.astype(U64), m[:, -1])
     return _folded(sums)
 
