@@ -188,7 +188,7 @@ def test_import(spark):
     assert info.columns == ["population", "label", "gene"] and info.count() == 3
     with pytest.raises(ValueError, match="time"):
         tables.parse_series(tables.text_wide(spark, "a,b\n1,2"))
-    with pytest.raises(ValueError, match="Excel"):
+    with pytest.raises(ValueError, match="xls form"):
         tables.read_wide(spark, "x.xls")
 
 
