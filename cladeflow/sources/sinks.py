@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 TABLES = {
     "trajectories": "tables", "genotypes": "tables", "edges": "tables", "populations": "tables", "stacked": "tables",
     "distances": "supplementary-files", "distance_matrix": "supplementary-files", "linkage": "supplementary-files", "scores": "supplementary-files", "members": "supplementary-files",
-    "annotations": "supplementary-files", "options": "supplementary-files", "lineage_dot": "graphics", "palette": "graphics", "trajectory_palette": "graphics", "series": "graphics", "label_anchors": "graphics", "smooth": "graphics", "script": "scripts",
+    "annotations": "supplementary-files", "options": "supplementary-files", "lineage_dot": "graphics", "palette": "graphics", "trajectory_palette": "graphics", "series": "graphics", "label_anchors": "graphics", "label_places": "graphics", "smooth": "graphics", "script": "scripts",
 }
 
 
