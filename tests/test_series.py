@@ -213,7 +213,7 @@ def test_cli(spark, tmp_path):
     head, *rows = (x.split(",") for x in lines)
     wide = [[head[0], "Gene", "Annotation", *head[1:]]] + [[r[0], f"gene{i % 3}<", f"N{i}(x)", *r[1:]] for i, r in enumerate(rows)]
     (tmp_path / "t.tsv").write_text("\n".join("\t".join(r) for r in wide))
-    cli.main(["lineage", "--input", str(tmp_path / "t.tsv"), "--output", str(tmp_path / "first")])
+    cli.main(["lineage", "--input", str(tmp_path / "t.tsv"), "--output", str(tmp_path / "first"), "--disable-all-filters"])
     read = lambda out, name: spark.read.csv(f"{tmp_path}/{out}/{sinks.TABLES[name]}/{name}", header=True, sep="\t").collect()
     pairs = read("first", "distances")
     assert len(pairs) == 153
@@ -222,7 +222,7 @@ def test_cli(spark, tmp_path):
     (tmp_path / "colors.tsv").write_text("genotype-1\t#123456\n")
     (tmp_path / "notes.tsv").write_text("gene1 N1\t#654321\n")
     files = {"--filename-pairwise": "pairs.tsv", "--gene-alias": "alias.tsv", "--genotype-colors": "colors.tsv", "--annotation-colors": "notes.tsv"}
-    cli.main(["lineage", "--input", str(tmp_path / "t.tsv"), "--output", str(tmp_path / "again"), "--palette", "distinct", "--name", "drawn", *(x for k, v in files.items() for x in (k, str(tmp_path / v)))])
+    cli.main(["lineage", "--input", str(tmp_path / "t.tsv"), "--output", str(tmp_path / "again"), "--palette", "distinct", "--name", "drawn", "--disable-all-filters", *(x for k, v in files.items() for x in (k, str(tmp_path / v)))])
     assert {(r.identity, r.parent) for r in read("first", "edges")} == {(r.identity, r.parent) for r in read("again", "edges")}
     members = {x: r.genotype for r in read("again", "members") for x in r.members.split("|")}
     notes = {r.genotype: r.annotations for r in read("again", "annotations")}
@@ -232,6 +232,8 @@ def test_cli(spark, tmp_path):
     text = lambda out, name: "\n".join(r.value for r in spark.read.text(f"{tmp_path}/{out}/{sinks.TABLES[name]}/{name}").collect())
     assert '"name": "drawn"' in text("again", "options") and "drawn.png" in text("again", "script") and "#123456" in text("again", "script")
     assert {r.color for r in read("again", "series")} <= set(colors.values()) and read("again", "label_anchors") and read("again", "smooth")
+    cli.main(["lineage", "--input", str(tmp_path / "t.tsv"), "--output", str(tmp_path / "filtered"), "--palette", "Blues"])
+    assert len(read("filtered", "distances")) == 28 and len(read("filtered", "label_places")) > 0  # eight series pass the filters that are on by default
 
 
 def test_alone_and_validation(spark):
