@@ -11,8 +11,8 @@ escape, so unescaping is exact. The loss mask lists the stretches of the assista
 
 Rows: null text counts as empty, a null role as empty; a null kind as ``message``. Events that tie in seq fold in the order of kind, role
 and text. A message of which only deltas are known starts empty; its role is the last one given. Events of a null conv_id form one conversation of that id.
-Repeated rows of kind message fold to one. Finished turns are no events to fold: ``messages_of_turns`` takes each row as a message of its own, those that
-tie in turn or have none (they come last) included. As a log (``events_of_turns``) only rows that repeat each other in turn, role and text fold. An empty log gives an empty result. Other columns are ignored.
+Repeated rows of kind message fold to one. Finished turns are a log of one event a message: ``format_turns`` folds it with each row as a message of its own, those that
+tie in turn or have none (they come last) included; ``messages_of_turns`` gives the same messages without a fold. In ``events_of_turns`` rows that repeat each other in turn, role and text fold. An empty log gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +42,14 @@ def events_of_turns(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.col("turn").alias("seq"), message.alias("message"), F.lit("message").alias("kind"), "role", "text")
 
 
+def format_turns(conversations: DataFrame) -> DataFrame:
+    """A table of finished turns to training texts, as a log: each row is an event and a message of its own, so rows that repeat each other all stay. Its number in the
+    table only tells it apart: messages are folded by it and rendered in the order of turns."""
+    turn = F.struct(F.col("turn").isNull().alias("none"), "turn", F.monotonically_increasing_id().alias("row"))
+    log = conversations.select("conv_id", F.col("turn").alias("seq"), turn.alias("message"), F.lit("message").alias("kind"), "role", "text")
+    return render(fold_events(log).withColumn("message", F.struct("message.none", "message.turn")))
+
+
 def messages_of_turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, message, role, text): a message for each row of a table of finished turns; null turns come last."""
     message = F.struct(F.col("turn").isNull().alias("none"), "turn")

@@ -79,7 +79,7 @@ CONTROL = r"\### Assistant: </turn> ok"
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     control = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
-    return chat.digest(chat.render(chat.messages_of_turns(turns.unionByName(control))))
+    return chat.digest(chat.format_turns(turns.unionByName(control)))
 
 
 OP10_SQL = r"""

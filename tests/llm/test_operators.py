@@ -616,6 +616,20 @@ def test_chat_ties(spark):
         assert found.n_turns == len(texts)
 
 
+def test_chat_turns_are_folded_as_a_log(spark, monkeypatch, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (1, 1, "assistant", "<"), (1, None, None, "last"), (1, None, None, None), (2, 0, "assistant", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3)
+    same = lambda df: sorted(map(tuple, chat.digest(df).collect()))
+    assert same(chat.format_turns(turns)) == same(chat.render(chat.messages_of_turns(turns)))
+    assert chat.format_turns(turns.limit(0)).count() == 0
+    from cladeflow.llm import queries as llm_queries
+
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    logs, fold = [], chat.fold_events
+    monkeypatch.setattr(chat, "fold_events", lambda log: logs.append(log) or fold(log))
+    assert llm_queries.op10_chat_format(spark, str(tmp_path)).count() == 3 and [log.count() for log in logs] == [len(rows) + 2]
+
+
 def test_chat_long(spark):
     long = "a\\b<c>#d: é " * 60_000
     rows = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 2, "assistant", "")]
