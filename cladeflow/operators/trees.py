@@ -90,30 +90,42 @@ def shared_tokens(annotations: DataFrame) -> DataFrame:
     return x.join(y, ["population", "word"]).where("a <= b").groupBy("population", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: rows of words that are broadcast, at most
+FEW_WORDS = 100_000
+
+
 def group_clades(annotations: DataFrame) -> DataFrame:
     """(population, opener, identity): greedy groups of clades. In the order of ``place`` each clade that is in no group yet opens one, with all clades
-    that share a word with it, also those of other groups; a clade without words opens none. annotations: (population, identity, place, annotations).
+    that share a word with it, also those of other groups; a clade without words opens none. annotations: (population, identity, place, annotations), a row a clade.
 
     Openers share no word, so they are found in rounds of local minima: a clade opens a group once it is the first of all that hold any of its words and are
-    undecided; the words of an opener are then taken, and clades that hold one are decided. Words and clades are grouped, never paired."""
-    words = annotations.select(P, "identity", "place", F.explode(F.array_distinct(F.filter(F.split(F.concat_ws(" ", "annotations"), " "), lambda w: w != ""))).alias("word"))
-    words = settled(words)
-    left, openers = words, []
+    undecided; the words of an opener are then taken, and clades that hold one are decided. Words and clades are grouped, never paired. Tables of a row a word are
+    broadcast when small, so that clades don't meet by a frequent word in one task, and clades meet in a set number of tasks, which adaptive execution leaves as they are."""
+    spark = annotations.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    by_clade = lambda df: df.repartition(tasks, P, "identity")
+    few = lambda df: F.broadcast(df) if df.limit(FEW_WORDS + 1).count() <= FEW_WORDS else df
+    held = lambda df: df.select(P, "identity", "place", F.size("words").alias("size"), F.explode("words").alias("word"))
+
+    words = F.array_distinct(F.filter(F.split(F.concat_ws(" ", "annotations"), " "), lambda w: w != ""))
+    noted = settled(annotations.select(P, "identity", "place", words.alias("words")).where(F.size("words") > 0))
+    left, opened = noted, []
     while True:
-        first = left.groupBy(P, "word").agg(F.min(F.struct("place", "identity")).alias("m"))
-        judged = left.join(first, [P, "word"]).groupBy(P, "identity").agg(F.bool_and(F.col("m.identity") == F.col("identity")).alias("first"))
-        opened = settled(judged.where("first").select(P, "identity"))
-        if opened.isEmpty():
+        least = settled(held(left).groupBy(P, "word").agg(F.min("place").alias("place")))  # of numbers alone: a hash aggregate, no sort of all words
+        likely = held(left.join(few(least.select(P, "place").distinct()), [P, "place"], "left_semi"))
+        near = settled(likely.join(few(least), [P, "word", "place"]))
+        first = near.groupBy(P, "word").agg(F.min("identity").alias("identity"))
+        sure = near.join(first, [P, "word", "identity"]).groupBy(P, "identity", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size").select(P, "identity")
+        taken = settled(near.join(sure, [P, "identity"]).select(P, "word", F.col("identity").alias("opener")))
+        if taken.isEmpty():
             break
-        openers.append(opened)
-        taken = words.join(opened, [P, "identity"]).select(P, "word").distinct()
-        decided = left.join(taken, [P, "word"]).select(P, "identity").distinct()
-        left = settled(left.join(decided, [P, "identity"], "left_anti"))
-    if not openers:
-        return words.select(P, F.col("identity").alias("opener"), "identity").limit(0)
-    own = reduce(DataFrame.unionByName, openers)
-    held = words.join(own, [P, "identity"]).select(P, "word", F.col("identity").alias("opener"))
-    return words.join(held, [P, "word"]).select(P, "opener", "identity").distinct()
+        opened.append(taken)
+        decided = by_clade(held(left).join(few(taken), [P, "word"], "left_semi").select(P, "identity"))
+        left = settled(by_clade(left).join(decided, [P, "identity"], "left_anti"))
+    if not opened:
+        return noted.select(P, F.col("identity").alias("opener"), "identity").limit(0)
+    met = held(noted).join(few(reduce(DataFrame.unionByName, opened)), [P, "word"]).select(P, "opener", "identity")
+    return by_clade(met).distinct()
 
 
 def tour(edges: DataFrame, ages: DataFrame) -> DataFrame:

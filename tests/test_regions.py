@@ -81,3 +81,15 @@ def test_groups_by_rounds(spark):
     for r in trees.group_clades(spark.createDataFrame(rows, "population string, identity string, place int, annotations array<string>")).where("population = 'q'").collect():
         got.setdefault(r.opener, set()).add(r.identity)
     assert got == want
+
+
+def test_groups_are_not_sorted_by_word(spark, monkeypatch):
+    """A frequent word's clades must not come into one task's memory: no sort of all words, and a set number of tasks for the clades."""
+    plans, kept = [], trees.settled
+    monkeypatch.setattr(trees, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    notes = spark.range(3000).selectExpr("'p' AS population", "'c' || id AS identity", "id AS place", "array('w' || id % 7, 'v' || id % 5) AS annotations")
+    found = trees.group_clades(notes)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() == found.distinct().count() and {r.opener for r in found.select("opener").distinct().collect()} == {f"c{k}" for k in range(5)}
+    assert not any("SortAggregate" in p and "explode" in p for p in plans) and not any("hashpartitioning" in line and "word" in line and "REPARTITION" in line for p in plans for line in p.splitlines())
+    assert any("REPARTITION_BY_NUM" in line and "identity" in line for line in plans[-1].splitlines())
