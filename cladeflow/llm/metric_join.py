@@ -6,14 +6,15 @@
    ``need`` of the slices of module ``shingles``. Slices that more than FEW sets share (common passages, large groups of copies) are dropped
    and counted for each set, as are its empty slices. A set with fewer dropped slices than ``need`` shares other ones with each of its
    partners, need - dropped at least: pairs under that bound go. Sets with more are *saturated*; pairs of two such are
-   sought among these sets alone, over all slices. Sets connected through the pairs left, or through slices of saturated
+   sought among these sets alone: in any one order of all elements, rare ones first, two sets within the distance share one of their first
+   elements (size - least intersection + 1 of them). Sets connected through the pairs left, or through first elements of saturated
    sets, make a *family*; no pair within the distance crosses families.
 3. Inside a family distances spread, and a large family is joined as a metric space: some members are drawn as pivots. A
    member whose nearest pivot is within NEAR (at distance m) goes to that pivot's region and, by the triangle inequality, to those of
    all pivots within m + 2 * radius: of any two such members within the radius both are in the region of one's nearest
    pivot. Members beyond NEAR make a region of the rest, with those beyond NEAR - radius. Regions still large
    are cut again with other pivots, as long as the windows copy members at most GROWTH times; what cannot be cut that way is joined in
-   pairs of blocks. Each region or pair of blocks is joined exactly and gives a spanning forest of its links, not its pairs.
+   pairs of blocks, of which a region has MOST at most, so that a member is copied MOST times at most. Each region or pair of blocks is joined exactly and gives a spanning forest of its links, not its pairs.
 4. Links' components, by contraction.
 
 Words and shingles are told apart by hashes of 64 bits under a key drawn for the run (module ``hashing``), equal sets by their size and two sums of mixed hashes.
@@ -39,8 +40,13 @@ from .hashing import U64, draw, mix
 from .shingles import set_batches, set_prints, size_class, slices
 from .suffix_dedup import unique_documents
 
-#: members of a region that are joined at once (larger ones are cut by pivots), and of a block where no pivot can cut
-BASE, BLOCK = 64, 1024
+#: members of a region that are joined at once (larger ones are cut by pivots), and of a block where no pivot can cut; a region has MOST blocks at most, whose
+#: members are then more and are joined BLOCK by BLOCK inside the task
+BASE, BLOCK, MOST = 64, 1024, 24
+#: members that meet all of their region before the others do
+LEADERS = 64
+#: elements of saturated sets whose counts are known to all tasks: the most common ones, of those in over SOME sets
+COMMON, SOME = 1 << 18, 8
 PIVOTS = 64
 NEAR = 0.6
 GROWTH = 2.0
@@ -149,23 +155,51 @@ def candidates(docs: DataFrame, equal: DataFrame, words: int, similarity: tuple[
     return pairs, full
 
 
-def _cut_again(similarity: tuple[int, int], buckets: int):
-    """All slices of sets, empty ones too."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets hold each element, as far as one batch goes."""
+    for b in batches:
+        values, n = np.unique(np.frombuffer(b"".join(b.column("elements").to_pylist()), U64), return_counts=True)
+        yield pa.record_batch([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["element", "n"])
 
+
+def common_elements(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most common elements of all sets, ascending, and how many sets hold each. Which ones are known only decides how rare first elements are."""
+    counts = sets.mapInArrow(tidy(_counts), "element long, n long").groupBy("element").agg(F.sum("n").alias("n")).where(F.col("n") > SOME)
+    known = counts.orderBy(F.desc("n")).limit(COMMON).toArrow()
+    values, n = known.column("element").to_numpy().view(U64), known.column("n").to_numpy()
+    by = np.argsort(values)
+    return values[by], n[by]
+
+
+def first_elements(values: np.ndarray, counts: np.ndarray, similarity: tuple[int, int], common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, elements): of each set as many of its rarest elements as it takes to share one with every set within the distance."""
+    a, b = similarity
+    known, n = common
+    row, rank = np.repeat(np.arange(len(counts)), counts), np.zeros(len(values), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        rank = np.where(known[at] == values, n[at], 0)
+    by = np.lexsort((values, rank, row))
+    place = np.arange(len(by)) - np.repeat(np.cumsum(counts) - counts, counts)
+    kept = by[place <= np.repeat(counts - -(-counts * a // b), counts)]
+    return row[kept], values[kept]
+
+
+def _firsts(similarity: tuple[int, int], buckets: int, common: tuple[np.ndarray, np.ndarray]):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 sets = [np.frombuffer(x.as_py(), U64) for x in b.column("elements")]
-                cut = slices(np.concatenate(sets), np.array([len(x) for x in sets]), similarity, empties=True)
-                yield R.pack(R.bucketed({"symbol": cut["sig"], "doc": b.column("id").to_numpy()[cut["row"]]}, buckets))
+                row, element = first_elements(np.concatenate(sets), np.array([len(x) for x in sets]), similarity, common)
+                yield R.pack(R.bucketed({"symbol": element, "doc": b.column("id").to_numpy()[row]}, buckets))
 
     return run
 
 
 def _stars(key: tuple, table: pa.Table) -> pa.Table:
-    """Sets that share a slice, each with the least of them."""
+    """Sets that share an element, each with the least of them."""
     e = R.unpack(table, 0)
     by = np.lexsort((e["doc"], e["symbol"]))
     s, d = e["symbol"][by], e["doc"][by]
@@ -227,6 +261,37 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], similarity: tuple[in
     return b * both >= a * (total - both)
 
 
+def forest(sets: list[np.ndarray], l: np.ndarray, r: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """Component (the least place in it) of each place, of the graph of all links between places ``l`` and places ``r`` (one and the same array: of all links inside).
+
+    Some leaders meet all others first. Members of one component need not meet any more, so near copies of one text are not compared pair by pair: the rest goes
+    in the order of components, BLOCK by BLOCK, a block inside a component with members of the others only."""
+    within, of = l is r, np.arange(len(sets))
+
+    def meet(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal of
+        left = [sets[k] for k in x]
+        for at in range(0, len(y), BLOCK):
+            part = y[at : at + BLOCK]
+            i, j = np.nonzero(linked(left, [sets[k] for k in part], similarity))
+            up = np.arange(len(sets))
+            moved = spanning(up, of[x[i]], of[part[j]])
+            up[moved[:, 0]] = moved[:, 1]
+            of = up[of]
+
+    if len(sets) > LEADERS:
+        meet(l[:LEADERS], r)
+        if not within:
+            meet(r[:LEADERS], l)
+        l, r = (k[np.argsort(of[k], kind="stable")] for k in (l, r))
+    for at in range(0, len(l), BLOCK):
+        x, y = l[at : at + BLOCK], r[at:] if within else r
+        if (of[x] == of[x[0]]).all():
+            y = y[of[y] != of[x[0]]]
+        meet(x, y)
+    return of
+
+
 def _join(similarity: tuple[int, int]):
     """Links inside each region of a bucket, or between the two blocks of a pair (side 0 and 1; side 2: within the block)."""
 
@@ -240,15 +305,10 @@ def _join(similarity: tuple[int, int]):
         out = [np.zeros((0, 2), np.int64)]
         for part in np.split(np.arange(len(ids)), np.flatnonzero(region[1:] != region[:-1]) + 1):
             sets = [np.frombuffer(raw[i].as_py(), U64) for i in part]
-            if (side[part] == 2).all():
-                x, y = np.nonzero(np.triu(linked(sets, sets, similarity), 1))
-            else:
-                l, r = np.flatnonzero(side[part] == 0), np.flatnonzero(side[part] == 1)
-                if not len(l) or not len(r):
-                    continue
-                x, y = np.nonzero(linked([sets[i] for i in l], [sets[i] for i in r], similarity))
-                x, y = l[x], r[y]
-            out.append(spanning(ids[part], x, y))
+            every = np.arange(len(part))
+            l, r = (every, every) if (side[part] == 2).all() else (np.flatnonzero(side[part] == k) for k in (0, 1))
+            if len(l) and len(r):
+                out.append(spanning(ids[part], every, forest(sets, l, r, similarity)))
         got = np.concatenate(out)
         return pa.table({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1])})
 
@@ -300,13 +360,14 @@ def region_links(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         large = saved(rows.where(f"size > {BASE}"), "jaccard-large")
         if large.isEmpty():
             return found
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        salts = F.ceil(F.col("size") / BLOCK).cast("int")
+        blocks = F.least(salts, F.lit(MOST))
         whole = large
         if level < LEVELS:
             # pivots: about the square root of the members, PIVOTS at most, by hash; members meet their family's pivots in as many tasks as it has blocks
             chance = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-            pivots = large.where(chance < F.least(F.sqrt("size"), F.lit(PIVOTS)) / F.col("size")).withColumn("salt", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            dealt = large.withColumn("salt", F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int"))
+            pivots = large.where(chance < F.least(F.sqrt("size"), F.lit(PIVOTS)) / F.col("size")).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+            dealt = large.withColumn("salt", F.pmod(F.xxhash64("id"), salts.cast("long")).cast("int"))
             near = dealt.groupBy("region", "salt").cogroup(pivots.groupBy("region", "salt")).applyInArrow(_nearest(similarity), "region long, id long, targets array<long>")
             near = saved(near, "jaccard-near")
             cuts = near.groupBy("region").agg((F.sum(F.size("targets")) / F.count(F.lit(1)) <= GROWTH).alias("few"), F.countDistinct(F.try_element_at("targets", F.lit(1))).alias("kinds"))
@@ -334,8 +395,9 @@ def jaccard_components(documents: DataFrame, words: int = 3, similarity: tuple[i
     pairs, full = candidates(docs, equal, words, similarity, 4 * buckets, key)
     wanted = full.unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = saved(docs.join(wanted.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(words, key), SETS), "jaccard-members")
-    again = sets.join(full, "id", "left_semi").mapInArrow(_cut_again(similarity, buckets), R.PACKED)
-    stars = again.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct()
+    saturated = sets.join(full, "id", "left_semi")
+    firsts = saturated.mapInArrow(_firsts(similarity, buckets, common_elements(saturated)), R.PACKED)
+    stars = firsts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct()
     family = components(pairs.unionByName(stars))
     members = saved(sets.join(family, "id").select(F.col("component").alias("region"), "id", "elements"), "jaccard-regions")
     discard(sets)

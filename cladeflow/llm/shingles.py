@@ -67,13 +67,13 @@ def slice_numbers(sizes: np.ndarray, cls: np.ndarray, similarity: tuple[int, int
     return differ + 1 + spare, spare + 1
 
 
-def slices(values: np.ndarray, counts: np.ndarray, similarity: tuple[int, int], empties: bool = False) -> dict[str, np.ndarray]:
+def slices(values: np.ndarray, counts: np.ndarray, similarity: tuple[int, int]) -> dict[str, np.ndarray]:
     """Prints of slices of each set: sig, row and of (its size class) of each slice; set (row), cls, empty and need of each (set, size class) cut.
 
     Sets of Jaccard similarity of at least a / b, ``similarity`` (a, b), differ in at most d = floor(size * (b - a) / a) elements,
     size being the smaller one's. Elements are hashed to m = d + need slices, so at least ``need`` slices of such a pair are
     equal. d follows from a size class; a set that may have partners in the next class is cut for that class too. Slices
-    without elements are only given with ``empties``; a set whose dropped slices, empty or otherwise, are fewer than ``need`` shares
+    without elements are not given; a set whose dropped slices, empty or otherwise, are fewer than ``need`` shares
     one of the others with every partner."""
     a, b = similarity
     out: dict[str, list[np.ndarray]] = {f: [] for f in ("sig", "row", "of", "set", "cls", "empty", "need")}
@@ -94,10 +94,9 @@ def slices(values: np.ndarray, counts: np.ndarray, similarity: tuple[int, int],
         held[place] = True
         owner = np.repeat(np.arange(len(counts)), cut)
         number = flat_ranges(np.zeros(len(counts), np.int64), cut)
-        keep = held if not empties else np.ones(len(held), bool)
-        out["sig"].append(mix(got + mix((cls[owner].astype(U64) << U64(32)) + number.astype(U64)))[keep])
-        out["row"].append(owner[keep])
-        out["of"].append(cls[owner[keep]])
+        out["sig"].append(mix(got + mix((cls[owner].astype(U64) << U64(32)) + number.astype(U64)))[held])
+        out["row"].append(owner[held])
+        out["of"].append(cls[owner[held]])
         some = np.flatnonzero(use)
         out["set"].append(some)
         out["cls"].append(cls[some])

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter
 from pathlib import Path
 
@@ -226,6 +227,56 @@ def test_jaccard(spark, monkeypatch, words, similarity, limit, few):
     assert got == jaccard_classes(rows, words, *similarity)
 
 
+def test_first_elements_are_shared_by_similar_sets():
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 400, n).astype(np.uint64) for n in (1, 2, 7, 30)]
+    sets = [np.unique(np.where(rng.random(len(x)) < 0.1, rng.integers(0, 400, len(x)), x)).astype(np.uint64) for x in base for _ in range(25)]
+    values, counts = np.concatenate(sets), np.array([len(x) for x in sets])
+    element, n = np.unique(values, return_counts=True)
+    for similarity in ((80, 100), (90, 100), (1, 2)):
+        for known in ((element[n > 3], n[n > 3]), (element[:0], n[:0])):  # whatever is known of their counts
+            row, kept = metric_join.first_elements(values, counts, similarity, known)
+            first = [set(kept[row == k].tolist()) for k in range(len(sets))]
+            for i, j in zip(*np.nonzero(metric_join.linked(sets, sets, similarity)), strict=True):
+                assert first[i] & first[j]
+
+
+@pytest.mark.parametrize(("block", "leaders"), [(3, 2), (7, 4), (1024, 64)])
+def test_forest_has_the_components_of_all_links(monkeypatch, block, leaders):
+    monkeypatch.setattr(metric_join, "BLOCK", block)
+    monkeypatch.setattr(metric_join, "LEADERS", leaders)
+    rng = np.random.default_rng(1)
+    for _ in range(10):
+        base = rng.integers(0, 60, (3, 12))
+        sets = [np.unique(np.where(rng.random(12) < 0.12, rng.integers(0, 60, 12), base[rng.integers(3)])).astype(np.uint64) for _ in range(30)]
+        every = np.arange(30)
+        for l, r in ((every, every), (every[::2], every[1::2])):
+            link = metric_join.linked([sets[k] for k in l], [sets[k] for k in r], (80, 100))
+            want = every.copy()
+            for x, y in components.spanning(every, *(k[at] for k, at in zip((l, r), np.nonzero(link), strict=True))):
+                want[x] = y
+            assert metric_join.forest(sets, l, r, (80, 100)).tolist() == want.tolist()
+
+
+def test_saturated_sets_make_small_families(spark, monkeypatch):
+    """Sets that share nothing but empty slices, or a common passage, were one family; a family's blocks copy its members."""
+    rng, rows = random.Random(4), []
+    for k in range(40):
+        words = [rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(30)]
+        rows += [(2 * k, " ".join(words + ["one", "passage", "of", "all"])), (2 * k + 1, " ".join(words[1:] + ["one", "passage", "of", "all"]))]
+    sizes, whole = [], metric_join.region_links
+    monkeypatch.setattr(metric_join, "FEW", 0)  # all sets are saturated
+    for name, n in (("BASE", 2), ("BLOCK", 4), ("MOST", 2), ("LEADERS", 3), ("SOME", 1)):
+        monkeypatch.setattr(metric_join, name, n)
+    monkeypatch.setattr(metric_join, "region_links", lambda sets, similarity: sizes.extend(r["count"] for r in sets.groupBy("region").count().collect()) or whole(sets, similarity))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in metric_join.jaccard_components(docs, 3, (80, 100)).collect()}
+    assert got == {k: k - k % 2 for k in range(80)} and sizes == [2] * 40
+    one = [(0, k, np.unique([zlib.crc32(w.encode()) for w in text.split()]).astype(np.uint64).tobytes()) for k, text in rows]
+    links = components.components(metric_join.region_links(spark.createDataFrame(one, "region long, id long, elements binary"), (80, 100)))
+    assert {r.id: r.component for r in links.collect()} == {k: k - k % 2 for k in range(80)}
+
+
 def thue_morse(n, a="a", b="b"):
     bits = [0]
     while len(bits) < n:
